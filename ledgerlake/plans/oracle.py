@@ -175,3 +175,144 @@ FROM j"""
 q("category_percent", cat_percent("budgets"), "scoped", "budgets")
 q("category_percent_active", f""", live AS (SELECT * FROM budgets WHERE conclusion_date IS NULL OR conclusion_date >= {AS_OF}),
     active AS {snapshot('live', REPORT_START)}""" + cat_percent("active"), "scoped", "budgets")
+
+
+# ---- dedup / categorisation ---------------------------------------------------------------
+
+q("dedup_internal", """
+SELECT household_id, date, description, CAST(amount AS DOUBLE) AS amount, payer, category, subcategory, expense_type
+FROM staged_repeats
+QUALIFY row_number() OVER (PARTITION BY household_id, date, description, amount, payer
+                           ORDER BY _copy, _ok, _ln, category NULLS FIRST, subcategory NULLS FIRST,
+                                    expense_type NULLS FIRST) = 1""", "staged_repeats")
+
+STAGED_COLS = "s.household_id, s.date, s.description, CAST(s.amount AS DOUBLE) AS amount, s.category, s.payer, s.seq"
+
+q("dedup_strict", f"""
+SELECT {STAGED_COLS} FROM staged s
+WHERE NOT EXISTS (SELECT 1 FROM expenses e WHERE e.household_id = s.household_id
+                    AND e.date IS NOT DISTINCT FROM s.date AND e.amount IS NOT DISTINCT FROM s.amount
+                    AND e.description IS NOT DISTINCT FROM s.description)""", "staged", "expenses")
+
+q("dedup_fuzzy", f"""
+SELECT {STAGED_COLS} FROM staged s
+WHERE NOT EXISTS (SELECT 1 FROM expenses e WHERE e.household_id = s.household_id
+                    AND e.date = s.date AND e.amount = s.amount
+                    AND coalesce(levenshtein(lower(s.description), lower(e.description)) < 5
+                                 OR contains(lower(e.description), lower(s.description)), true))""",
+  "staged", "expenses")
+
+PREDICT = """
+, hist AS (SELECT household_id, lower(description) AS hd, category, subcategory, count(*) AS n
+           FROM expenses WHERE category <> '' GROUP BY 1, 2, 3, 4),
+  descs AS (SELECT DISTINCT household_id, description, lower(description) AS nd FROM staged),
+  pairs AS (SELECT DISTINCT n.household_id, n.nd, h.hd
+            FROM (SELECT DISTINCT household_id, nd FROM descs WHERE nd IS NOT NULL) n
+            JOIN (SELECT DISTINCT household_id, hd FROM hist) h
+              ON n.household_id = h.household_id AND (contains(h.hd, n.nd) OR contains(n.nd, h.hd))),
+  votes AS (SELECT p.household_id, p.nd, h.category, h.subcategory, sum(h.n) AS n
+            FROM pairs p JOIN hist h ON p.household_id = h.household_id AND p.hd = h.hd GROUP BY 1, 2, 3, 4),
+  best AS (SELECT * FROM votes
+           QUALIFY row_number() OVER (PARTITION BY household_id, nd ORDER BY n DESC, category, subcategory) = 1),
+  pred AS (SELECT d.household_id, d.description, coalesce(b.category, '') AS category,
+                  coalesce(b.subcategory, '') AS subcategory
+           FROM descs d LEFT JOIN best b ON d.household_id = b.household_id AND d.nd = b.nd)
+"""
+
+q("predict_category", PREDICT + "SELECT * FROM pred", "staged", "expenses")
+
+q("auto_categorize", PREDICT + """
+, st AS (SELECT household_id, date, description, amount, coalesce(category, '') AS category, payer, seq,
+                seq AS id, '' AS subcategory, 'Monthly' AS expense_type, false AS duplicate FROM staged)
+SELECT st.household_id, st.date, st.description, CAST(st.amount AS DOUBLE) AS amount,
+       CASE WHEN st.category = '' THEN coalesce(p.category, '') ELSE st.category END AS category,
+       CASE WHEN st.category = '' THEN coalesce(p.subcategory, '') ELSE st.subcategory END AS subcategory,
+       st.payer, st.seq, st.id, st.expense_type, st.duplicate
+FROM st LEFT JOIN pred p ON st.household_id = p.household_id AND st.description = p.description""",
+  "staged", "expenses")
+
+# ---- suggestions / goals ------------------------------------------------------------------
+
+q("budget_suggestions", f"""
+, lines AS (SELECT household_id, category, subcategory, "limit" FROM budgets
+            WHERE effective_date <= {AS_OF} AND (conclusion_date IS NULL OR conclusion_date >= {AS_OF})
+              AND frequency = 'Monthly'),
+  exp AS (SELECT household_id, category, subcategory, CAST(date_trunc('month', date) AS DATE) AS month,
+                 sum(amount) AS total
+          FROM scoped WHERE budget_scope = 'Monthly' AND date >= DATE '2000-04-01' AND date <= {REPORT_END}
+          GROUP BY 1, 2, 3, 4),
+  m AS (SELECT l.household_id, l.category, l.subcategory, l."limit",
+               coalesce(sum(CASE WHEN e.month = DATE '2000-04-01' THEN e.total END), 0) AS t2,
+               coalesce(sum(CASE WHEN e.month = DATE '2000-05-01' THEN e.total END), 0) AS t1,
+               coalesce(sum(CASE WHEN e.month = DATE '2000-06-01' THEN e.total END), 0) AS t0
+        FROM lines l LEFT JOIN exp e ON e.household_id = l.household_id AND e.category = l.category
+                                     AND (l.subcategory = '' OR e.subcategory = l.subcategory)
+        GROUP BY 1, 2, 3, 4)
+SELECT household_id, category, subcategory, CAST("limit" AS DOUBLE) AS current_limit,
+       CAST(round_even(t2 * 0.1 + t1 * 0.3 + t0 * 0.6, 0) AS DOUBLE) AS hasty_limit,
+       CAST(round_even(t2 * 0.2 + t1 * 0.4 + t0 * 0.4, 0) AS DOUBLE) AS conservative_limit,
+       CAST(t0 AS DOUBLE) AS current_month_spent
+FROM m WHERE abs(t0 - "limit") > 50""", "scoped", "budgets")
+
+SAVING = """(SELECT *, (CAST(target_amount * 1000000 AS BIGINT) * 2 + months_needed) // (months_needed * 2)
+                       AS saving_micros
+             FROM (SELECT *, CAST(greatest(1, (year(target_month) - year(created_date)) * 12
+                                          + month(target_month) - month(created_date)) AS INTEGER) AS months_needed
+                   FROM goals) g0)"""
+
+q("goal_progress_report", f"""
+, g2 AS (SELECT * FROM {SAVING} g1 WHERE NOT completed),
+  saved AS (SELECT household_id, goal, count(*) AS months_saved FROM goal_progress WHERE saved GROUP BY 1, 2),
+  spent AS (SELECT household_id, category AS goal, sum(amount) AS spent FROM expenses
+            WHERE expense_type = 'Goal' GROUP BY 1, 2),
+  tm AS (SELECT household_id, goal, bool_or(saved) AS saved_this_month FROM goal_progress
+         WHERE month = {REPORT_START} GROUP BY 1, 2)
+SELECT g2.household_id, g2.goal, CAST(g2.target_amount AS DOUBLE) AS target_amount, g2.target_month,
+       g2.created_date, g2.months_needed, CAST(g2.saving_micros AS DOUBLE) / 1000000 AS monthly_saving,
+       coalesce(saved.months_saved, 0) AS months_saved,
+       least(100.0, round_even(CAST(coalesce(saved.months_saved, 0) AS DOUBLE)
+                               / CAST(g2.months_needed AS DOUBLE) * 100.0, 0)) AS saved_pct,
+       CAST(coalesce(spent.spent, 0) AS DOUBLE) AS spent,
+       least(100.0, round_even(CAST(coalesce(spent.spent, 0) AS DOUBLE)
+                               / CAST(g2.target_amount AS DOUBLE) * 100.0, 0)) AS spent_pct,
+       coalesce(tm.saved_this_month, false) AS saved_this_month
+FROM g2
+LEFT JOIN saved ON g2.household_id = saved.household_id AND g2.goal = saved.goal
+LEFT JOIN spent ON g2.household_id = spent.household_id AND g2.goal = spent.goal
+LEFT JOIN tm ON g2.household_id = tm.household_id AND g2.goal = tm.goal""", "goals", "goal_progress", "expenses")
+
+q("goals_completed", """
+SELECT household_id, goal, CAST(target_amount AS DOUBLE) AS target_amount, target_month, created_date, completed,
+       CAST(100.0 AS DOUBLE) AS saved_pct, CAST(100.0 AS DOUBLE) AS spent_pct
+FROM goals WHERE completed""", "goals")
+
+q("goal_saving_total", f"""
+SELECT household_id, CAST(sum(saving_micros) AS DOUBLE) / 1000000 AS monthly_saving_total
+FROM {SAVING} g1 WHERE NOT completed GROUP BY 1""", "goals")
+
+q("income_allocation", f"""
+, inc AS (SELECT household_id, sum(coalesce(amount, 0)) AS income FROM income GROUP BY 1),
+  lim AS (SELECT household_id, sum({twelfths('"limit"', 'frequency')}) AS limits_x12 FROM budgets
+          WHERE effective_date <= {AS_OF} AND (conclusion_date IS NULL OR conclusion_date >= {AS_OF}) GROUP BY 1),
+  sav AS (SELECT household_id, sum(saving_micros) AS saving_micros FROM {SAVING} g1 GROUP BY 1),
+  ids AS (SELECT household_id FROM inc UNION SELECT household_id FROM lim UNION SELECT household_id FROM sav)
+SELECT ids.household_id, CAST(inc.income AS DOUBLE) AS income,
+       CAST(coalesce(lim.limits_x12, 0) AS DOUBLE) / 12.0 AS budget_total,
+       CAST(coalesce(sav.saving_micros, 0) AS DOUBLE) / 1000000 AS goal_saving_total,
+       CAST(inc.income * 12000000 - coalesce(lim.limits_x12, 0) * 1000000
+            - CAST(coalesce(sav.saving_micros, 0) AS DECIMAL(38,0)) * 12 AS DOUBLE) / 12000000.0 AS remaining
+FROM ids LEFT JOIN inc ON ids.household_id = inc.household_id
+LEFT JOIN lim ON ids.household_id = lim.household_id
+LEFT JOIN sav ON ids.household_id = sav.household_id""", "income", "budgets", "goals")
+
+q("goal_link_allocation", """
+, day AS (SELECT household_id, category, subcategory, date, sum(amount) AS total, count(*) AS transactions
+          FROM expenses WHERE date IS NOT NULL GROUP BY 1, 2, 3, 4),
+  m AS (SELECT d.*, l.goal, l.start_date FROM day d JOIN goal_links l
+          ON d.household_id = l.household_id AND d.category = l.category
+         AND (l.subcategory = '' OR l.subcategory = d.subcategory)
+         AND d.date >= l.start_date AND (l.end_date IS NULL OR d.date <= l.end_date)),
+  best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY household_id, category, subcategory, date
+                                                      ORDER BY start_date DESC, goal) = 1)
+SELECT household_id, goal, CAST(sum(total) AS DOUBLE) AS total, CAST(sum(transactions) AS BIGINT) AS transactions
+FROM best GROUP BY 1, 2""", "expenses", "goal_links")

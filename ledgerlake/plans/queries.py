@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.operators import budgets as B
+from ledgerlake.operators import categorize as CT
+from ledgerlake.operators import dedup as D
+from ledgerlake.operators import goals as G
+from ledgerlake.operators import suggest as S
 from ledgerlake.operators import reports as R
 from ledgerlake.sources import tables as TB
 from ledgerlake.sources import testviews as V
@@ -131,6 +135,58 @@ def category_percent_active(spark, d):
     return finish(R.category_percent(cs, active, K))
 
 
+# ---- dedup / categorisation ---------------------------------------------------------------
+
+def dedup_internal(spark, d):
+    st = V.staged_repeats(spark, d)
+    out = D.drop_internal_duplicates(st, ["_copy", "_ok", "_ln"], K)
+    return finish(out.drop("_copy", "_ok", "_ln"))
+
+
+def dedup_strict(spark, d):
+    return finish(D.dedup_strict(V.staged(spark, d), V.expenses(spark, d), K))
+
+
+def dedup_fuzzy(spark, d):
+    return finish(D.dedup_fuzzy(V.staged(spark, d), V.expenses(spark, d), K))
+
+
+def predict_category(spark, d):
+    return finish(CT.predict_categories(V.staged(spark, d), V.expenses(spark, d), K))
+
+
+def auto_categorize(spark, d):
+    st = D.stage_projection(V.staged(spark, d))
+    return finish(CT.auto_categorize(st, V.expenses(spark, d), K))
+
+
+# ---- suggestions / goals ------------------------------------------------------------------
+
+def budget_suggestions(spark, d):
+    return finish(S.budget_suggestions(_scoped(spark, d), V.budgets(spark, d), V.AS_OF, K))
+
+
+def goal_progress_report(spark, d):
+    return finish(G.goal_progress_report(V.goals(spark, d), V.goal_progress(spark, d), V.expenses(spark, d),
+                                         V.AS_OF, K))
+
+
+def goals_completed(spark, d):
+    return finish(G.goals_completed(V.goals(spark, d)))
+
+
+def goal_saving_total(spark, d):
+    return finish(G.goal_saving_total(V.goals(spark, d), K))
+
+
+def income_allocation(spark, d):
+    return finish(G.income_allocation(V.income(spark, d), V.budgets(spark, d), V.goals(spark, d), V.AS_OF, K))
+
+
+def goal_link_allocation(spark, d):
+    return finish(G.goal_link_allocation(V.expenses(spark, d), V.goal_links(spark, d), K))
+
+
 def _registry() -> dict:
     skip = {"finish"}
     return {n: f for n, f in globals().items()
