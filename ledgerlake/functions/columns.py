@@ -118,8 +118,8 @@ def parse_mdy(c: str | Column) -> Column:
     69-99 -> 19xx) instead of Spark's fixed 20xx.
     """
     s = trim_ws(col(c))
-    long_form = F.try_to_date(s, F.lit("M/d/yyyy"))
-    short = F.try_to_date(s, F.lit("M/d/yy"))
+    long_form = F.try_to_date(s, "M/d/yyyy")
+    short = F.try_to_date(s, "M/d/yy")
     short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
     return F.coalesce(long_form, short)
 

@@ -6,8 +6,8 @@ share only the test-view definitions (`testviews_sql`).
 
 from __future__ import annotations
 
-from ledgerlake.sources.testviews_sql import (AS_OF, REPORT_END, REPORT_START, label_cat, label_sub, status,
-                                              twelfths, with_views)
+from ledgerlake.sources.testviews_sql import (AS_OF, REPORT_END, REPORT_START, label_cat, label_sub, norm_type,
+                                              status, trim, twelfths, with_views)
 
 SQL: dict[str, str] = {}
 
@@ -233,7 +233,7 @@ FROM st LEFT JOIN pred p ON st.household_id = p.household_id AND st.description
 
 # ---- suggestions / goals ------------------------------------------------------------------
 
-q("budget_suggestions", f"""
+SUGG = f"""
 , lines AS (SELECT household_id, category, subcategory, "limit" FROM budgets
             WHERE effective_date <= {AS_OF} AND (conclusion_date IS NULL OR conclusion_date >= {AS_OF})
               AND frequency = 'Monthly'),
@@ -247,12 +247,18 @@ q("budget_suggestions", f"""
                coalesce(sum(CASE WHEN e.month = DATE '2000-06-01' THEN e.total END), 0) AS t0
         FROM lines l LEFT JOIN exp e ON e.household_id = l.household_id AND e.category = l.category
                                      AND (l.subcategory = '' OR e.subcategory = l.subcategory)
-        GROUP BY 1, 2, 3, 4)
-SELECT household_id, category, subcategory, CAST("limit" AS DOUBLE) AS current_limit,
-       CAST(round_even(t2 * 0.1 + t1 * 0.3 + t0 * 0.6, 0) AS DOUBLE) AS hasty_limit,
-       CAST(round_even(t2 * 0.2 + t1 * 0.4 + t0 * 0.4, 0) AS DOUBLE) AS conservative_limit,
-       CAST(t0 AS DOUBLE) AS current_month_spent
-FROM m WHERE abs(t0 - "limit") > 50""", "scoped", "budgets")
+        GROUP BY 1, 2, 3, 4),
+  sugg AS (SELECT household_id, category, subcategory, "limit" AS current_limit,
+                  round_even(t2 * 0.1 + t1 * 0.3 + t0 * 0.6, 0) AS hasty_limit,
+                  round_even(t2 * 0.2 + t1 * 0.4 + t0 * 0.4, 0) AS conservative_limit,
+                  t0 AS current_month_spent
+           FROM m WHERE abs(t0 - "limit") > 50)
+"""
+
+q("budget_suggestions", SUGG + """
+SELECT household_id, category, subcategory, CAST(current_limit AS DOUBLE) AS current_limit,
+       CAST(hasty_limit AS DOUBLE) AS hasty_limit, CAST(conservative_limit AS DOUBLE) AS conservative_limit,
+       CAST(current_month_spent AS DOUBLE) AS current_month_spent FROM sugg""", "scoped", "budgets")
 
 SAVING = """(SELECT *, (CAST(target_amount * 1000000 AS BIGINT) * 2 + months_needed) // (months_needed * 2)
                        AS saving_micros
@@ -316,3 +322,269 @@ q("goal_link_allocation", """
                                                       ORDER BY start_date DESC, goal) = 1)
 SELECT household_id, goal, CAST(sum(total) AS DOUBLE) AS total, CAST(sum(transactions) AS BIGINT) AS transactions
 FROM best GROUP BY 1, 2""", "expenses", "goal_links")
+
+
+# ---- statements ---------------------------------------------------------------------------
+
+for _name in ["statement_card", "statement_sale", "statement_simple", "statement_bank", "statement_headerless",
+              "statement_union"]:
+    q(_name, f"""
+SELECT household_id, okey, date, description, CAST(amount AS DOUBLE) AS amount, category, payer FROM {_name}""", _name)
+
+H_CARD = "Status,Date,Description,Debit,Credit,Member Name"
+H_SALE = "Transaction Date,Post Date,Description,Category,Type,Amount,Memo"
+H_SIMPLE = "Trans. Date,Post Date,Description,Amount,Category"
+H_BANK = "Details,Posting Date,Description,Amount,Type,Balance,Check or Slip #"
+
+q("statement_formats", f"""
+, fl AS (SELECT household_id, okey AS file_id,
+                CASE WHEN layout = 4 THEN concat_ws(',', date_txt, neg_txt, '*', '', description)
+                     ELSE ['{H_CARD}', '{H_SALE}', '{H_SIMPLE}', '{H_BANK}'][CAST(layout + 1 AS INTEGER)]
+                          || CASE WHEN okey % 2 = 1 THEN ',Extra' ELSE '' END END AS first_line
+         FROM statement_orders)
+SELECT household_id, file_id,
+       CASE WHEN contains(first_line, '{H_CARD}') THEN 'card' WHEN contains(first_line, '{H_SALE}') THEN 'sale'
+            WHEN contains(first_line, '{H_SIMPLE}') THEN 'simple' WHEN contains(first_line, '{H_BANK}') THEN 'bank'
+            ELSE 'headerless' END AS format
+FROM fl""", "statement_orders")
+
+FUZZY_NOT_EXISTS = """NOT EXISTS (SELECT 1 FROM expenses e WHERE e.household_id = s.household_id
+                    AND e.date = s.date AND e.amount = s.amount
+                    AND coalesce(levenshtein(lower(s.description), lower(e.description)) < 5
+                                 OR contains(lower(e.description), lower(s.description)), true))"""
+
+q("stage_statements", f"""
+, st AS (SELECT household_id, okey, date, description, amount, coalesce(category, '') AS category, payer,
+                okey AS id, '' AS subcategory, 'Monthly' AS expense_type, false AS duplicate FROM statement_union),
+  st1 AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY household_id, date, description, amount, payer
+                                                      ORDER BY okey, id, category, subcategory) = 1)
+SELECT s.household_id, s.date, s.description, CAST(s.amount AS DOUBLE) AS amount, s.payer, s.okey, s.category, s.id,
+       s.subcategory, s.expense_type, s.duplicate
+FROM st1 s WHERE {FUZZY_NOT_EXISTS}""", "statement_union", "expenses")
+
+# ---- maintenance --------------------------------------------------------------------------
+
+LEDGER_OUT = "household_id, date, description, category, subcategory, CAST(amount AS DOUBLE) AS amount, payer, expense_type"
+
+q("ledger_append", f"""
+SELECT {LEDGER_OUT} FROM expenses
+UNION ALL
+SELECT household_id, date, description, coalesce(category, ''), '', CAST(amount AS DOUBLE), payer, 'Monthly'
+FROM statement_union""", "expenses", "statement_union")
+
+q("import_batch", f"""
+, new AS (SELECT household_id, date, description, amount, coalesce(category, '') AS category, payer FROM staged s
+          WHERE NOT EXISTS (SELECT 1 FROM expenses e WHERE e.household_id = s.household_id
+                              AND e.date IS NOT DISTINCT FROM s.date AND e.amount IS NOT DISTINCT FROM s.amount
+                              AND e.description IS NOT DISTINCT FROM s.description))
+SELECT {LEDGER_OUT} FROM expenses
+UNION ALL
+SELECT household_id, date, description, category, '', CAST(amount AS DOUBLE), payer, 'Monthly' FROM new""",
+  "staged", "expenses")
+
+q("ledger_delete", f"""
+, req AS (SELECT household_id, date, coalesce(description, '') AS description, coalesce(category, '') AS category,
+                 {trim("coalesce(subcategory, '')")} AS subcategory, coalesce(amount, 0) AS amount,
+                 coalesce(payer, '') AS payer, count(*) AS r
+          FROM expense_base WHERE (_ok + _ln) % 7 = 0 GROUP BY 1, 2, 3, 4, 5, 6, 7),
+  led AS (SELECT * FROM expenses UNION ALL SELECT * FROM expenses),
+  num AS (SELECT l.*, row_number() OVER (PARTITION BY household_id, date, description, category, subcategory, amount,
+                                                      payer ORDER BY expense_type NULLS FIRST) AS n FROM led l)
+SELECT n.household_id, n.date, n.description, n.category, n.subcategory, CAST(n.amount AS DOUBLE) AS amount, n.payer,
+       n.expense_type
+FROM num n LEFT JOIN req r ON n.household_id = r.household_id AND n.date = r.date AND n.description = r.description
+  AND n.category = r.category AND n.subcategory = r.subcategory AND n.amount = r.amount AND n.payer = r.payer
+WHERE r.r IS NULL OR n.n > r.r""", "expenses", "expense_base")
+
+E1_OUT = """
+SELECT household_id, category, subcategory, CAST("limit" AS DOUBLE) AS "limit", frequency, effective_date,
+       CAST(lead(effective_date) OVER (PARTITION BY household_id, category, subcategory ORDER BY effective_date)
+            - 1 AS DATE) AS conclusion_date
+FROM allr"""
+
+
+def upsert(upd_sql: str, case_sensitive: bool = False) -> str:
+    if case_sensitive:
+        match = "u.category = b.category AND u.subcategory = b.subcategory"
+    else:
+        match = (f"lower(u.category) = lower(b.category) "
+                 f"AND lower({trim('u.subcategory')}) = lower({trim('b.subcategory')})")
+    return f""", upd AS ({upd_sql}),
+  kept AS (SELECT household_id, category, subcategory, "limit", frequency, effective_date FROM budgets b
+           WHERE NOT EXISTS (SELECT 1 FROM upd u WHERE u.household_id = b.household_id AND {match}
+                               AND u.effective_date = b.effective_date)),
+  allr AS (SELECT * FROM kept UNION ALL
+           SELECT household_id, category, {trim('subcategory')}, "limit", frequency, effective_date FROM upd)
+""" + E1_OUT
+
+
+q("budget_upsert", upsert(f"""
+  SELECT household_id, CASE WHEN household_id % 2 = 0 THEN lower(category) ELSE category END AS category,
+         subcategory, CAST("limit" + 100 AS DECIMAL(18,2)) AS "limit", frequency,
+         CASE WHEN household_id % 3 = 0 THEN effective_date ELSE DATE '2000-07-01' END AS effective_date
+  FROM {snapshot('budgets', AS_OF)} t"""), "budgets")
+
+q("budget_archive", upsert(f"""
+  SELECT household_id, category, subcategory, CAST(0 AS DECIMAL(18,2)) AS "limit", frequency,
+         CASE WHEN effective_date > {AS_OF} THEN effective_date ELSE DATE '2000-07-01' END AS effective_date
+  FROM budgets WHERE conclusion_date IS NULL"""), "budgets")
+
+q("budget_delete", f"""
+, req AS (SELECT household_id, lower(category) AS c, lower({trim('subcategory')}) AS s, effective_date
+          FROM budgets WHERE conclusion_date IS NULL),
+  allr AS (SELECT household_id, category, subcategory, "limit", frequency, effective_date FROM budgets b
+           WHERE NOT EXISTS (SELECT 1 FROM req r WHERE r.household_id = b.household_id AND r.c = lower(b.category)
+                               AND r.s = lower({trim('b.subcategory')}) AND r.effective_date = b.effective_date))
+""" + E1_OUT, "budgets")
+
+q("apply_suggestions", SUGG + upsert("""
+  SELECT household_id, category, subcategory, CAST(hasty_limit AS DECIMAL(18,2)) AS "limit", 'Monthly' AS frequency,
+         DATE '2000-07-01' AS effective_date FROM sugg""", case_sensitive=True), "scoped", "budgets")
+
+GOAL_OUT = "household_id, goal, CAST(target_amount AS DOUBLE) AS target_amount, target_month, created_date, completed"
+
+q("goal_upsert", f"""
+, new AS (SELECT household_id, {trim("CASE WHEN household_id % 2 = 0 THEN goal || ' 2' ELSE goal END")} AS goal,
+                 CAST(target_amount + 1000 AS DECIMAL(18,2)) AS target_amount, DATE '2000-12-01' AS target_month,
+                 {AS_OF} AS created_date, false AS completed FROM goals)
+SELECT {GOAL_OUT} FROM goals g
+WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.household_id = g.household_id AND n.goal = g.goal)
+UNION ALL SELECT {GOAL_OUT} FROM new""", "goals")
+
+q("goal_delete", """
+SELECT household_id, goal, month, saved FROM goal_progress p
+WHERE NOT EXISTS (SELECT 1 FROM goals g WHERE g.completed AND g.household_id = p.household_id AND g.goal = p.goal)""",
+  "goals", "goal_progress")
+
+q("goal_progress_upsert", f"""
+, upd AS (SELECT household_id, goal, {REPORT_START} AS month, NOT completed AS saved FROM goals)
+SELECT coalesce(p.household_id, u.household_id) AS household_id, coalesce(p.goal, u.goal) AS goal,
+       coalesce(p.month, u.month) AS month, coalesce(u.saved, p.saved) AS saved
+FROM goal_progress p FULL OUTER JOIN upd u
+  ON p.household_id = u.household_id AND p.goal = u.goal AND p.month = u.month""", "goals", "goal_progress")
+
+q("dimension_values", f"""
+, eb AS (SELECT household_id, category, {trim("coalesce(subcategory, '')")} AS subcategory FROM expenses
+         UNION ALL SELECT household_id, category, {trim("coalesce(subcategory, '')")} FROM budgets),
+  ledgers AS (SELECT DISTINCT household_id FROM expenses)
+SELECT DISTINCT * FROM (
+  SELECT household_id, 'category' AS dimension, category AS value, CAST(NULL AS VARCHAR) AS value2
+  FROM eb WHERE category <> ''
+  UNION ALL SELECT household_id, 'subcategory', category, subcategory FROM eb WHERE category <> '' AND subcategory <> ''
+  UNION ALL SELECT household_id, 'payer', payer, NULL FROM expenses WHERE payer <> ''
+  UNION ALL SELECT household_id, 'payer', unnest(['Joint', 'Caleb', 'Rae']), NULL FROM ledgers
+  UNION ALL SELECT household_id, 'goal', goal, NULL FROM goals
+  UNION ALL SELECT household_id, 'month', strftime(CAST(date_trunc('month', date) AS DATE), '%Y-%m-%d'), NULL
+            FROM expenses WHERE date IS NOT NULL
+  UNION ALL SELECT household_id, 'month', '2000-06-01', NULL FROM ledgers) t""", "expenses", "budgets", "goals")
+
+q("staged_edit", f"""
+, st AS (SELECT household_id, date, description, amount, coalesce(category, '') AS category, payer, seq, seq AS id,
+                '' AS subcategory, 'Monthly' AS expense_type, false AS duplicate FROM staged),
+  ed AS (SELECT DISTINCT household_id, id, CASE WHEN id % 2 = 0 THEN 'EDITED' ELSE '' END AS ec, ' sub ' AS es,
+                CASE WHEN id % 4 = 0 THEN 'Joint' ELSE '' END AS ep FROM st WHERE id % 3 = 0)
+SELECT st.household_id, st.date, st.description, CAST(st.amount AS DOUBLE) AS amount,
+       CASE WHEN ed.id IS NOT NULL AND coalesce(ed.ec, '') <> '' THEN ed.ec ELSE st.category END AS category,
+       CASE WHEN ed.id IS NOT NULL THEN {trim("coalesce(ed.es, '')")} ELSE st.subcategory END AS subcategory,
+       CASE WHEN ed.id IS NOT NULL AND coalesce(ed.ep, '') <> '' THEN ed.ep ELSE st.payer END AS payer,
+       st.seq, st.id, st.expense_type, st.duplicate
+FROM st LEFT JOIN ed ON st.household_id = ed.household_id AND st.id = ed.id
+WHERE st.id % 5 <> 0 AND NOT st.duplicate""", "staged")
+
+q("validate_entries", f"""
+, ent AS (SELECT household_id, CASE WHEN _ln = 5 THEN NULL ELSE date END AS date,
+                 CASE (_ok + _ln) % 7 WHEN 5 THEN NULL WHEN 6 THEN '  ' ELSE description END AS description,
+                 CASE WHEN (_ok + _ln) % 7 IN (1, 2) THEN '' ELSE category END AS category,
+                 CAST(CASE WHEN _ln = 7 THEN -amount WHEN _ln = 6 THEN 0 ELSE amount END AS DECIMAL(18,2)) AS amount,
+                 {norm_type('expense_type')} AS expense_type, _ok * 100 + _ln AS row_id FROM expense_base),
+  gn AS (SELECT DISTINCT household_id, goal FROM goals),
+  chk AS (SELECT e.*, concat_ws(',',
+            CASE WHEN e.date IS NULL THEN 'date' END,
+            CASE WHEN {trim("coalesce(e.description, '')")} = '' THEN 'description' END,
+            CASE WHEN e.expense_type <> 'Goal' AND coalesce(e.category, '') = '' THEN 'category' END,
+            CASE WHEN e.expense_type = 'Goal' AND gn.goal IS NULL THEN 'goal' END,
+            CASE WHEN e.amount IS NULL OR e.amount <= 0 THEN 'amount' END) AS errors
+          FROM ent e LEFT JOIN gn ON e.household_id = gn.household_id AND e.category = gn.goal)
+SELECT household_id, date, description, category, CAST(amount AS DOUBLE) AS amount, expense_type, row_id, errors,
+       errors = '' AS valid FROM chk""", "expense_base", "goals")
+
+AMOUNT_TXT = "TRY_CAST(regexp_replace(val, '[^0-9.-]', '', 'g') AS DECIMAL(18,2))"
+
+q("patch_expenses", f"""
+, ledr AS (SELECT household_id, _ok * 100 + _ln AS row_id, date, coalesce(description, '') AS description,
+                  coalesce(category, '') AS category, {trim("coalesce(subcategory, '')")} AS subcategory,
+                  coalesce(amount, 0) AS amount, coalesce(payer, '') AS payer,
+                  {norm_type('expense_type')} AS expense_type FROM expense_base),
+  pt AS (SELECT household_id, _ok * 100 + _ln AS row_id,
+                ['amount', 'category', 'subcategory', 'date', 'amount', 'description', 'expense_type'][_ln] AS col,
+                ['$1,234.50', ' Travel ', '(Unspecified)', '2001-02-30', '-5', '  new text ', 'GOAL'][_ln] AS val
+         FROM expense_base WHERE _ok % 4 = 0),
+  typed AS (SELECT *, CASE WHEN col = 'date' THEN TRY_CAST({trim('val')} AS DATE) END AS nd,
+                   CASE WHEN col = 'amount' THEN {AMOUNT_TXT} END AS na,
+                   CASE WHEN col = 'category' THEN {trim('val')} END AS nc,
+                   CASE WHEN col = 'subcategory' THEN CASE WHEN {trim('val')} = '(Unspecified)' THEN ''
+                                                           ELSE {trim('val')} END END AS ns,
+                   CASE WHEN col = 'description' THEN {trim('val')} END AS nde,
+                   CASE WHEN col = 'payer' THEN {trim('val')} END AS np,
+                   CASE WHEN col = 'expense_type' THEN {norm_type('val')} END AS nt
+            FROM pt),
+  ok AS (SELECT * FROM typed WHERE coalesce(CASE col WHEN 'date' THEN nd IS NOT NULL
+                                                     WHEN 'amount' THEN na IS NOT NULL AND na > 0
+                                                     WHEN 'category' THEN nc <> ''
+                                                     WHEN 'subcategory' THEN true WHEN 'description' THEN true
+                                                     WHEN 'payer' THEN true WHEN 'expense_type' THEN true
+                                                     ELSE false END, false)),
+  acc AS (SELECT household_id, row_id, max(nd) AS nd, bool_or(col = 'date') AS sd, max(na) AS na,
+                 bool_or(col = 'amount') AS sa, max(nc) AS nc, bool_or(col = 'category') AS sc, max(ns) AS ns,
+                 bool_or(col = 'subcategory') AS ss, max(nde) AS nde, bool_or(col = 'description') AS sde,
+                 max(np) AS np, bool_or(col = 'payer') AS sp, max(nt) AS nt, bool_or(col = 'expense_type') AS st
+          FROM ok GROUP BY 1, 2)
+SELECT l.household_id, l.row_id,
+       CASE WHEN a.sd THEN a.nd ELSE l.date END AS date,
+       CASE WHEN a.sde THEN a.nde ELSE l.description END AS description,
+       CASE WHEN a.sc THEN a.nc ELSE l.category END AS category,
+       CASE WHEN a.ss THEN a.ns ELSE l.subcategory END AS subcategory,
+       CAST(CASE WHEN a.sa THEN a.na ELSE l.amount END AS DOUBLE) AS amount,
+       CASE WHEN a.sp THEN a.np ELSE l.payer END AS payer,
+       CASE WHEN a.st THEN a.nt ELSE l.expense_type END AS expense_type
+FROM ledr l LEFT JOIN acc a ON l.household_id = a.household_id AND l.row_id = a.row_id""", "expense_base")
+
+q("patch_budgets", f"""
+, pt AS (SELECT household_id, category, subcategory, effective_date,
+                ['limit', 'limit', 'subcategory'][CAST(month(effective_date) % 3 + 1 AS INTEGER)] AS col,
+                ['1,500', '-3', ' Patched ' || subcategory][CAST(month(effective_date) % 3 + 1 AS INTEGER)] AS val
+         FROM budgets WHERE year(effective_date) = 1999),
+  typed AS (SELECT *, CASE WHEN col = 'limit' THEN {AMOUNT_TXT} END AS nl,
+                   CASE WHEN col = 'subcategory' THEN CASE WHEN {trim('val')} = '(Unspecified)' THEN ''
+                                                           ELSE {trim('val')} END END AS ns
+            FROM pt),
+  ok AS (SELECT * FROM typed WHERE coalesce(CASE col WHEN 'limit' THEN nl IS NOT NULL AND nl >= 0
+                                                     WHEN 'subcategory' THEN true ELSE false END, false)),
+  acc AS (SELECT household_id, category, subcategory, effective_date, max(nl) AS nl, bool_or(col = 'limit') AS sl,
+                 max(ns) AS ns, bool_or(col = 'subcategory') AS ss FROM ok GROUP BY 1, 2, 3, 4),
+  allr AS (SELECT b.household_id, b.category, CASE WHEN a.ss THEN a.ns ELSE b.subcategory END AS subcategory,
+                  CASE WHEN a.sl THEN a.nl ELSE b."limit" END AS "limit", b.frequency, b.effective_date
+           FROM budgets b LEFT JOIN acc a ON b.household_id = a.household_id AND b.category = a.category
+             AND b.subcategory = a.subcategory AND b.effective_date = a.effective_date)
+""" + E1_OUT, "budgets")
+
+q("report_bundle", f"""
+, cats AS (SELECT household_id, CAST(date_trunc('month', date) AS DATE) AS month, category,
+                  {label_sub('subcategory')} AS subcategory, sum(amount) AS total
+           FROM scoped WHERE budget_scope = 'Monthly' AND date IS NOT NULL GROUP BY 1, 2, 3, 4),
+  months AS (SELECT DISTINCT household_id, month FROM cats),
+  snap AS (SELECT m.household_id, m.month, b.category, b.subcategory, b."limit", b.frequency
+           FROM months m JOIN budgets b ON b.household_id = m.household_id AND b.effective_date <= m.month
+           QUALIFY row_number() OVER (PARTITION BY m.household_id, m.month, b.category, b.subcategory
+                                      ORDER BY b.effective_date DESC) = 1),
+  s AS (SELECT household_id, month, category, {label_sub('subcategory')} AS subcategory,
+               {twelfths('"limit"', 'frequency')} AS limit_x12 FROM snap),
+  j AS (SELECT coalesce(s.household_id, c.household_id) AS household_id, coalesce(s.month, c.month) AS month,
+               coalesce(s.limit_x12, 0) AS limit_x12, coalesce(c.total, 0) AS total
+        FROM s FULL OUTER JOIN cats c ON s.household_id = c.household_id AND s.month = c.month
+                                     AND s.category = c.category AND s.subcategory = c.subcategory)
+SELECT household_id, month AS report_month, CAST(sum(limit_x12) AS DOUBLE) / 12.0 AS total_limit,
+       CAST(sum(total) AS DOUBLE) AS total_spent,
+       CAST(sum(limit_x12) - sum(total) * 12 AS DOUBLE) / 12.0 AS difference,
+       CASE WHEN sum(limit_x12) - sum(total) * 12 >= 0 THEN 'Under Budget' ELSE 'Over Budget' END AS status
+FROM j GROUP BY 1, 2""", "scoped", "budgets")

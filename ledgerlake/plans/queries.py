@@ -14,8 +14,12 @@ from ledgerlake.operators import budgets as B
 from ledgerlake.operators import categorize as CT
 from ledgerlake.operators import dedup as D
 from ledgerlake.operators import goals as G
+from ledgerlake.operators import maintain as M
 from ledgerlake.operators import suggest as S
+from ledgerlake.plans import jobs as J
+from ledgerlake.sources import statements as ST
 from ledgerlake.operators import reports as R
+
 from ledgerlake.sources import tables as TB
 from ledgerlake.sources import testviews as V
 
@@ -187,6 +191,195 @@ def goal_link_allocation(spark, d):
     return finish(G.goal_link_allocation(V.expenses(spark, d), V.goal_links(spark, d), K))
 
 
+# ---- statements ---------------------------------------------------------------------------
+
+SK = [*K, "okey"]
+
+
+def statement_card(spark, d):
+    return finish(ST.card(V.statement_card_rows(spark, d), SK))
+
+
+def statement_sale(spark, d):
+    return finish(ST.sale(V.statement_sale_rows(spark, d), SK))
+
+
+def statement_simple(spark, d):
+    return finish(ST.simple(V.statement_simple_rows(spark, d), SK))
+
+
+def statement_bank(spark, d):
+    return finish(ST.bank(V.statement_bank_rows(spark, d), SK))
+
+
+def statement_headerless(spark, d):
+    return finish(ST.headerless(V.statement_headerless_rows(spark, d), SK))
+
+
+def _statement_union(spark, d):
+    return ST.union_statements([
+        ST.card(V.statement_card_rows(spark, d), SK), ST.sale(V.statement_sale_rows(spark, d), SK),
+        ST.simple(V.statement_simple_rows(spark, d), SK), ST.bank(V.statement_bank_rows(spark, d), SK),
+        ST.headerless(V.statement_headerless_rows(spark, d), SK)])
+
+
+def statement_union(spark, d):
+    return finish(_statement_union(spark, d))
+
+
+def statement_formats(spark, d):
+    fl = V.statement_first_lines(spark, d)
+    return fl.select(*K, "file_id", ST.detect_format("first_line").alias("format"))
+
+
+def stage_statements(spark, d):
+    return finish(J.stage_statements(_statement_union(spark, d), V.expenses(spark, d), "okey", K))
+
+
+# ---- maintenance --------------------------------------------------------------------------
+
+def ledger_append(spark, d):
+    new = D.stage_projection(_statement_union(spark, d), "okey")
+    return finish(M.ledger_append(V.expenses(spark, d), new))
+
+
+def import_batch(spark, d):
+    st = D.stage_projection(V.staged(spark, d))
+    return finish(J.import_batch(V.expenses(spark, d), st, K))
+
+
+def ledger_delete(spark, d):
+    led = V.expenses(spark, d)
+    base = V.expense_base(spark, d)
+    req = TB.clean_expenses(base.filter((F.col("_ok") + F.col("_ln")) % 7 == 0).drop("_ok", "_ln"), K)
+    return finish(M.ledger_delete(led.unionByName(led), req, K))
+
+
+def _upsert_updates(spark, d):
+    snap = B.budget_snapshot(V.budgets(spark, d), V.AS_OF, K)
+    return snap.select(
+        *K,
+        F.when(F.col("household_id") % 2 == 0, F.lower("category")).otherwise(F.col("category")).alias("category"),
+        "subcategory", (F.col("limit") + 100).cast("decimal(18,2)").alias("limit"), "frequency",
+        F.when(F.col("household_id") % 3 == 0, F.col("effective_date")).otherwise(
+            F.lit(V.AS_OF.replace(month=7, day=1))).alias("effective_date"))
+
+
+def budget_upsert(spark, d):
+    return finish(B.budget_upsert(V.budgets(spark, d), _upsert_updates(spark, d), K))
+
+
+def budget_archive(spark, d):
+    b = V.budgets(spark, d)
+    return finish(B.budget_archive(b, b.filter(F.col("conclusion_date").isNull()), V.AS_OF, K))
+
+
+def budget_delete(spark, d):
+    b = V.budgets(spark, d)
+    req = b.filter(F.col("conclusion_date").isNull()).withColumn("category", F.lower("category"))
+    return finish(B.budget_delete(b, req, K))
+
+
+def apply_suggestions(spark, d):
+    b = V.budgets(spark, d)
+    sugg = S.budget_suggestions(_scoped(spark, d), b, V.AS_OF, K)
+    return finish(B.apply_suggestions(b, sugg, "hasty_limit", V.AS_OF, K))
+
+
+def goal_upsert(spark, d):
+    g = V.goals(spark, d)
+    new = g.select(*K, F.when(F.col("household_id") % 2 == 0, F.concat("goal", F.lit(" 2"))).otherwise(
+        F.col("goal")).alias("goal"), (F.col("target_amount") + 1000).alias("target_amount"),
+        F.lit(V.AS_OF.replace(month=12)).alias("target_month"))
+    return finish(G.goal_upsert(g, new, V.AS_OF, K))
+
+
+def goal_delete(spark, d):
+    g = V.goals(spark, d)
+    _goals, progress = G.goal_delete(g, V.goal_progress(spark, d), g.filter("completed"), K)
+    return finish(progress)
+
+
+def goal_progress_upsert(spark, d):
+    g = V.goals(spark, d)
+    upd = g.select(*K, "goal", F.lit(V.REPORT_MONTH).alias("month"), (~F.col("completed")).alias("saved"))
+    return finish(G.goal_progress_upsert(V.goal_progress(spark, d), upd, K))
+
+
+def dimension_values(spark, d):
+    return M.dimension_values(V.expenses(spark, d), V.budgets(spark, d), V.goals(spark, d), V.AS_OF, K)
+
+
+def staged_edit(spark, d):
+    st = D.stage_projection(V.staged(spark, d))
+    edits = st.filter(F.col("id") % 3 == 0).select(
+        *K, "id", F.when(F.col("id") % 2 == 0, F.lit("EDITED")).otherwise(F.lit("")).alias("category"),
+        F.lit(" sub ").alias("subcategory"),
+        F.when(F.col("id") % 4 == 0, F.lit("Joint")).otherwise(F.lit("")).alias("payer")).distinct()
+    deletes = st.filter(F.col("id") % 5 == 0).select(*K, "id")
+    return finish(M.staged_edit(st, edits, deletes, True, K))
+
+
+def _entries(spark, d):
+    b = V.expense_base(spark, d)
+    v = (F.col("_ok") + F.col("_ln")) % 7
+    return b.select(
+        *K, F.when(F.col("_ln") == 5, F.lit(None).cast("date")).otherwise(F.col("date")).alias("date"),
+        F.when(v == 5, F.lit(None).cast("string")).when(v == 6, F.lit("  ")).otherwise(F.col("description"))
+        .alias("description"),
+        F.when(v.isin(1, 2), F.lit("")).otherwise(F.col("category")).alias("category"),
+        F.when(F.col("_ln") == 7, -F.col("amount")).when(F.col("_ln") == 6, F.lit(0).cast("decimal(18,2)"))
+        .otherwise(F.col("amount")).cast("decimal(18,2)").alias("amount"),
+        "expense_type", (F.col("_ok") * 100 + F.col("_ln")).alias("row_id"))
+
+
+def validate_entries(spark, d):
+    return finish(M.validate_expense_entries(_entries(spark, d), V.goals(spark, d), K))
+
+
+def _expense_patches(spark, d):
+    b = V.expense_base(spark, d).filter(F.col("_ok") % 4 == 0)
+    ln = F.col("_ln")
+    column = F.element_at(F.array(*[F.lit(c) for c in
+                                    ["amount", "category", "subcategory", "date", "amount", "description",
+                                     "expense_type"]]), ln)
+    value = F.element_at(F.array(F.lit("$1,234.50"), F.lit(" Travel "), F.lit("(Unspecified)"),
+                                 F.lit("2001-02-30"), F.lit("-5"), F.lit("  new text "), F.lit("GOAL")), ln)
+    return b.select(*K, (F.col("_ok") * 100 + ln).alias("row_id"), column.alias("column"), value.alias("value"))
+
+
+def patch_expenses(spark, d):
+    led = V.expense_base(spark, d).withColumn("row_id", F.col("_ok") * 100 + F.col("_ln"))
+    led = TB.clean_expenses(led.drop("_ok", "_ln"), [*K, "row_id"])
+    out, _rejected = M.patch_expenses(led, _expense_patches(spark, d), ["row_id"], K)
+    return finish(out)
+
+
+def patch_expenses_rejected(spark, d):
+    led = V.expense_base(spark, d).withColumn("row_id", F.col("_ok") * 100 + F.col("_ln"))
+    led = TB.clean_expenses(led.drop("_ok", "_ln"), [*K, "row_id"])
+    _out, rejected = M.patch_expenses(led, _expense_patches(spark, d), ["row_id"], K)
+    return rejected
+
+
+def patch_budgets(spark, d):
+    b = V.budgets(spark, d)
+    p = b.filter(F.year("effective_date") == 1999)
+    m = F.month("effective_date") % 3
+    patches = p.select(*K, "category", "subcategory", "effective_date",
+                       F.element_at(F.array(F.lit("limit"), F.lit("limit"), F.lit("subcategory")), (m + 1).cast("int"))
+                       .alias("column"),
+                       F.element_at(F.array(F.lit("1,500"), F.lit("-3"), F.concat(F.lit(" Patched "), F.col("subcategory"))),
+                                    (m + 1).cast("int"))
+                       .alias("value"))
+    out, _rejected = M.patch_budgets(b, patches, K)
+    return finish(out)
+
+
+def report_bundle(spark, d):
+    return finish(J.report_bundle(_scoped(spark, d), V.budgets(spark, d), K))
+
+
 def _registry() -> dict:
     skip = {"finish"}
     return {n: f for n, f in globals().items()

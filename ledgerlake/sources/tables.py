@@ -92,7 +92,7 @@ def _typed(df: DataFrame, schema: T.StructType, keys: Sequence[str]) -> DataFram
         if f.name in df.columns:
             src = F.col(f.name)
             if isinstance(df.schema[f.name].dataType, T.StringType) and isinstance(f.dataType, T.DateType):
-                v = F.coalesce(F.try_to_date(src, F.lit("yyyy-MM-dd")), C.parse_mdy(src))
+                v = F.coalesce(F.try_to_date(src, "yyyy-MM-dd"), C.parse_mdy(src))
             elif isinstance(df.schema[f.name].dataType, T.StringType) and isinstance(f.dataType, T.BooleanType):
                 v = F.when(F.upper(src).isin("TRUE", "T"), True).when(F.upper(src).isin("FALSE", "F"), False)
             else:

@@ -190,7 +190,7 @@ def statement_orders(spark: SparkSession, d: str) -> DataFrame:
     date_txt = (F.when(F.col("o_orderkey") % 11 == 0, F.lit("13/45/2024"))
                 .when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "M/d/yy"))
                 .otherwise(F.date_format(day, "M/d/yyyy")))
-    amt = (F.col("o_totalprice") / 100).cast(C.MONEY)
+    amt = F.col("o_totalprice").cast(C.MONEY)
     amt_txt = F.when(F.col("o_orderkey") % 13 == 0, F.lit("n/a")).otherwise(amt.cast("string"))
     neg_txt = F.when(F.col("o_orderkey") % 13 == 0, F.lit("n/a")).otherwise((-amt).cast("string"))
     member = F.element_at(F.array(F.lit("CALEB SMITH"), F.lit("rae jones"), F.lit("Caleb and Rae"),

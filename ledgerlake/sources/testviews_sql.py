@@ -194,15 +194,15 @@ view("statement_orders", [], """
               ELSE strftime(CAST(o.o_orderdate AS DATE), '%-m/%-d/%Y') END AS date_txt,
          'ORDER ' || o.o_orderpriority AS description,
          CASE WHEN o.o_orderkey % 13 = 0 THEN 'n/a'
-              ELSE CAST(CAST(o.o_totalprice / 100 AS DECIMAL(18,2)) AS VARCHAR) END AS amt_txt,
+              ELSE CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS amt_txt,
          CASE WHEN o.o_orderkey % 13 = 0 THEN 'n/a'
-              ELSE CAST(-CAST(o.o_totalprice / 100 AS DECIMAL(18,2)) AS VARCHAR) END AS neg_txt,
+              ELSE CAST(-CAST(o.o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS neg_txt,
          ['CALEB SMITH', 'rae jones', 'Caleb and Rae', 'HOUSEHOLD'][CAST(o.o_custkey % 4 + 1 AS INTEGER)] AS member,
          o.o_orderpriority AS bank_category
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")
 
 view("statement_card", ["statement_orders"], f"""
-  SELECT household_id, {parse_mdy('date_txt')} AS date, description,
+  SELECT household_id, okey, {parse_mdy('date_txt')} AS date, description,
          {num('amt_txt')} AS amount, '' AS category,
          CASE WHEN contains(lower(member), 'caleb') THEN 'Caleb' WHEN contains(lower(member), 'rae') THEN 'Rae'
               ELSE 'Joint' END AS payer
@@ -210,28 +210,28 @@ view("statement_card", ["statement_orders"], f"""
   WHERE layout = 0 AND okey % 2 = 0 AND {num('amt_txt')} IS NOT NULL AND {num('amt_txt')} > 0""")
 
 view("statement_sale", ["statement_orders"], f"""
-  SELECT household_id, {parse_mdy('date_txt')} AS date, description,
+  SELECT household_id, okey, {parse_mdy('date_txt')} AS date, description,
          abs(x) AS amount, bank_category AS category, 'Joint' AS payer
   FROM (SELECT *, CASE WHEN okey % 3 = 0 THEN {num('amt_txt')} ELSE {num('neg_txt')} END AS x
         FROM statement_orders WHERE layout = 1) t
   WHERE okey % 4 <> 1 AND x < 0""")
 
 view("statement_simple", ["statement_orders"], f"""
-  SELECT household_id, {parse_mdy('date_txt')} AS date, description, x AS amount,
+  SELECT household_id, okey, {parse_mdy('date_txt')} AS date, description, x AS amount,
          CASE WHEN okey % 4 = 0 THEN NULL ELSE bank_category END AS category, 'Joint' AS payer
   FROM (SELECT *, CASE WHEN okey % 3 = 0 THEN {num('neg_txt')} ELSE {num('amt_txt')} END AS x
         FROM statement_orders WHERE layout = 2) t
   WHERE x > 0""")
 
 view("statement_bank", ["statement_orders"], f"""
-  SELECT household_id, {parse_mdy('date_txt')} AS date, description, abs(x) AS amount, '' AS category,
+  SELECT household_id, okey, {parse_mdy('date_txt')} AS date, description, abs(x) AS amount, '' AS category,
          'Joint' AS payer
   FROM (SELECT *, CASE WHEN okey % 3 = 0 THEN {num('amt_txt')} ELSE {num('neg_txt')} END AS x
         FROM statement_orders WHERE layout = 3) t
   WHERE okey % 4 <> 3 AND x < 0""")
 
 view("statement_headerless", ["statement_orders"], f"""
-  SELECT household_id, {parse_mdy('date_txt')} AS date, description, abs(x) AS amount, '' AS category,
+  SELECT household_id, okey, {parse_mdy('date_txt')} AS date, description, abs(x) AS amount, '' AS category,
          'Joint' AS payer
   FROM (SELECT *, CASE WHEN okey % 3 = 0 THEN {num('amt_txt')} ELSE {num('neg_txt')} END AS x
         FROM statement_orders WHERE layout = 4) t
