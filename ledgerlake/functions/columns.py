@@ -150,3 +150,11 @@ def null_safe_eq(left, right, cols):
         e = left[c].eqNullSafe(right[c])
         cond = e if cond is None else cond & e
     return cond
+
+
+def join_keys(left, right, keys, how: str = "inner"):
+    """Join on the ledger keys; with no keys (one ledger) both sides get a constant key, so
+    one-row-per-ledger aggregates still join without a cartesian product operator."""
+    if keys:
+        return left.join(right, on=list(keys), how=how)
+    return left.withColumn("_one", F.lit(0)).join(right.withColumn("_one", F.lit(0)), on="_one", how=how).drop("_one")

@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions import columns as C
+
 
 def _k(keys):
     return list(keys or [])
@@ -45,7 +47,7 @@ def containment_pairs(short: DataFrame, long: DataFrame, keys: Sequence[str], s:
         an = short.filter(ls == n)
         bn = long.filter(lt >= n).select(*keys, t, F.explode(_grams(F.col(t), n)).alias(s))
         out = out.unionByName(an.join(bn, on=[*keys, s]).select(*keys, s, t))
-    empty = short.filter(ls == 0).join(long, on=keys).select(*keys, s, t)
+    empty = C.join_keys(short.filter(ls == 0), long, keys).select(*keys, s, t)
     return out.unionByName(empty)
 
 

@@ -87,7 +87,7 @@ def income_allocation(income: DataFrame, budgets: DataFrame, goals: DataFrame, a
         F.sum("limit_x12").alias("limits_x12"))
     sav = _saving(goals).groupBy(*keys).agg(F.sum("saving_micros").alias("saving_micros"))
     ids = inc.select(*keys).unionByName(lim.select(*keys)).unionByName(sav.select(*keys)).distinct()
-    j = ids.join(inc, on=keys, how="left").join(lim, on=keys, how="left").join(sav, on=keys, how="left")
+    j = C.join_keys(C.join_keys(C.join_keys(ids, inc, keys, "left"), lim, keys, "left"), sav, keys, "left")
     lx = F.coalesce("limits_x12", F.lit(0).cast(C.MONEY))
     sm = F.coalesce("saving_micros", F.lit(0).cast("long"))
     rem = (F.col("income") * (12 * MICRO) - lx * MICRO - sm.cast("decimal(38,0)") * 12)

@@ -44,7 +44,7 @@ def months_of_budgets(budgets: DataFrame, until: DataFrame, keys: Sequence[str])
     after its effective date through its conclusion (open versions: through the ledger's
     last report month, given per ledger in `until`). E1 ranges of a line never overlap, so
     every (line, month) gets at most one version - the E3 snapshot of that month."""
-    b = budgets.join(until, on=keys)
+    b = C.join_keys(budgets, until, keys)
     first = F.when(F.dayofmonth("effective_date") == 1, F.col("effective_date")).otherwise(
         C.next_month_start("effective_date"))
     last = F.trunc(F.coalesce(F.col("conclusion_date"), F.col("_until")), "MM")
