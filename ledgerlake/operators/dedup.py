@@ -88,6 +88,7 @@ def ledger_date_bounds(staged: DataFrame, ledger: DataFrame) -> DataFrame:
     a partition-pruned read instead of a full history scan.
     """
     lo, hi = staged.agg(F.min("date"), F.max("date")).first()
+    undated = F.col("date").isNull()  # NULL matches NULL in the strict check
     if lo is None:
-        return ledger.limit(0)
-    return ledger.filter((F.col("date") >= F.lit(lo)) & (F.col("date") <= F.lit(hi)))
+        return ledger.filter(undated)
+    return ledger.filter(((F.col("date") >= F.lit(lo)) & (F.col("date") <= F.lit(hi))) | undated)

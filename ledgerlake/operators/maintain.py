@@ -31,21 +31,40 @@ def ledger_append(ledger: DataFrame, new_rows: DataFrame) -> DataFrame:
     return ledger.unionByName(new_rows.select(*ledger.columns))
 
 
-def ledger_delete(ledger: DataFrame, requests: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+def ledger_delete(ledger: DataFrame, requests: DataFrame, keys: Sequence[str] | None = None,
+                  chunk: int = 10_000) -> DataFrame:
     """Each request removes one ledger row equal on the six identifying fields (plain
-    equality: a NULL field never matches); n requests for the same row remove n copies.
-
-    Rows of groups nobody asked to delete pass straight through (left-anti);
-    only the targeted groups are numbered, copies are taken in expense_type order.
+    equality: a NULL field never matches); n requests for the same row remove n copies,
+    taken in expense_type order.
+
+    Skew-safe multiset difference, no row numbering of a group in one task:
+      * rows of groups nobody asked to delete pass straight through (left-anti);
+      * targeted rows are counted per class of identical rows (partial aggregation);
+      * per group the requested count is spread over its classes in order (a window
+        over classes only - a handful per group);
+      * each class is regenerated with its remaining count, in chunks of `chunk`
+        copies whose (class, chunk) rows are hash-partitioned before the final
+        explode, so even a class holding a third of the table is rebuilt by many tasks.
+    Regenerated rows equal the originals in every column, so the result is exact.
     """
     keys = _k(keys)
     m = [*keys, *ROW_MATCH]
+    cols = ledger.columns
+    rest = [c for c in cols if c not in m]
     req = requests.groupBy(*m).agg(F.count(F.lit(1)).alias("_r"))
     untouched = ledger.join(req.select(*m), on=m, how="left_anti")
-    hit = ledger.join(req, on=m, how="inner")
-    w = Window.partitionBy(*m).orderBy(F.col("expense_type").asc_nulls_first())
-    kept = hit.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") > F.col("_r")).drop("_n", "_r")
-    return untouched.unionByName(kept.select(*untouched.columns))
+    classes = ledger.join(req.select(*m), on=m, how="left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    order = [F.col(c).asc_nulls_first() for c in rest]
+    w = Window.partitionBy(*m).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.join(req, on=m).withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    drop = F.least(F.col("_c"), F.greatest(F.lit(0), F.col("_r") - F.col("_before")))
+    keep = classes.withColumn("_keep", F.col("_c") - drop).filter(F.col("_keep") > 0)
+    n_chunks = F.ceil(F.col("_keep") / chunk).cast("long")
+    parts = keep.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)))
+    parts = parts.repartition(*m, "_chunk")
+    size = F.least(F.lit(chunk).cast("long"), F.col("_keep") - F.col("_chunk") * chunk)
+    regen = parts.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), size))).select(*cols)
+    return untouched.unionByName(regen)
 
 
 def dimension_values(expenses: DataFrame, budgets: DataFrame, goals: DataFrame, as_of: dt.date,

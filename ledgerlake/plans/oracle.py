@@ -588,3 +588,18 @@ SELECT household_id, month AS report_month, CAST(sum(limit_x12) AS DOUBLE) / 12.
        CAST(sum(limit_x12) - sum(total) * 12 AS DOUBLE) / 12.0 AS difference,
        CASE WHEN sum(limit_x12) - sum(total) * 12 >= 0 THEN 'Under Budget' ELSE 'Over Budget' END AS status
 FROM j GROUP BY 1, 2""", "scoped", "budgets")
+
+
+q("patch_expenses_rejected", f"""
+, pt AS (SELECT household_id, _ok * 100 + _ln AS row_id,
+                ['amount', 'category', 'subcategory', 'date', 'amount', 'description', 'expense_type'][_ln] AS col,
+                ['$1,234.50', ' Travel ', '(Unspecified)', '2001-02-30', '-5', '  new text ', 'GOAL'][_ln] AS val
+         FROM expense_base WHERE _ok % 4 = 0),
+  typed AS (SELECT *, CASE WHEN col = 'date' THEN TRY_CAST({trim('val')} AS DATE) END AS nd,
+                   CASE WHEN col = 'amount' THEN {AMOUNT_TXT} END AS na,
+                   CASE WHEN col = 'category' THEN {trim('val')} END AS nc FROM pt)
+SELECT household_id, row_id, col AS "column", val AS value FROM typed
+WHERE NOT coalesce(CASE col WHEN 'date' THEN nd IS NOT NULL WHEN 'amount' THEN na IS NOT NULL AND na > 0
+                            WHEN 'category' THEN nc <> '' WHEN 'subcategory' THEN true WHEN 'description' THEN true
+                            WHEN 'payer' THEN true WHEN 'expense_type' THEN true ELSE false END, false)""",
+  "expense_base")

@@ -40,6 +40,9 @@ def ingest_files(spark: SparkSession, paths: Sequence[str], ledger_path: str, ba
     keys = list((keys_value or {}).keys())
     stm = read_statement_files(spark, list(paths), keys_value).drop("path")
     ledger = ledger_without_batch(spark, ledger_path, batch_id)
+    # only the batch's date range of the history can hold duplicates: with the ledger stored
+    # partitioned by month this is a pruned read, not a scan of the whole history
+    ledger = D.ledger_date_bounds(stm, ledger)
     staged = J.stage_statements(stm, ledger, "seq", keys)
     new = D.dedup_strict(staged, ledger, keys).select(
         *keys, "date", "description", "category", "subcategory", "amount", "payer",

@@ -352,3 +352,12 @@ def test_staged_edit(spark):
 
 def test_string_helpers_unused_import_guard():
     assert string.ascii_letters and T.StringType()
+
+
+def test_ledger_delete_hot_class_regenerated_in_chunks(spark):
+    hot = [exp("2024-01-01", "sub", "F", "", 9)] * 1000 + [exp("2024-01-01", "sub", "F", "", 9, etype="Goal")] * 3
+    led = df(spark, hot + [exp("2024-01-02", "b", "F", "", 5)], EXP)
+    req = df(spark, [exp("2024-01-01", "sub", "F", "", 9)] * 5, EXP)
+    out = M.ledger_delete(led, req, chunk=7)
+    got = rows(out.groupBy("description", "expense_type").count(), "description", "expense_type", "count")
+    assert got == [("b", "Monthly", 1), ("sub", "Monthly", 998)]   # Goal copies go first (type order)
