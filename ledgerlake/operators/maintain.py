@@ -208,3 +208,31 @@ def patch_budgets(budgets: DataFrame, patches: DataFrame, keys: Sequence[str] |
     }
     acc, rejected = _patch_values(patches, keys, row_key, rules)
     return B.budget_history(_apply(budgets, acc, keys, row_key, rules), keys), rejected
+
+
+def _errors(df: DataFrame, checks: Sequence[tuple[str, object]]) -> DataFrame:
+    errs = F.concat_ws(",", *[F.when(c, F.lit(n)) for n, c in checks])
+    return df.withColumn("errors", errs).withColumn("valid", F.col("errors") == "")
+
+
+def validate_budget_entries(entries: DataFrame) -> DataFrame:
+    """B10, budget form: effective date set, category non-empty, limit >= 0."""
+    return _errors(entries, [
+        ("date", F.col("effective_date").isNull()),
+        ("category", C.trim_ws(F.coalesce("category", F.lit(""))) == ""),
+        ("limit", F.col("limit").isNull() | (F.col("limit") < 0)),
+    ])
+
+
+def validate_goal_entries(entries: DataFrame) -> DataFrame:
+    """B10, goal form: name non-empty, target > 0, target month set."""
+    return _errors(entries, [
+        ("goal", C.trim_ws(F.coalesce("goal", F.lit(""))) == ""),
+        ("target", F.col("target_amount").isNull() | (F.col("target_amount") <= 0)),
+        ("month", F.col("target_month").isNull()),
+    ])
+
+
+def validate_income_entries(entries: DataFrame) -> DataFrame:
+    """B10, income form: amount set and >= 0."""
+    return _errors(entries, [("amount", F.col("amount").isNull() | (F.col("amount") < 0))])

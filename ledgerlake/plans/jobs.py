@@ -73,3 +73,23 @@ def report_bundle(scoped: DataFrame, budgets: DataFrame, keys: Sequence[str] | N
     j = j.select(*keys, "month", F.coalesce("limit_x12", zero).alias("limit_x12"), F.coalesce("total", zero).alias("total"))
     s = R.report_summary(j, [*keys, "month"])
     return s.withColumnRenamed("month", "report_month")
+
+
+def report_parts(scoped: DataFrame, expenses: DataFrame, budgets: DataFrame, report_month, today: dt.date,
+                 keys: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """A16 inputs: the four datasets the monthly report is rendered from - budget versus
+    actual, category summary, active budgets (E5 with monthly limits), and the last four
+    weeks of spending (raw rows, both scopes)."""
+    keys = _k(keys)
+    r = R.month_range(report_month)
+    report_date = today if r is None else r[0]
+    end = today if r is None else r[1]
+    active = B.with_monthly_limit(B.budget_active(budgets, report_date, today, keys)).withColumn(
+        "subcategory", C.label_subcategory("subcategory"))
+    recent = expenses.filter((F.col("date") >= F.lit(end - dt.timedelta(days=28))) & (F.col("date") <= F.lit(end)))
+    return {
+        "report": R.budget_vs_actual(scoped, budgets, report_month, today, keys),
+        "category_summary": R.category_summary(scoped, report_month, keys),
+        "active_budgets": active,
+        "recent_expenses": recent,
+    }

@@ -603,3 +603,35 @@ WHERE NOT coalesce(CASE col WHEN 'date' THEN nd IS NOT NULL WHEN 'amount' THEN n
                             WHEN 'category' THEN nc <> '' WHEN 'subcategory' THEN true WHEN 'description' THEN true
                             WHEN 'payer' THEN true WHEN 'expense_type' THEN true ELSE false END, false)""",
   "expense_base")
+
+
+q("trend_by_category_selected", f"""
+SELECT household_id, CAST(date_trunc('month', date) AS DATE) AS period, {label_cat('category')} AS category,
+       CAST(sum(coalesce(amount, 0)) AS DOUBLE) AS total
+FROM scoped WHERE budget_scope = 'Monthly' AND date IS NOT NULL AND {label_cat('category')} IN ('ECONOMY', 'PROMO')
+GROUP BY 1, 2, 3""", "scoped")
+
+q("validate_budgets", f"""
+, ent AS (SELECT household_id, CASE WHEN month(effective_date) = 1 THEN NULL ELSE effective_date END AS effective_date,
+                 category, subcategory,
+                 CASE WHEN month(effective_date) = 2 THEN -"limit" ELSE "limit" END AS "limit", frequency
+          FROM budgets_raw),
+  chk AS (SELECT *, concat_ws(',', CASE WHEN effective_date IS NULL THEN 'date' END,
+                              CASE WHEN {trim("coalesce(category, '')")} = '' THEN 'category' END,
+                              CASE WHEN "limit" IS NULL OR "limit" < 0 THEN 'limit' END) AS errors FROM ent)
+SELECT household_id, effective_date, category, subcategory, CAST("limit" AS DOUBLE) AS "limit", frequency, errors,
+       errors = '' AS valid FROM chk""", "budgets_raw")
+
+q("validate_goals", f"""
+, ent AS (SELECT household_id, CASE WHEN completed THEN ' ' ELSE goal END AS goal,
+                 CASE WHEN household_id % 5 = 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE target_amount END AS target_amount,
+                 target_month FROM goals),
+  chk AS (SELECT *, concat_ws(',', CASE WHEN {trim("coalesce(goal, '')")} = '' THEN 'goal' END,
+                              CASE WHEN target_amount IS NULL OR target_amount <= 0 THEN 'target' END,
+                              CASE WHEN target_month IS NULL THEN 'month' END) AS errors FROM ent)
+SELECT household_id, goal, CAST(target_amount AS DOUBLE) AS target_amount, target_month, errors,
+       errors = '' AS valid FROM chk""", "goals")
+
+q("validate_income", """
+, chk AS (SELECT *, concat_ws(',', CASE WHEN amount IS NULL OR amount < 0 THEN 'amount' END) AS errors FROM income)
+SELECT household_id, source, CAST(amount AS DOUBLE) AS amount, errors, errors = '' AS valid FROM chk""", "income")

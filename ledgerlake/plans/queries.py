@@ -380,6 +380,32 @@ def report_bundle(spark, d):
     return finish(J.report_bundle(_scoped(spark, d), V.budgets(spark, d), K))
 
 
+def trend_by_category_selected(spark, d):
+    """B9 with a non-empty selection (two categories)."""
+    return finish(R.trend_by_category(_scoped(spark, d), "month", ["ECONOMY", "PROMO"], K))
+
+
+def validate_budgets(spark, d):
+    b = V.budgets_raw(spark, d)
+    ent = b.select(*K, F.when(F.month("effective_date") == 1, F.lit(None).cast("date")).otherwise(F.col("effective_date"))
+                   .alias("effective_date"), "category", "subcategory",
+                   F.when(F.month("effective_date") == 2, -F.col("limit")).otherwise(F.col("limit")).alias("limit"),
+                   "frequency")
+    return finish(M.validate_budget_entries(ent))
+
+
+def validate_goals(spark, d):
+    g = V.goals(spark, d)
+    ent = g.select(*K, F.when(F.col("completed"), F.lit(" ")).otherwise(F.col("goal")).alias("goal"),
+                   F.when(F.col("household_id") % 5 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("target_amount"))
+                   .alias("target_amount"), "target_month")
+    return finish(M.validate_goal_entries(ent))
+
+
+def validate_income(spark, d):
+    return finish(M.validate_income_entries(V.income(spark, d)))
+
+
 def _registry() -> dict:
     skip = {"finish"}
     return {n: f for n, f in globals().items()
