@@ -46,19 +46,23 @@ def scope_expenses(expenses: DataFrame, goals: DataFrame, keys: Sequence[str] |
     """budget_scope (Goal/Monthly from the type) and allocated_goal (the raw category when
     a Goal-type row names an existing goal, compared trimmed and lower-cased; else '').
 
-    The goal side is reduced to distinct (keys, normalised name) before the
-    join, so the join never multiplies expense rows; Spark broadcasts it when
-    its measured size is under the broadcast threshold.
+    Two branches: Monthly rows pass through untouched (no join, no shuffle);
+    only Goal-type rows are joined to the distinct normalised goal names. A
+    later monthly-scope filter folds the goal branch away entirely, so monthly
+    reports never join or shuffle for goals.
     """
     keys = _k(keys)
+    e = expenses.withColumn("expense_type", C.normalize_expense_type("expense_type"))
+    is_goal = F.col("expense_type") == C.TYPE_GOAL
+    monthly = e.filter(~is_goal).withColumn("budget_scope", F.lit(C.TYPE_MONTHLY)).withColumn(
+        "allocated_goal", F.lit(""))
     names = goals.select(*keys, F.lower(C.trim_ws("goal")).alias("_gname")).distinct().withColumn("_hit", F.lit(True))
-    e = expenses.withColumn("expense_type", C.normalize_expense_type("expense_type")).withColumn(
-        "budget_scope", F.when(F.col("expense_type") == C.TYPE_GOAL, F.lit(C.TYPE_GOAL)).otherwise(F.lit(C.TYPE_MONTHLY)))
-    e = e.withColumn("_gname", F.when(F.col("budget_scope") == C.TYPE_GOAL, F.lower(C.trim_ws("category"))))
-    j = e.join(names, on=[*keys, "_gname"], how="left")
-    return j.withColumn(
+    g = e.filter(is_goal).withColumn("budget_scope", F.lit(C.TYPE_GOAL)).withColumn(
+        "_gname", F.lower(C.trim_ws("category")))
+    g = g.join(names, on=[*keys, "_gname"], how="left").withColumn(
         "allocated_goal", F.when(F.col("_hit") == F.lit(True), F.col("category")).otherwise(F.lit(""))
     ).drop("_gname", "_hit")
+    return monthly.unionByName(g.select(*monthly.columns))
 
 
 def monthly_scope(scoped: DataFrame) -> DataFrame:
