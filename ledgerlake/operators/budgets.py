@@ -30,8 +30,11 @@ def budget_history(budgets: DataFrame, keys: Sequence[str] | None = None) -> Dat
     window partition is small.
     """
     keys = _k(keys)
-    w = Window.partitionBy(*keys, "category", "subcategory").orderBy("effective_date")
     cols = [c for c in budgets.columns if c != "conclusion_date"]
+    # full tie-break after the date, so versions sharing a date get the same conclusions
+    # on every recomputation
+    ties = [c for c in ("limit", "frequency") if c in cols]
+    w = Window.partitionBy(*keys, "category", "subcategory").orderBy("effective_date", *ties)
     return budgets.select(*cols).withColumn(
         "conclusion_date", F.date_sub(F.lead("effective_date").over(w), 1)
     )

@@ -10,7 +10,7 @@ pairs sharing the shorter string's leading trigram are ever compared:
   * shorter string of length >= 3: equi-join its first trigram against all
     distinct trigrams of the longer string, then verify `contains`;
   * length 1 or 2: equi-join the string itself against the longer string's
-    distinct 1-/2-grams (equality is containment);
+    distinct 1- and 2-grams (equality is containment), one join for both;
   * the empty string is contained in everything: joined on the ledger key
     alone (linear: one row per description of the other side).
 Both sides are first reduced to distinct lower-cased descriptions, and the
@@ -43,10 +43,10 @@ def containment_pairs(short: DataFrame, long: DataFrame, keys: Sequence[str], s:
     a = short.filter(ls >= 3).withColumn("_g", F.substr(F.col(s), F.lit(1), F.lit(3)))
     b = long.filter(lt >= 3).select(*keys, t, F.explode(_grams(F.col(t), 3)).alias("_g"))
     out = a.join(b, on=[*keys, "_g"]).filter(F.col(t).contains(F.col(s))).select(*keys, s, t)
-    for n in (1, 2):
-        an = short.filter(ls == n)
-        bn = long.filter(lt >= n).select(*keys, t, F.explode(_grams(F.col(t), n)).alias(s))
-        out = out.unionByName(an.join(bn, on=[*keys, s]).select(*keys, s, t))
+    # strings of length 1 or 2: equality with one of the other string's 1- or 2-grams
+    grams12 = F.concat(_grams(F.col(t), 1), F.when(lt >= 2, _grams(F.col(t), 2)).otherwise(F.array()))
+    b12 = long.filter(lt >= 1).select(*keys, t, F.explode(grams12).alias(s))
+    out = out.unionByName(short.filter((ls == 1) | (ls == 2)).join(b12, on=[*keys, s]).select(*keys, s, t))
     empty = C.join_keys(short.filter(ls == 0), long, keys).select(*keys, s, t)
     return out.unionByName(empty)
 

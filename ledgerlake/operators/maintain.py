@@ -72,26 +72,34 @@ def dimension_values(expenses: DataFrame, budgets: DataFrame, goals: DataFrame,
     """Choice lists as rows (keys, dimension, value, value2):
     category (non-empty, expenses and budgets), subcategory (category, subcategory), payer
     (ledger payers and the configured defaults), goal, month (months with expenses and the
-    as_of month, as yyyy-MM-dd)."""
+    as_of month, as yyyy-MM-dd).
+
+    One pass per table: each row emits all its dimension values at once (an explode
+    of a small fixed array), then one distinct; the configured payers and the as_of
+    month are emitted once per ledger from the distinct ledger keys.
+    """
     keys = _k(keys)
     none = F.lit(None).cast("string")
-    eb = expenses.select(*keys, "category", C.clean_subcategory("subcategory").alias("subcategory")).unionByName(
-        budgets.select(*keys, "category", C.clean_subcategory("subcategory").alias("subcategory")))
-    cats = eb.filter(F.col("category") != "").select(*keys, F.lit("category").alias("dimension"),
-                                                     F.col("category").alias("value"), none.alias("value2"))
-    subs = eb.filter((F.col("category") != "") & (F.col("subcategory") != "")).select(
-        *keys, F.lit("subcategory").alias("dimension"), F.col("category").alias("value"),
-        F.col("subcategory").alias("value2"))
-    payers = expenses.filter(F.col("payer") != "").select(*keys, F.col("payer").alias("value"))
-    ledgers = expenses.select(*keys).distinct()
-    defaults = ledgers.select(*keys, F.explode(F.array(*[F.lit(p) for p in default_payers])).alias("value"))
-    pay = payers.unionByName(defaults).select(*keys, F.lit("payer").alias("dimension"), "value", none.alias("value2"))
-    gl = goals.select(*keys, F.lit("goal").alias("dimension"), F.col("goal").alias("value"), none.alias("value2"))
-    months = expenses.filter(F.col("date").isNotNull()).select(*keys, C.month_start("date").alias("m")).unionByName(
-        ledgers.select(*keys, F.lit(as_of.replace(day=1)).alias("m")))
-    mon = months.select(*keys, F.lit("month").alias("dimension"), F.date_format("m", "yyyy-MM-dd").alias("value"),
-                        none.alias("value2"))
-    return cats.unionByName(subs).unionByName(pay).unionByName(gl).unionByName(mon).distinct()
+
+    def item(dim, value, value2=none):
+        return F.struct(F.lit(dim).alias("dimension"), value.alias("value"), value2.alias("value2"))
+
+    cat, sub = F.col("category"), C.clean_subcategory("subcategory")
+    has_cat = cat != ""
+    common = [item("category", F.when(has_cat, cat)), item("subcategory", F.when(has_cat & (sub != ""), cat), sub)]
+    e_items = F.array(
+        *common,
+        item("payer", F.when(F.col("payer") != "", F.col("payer"))),
+        item("month", F.date_format(C.month_start("date"), "yyyy-MM-dd")),
+    )
+    per_ledger = F.array(item("month", F.lit(as_of.replace(day=1).isoformat())),
+                         *[item("payer", F.lit(p)) for p in default_payers])
+    rows = expenses.select(*keys, F.explode(e_items).alias("_d")).unionByName(
+        budgets.select(*keys, F.explode(F.array(*common)).alias("_d"))).unionByName(
+        goals.select(*keys, F.explode(F.array(item("goal", F.col("goal")))).alias("_d"))).unionByName(
+        expenses.select(*keys).distinct().select(*keys, F.explode(per_ledger).alias("_d")))
+    out = rows.select(*keys, "_d.dimension", "_d.value", "_d.value2").filter(F.col("value").isNotNull())
+    return out.distinct()
 
 
 def staged_edit(staged: DataFrame, edits: DataFrame | None = None, deletes: DataFrame | None = None,

@@ -73,8 +73,8 @@ SELECT household_id, CAST(sum(coalesce(amount, 0)) AS DOUBLE) AS income FROM inc
 
 q("budget_history", """
 SELECT household_id, category, subcategory, CAST("limit" AS DOUBLE) AS "limit", frequency, effective_date,
-       CAST(lead(effective_date) OVER (PARTITION BY household_id, category, subcategory ORDER BY effective_date)
-            - 1 AS DATE) AS conclusion_date
+       CAST(lead(effective_date) OVER (PARTITION BY household_id, category, subcategory
+                                ORDER BY effective_date, "limit", frequency) - 1 AS DATE) AS conclusion_date
 FROM budgets_raw""", "budgets_raw")
 
 q("budget_snapshot", f"""
@@ -398,8 +398,8 @@ WHERE r.r IS NULL OR n.n > r.r""", "expenses", "expense_base")
 
 E1_OUT = """
 SELECT household_id, category, subcategory, CAST("limit" AS DOUBLE) AS "limit", frequency, effective_date,
-       CAST(lead(effective_date) OVER (PARTITION BY household_id, category, subcategory ORDER BY effective_date)
-            - 1 AS DATE) AS conclusion_date
+       CAST(lead(effective_date) OVER (PARTITION BY household_id, category, subcategory
+                                ORDER BY effective_date, "limit", frequency) - 1 AS DATE) AS conclusion_date
 FROM allr"""
 
 

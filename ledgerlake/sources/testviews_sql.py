@@ -127,7 +127,7 @@ view("budgets", ["budgets_raw"], f"""
          coalesce("limit", 0) AS "limit", coalesce(frequency, 'Monthly') AS frequency,
          coalesce(effective_date, DATE '2020-01-01') AS effective_date,
          CAST(lead(effective_date) OVER (PARTITION BY household_id, category, subcategory
-                                         ORDER BY effective_date) - 1 AS DATE) AS conclusion_date
+                                         ORDER BY effective_date, "limit", frequency) - 1 AS DATE) AS conclusion_date
   FROM budgets_raw""")
 
 view("goal_base", ["expenses"], """
