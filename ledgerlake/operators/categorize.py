@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as C
+from ledgerlake.session import checkpoint_dir
 
 
 def _k(keys):
@@ -51,14 +52,23 @@ def containment_pairs(short: DataFrame, long: DataFrame, keys: Sequence[str], s:
     return out.unionByName(empty)
 
 
-def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """(keys, description, category, subcategory) for every distinct new description."""
+def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] | None = None,
+                       materialize: bool = True) -> DataFrame:
+    """(keys, description, category, subcategory) for every distinct new description.
+
+    With `materialize` the two reduced inputs are written once to the checkpoint folder
+    (eager, reliable checkpoint) before the blocked join."""
     keys = _k(keys)
     hist = (history.filter(F.col("category") != "")
             .groupBy(*keys, F.lower("description").alias("hd"), "category", "subcategory")
             .agg(F.count(F.lit(1)).alias("n")))
-    hd = hist.select(*keys, "hd").filter(F.col("hd").isNotNull()).distinct()
     descs = new.select(*keys, "description").distinct().withColumn("nd", F.lower("description"))
+    if materialize:
+        # both reduced inputs feed several join branches; checkpoint them so the ledger and
+        # the batch are each read once instead of once per branch
+        checkpoint_dir(history.sparkSession)
+        hist, descs = hist.checkpoint(eager=True), descs.checkpoint(eager=True)
+    hd = hist.select(*keys, "hd").filter(F.col("hd").isNotNull()).distinct()
     nd = descs.select(*keys, "nd").filter(F.col("nd").isNotNull()).distinct()
     pairs = containment_pairs(nd, hd, keys, "nd", "hd").unionByName(
         containment_pairs(hd, nd, keys, "hd", "nd").select(*keys, "nd", "hd")).distinct()
@@ -72,12 +82,13 @@ def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] |
                       F.coalesce(F.col("_b.subcategory"), F.lit("")).alias("subcategory"))
 
 
-def auto_categorize(staged: DataFrame, history: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+def auto_categorize(staged: DataFrame, history: DataFrame, keys: Sequence[str] | None = None,
+                    materialize: bool = True) -> DataFrame:
     """Rows with an empty category take the predicted category and subcategory (both);
     other rows are unchanged. Predictions are computed only for those rows' descriptions."""
     keys = _k(keys)
     todo = staged.filter(F.col("category") == "").select(*keys, "description")
-    pred = predict_categories(todo, history, keys).withColumnRenamed("category", "_pc").withColumnRenamed(
+    pred = predict_categories(todo, history, keys, materialize).withColumnRenamed("category", "_pc").withColumnRenamed(
         "subcategory", "_ps")
     j = staged.join(pred, on=[*keys, "description"], how="left")
     empty = F.col("category") == ""

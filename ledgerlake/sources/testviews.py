@@ -12,11 +12,15 @@ supplier's nation for budgets: 25 ledgers.
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as C
+from ledgerlake.session import checkpoint_dir
 from ledgerlake.sources import tables as T
 
 KEYS = ["household_id"]
@@ -29,6 +33,36 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+STORE_VIEWS = True
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(fn):
+    """Derive a view once per Spark application and keep it as a written parquet table
+    under spark.checkpoint.dir (the production layout: ledger tables are stored, not
+    re-derived by every query). Queries then read the stored table; the underlying
+    derivation stays available as `fn.build`."""
+    name = fn.__name__.lstrip("_")
+
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, d: str) -> DataFrame:
+        if not STORE_VIEWS:
+            return fn(spark, d)
+        app = spark.sparkContext.applicationId
+        key = (app, os.path.abspath(d), name)
+        path = _STORED.get(key)
+        if path is None:
+            tag = re.sub(r"[^A-Za-z0-9_.-]", "_", os.path.abspath(d).strip("/"))
+            path = f"{checkpoint_dir(spark)}/ledgerlake-views/{app}/{tag}/{name}"
+            fn(spark, d).write.mode("overwrite").parquet(path)
+            _STORED[key] = path
+        return spark.read.parquet(path)
+
+    wrapper.build = fn
+    return wrapper
+
+
+@stored
 def expense_base(spark: SparkSession, d: str) -> DataFrame:
     """lineitem x orders x part x customer, raw (uncleaned) ledger columns plus _ok/_ln helpers."""
     li = table(spark, d, "lineitem").select(
@@ -64,6 +98,7 @@ def expenses(spark: SparkSession, d: str) -> DataFrame:
     return T.clean_expenses(expense_base(spark, d).drop("_ok", "_ln"), KEYS)
 
 
+@stored
 def budgets_raw(spark: SparkSession, d: str) -> DataFrame:
     """One budget version per (supplier nation, part) seen in lineitem; one row per line and
     date (lowest part key) so the SCD history is unambiguous."""
@@ -90,11 +125,13 @@ def budgets_raw(spark: SparkSession, d: str) -> DataFrame:
                        F.lit(None).cast("date").alias("conclusion_date"))
 
 
+@stored
 def budgets(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned budgets with E1 conclusions."""
     return T.clean_budgets(budgets_raw(spark, d), KEYS)
 
 
+@stored
 def _goal_base(spark: SparkSession, d: str) -> DataFrame:
     e = expenses(spark, d).filter(F.col("expense_type") == C.TYPE_GOAL)
     g = e.groupBy("household_id", "category").agg(
@@ -116,6 +153,7 @@ def goals(spark: SparkSession, d: str) -> DataFrame:
                                        "created_date", "completed")
 
 
+@stored
 def goal_progress(spark: SparkSession, d: str) -> DataFrame:
     """Distinct (ledger, goal, month) of goal-type spending; saved unless the month is a multiple of 3."""
     e = expenses(spark, d).filter(F.col("expense_type") == C.TYPE_GOAL)
@@ -180,6 +218,7 @@ def staged_repeats(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- bank statements composed from orders -----------------------------------------------------
 
+@stored
 def statement_orders(spark: SparkSession, d: str) -> DataFrame:
     """orders x customer with the text fields every layout uses."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
