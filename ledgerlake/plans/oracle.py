@@ -635,3 +635,23 @@ SELECT household_id, goal, CAST(target_amount AS DOUBLE) AS target_amount, targe
 q("validate_income", """
 , chk AS (SELECT *, concat_ws(',', CASE WHEN amount IS NULL OR amount < 0 THEN 'amount' END) AS errors FROM income)
 SELECT household_id, source, CAST(amount AS DOUBLE) AS amount, errors, errors = '' AS valid FROM chk""", "income")
+
+
+q("goal_spending_month", f"""
+SELECT s.household_id, s.goal, CAST(s.total AS DOUBLE) AS total, s.transactions,
+       CAST(t.goal_target AS DOUBLE) AS goal_target,
+       CASE WHEN t.goal_target IS NOT NULL AND t.goal_target > 0
+            THEN least(100.0, CAST(s.total AS DOUBLE) / CAST(t.goal_target AS DOUBLE) * 100.0) END AS progress_pct
+FROM (SELECT household_id, allocated_goal AS goal, sum(amount) AS total, count(*) AS transactions
+      FROM scoped WHERE budget_scope = 'Goal' AND allocated_goal <> ''
+        AND date >= {REPORT_START} AND date <= {REPORT_END} GROUP BY 1, 2) s
+LEFT JOIN (SELECT household_id, goal, max(target_amount) AS goal_target FROM goals GROUP BY 1, 2) t
+  ON s.household_id = t.household_id AND s.goal = t.goal""", "scoped", "goals")
+
+q("recent_spending_all", f"""
+SELECT household_id, date, {label_cat('category')} AS category, CAST(sum(amount) AS DOUBLE) AS amount
+FROM expenses WHERE date >= {AS_OF} - 28 AND date <= {AS_OF} GROUP BY 1, 2, 3""", "expenses")
+
+
+q("category_percent_all", cat_percent("budgets").replace(
+    f"AND date >= {REPORT_START} AND date <= {REPORT_END}", ""), "scoped", "budgets")

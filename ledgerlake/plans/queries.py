@@ -406,6 +406,22 @@ def validate_income(spark, d):
     return finish(M.validate_income_entries(V.income(spark, d)))
 
 
+def goal_spending_month(spark, d):
+    """D4 for one report month."""
+    return finish(R.goal_spending(_scoped(spark, d), V.goals(spark, d), V.REPORT_MONTH, K))
+
+
+def recent_spending_all(spark, d):
+    """D7 for 'all': the four weeks up to as_of."""
+    return finish(R.recent_spending(V.expenses(spark, d), R.ALL, V.AS_OF, K))
+
+
+def category_percent_all(spark, d):
+    """C6 over all months' spend against all budget versions (the chart for 'all')."""
+    cs = R.category_summary(_scoped(spark, d), R.ALL, K)
+    return finish(R.category_percent(cs, V.budgets(spark, d), K))
+
+
 def _registry() -> dict:
     skip = {"finish"}
     return {n: f for n, f in globals().items()

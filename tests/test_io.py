@@ -100,3 +100,28 @@ def test_streaming_ingest_only_new_files_and_dedup(spark, scratch):
     q.awaitTermination(120)
     led = spark.read.parquet(ledger)
     assert rows(led.filter(F.col("batch_id") >= 0), "description") == [("BOOK",), ("LUNCH",)]
+
+
+def test_import_and_report_jobs_end_to_end(spark, scratch):
+    from ledgerlake.plans import monthly
+    led_csv = _write(f"{scratch}/expenses.csv", "Date,Description,Category,Subcategory,Amount,Payer,ExpenseType\n"
+                     "2024-01-05,COFFEE HOUSE,Food,Cafe,4.50,Rae,Monthly\n2024-01-03,BOOKSTORE,Books,,20.00,Rae,Monthly\n")
+    bud_csv = _write(f"{scratch}/category_budget.csv", "Category,Subcategory,Limit,Frequency,EffectiveDate\n"
+                     "Food,,100,Monthly,2023-01-01\nBooks,,60,Quarterly,2023-01-01\n")
+    d = f"{scratch}/stm"
+    os.makedirs(d)
+    _write(f"{d}/card.csv", "Status,Date,Description,Debit,Credit,Member Name\n"
+           "Posted,01/05/2024,coffee house,4.50,,RAE\nPosted,01/07/2024,COFFEE HOUSE #2,3.00,,RAE\n"
+           "Posted,01/08/2024,NEW SHOP,9.00,,CALEB\n")
+    ledger = TB.read_table(spark, led_csv, "expenses")
+    path = monthly.import_statements_job(spark, d, ledger, f"{scratch}/out", "s1")
+    new = spark.read.parquet(path)
+    assert rows(new, "description", "category", "subcategory", "payer") == [
+        ("BOOKSTORE", "Books", "", "Rae"), ("COFFEE HOUSE", "Food", "Cafe", "Rae"),
+        ("COFFEE HOUSE #2", "Food", "Cafe", "Rae"), ("NEW SHOP", "", "", "Caleb")]
+    budgets = TB.read_table(spark, bud_csv, "budgets")
+    goals = TB.read_table(spark, f"{scratch}/none.csv", "goals")
+    out = monthly.monthly_report_job(new, budgets, goals, f"{scratch}/rep", dt.date(2024, 1, 1), dt.date(2024, 1, 20))
+    s = spark.read.parquet(out["summary"]).collect()[0]
+    assert (s.total_limit, s.total_spent, s.status) == (120.0, 36.5, "Under Budget")
+    assert set(out) == {"report", "category_summary", "active_budgets", "recent_expenses", "summary", "monthly_summaries"}
