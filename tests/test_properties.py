@@ -40,3 +40,42 @@ def test_trim_and_type(spark, texts):
     got = [tuple(r) for r in df.select(C.clean_subcategory("t"), C.normalize_expense_type("t")).collect()]
     want = [(t.strip(" \t\r\n"), "Goal" if t.strip(" \t\r\n").lower() == "goal" else "Monthly") for t in texts]
     assert got == want
+
+
+def _lev(a: str, b: str) -> int:
+    prev = list(range(len(b) + 1))
+    for i, ca in enumerate(a, 1):
+        cur = [i]
+        for j, cb in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+        prev = cur
+    return prev[-1]
+
+
+WORD = st.text(alphabet="abAB ", max_size=9)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3), WORD), min_size=1, max_size=12),
+       st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3), st.one_of(st.none(), WORD)), min_size=1, max_size=12))
+def test_fuzzy_dedup_matches_brute_force(spark, ledger_rows, staged_rows):
+    from decimal import Decimal
+
+    from ledgerlake.operators import dedup as DD
+    day = dt.date(2024, 1, 1)
+    led = spark.createDataFrame([(day + dt.timedelta(days=a), Decimal(b), w) for a, b, w in ledger_rows],
+                                "date date, amount decimal(18,2), description string")
+    stg = spark.createDataFrame([(day + dt.timedelta(days=a), Decimal(b), w, i) for i, (a, b, w) in enumerate(staged_rows)],
+                                "date date, amount decimal(18,2), description string, seq int")
+    got = sorted(r.seq for r in DD.dedup_fuzzy(stg, led).collect())
+
+    def dup(a, b, w):
+        cands = [lw for la, lb, lw in ledger_rows if la == a and lb == b]
+        if not cands:
+            return False
+        if w is None:
+            return True
+        return any(_lev(w.lower(), c.lower()) < 5 or w.lower() in c.lower() for c in cands)
+
+    want = sorted(i for i, (a, b, w) in enumerate(staged_rows) if not dup(a, b, w))
+    assert got == want
