@@ -143,11 +143,14 @@ def next_month_start(d: str | Column) -> Column:
     return F.add_months(F.trunc(col(d), "MM"), 1)
 
 
-def null_safe_eq(left, right, cols):
-    """AND of <=> over the named columns of two aliased frames."""
+def null_safe_eq(left, right, cols, left_alias: str | None = None, right_alias: str | None = None):
+    """AND of <=> over the named columns of two frames (or of two aliases when given)."""
     cond = None
     for c in cols:
-        e = left[c].eqNullSafe(right[c])
+        if left_alias:
+            e = F.col(f"{left_alias}.{c}").eqNullSafe(F.col(f"{right_alias}.{c}"))
+        else:
+            e = left[c].eqNullSafe(right[c])
         cond = e if cond is None else cond & e
     return cond
 

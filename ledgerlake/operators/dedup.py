@@ -49,36 +49,65 @@ def drop_internal_duplicates(staged: DataFrame, order_cols: Sequence[str], keys:
     return first.select(*group, *[F.col(f"_f.{c}").alias(c) for c in [*order_cols, *rest]])
 
 
-def dedup_strict(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+SALT_BUCKETS = 8
+
+
+def _salted_duplicate_keys(staged_keys: DataFrame, ledger: DataFrame, equal: list[str], null_safe: list[str],
+                           residual, salt_buckets: int) -> DataFrame:
+    """Distinct staged match keys that have a matching ledger row, computed as a salted
+    semi-join: ledger rows are spread over `salt_buckets` buckets by a hash of
+    (description, payer); every staged key is replicated to all buckets (the staged
+    side is a small distinct set). A hot (ledger, date, amount) bucket - even one
+    holding a third of the ledger - is thereby split over that many tasks, while every
+    staged key still meets every ledger row, so the result is exact."""
+    spread = [c for c in ("description", "payer") if c in ledger.columns]
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salt_buckets)).cast("int")
+    led = ledger.select(*[F.col(c).alias(f"_l_{c}") for c in [*equal, *null_safe]],
+                        F.lower("description").alias("_l_ld"), salt.alias("_l_salt"))
+    sk = staged_keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    cond = sk["_salt"] == led["_l_salt"]
+    for c in equal:
+        cond = cond & (sk[c] == led[f"_l_{c}"])
+    for c in null_safe:
+        cond = cond & sk[c].eqNullSafe(led[f"_l_{c}"])
+    if residual is not None:
+        cond = cond & residual(sk, led)
+    return sk.join(led, cond, "left_semi").drop("_salt").distinct()
+
+
+def dedup_strict(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None,
+                 salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """Drop staged rows whose (date, amount, description) exist in the ledger; NULL matches
-    NULL; repeats inside the batch are kept."""
+    NULL; repeats inside the batch are kept (all copies of a matching row go)."""
     keys = _k(keys)
     cols = [*keys, *MATCH]
-    s = staged.alias("s")
-    led = ledger.select(*cols).alias("l")
-    cond = C.null_safe_eq(s, led, cols)
-    return s.join(led, cond, "left_anti")
+    sk = staged.select(*cols).distinct()
+    dup = _salted_duplicate_keys(sk, ledger, keys, MATCH, None, salt_buckets)
+    return staged.alias("s").join(dup.alias("d"), C.null_safe_eq(F.col, None, cols, "s", "d"), "left_anti")
 
 
-def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None,
+                salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """Drop staged rows that some ledger row of the same ledger, date and amount resembles:
     lower-cased Levenshtein distance < 5, or the ledger description contains the staged one.
 
-    One left-anti join: equality on (keys, date, amount) - decimals, so
-    |difference| < 0.01 is equality - with the text test as residual. A NULL
-    staged description is dropped whenever a candidate exists; a NULL date or
-    amount is never a duplicate.
+    Equality on (keys, date, amount) - decimals, so |difference| < 0.01 is equality -
+    with the text test as residual, evaluated once per distinct staged key (salted
+    semi-join, see `_salted_duplicate_keys`). A NULL staged description is dropped
+    whenever a candidate exists; a NULL date or amount is never a duplicate.
     """
     keys = _k(keys)
-    s = staged.withColumn("_sd", F.lower("description")).alias("s")
-    led = ledger.select(*keys, "date", "amount", F.lower("description").alias("_ld")).alias("l")
-    cond = None
-    for c in [*keys, "date", "amount"]:
-        e = s[c] == led[c]
-        cond = e if cond is None else cond & e
-    similar = F.coalesce(
-        (F.levenshtein(s["_sd"], led["_ld"], FUZZY_MAX_DISTANCE) >= 0) | led["_ld"].contains(s["_sd"]), F.lit(True))
-    return s.join(led, cond & similar, "left_anti").drop("_sd")
+    eq = [*keys, "date", "amount"]
+    s = staged.withColumn("_sd", F.lower("description"))
+    sk = s.select(*eq, "_sd").distinct()
+
+    def similar(a, b):
+        return F.coalesce((F.levenshtein(a["_sd"], b["_l_ld"], FUZZY_MAX_DISTANCE) >= 0)
+                          | b["_l_ld"].contains(a["_sd"]), F.lit(True))
+
+    dup = _salted_duplicate_keys(sk, ledger, eq, [], similar, salt_buckets)
+    cond = C.null_safe_eq(F.col, None, [*eq, "_sd"], "s", "d")
+    return s.alias("s").join(dup.alias("d"), cond, "left_anti").drop("_sd")
 
 
 def ledger_date_bounds(staged: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -361,3 +361,14 @@ def test_ledger_delete_hot_class_regenerated_in_chunks(spark):
     out = M.ledger_delete(led, req, chunk=7)
     got = rows(out.groupBy("description", "expense_type").count(), "description", "expense_type", "count")
     assert got == [("b", "Monthly", 1), ("sub", "Monthly", 998)]   # Goal copies go first (type order)
+
+
+def test_salted_dedup_hot_bucket_equals_unsalted(spark):
+    hot = [exp("2024-01-01", f"shop {i % 300}", "F", "", 9, payer=f"p{i % 7}") for i in range(3000)]
+    led = df(spark, hot + [exp("2024-01-02", "other", "F", "", 9)], EXP)
+    stg = df(spark, [(d("2024-01-01"), f"SHOP {i}", D(9), "", "J", i) for i in range(0, 400, 7)] +
+             [(d("2024-01-01"), "zzzzzzzzzz", D(9), "", "J", 999), (d("2024-01-01"), None, D(9), "", "J", 998)], STAGED)
+    a = rows(DD.dedup_fuzzy(stg, led, salt_buckets=1), "seq")
+    b = rows(DD.dedup_fuzzy(stg, led, salt_buckets=8), "seq")
+    assert a == b and (999,) in a and (998,) not in a
+    assert rows(DD.dedup_strict(stg, led, salt_buckets=8), "seq") == rows(DD.dedup_strict(stg, led, salt_buckets=1), "seq")
