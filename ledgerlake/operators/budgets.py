@@ -25,19 +25,32 @@ def _k(keys: Sequence[str] | None) -> list[str]:
 def budget_history(budgets: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """conclusion_date = next effective_date - 1 day per line, NULL for the last.
 
-    The stored conclusion is ignored. The line key is case-sensitive. One
-    shuffle on the line key; versions of a line are few, so the sort inside a
-    window partition is small.
+    The stored conclusion is ignored. The line key is case-sensitive.
+
+    Year-bucketed so no task sorts a whole line: `lead` runs inside (line, year of
+    the effective date); the last version of a year takes the first date of the
+    line's next year that has versions, found by a window over the per-year
+    minimum dates (a handful of rows per line). Versions sharing a date always
+    share a year, and the full tie-break (limit, frequency) makes the result the
+    same on every recomputation.
     """
     keys = _k(keys)
     cols = [c for c in budgets.columns if c != "conclusion_date"]
-    # full tie-break after the date, so versions sharing a date get the same conclusions
-    # on every recomputation
+    line = [*keys, "category", "subcategory"]
     ties = [c for c in ("limit", "frequency") if c in cols]
-    w = Window.partitionBy(*keys, "category", "subcategory").orderBy("effective_date", *ties)
-    return budgets.select(*cols).withColumn(
-        "conclusion_date", F.date_sub(F.lead("effective_date").over(w), 1)
-    )
+    b = budgets.select(*cols).withColumn("_y", F.year("effective_date"))
+    w = Window.partitionBy(*line, "_y").orderBy("effective_date", *ties)
+    b = b.withColumn("_next", F.lead("effective_date").over(w))
+    firsts = b.groupBy(*line, "_y").agg(F.min("effective_date").alias("_first"))
+    wy = Window.partitionBy(*line).orderBy("_y")
+    nxt = firsts.select(*[F.col(c).alias(f"_n_{c}") for c in [*line, "_y"]],
+                        F.lead("_first").over(wy).alias("_next_year"))
+    cond = None
+    for c in [*line, "_y"]:
+        e = b[c].eqNullSafe(nxt[f"_n_{c}"])
+        cond = e if cond is None else cond & e
+    j = b.join(nxt, cond, "left")
+    return j.select(*cols, F.date_sub(F.coalesce("_next", "_next_year"), 1).alias("conclusion_date"))
 
 
 def budgets_current(budgets: DataFrame, as_of: dt.date) -> DataFrame:

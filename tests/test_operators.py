@@ -372,3 +372,12 @@ def test_salted_dedup_hot_bucket_equals_unsalted(spark):
     b = rows(DD.dedup_fuzzy(stg, led, salt_buckets=8), "seq")
     assert a == b and (999,) in a and (998,) not in a
     assert rows(DD.dedup_strict(stg, led, salt_buckets=8), "seq") == rows(DD.dedup_strict(stg, led, salt_buckets=1), "seq")
+
+
+def test_budget_history_across_years_with_gaps(spark):
+    b = df(spark, [bud("Food", "", 1, "Monthly", "2020-03-01"), bud("Food", "", 2, "Monthly", "2020-11-15"),
+                   bud("Food", "", 3, "Monthly", "2022-01-01"), bud("Food", "", 4, "Monthly", "2025-06-30"),
+                   bud("Food", "x", 5, "Monthly", "2021-01-01")], BUD)
+    out = rows(B.budget_history(b), "subcategory", "effective_date", "conclusion_date")
+    assert out == [("", d("2020-03-01"), d("2020-11-14")), ("", d("2020-11-15"), d("2021-12-31")),
+                   ("", d("2022-01-01"), d("2025-06-29")), ("", d("2025-06-30"), None), ("x", d("2021-01-01"), None)]
