@@ -54,10 +54,10 @@ SALT_BUCKETS = 8
 
 def _salted_duplicate_keys(staged_keys: DataFrame, ledger: DataFrame, equal: list[str], null_safe: list[str],
                            residual, salt_buckets: int) -> DataFrame:
-    """Distinct staged match keys that have a matching ledger row, computed as a salted
-    semi-join: ledger rows are spread over `salt_buckets` buckets by a hash of
-    (description, payer); every staged key is replicated to all buckets (the staged
-    side is a small distinct set). A hot (ledger, date, amount) bucket - even one
+    """Staged match keys that have a matching ledger row, computed as a salted semi-join:
+    ledger rows are spread over `salt_buckets` buckets by a hash of (description,
+    payer); every staged key is replicated to all buckets (the staged batch is the
+    small side). A hot (ledger, date, amount) bucket - even one
     holding a third of the ledger - is thereby split over that many tasks, while every
     staged key still meets every ledger row, so the result is exact."""
     spread = [c for c in ("description", "payer") if c in ledger.columns]
@@ -72,7 +72,7 @@ def _salted_duplicate_keys(staged_keys: DataFrame, ledger: DataFrame, equal: lis
         cond = cond & sk[c].eqNullSafe(led[f"_l_{c}"])
     if residual is not None:
         cond = cond & residual(sk, led)
-    return sk.join(led, cond, "left_semi").drop("_salt").distinct()
+    return sk.join(led, cond, "left_semi").drop("_salt")  # repeats are harmless for the anti-join
 
 
 def dedup_strict(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None,
@@ -81,7 +81,7 @@ def dedup_strict(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | Non
     NULL; repeats inside the batch are kept (all copies of a matching row go)."""
     keys = _k(keys)
     cols = [*keys, *MATCH]
-    sk = staged.select(*cols).distinct()
+    sk = staged.select(*cols)
     dup = _salted_duplicate_keys(sk, ledger, keys, MATCH, None, salt_buckets)
     return staged.alias("s").join(dup.alias("d"), C.null_safe_eq(F.col, None, cols, "s", "d"), "left_anti")
 
@@ -99,7 +99,7 @@ def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None
     keys = _k(keys)
     eq = [*keys, "date", "amount"]
     s = staged.withColumn("_sd", F.lower("description"))
-    sk = s.select(*eq, "_sd").distinct()
+    sk = s.select(*eq, "_sd")
 
     def similar(a, b):
         return F.coalesce((F.levenshtein(a["_sd"], b["_l_ld"], FUZZY_MAX_DISTANCE) >= 0)
