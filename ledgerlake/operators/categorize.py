@@ -6,13 +6,15 @@ subcategory); the most frequent pair wins, ties go to the alphabetically
 first pair, no match gives ('', '').
 
 The containment test is a theta join. It is blocked on n-grams so that only
-pairs sharing the shorter string's leading trigram are ever compared:
-  * shorter string of length >= 3: equi-join its first trigram against all
-    distinct trigrams of the longer string, then verify `contains`;
-  * length 1 or 2: equi-join the string itself against the longer string's
-    distinct 1- and 2-grams (equality is containment), one join for both;
-  * the empty string is contained in everything: joined on the ledger key
-    alone (linear: one row per description of the other side).
+pairs sharing the shorter string's leading trigram are ever compared, in a
+single equi-join on (ledger key, blocking key):
+  * a probe string of length >= 3 is keyed by its first trigram, and meets
+    every string having that trigram among its distinct trigrams; `contains`
+    verifies the candidates;
+  * a probe of length 1 or 2 is keyed by itself and meets strings having it
+    among their distinct 1-/2-grams (equality is containment);
+  * the empty probe has the key 'e', which every string carries once (linear:
+    one row per description of the other side).
 Both sides are first reduced to distinct lower-cased descriptions, and the
 history to (description, category, subcategory, count).
 """
@@ -24,7 +26,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions import columns as C
 from ledgerlake.session import checkpoint_dir
 
 
@@ -37,19 +38,40 @@ def _grams(s: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, F.lit(n))))
 
 
-def containment_pairs(short: DataFrame, long: DataFrame, keys: Sequence[str], s: str, t: str) -> DataFrame:
-    """All (keys, s, t) with t containing s; both inputs hold distinct non-NULL strings."""
+def _probe_key(s: Column) -> Column:
+    """Blocking key of a string looked up as the shorter side."""
+    n = F.length(s)
+    return (F.when(n >= 3, F.concat(F.lit("t"), F.substr(s, F.lit(1), F.lit(3))))
+            .when(n >= 1, F.concat(F.lit("s"), s))
+            .otherwise(F.lit("e")))
+
+
+def _index_keys(t: Column) -> Column:
+    """All blocking keys under which a string can contain a shorter one."""
+    n = F.length(t)
+    tri = F.when(n >= 3, F.transform(_grams(t, 3), lambda g: F.concat(F.lit("t"), g))).otherwise(F.array())
+    one = F.when(n >= 1, F.transform(_grams(t, 1), lambda g: F.concat(F.lit("s"), g))).otherwise(F.array())
+    two = F.when(n >= 2, F.transform(_grams(t, 2), lambda g: F.concat(F.lit("s"), g))).otherwise(F.array())
+    return F.concat(tri, one, two, F.array(F.lit("e")))
+
+
+def containment_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """All (keys, x, y) with y containing x or x containing y, in one equi-join.
+
+    Every string of both sides is probed once (as the possibly shorter side, under
+    one blocking key) and indexed once (under all its keys); a probe row of one side
+    meets index rows of the other side only. Inputs hold distinct non-NULL strings.
+    """
     keys = _k(keys)
-    ls, lt = F.length(F.col(s)), F.length(F.col(t))
-    a = short.filter(ls >= 3).withColumn("_g", F.substr(F.col(s), F.lit(1), F.lit(3)))
-    b = long.filter(lt >= 3).select(*keys, t, F.explode(_grams(F.col(t), 3)).alias("_g"))
-    out = a.join(b, on=[*keys, "_g"]).filter(F.col(t).contains(F.col(s))).select(*keys, s, t)
-    # strings of length 1 or 2: equality with one of the other string's 1- or 2-grams
-    grams12 = F.concat(_grams(F.col(t), 1), F.when(lt >= 2, _grams(F.col(t), 2)).otherwise(F.array()))
-    b12 = long.filter(lt >= 1).select(*keys, t, F.explode(grams12).alias(s))
-    out = out.unionByName(short.filter((ls == 1) | (ls == 2)).join(b12, on=[*keys, s]).select(*keys, s, t))
-    empty = C.join_keys(short.filter(ls == 0), long, keys).select(*keys, s, t)
-    return out.unionByName(empty)
+    probe = (a.select(*keys, F.col(x).alias("_p"), F.lit(0).alias("_side"))
+             .unionByName(b.select(*keys, F.col(y).alias("_p"), F.lit(1).alias("_side")))
+             .withColumn("_k", _probe_key(F.col("_p"))))
+    index = (b.select(*keys, F.col(y).alias("_i"), F.lit(0).alias("_side"))
+             .unionByName(a.select(*keys, F.col(x).alias("_i"), F.lit(1).alias("_side")))
+             .withColumn("_k", F.explode(_index_keys(F.col("_i")))))
+    m = probe.join(index, on=[*keys, "_side", "_k"]).filter(F.col("_i").contains(F.col("_p")))
+    return m.select(*keys, F.when(F.col("_side") == 0, F.col("_p")).otherwise(F.col("_i")).alias(x),
+                    F.when(F.col("_side") == 0, F.col("_i")).otherwise(F.col("_p")).alias(y))
 
 
 def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] | None = None,
@@ -70,8 +92,7 @@ def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] |
         hist, descs = hist.checkpoint(eager=True), descs.checkpoint(eager=True)
     hd = hist.select(*keys, "hd").filter(F.col("hd").isNotNull()).distinct()
     nd = descs.select(*keys, "nd").filter(F.col("nd").isNotNull()).distinct()
-    pairs = containment_pairs(nd, hd, keys, "nd", "hd").unionByName(
-        containment_pairs(hd, nd, keys, "hd", "nd").select(*keys, "nd", "hd")).distinct()
+    pairs = containment_pairs(nd, hd, keys, "nd", "hd").distinct()
     votes = pairs.join(hist, on=[*keys, "hd"]).groupBy(*keys, "nd", "category", "subcategory").agg(
         F.sum("n").alias("n"))
     best = votes.groupBy(*keys, "nd").agg(
