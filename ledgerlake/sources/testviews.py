@@ -15,6 +15,7 @@ import datetime as dt
 import functools
 import os
 import re
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 STORE_VIEWS = True
 _STORED: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.Lock()
 
 
 def stored(fn):
@@ -50,12 +52,13 @@ def stored(fn):
             return fn(spark, d)
         app = spark.sparkContext.applicationId
         key = (app, os.path.abspath(d), name)
-        path = _STORED.get(key)
-        if path is None:
-            tag = re.sub(r"[^A-Za-z0-9_.-]", "_", os.path.abspath(d).strip("/"))
-            path = f"{checkpoint_dir(spark)}/ledgerlake-views/{app}/{tag}/{name}"
-            fn(spark, d).write.mode("overwrite").parquet(path)
-            _STORED[key] = path
+        with _LOCK:  # one derivation per view even when queries run from several threads
+            path = _STORED.get(key)
+            if path is None:
+                tag = re.sub(r"[^A-Za-z0-9_.-]", "_", os.path.abspath(d).strip("/"))
+                path = f"{checkpoint_dir(spark)}/ledgerlake-views/{app}/{tag}/{name}"
+                fn(spark, d).write.mode("overwrite").parquet(path)
+                _STORED[key] = path
         return spark.read.parquet(path)
 
     wrapper.build = fn

@@ -381,3 +381,15 @@ def test_budget_history_across_years_with_gaps(spark):
     out = rows(B.budget_history(b), "subcategory", "effective_date", "conclusion_date")
     assert out == [("", d("2020-03-01"), d("2020-11-14")), ("", d("2020-11-15"), d("2021-12-31")),
                    ("", d("2022-01-01"), d("2025-06-29")), ("", d("2025-06-30"), None), ("x", d("2021-01-01"), None)]
+
+
+def test_month_trend_equals_sum_of_category_trends(spark):
+    rnd = random.Random(5)
+    e = df(spark, [exp(f"2024-{rnd.randint(1, 6):02d}-{rnd.randint(1, 28):02d}", "x", rnd.choice(["A", "B", ""]), "",
+                       rnd.randint(1, 99)) for _ in range(80)], EXP)
+    sc = R.scope_expenses(e, df(spark, [], GOALS))
+    total = dict(rows(R.trend_total(sc, "month"), "period", "total"))
+    by_cat = {}
+    for p, t in rows(R.trend_by_category(sc, "month"), "period", "total"):
+        by_cat[p] = by_cat.get(p, 0) + t
+    assert total == by_cat
