@@ -36,7 +36,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 STORE_VIEWS = True
 _STORED: dict[tuple[str, str, str], str] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()  # re-entrant: a stored view may derive from another one
 
 
 def stored(fn):
