@@ -2,11 +2,9 @@
 
 import datetime as dt
 import random
-import string
 
 from helpers import BUD, EXP, GOALS, PROG, STAGED, D, bud, d, df, exp, rows
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlake.functions import columns as C
 from ledgerlake.operators import budgets as B
@@ -350,10 +348,6 @@ def test_staged_edit(spark):
     assert out == [(1, "New", "x", "J"), (2, "Old", "", "Rae")]
 
 
-def test_string_helpers_unused_import_guard():
-    assert string.ascii_letters and T.StringType()
-
-
 def test_ledger_delete_hot_class_regenerated_in_chunks(spark):
     hot = [exp("2024-01-01", "sub", "F", "", 9)] * 1000 + [exp("2024-01-01", "sub", "F", "", 9, etype="Goal")] * 3
     led = df(spark, hot + [exp("2024-01-02", "b", "F", "", 5)], EXP)
