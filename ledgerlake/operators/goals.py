@@ -61,8 +61,9 @@ def goal_progress_report(goals: DataFrame, progress: DataFrame, expenses: DataFr
         F.least(F.lit(100.0), F.bround(ms.cast("double") / F.col("months_needed").cast("double") * 100.0, 0))
         .alias("saved_pct"),
         sp.alias("spent"),
-        F.least(F.lit(100.0), F.bround(sp.cast("double") / F.col("target_amount").cast("double") * 100.0, 0))
-        .alias("spent_pct"),
+        F.when(F.col("target_amount") > 0,
+               F.least(F.lit(100.0), F.bround(sp.cast("double") / F.col("target_amount").cast("double") * 100.0, 0)))
+        .alias("spent_pct"),  # NULL without a positive target (division by zero is an error under ANSI)
         F.coalesce("saved_this_month", F.lit(False)).alias("saved_this_month"),
     )
 

@@ -279,8 +279,8 @@ SELECT g2.household_id, g2.goal, CAST(g2.target_amount AS DOUBLE) AS target_amou
        least(100.0, round_even(CAST(coalesce(saved.months_saved, 0) AS DOUBLE)
                                / CAST(g2.months_needed AS DOUBLE) * 100.0, 0)) AS saved_pct,
        CAST(coalesce(spent.spent, 0) AS DOUBLE) AS spent,
-       least(100.0, round_even(CAST(coalesce(spent.spent, 0) AS DOUBLE)
-                               / CAST(g2.target_amount AS DOUBLE) * 100.0, 0)) AS spent_pct,
+       CASE WHEN g2.target_amount > 0 THEN least(100.0, round_even(CAST(coalesce(spent.spent, 0) AS DOUBLE)
+                               / CAST(g2.target_amount AS DOUBLE) * 100.0, 0)) END AS spent_pct,
        coalesce(tm.saved_this_month, false) AS saved_this_month
 FROM g2
 LEFT JOIN saved ON g2.household_id = saved.household_id AND g2.goal = saved.goal
