@@ -655,3 +655,10 @@ FROM expenses WHERE date >= {AS_OF} - 28 AND date <= {AS_OF} GROUP BY 1, 2, 3"""
 
 q("category_percent_all", cat_percent("budgets").replace(
     f"AND date >= {REPORT_START} AND date <= {REPORT_END}", ""), "scoped", "budgets")
+
+
+q("goal_completion_update", """
+, upd AS (SELECT household_id, goal, bool_or(household_id % 2 = 1) AS c FROM goals GROUP BY 1, 2)
+SELECT g.household_id, g.goal, CAST(g.target_amount AS DOUBLE) AS target_amount, g.target_month, g.created_date,
+       coalesce(u.c, g.completed) AS completed
+FROM goals g LEFT JOIN upd u ON g.household_id = u.household_id AND g.goal = u.goal""", "goals")

@@ -422,6 +422,13 @@ def category_percent_all(spark, d):
     return finish(R.category_percent(cs, V.budgets(spark, d), K))
 
 
+def goal_completion_update(spark, d):
+    """G9, completion flags: odd ledgers mark every goal done, even ledgers reopen them."""
+    g = V.goals(spark, d)
+    upd = g.select(*K, "goal", (F.col("household_id") % 2 == 1).alias("completed"))
+    return finish(G.goal_completion_update(g, upd, K))
+
+
 def _registry() -> dict:
     skip = {"finish"}
     return {n: f for n, f in globals().items()

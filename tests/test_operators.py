@@ -387,3 +387,13 @@ def test_month_trend_equals_sum_of_category_trends(spark):
     for p, t in rows(R.trend_by_category(sc, "month"), "period", "total"):
         by_cat[p] = by_cat.get(p, 0) + t
     assert total == by_cat
+
+
+def test_display_orderings(spark):
+    from ledgerlake.plans import ordering as O
+    e = df(spark, [exp("2024-01-02", "a", "F", "", 1), (None, "n", "F", "", D(1), "J", "Monthly"), exp("2024-03-01", "b", "F", "", 1)], EXP)
+    assert [r.description for r in O.newest_first(e).collect()] == ["b", "a", "n"]
+    b = df(spark, [bud("B", "", 1, "Monthly", "2024-01-01"), bud("A", "x", 1, "Monthly", "2024-01-01"),
+                   bud("A", "", 1, "Monthly", "2023-01-01"), bud("A", "", 1, "Monthly", "2024-01-01")], BUD)
+    assert [(r.category, r.subcategory, r.effective_date.year) for r in O.budgets_display(b).collect()] == \
+        [("A", "", 2024), ("A", "", 2023), ("A", "x", 2024), ("B", "", 2024)]
