@@ -397,3 +397,11 @@ def test_display_orderings(spark):
                    bud("A", "", 1, "Monthly", "2023-01-01"), bud("A", "", 1, "Monthly", "2024-01-01")], BUD)
     assert [(r.category, r.subcategory, r.effective_date.year) for r in O.budgets_display(b).collect()] == \
         [("A", "", 2024), ("A", "", 2023), ("A", "x", 2024), ("B", "", 2024)]
+
+
+def test_half_even_rounds_down_on_even(spark):
+    # hasty = 0.1 * 25 = 2.5 -> 2 (half-even; half-up would give 3); conservative 0.2 * 25 = 5
+    b = B.budget_history(df(spark, [bud("Food", "", 100, "Monthly", "2024-01-01")], BUD))
+    e = df(spark, [exp("2024-04-03", "a", "Food", "", 25)], EXP)
+    r = S.budget_suggestions(R.scope_expenses(e, df(spark, [], GOALS)), b, AS_OF).collect()[0]
+    assert (r.hasty_limit, r.conservative_limit, r.current_month_spent) == (D(2), D(5), D(0))
