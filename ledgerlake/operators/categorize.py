@@ -78,7 +78,7 @@ def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] |
                        materialize: bool = True) -> DataFrame:
     """(keys, description, category, subcategory) for every distinct new description.
 
-    With `materialize` the two reduced inputs are written once to the checkpoint folder
+    With `materialize` the aggregated history is written once to the checkpoint folder
     (eager, reliable checkpoint) before the blocked join."""
     keys = _k(keys)
     hist = (history.filter(F.col("category") != "")
@@ -86,10 +86,10 @@ def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] |
             .agg(F.count(F.lit(1)).alias("n")))
     descs = new.select(*keys, "description").distinct().withColumn("nd", F.lower("description"))
     if materialize:
-        # both reduced inputs feed several join branches; checkpoint them so the ledger and
-        # the batch are each read once instead of once per branch
+        # the aggregated history feeds the blocked join twice and the vote once; checkpoint
+        # it so the ledger is read once (the new descriptions come from the small batch)
         checkpoint_dir(history.sparkSession)
-        hist, descs = hist.checkpoint(eager=True), descs.checkpoint(eager=True)
+        hist = hist.checkpoint(eager=True)
     hd = hist.select(*keys, "hd").filter(F.col("hd").isNotNull()).distinct()
     nd = descs.select(*keys, "nd").filter(F.col("nd").isNotNull()).distinct()
     pairs = containment_pairs(nd, hd, keys, "nd", "hd").distinct()
