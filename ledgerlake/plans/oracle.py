@@ -482,7 +482,7 @@ q("staged_edit", f"""
 , st AS (SELECT household_id, date, description, amount, coalesce(category, '') AS category, payer, seq, seq AS id,
                 '' AS subcategory, 'Monthly' AS expense_type, false AS duplicate FROM staged),
   ed AS (SELECT DISTINCT household_id, id, CASE WHEN id % 2 = 0 THEN 'EDITED' ELSE '' END AS ec, ' sub ' AS es,
-                CASE WHEN id % 4 = 0 THEN 'Joint' ELSE '' END AS ep FROM st WHERE id % 3 = 0)
+                CASE WHEN id % 4 = 0 THEN 'Joint' ELSE '' END AS ep FROM st)
 SELECT st.household_id, st.date, st.description, CAST(st.amount AS DOUBLE) AS amount,
        CASE WHEN ed.id IS NOT NULL AND coalesce(ed.ec, '') <> '' THEN ed.ec ELSE st.category END AS category,
        CASE WHEN ed.id IS NOT NULL THEN {trim("coalesce(ed.es, '')")} ELSE st.subcategory END AS subcategory,
@@ -518,7 +518,7 @@ q("patch_expenses", f"""
   pt AS (SELECT household_id, _ok * 100 + _ln AS row_id,
                 ['amount', 'category', 'subcategory', 'date', 'amount', 'description', 'expense_type'][_ln] AS col,
                 ['$1,234.50', ' Travel ', '(Unspecified)', '2001-02-30', '-5', '  new text ', 'GOAL'][_ln] AS val
-         FROM expense_base WHERE _ok % 4 = 0),
+         FROM expense_base),
   typed AS (SELECT *, CASE WHEN col = 'date' THEN TRY_CAST({trim('val')} AS DATE) END AS nd,
                    CASE WHEN col = 'amount' THEN {AMOUNT_TXT} END AS na,
                    CASE WHEN col = 'category' THEN {trim('val')} END AS nc,
@@ -553,7 +553,7 @@ q("patch_budgets", f"""
 , pt AS (SELECT household_id, category, subcategory, effective_date,
                 ['limit', 'limit', 'subcategory'][CAST(month(effective_date) % 3 + 1 AS INTEGER)] AS col,
                 ['1,500', '-3', ' Patched ' || subcategory][CAST(month(effective_date) % 3 + 1 AS INTEGER)] AS val
-         FROM budgets WHERE year(effective_date) = 1999),
+         FROM budgets),
   typed AS (SELECT *, CASE WHEN col = 'limit' THEN {AMOUNT_TXT} END AS nl,
                    CASE WHEN col = 'subcategory' THEN CASE WHEN {trim('val')} = '(Unspecified)' THEN ''
                                                            ELSE {trim('val')} END END AS ns
@@ -594,7 +594,7 @@ q("patch_expenses_rejected", f"""
 , pt AS (SELECT household_id, _ok * 100 + _ln AS row_id,
                 ['amount', 'category', 'subcategory', 'date', 'amount', 'description', 'expense_type'][_ln] AS col,
                 ['$1,234.50', ' Travel ', '(Unspecified)', '2001-02-30', '-5', '  new text ', 'GOAL'][_ln] AS val
-         FROM expense_base WHERE _ok % 4 = 0),
+         FROM expense_base),
   typed AS (SELECT *, CASE WHEN col = 'date' THEN TRY_CAST({trim('val')} AS DATE) END AS nd,
                    CASE WHEN col = 'amount' THEN {AMOUNT_TXT} END AS na,
                    CASE WHEN col = 'category' THEN {trim('val')} END AS nc FROM pt)
