@@ -66,8 +66,13 @@ def containment_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y
     probe = (a.select(*keys, F.col(x).alias("_p"), F.lit(0).alias("_side"))
              .unionByName(b.select(*keys, F.col(y).alias("_p"), F.lit(1).alias("_side")))
              .withColumn("_k", _probe_key(F.col("_p"))))
+    # the explode multiplies rows by ~3x the string length, while its input (distinct
+    # strings) is small in bytes, so AQE would size that stage as one task: spread the
+    # strings over the cluster's cores first (round-robin, deterministic on recompute)
+    cores = a.sparkSession.sparkContext.defaultParallelism
     index = (b.select(*keys, F.col(y).alias("_i"), F.lit(0).alias("_side"))
              .unionByName(a.select(*keys, F.col(x).alias("_i"), F.lit(1).alias("_side")))
+             .repartition(cores)
              .withColumn("_k", F.explode(_index_keys(F.col("_i")))))
     m = probe.join(index, on=[*keys, "_side", "_k"]).filter(F.col("_i").contains(F.col("_p")))
     return m.select(*keys, F.when(F.col("_side") == 0, F.col("_p")).otherwise(F.col("_i")).alias(x),
@@ -95,8 +100,11 @@ def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] |
     pairs = containment_pairs(nd, hd, keys, "nd", "hd").distinct()
     votes = pairs.join(hist, on=[*keys, "hd"]).groupBy(*keys, "nd", "category", "subcategory").agg(
         F.sum("n").alias("n"))
-    best = votes.groupBy(*keys, "nd").agg(
-        F.min_by(F.struct("category", "subcategory"), F.struct(-F.col("n"), "category", "subcategory")).alias("_b"))
+    # top pair per description: the highest count by a hash aggregate, then the
+    # alphabetically first pair among the (few) rows that reach it
+    top = votes.groupBy(*keys, "nd").agg(F.max("n").alias("n"))
+    best = votes.join(top, on=[*keys, "nd", "n"]).groupBy(*keys, "nd").agg(
+        F.min(F.struct("category", "subcategory")).alias("_b"))
     out = descs.join(best, on=[*keys, "nd"], how="left")
     return out.select(*keys, "description",
                       F.coalesce(F.col("_b.category"), F.lit("")).alias("category"),
