@@ -79,20 +79,25 @@ def income_allocation(income: DataFrame, budgets: DataFrame, goals: DataFrame, a
     """Income - monthly limits of current budgets - monthly saving of *all* goals (completed
     ones included, as the reference does). A ledger without income gets NULL.
 
-    Computed exactly in units of 1/12 micro: the three one-row-per-ledger
-    aggregates are joined on the ledger key (no cross join).
+    One aggregate, no joins: each source contributes its own column to a union
+    (the others NULL) and a single grouped sum adds them up; a ledger with no
+    income rows keeps a NULL income because a sum of only NULLs is NULL. Exact in
+    units of 1/12 micro.
     """
     keys = _k(keys)
-    inc = income.groupBy(*keys).agg(F.sum(F.coalesce("amount", F.lit(0).cast(C.MONEY))).alias("income"))
-    lim = B.with_monthly_limit(B.budgets_current(budgets, as_of)).groupBy(*keys).agg(
-        F.sum("limit_x12").alias("limits_x12"))
-    sav = _saving(goals).groupBy(*keys).agg(F.sum("saving_micros").alias("saving_micros"))
-    ids = inc.select(*keys).unionByName(lim.select(*keys)).unionByName(sav.select(*keys)).distinct()
-    j = C.join_keys(C.join_keys(C.join_keys(ids, inc, keys, "left"), lim, keys, "left"), sav, keys, "left")
+    money0 = F.lit(None).cast("decimal(28,2)")
+    long0 = F.lit(None).cast("long")
+    inc = income.select(*keys, F.coalesce("amount", F.lit(0).cast(C.MONEY)).cast("decimal(28,2)").alias("_inc"),
+                        money0.alias("_lim"), long0.alias("_sav"))
+    lim = B.with_monthly_limit(B.budgets_current(budgets, as_of)).select(
+        *keys, money0.alias("_inc"), F.col("limit_x12").cast("decimal(28,2)").alias("_lim"), long0.alias("_sav"))
+    sav = _saving(goals).select(*keys, money0.alias("_inc"), money0.alias("_lim"), F.col("saving_micros").alias("_sav"))
+    g = inc.unionByName(lim).unionByName(sav).groupBy(*keys).agg(
+        F.sum("_inc").alias("income"), F.sum("_lim").alias("limits_x12"), F.sum("_sav").alias("saving_micros"))
     lx = F.coalesce("limits_x12", F.lit(0).cast(C.MONEY))
     sm = F.coalesce("saving_micros", F.lit(0).cast("long"))
     rem = (F.col("income") * (12 * MICRO) - lx * MICRO - sm.cast("decimal(38,0)") * 12)
-    return j.select(
+    return g.select(
         *keys,
         F.col("income").cast("double").alias("income"),
         (lx.cast("double") / 12.0).alias("budget_total"),
