@@ -41,19 +41,35 @@ def goal_progress_report(goals: DataFrame, progress: DataFrame, expenses: DataFr
                          keys: Sequence[str] | None = None) -> DataFrame:
     """Per open goal: monthly saving, saved % = min(100, round(saved months / months * 100)),
     spent (Goal-type expenses whose category equals the goal exactly), spent % likewise over the
-    target, and whether this month is marked saved (false when absent)."""
+    target, and whether this month is marked saved (false when absent).
+
+    One aggregate, no joins: goals, progress rows and goal-type expenses are
+    unioned on (keys, goal), each contributing its own columns, and grouped once.
+    """
     keys = _k(keys)
+    month = F.lit(as_of.replace(day=1))
+    attrs = {"target_amount": C.MONEY, "target_month": "date", "created_date": "date", "months_needed": "int",
+             "saving_micros": "long"}
+    parts = {"_is_goal": "int", "_saved": "long", "_spent": "decimal(28,2)", "_this": "boolean"}
+
+    def shaped(df, **given):
+        cols = [*keys, "goal"]
+        for c, t in {**attrs, **parts}.items():
+            cols.append((given[c] if c in given else F.lit(None)).cast(t).alias(c))
+        return df.select(*cols)
+
     g = _saving(goals.filter(~F.col("completed")))
-    saved = progress.filter(F.col("saved") == F.lit(True)).groupBy(*keys, "goal").agg(
-        F.count(F.lit(1)).alias("months_saved"))
-    spent = (expenses.filter(C.normalize_expense_type("expense_type") == C.TYPE_GOAL)
-             .groupBy(*keys, F.col("category").alias("goal")).agg(F.sum("amount").alias("spent")))
-    this_month = progress.filter(F.col("month") == F.lit(as_of.replace(day=1))).groupBy(*keys, "goal").agg(
-        F.max("saved").alias("saved_this_month"))
-    j = g.join(saved, on=[*keys, "goal"], how="left").join(spent, on=[*keys, "goal"], how="left").join(
-        this_month, on=[*keys, "goal"], how="left")
+    rows = shaped(g, **{c: F.col(c) for c in attrs}, _is_goal=F.lit(1)).unionByName(
+        shaped(progress, _saved=F.when(F.col("saved") == F.lit(True), 1).otherwise(0),
+               _this=F.when(F.col("month") == month, F.col("saved")))).unionByName(
+        shaped(expenses.filter(C.normalize_expense_type("expense_type") == C.TYPE_GOAL)
+               .withColumnRenamed("goal", "_g").withColumn("goal", F.col("category")), _spent=F.col("amount")))
+    j = rows.groupBy(*keys, "goal").agg(
+        *[F.max(c).alias(c) for c in attrs], F.max("_is_goal").alias("_is_goal"),
+        F.sum("_saved").alias("months_saved"), F.sum("_spent").alias("spent"), F.max("_this").alias("saved_this_month"))
+    j = j.filter(F.col("_is_goal") == 1)
     ms = F.coalesce("months_saved", F.lit(0).cast("long"))
-    sp = F.coalesce("spent", F.lit(0).cast(C.MONEY))
+    sp = F.coalesce("spent", F.lit(0).cast("decimal(28,2)"))
     return j.select(
         *keys, "goal", "target_amount", "target_month", "created_date", "months_needed",
         (F.col("saving_micros").cast("double") / MICRO).alias("monthly_saving"),
