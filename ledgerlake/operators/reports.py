@@ -137,10 +137,14 @@ def goal_spending(scoped: DataFrame, goals: DataFrame, report_month, keys: Seque
     progress = min(100, total / target * 100), NULL without a positive target."""
     keys = _k(keys)
     df = filter_month(goal_scope(scoped), report_month).filter(F.col("allocated_goal") != "")
-    s = df.groupBy(*keys, F.col("allocated_goal").alias("goal")).agg(
-        F.sum("amount").alias("total"), F.count(F.lit(1)).alias("transactions"))
-    t = goals.groupBy(*keys, "goal").agg(F.max("target_amount").alias("goal_target"))
-    j = s.join(t, on=[*keys, "goal"], how="left")
+    # spend rows and goal targets meet in one aggregate (no join); groups without spend drop out
+    spend = df.select(*keys, F.col("allocated_goal").alias("goal"), F.col("amount").alias("_amt"),
+                      F.lit(1).cast("long").alias("_n"), F.lit(None).cast(C.MONEY).alias("_tgt"))
+    tgt = goals.select(*keys, "goal", F.lit(None).cast(C.MONEY).alias("_amt"), F.lit(None).cast("long").alias("_n"),
+                       F.col("target_amount").cast(C.MONEY).alias("_tgt"))
+    j = spend.unionByName(tgt).groupBy(*keys, "goal").agg(
+        F.sum("_amt").alias("total"), F.sum("_n").alias("transactions"), F.max("_tgt").alias("goal_target"))
+    j = j.filter(F.col("transactions") > 0)
     tgt = F.col("goal_target")
     prog = F.when(tgt.isNotNull() & (tgt > 0),
                   F.least(F.lit(100.0), F.col("total").cast("double") / tgt.cast("double") * 100.0))
