@@ -125,3 +125,14 @@ def test_import_and_report_jobs_end_to_end(spark, scratch):
     s = spark.read.parquet(out["summary"]).collect()[0]
     assert (s.total_limit, s.total_spent, s.status) == (120.0, 36.5, "Under Budget")
     assert set(out) == {"report", "category_summary", "active_budgets", "recent_expenses", "summary", "monthly_summaries"}
+
+
+def test_statement_header_with_bom(spark, scratch):
+    d = f"{scratch}/bom"
+    os.makedirs(d)
+    _write(f"{d}/s.csv", "﻿Trans. Date,Post Date,Description,Amount,Category\n01/02/2024,01/03/2024,SHOP,12.50,Food\n"
+           "01/04/2024,01/05/2024,REFUND,-3.00,Food\n")
+    heads = [r.format for r in ST.statement_headers(spark, d).collect()]
+    assert heads == ["simple"]
+    st = ST.read_statement_files(spark, d)
+    assert rows(st, "description", "amount", "category") == [("SHOP", Decimal("12.50"), "Food")]
