@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from ledgerlake.plans.oracle import SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -30,7 +31,7 @@ def _canon(cols, data):
     return sorted(tuple(_norm(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
