@@ -75,7 +75,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _combine(words: list[np.ndarray]) -> np.ndarray:
-    h = np.full(len(words[0]), len(words), _U)
+    h = np.full(words[0].shape, len(words), _U)
     for w in words:
         h = mix(h * _U(0x9E3779B97F4A7C15) + w)
     return h
