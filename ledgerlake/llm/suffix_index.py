@@ -163,14 +163,18 @@ def suffixes(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, length: int
     return Run(**dict(zip((f[0] for f in _FIELDS), cols, strict=True))).sorted()
 
 
-def windows(text: bytes, doc: int, tag: int, start: int, n: int, length: int) -> Run:
-    """Every window of a partial context as an entry of its own, under the window's own hash."""
-    buf = np.frombuffer(text, np.uint8)[start : start + n + length - 1]
-    at = np.arange(n)
-    h = RangeHash(buf)
-    key = h.ranges(at, at + length) & _BITS48
-    ctx = RangeHash(buf, seed=2).ranges(at, at + length) & _BITS48
-    return Run(head=key, context=ctx, doc=np.full(n, doc), tag=np.full(n, tag), start=start + at, n=np.ones(n, int))
+def windows(pieces: list[tuple[int, int, int, bytes]], length: int) -> Run:
+    """Every window of partial contexts, given as (doc, tag, start, bytes), as an entry of its own
+    under the window's own hash."""
+    lens = np.array([len(p) for *_, p in pieces])
+    n = lens - length + 1
+    begin = np.cumsum(lens) - lens
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(begin, n) + inner
+    buf = np.frombuffer(b"".join(p for *_, p in pieces), np.uint8)
+    doc, tag, start = (np.repeat(np.array([x[i] for x in pieces]), n) for i in range(3))
+    key, ctx = (RangeHash(buf, seed).ranges(at, at + length) & _BITS48 for seed in (1, 2))
+    return Run(head=key, context=ctx, doc=doc, tag=tag, start=start + inner, n=np.ones(len(at), int)).sorted()
 
 
 def _bytes(column) -> list[bytes]:
@@ -234,23 +238,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = stored(_index(base.mapInArrow(arrays, "bucket int, run binary"), buckets), "suffix-matches")
     partial = first.filter("partial").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
+    def packed(pieces):
+        for bucket, blob in _dealt(windows(pieces, length), buckets):
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "run"])
+
     def single(batches):
         for batch in batches:
-            size, runs = 0, []
-
-            def flush(runs):
-                for bucket, blob in _dealt(Run.merge(runs), buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "run"])
-
+            size, pieces = 0, []
             for doc, tag, text, spans in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), _bytes(batch["text"]), batch["spans"].to_pylist(), strict=True):
                 for s in spans:
-                    runs.append(windows(text, doc, tag, s["start"], s["n"], length))
-                    size += s["n"]
-                    if size > _SEGMENT:
-                        yield from flush(runs)
-                        size, runs = 0, []
-            if runs:
-                yield from flush(runs)
+                    for at in range(s["start"], s["start"] + s["n"], _SEGMENT):
+                        last = min(at + _SEGMENT, s["start"] + s["n"])
+                        pieces.append((doc, tag, at, text[at : last + length - 1]))
+                        size += len(pieces[-1][-1])
+                        if size > _SEGMENT:
+                            yield from packed(pieces)
+                            size, pieces = 0, []
+            if pieces:
+                yield from packed(pieces)
 
     second = _index(base.join(partial, ["doc", "tag"]).mapInArrow(single, "bucket int, run binary"), buckets)
     return first.filter("not partial").select("doc", "tag", "start", "n").unionByName(second.filter("not partial").select("doc", "tag", "start", "n"))
