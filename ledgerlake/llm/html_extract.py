@@ -23,7 +23,7 @@ from ledgerlake.llm.common import pick
 
 #: bounds of the training sample: pages, and characters of one training page
 SAMPLE, SAMPLE_CHARS = 300, 200_000
-MARGIN, SHIFT = 0.7, 0.5
+MARGIN, SHIFT = 0.7, 0.3
 
 # fixed values: element classes of HTML
 HIDDEN = "script style noscript template textarea iframe object svg math title select option button canvas audio video".split()
@@ -109,11 +109,11 @@ def tokenise(page: str) -> list[Token]:
 
 
 def prior(feature: str) -> float:
-    fixed = {"plain": 1.0, "link": 0.3, "boiler": -0.3, "hidden": -0.5}
+    fixed = {"plain": 1.0, "link": 0.3, "boiler": -0.25, "hidden": -0.5}
     if feature in fixed:
         return fixed[feature]
     name = feature[1:]
-    return -0.05 if name in INLINE or name in ("p", "article", "main") or re.fullmatch(r"h[1-6]", name) else -2.0 if name in BOILER or name == "body" else -0.5
+    return -0.05 if name in INLINE or name in ("p", "article", "main") or re.fullmatch(r"h[1-6]", name) else -0.8 if name in BOILER else -2.0 if name == "body" else -0.5
 
 
 class Weights(dict):

@@ -8,20 +8,22 @@ Landmark tokens (insults found in labelled sentences and clean tokens) give the
 the token's triples, the trained machine folds into one weight per triple: scoring costs the same
 however many landmarks there are, and gives the same values.
 
-Labels belong to documents, so training is multiple-instance: every token of a clean document's
-sentences is clean; each toxic document offers, round by round, the token the machine scores
-highest. A document scores as its highest token, mapped to [0, 1] by a logistic fit of the labelled
-documents' margins; 0.5 is the decision border.
-
-Tokens: case folded, accents dropped, common digit-for-letter swaps undone, split at white space;
-runs of single characters (``i d i o t``) are joined; tokens over ``WINDOW`` characters are read in
-overlapping windows, so texts without blanks are covered whole.
+Labels belong to documents, so training is multiple-instance: clean documents' tokens are clean;
+each toxic document offers, round by round, the token the machine scores highest. A chance token can
+resemble an insult, so a document is judged by all its sentences' tokens: a logistic fit of the
+labelled documents weighs how many occurrences fall into each band of margins, the document's
+length and its highest margin. 0.5 is the decision border.
+
+Tokens: case folded, common digit-for-letter swaps undone, split at white space;
+runs of single characters (``i d i o t``) are joined; tokens over ``LONG`` characters are read in
+windows of ``WINDOW`` that overlap, so texts without blanks are covered whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import pick
 
 SPAN, DECAY = 6, 0.6
-WINDOW = 24
+LONG, WINDOW, STRIDE = 18, 12, 3
 ALPHABET = 32
 LANDMARKS = 384
 #: bounds of the sample of labelled documents that the classifier is fitted on, per label
@@ -39,19 +41,21 @@ SAMPLE = 1500
 CACHE_TOKENS = 400_000
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 #: fixed values: characters often written for letters
+OUTER = "!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~"
 SWAPS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 
-def tokens(text: str) -> set[str]:
-    """Distinct raw tokens of a whole text, windows of long ones included."""
+def tokens(text: str) -> Counter:
+    """Raw tokens of a whole text with their counts, windows of long ones included."""
     low = text.lower()
-    out = set(low.split())
+    out = Counter(low.split())
     for m in _SPACED.finditer(low):
-        out.add(re.sub(r"\s", "", m.group()))
-    long = [t for t in out if len(t) > WINDOW]
+        out[re.sub(r"\s", "", m.group())] += 1
+    long = [t for t in out if len(t) > LONG]
     for t in long:
-        out.discard(t)
-        out.update(t[a : a + WINDOW] for a in range(0, len(t) - WINDOW // 2, WINDOW // 2))
+        n = out.pop(t)
+        for a in range(0, len(t) - WINDOW + STRIDE, STRIDE):
+            out[t[a : a + WINDOW]] += n
     return out
 
 
@@ -67,17 +71,17 @@ _CODES: dict[str, tuple[int, ...]] = {}
 
 
 def codes(token: str) -> list[int]:
-    """Letter codes; marks dropped, gap characters kept inside and stripped outside."""
+    """Letter codes; punctuation stripped outside and kept as gaps inside."""
     out = []
-    for c in token:
+    for c in token.strip(OUTER):
         got = _CODES.get(c)
         if got is None:
-            got = _CODES[c] = tuple(_letter(x) for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            got = _CODES[c] = tuple(_letter(x) for x in unicodedata.normalize("NFKC", c) if not unicodedata.combining(x))
         out += got
     while out and not out[-1]:
         out.pop()
     first = next((i for i, x in enumerate(out) if x), 0)
-    return out[first : first + WINDOW * 4]
+    return out[first:]
 
 
 _OFFSETS = np.array([(j, k) for k in range(2, SPAN) for j in range(1, k)])
@@ -123,7 +127,7 @@ def kernel(words: list[list[int]], landmarks: np.ndarray) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0) -> np.ndarray:
     """Primal squared-hinge SVM by Newton steps; the last coefficient is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -140,85 +144,95 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0) -> np
 
 
 class Model:
-    """Folded machine: a weight per triple, a bias, and the logistic map of margins."""
+    """Folded machine (a weight per triple, a bias) and the document weights over margins."""
 
-    def __init__(self, triples: np.ndarray, bias: float, slope: float = 4.0, shift: float = 0.0):
-        self.triples, self.bias, self.slope, self.shift = triples.astype(np.float64), float(bias), slope, shift
+    def __init__(self, triples: np.ndarray, bias: float, document: np.ndarray):
+        self.triples, self.bias, self.document = triples.astype(np.float64), float(bias), document
 
     def margins(self, raw: list[str]) -> np.ndarray:
         row, triple, weight = features([codes(t) for t in raw])
         return np.bincount(row, weight * self.triples[triple], len(raw)) + self.bias
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (margin - self.shift), -30, 30)))
+    def probability(self, margins: np.ndarray, counts: np.ndarray) -> float:
+        """Of a document, from its distinct tokens' margins and counts; 0 without tokens."""
+        if not len(margins):
+            return 0.0
+        return float(1 / (1 + np.exp(-np.clip(_summary(margins, counts) @ self.document, -30, 30))))
 
 
-def fit(documents: list[tuple[list[str], int]], rounds: int = 5, seed: int = 7) -> Model:
-    """Train on (distinct tokens, label) of labelled documents.
+#: borders of the margin bands whose occurrences are counted
+BANDS = np.array([-0.25, 0.1, 0.4, 0.7, 0.9])
 
-    Without both labels the model scores every text 0 (no toxic one seen) or 1 (no clean one)."""
-    toxic = [sorted(t) for t, y in documents if y == 1 and t]
-    clean = [t for t, y in documents if y == 0]
+
+def _summary(margins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Occurrences per band, length, and the highest margin of a document, with a constant."""
+    band = np.bincount(np.searchsorted(BANDS, margins), counts, len(BANDS) + 1)
+    n = counts.sum()
+    return np.r_[np.log1p(band[1:]), np.log1p(n), n / 1000, np.clip(margins.max(), -2, 2), 1.0]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Logistic regression by damped Newton steps; classes weigh as they occur."""
+    w = np.zeros(x.shape[1])
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() + ridge * (w @ w) / 2
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + ridge * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        rate = 1.0
+        while rate > 1e-6 and loss(w - rate * step) > loss(w):
+            rate /= 2
+        w = w - rate * step
+        if np.abs(rate * step).max() < 1e-7:
+            break
+    return w
+
+
+def fit(documents: list[tuple[dict[str, int], int]], rounds: int = 4, seed: int = 7) -> Model:
+    """Train on (token counts, label) of labelled documents.
+
+    Without both labels the model predicts the one it has seen (0 without any)."""
+    toxic = [t for t, y in documents if y == 1 and t]
+    clean = [t for t, y in documents if y == 0 and t]
     if not toxic or not clean:
-        return Model(np.zeros(ALPHABET**3), 9.0 if toxic else -9.0)
+        return Model(np.zeros(ALPHABET**3), 0.0, np.r_[np.zeros(len(BANDS) + 3), 9.0 if toxic else -9.0])
     rng = np.random.default_rng(seed)
-    clean_count: dict[str, int] = {}
-    for t in clean:
-        for w in t:
-            clean_count[w] = clean_count.get(w, 0) + 1
-    seen: dict[str, int] = {}
-    for t in toxic:
-        for w in t:
-            seen[w] = seen.get(w, 0) + 1
-    # first guess of each toxic document's witness: the token most frequent in toxic documents, among those no clean one has
-    rate = lambda w: (seen[w] if w not in clean_count else -clean_count[w], w)
-    witness = [max(t, key=rate) for t in toxic]
-    pool = np.array(sorted(clean_count))
-    negatives = set(rng.choice(pool, min(len(pool), 6000), replace=False))
-    every = sorted(set(pool) | {w for t in toxic for w in t})
+    in_toxic, in_clean = (Counter(w for t in side for w in t) for side in (toxic, clean))
+    every = sorted(in_toxic | in_clean)
     number = {w: i for i, w in enumerate(every)}
-    model = None
-    for r in range(rounds):
-        # a witness seen in one toxic document only is as likely a rare clean word
-        count: dict[str, int] = {}
-        for w in witness:
-            count[w] = count.get(w, 0) + 1
-        positives = sorted(w for w, n in count.items() if (n > 1 or r) and w not in clean_count) or sorted(count)
-        hard = sorted(negatives)
+    share = lambda c, n: np.array([(c[w] + 0.5) / (n + 1) for w in every])
+    odds = np.log(share(in_toxic, len(toxic))) - np.log(share(in_clean, len(clean)))
+    ids = [np.array([number[w] for w in t]) for t in toxic]
+    witness = [i[np.argmax(odds[i])] for i in ids]
+    usual = np.flatnonzero(odds < 0.7)  # tokens that don't speak for toxicity
+    in_clean_ids = usual[[in_clean[every[i]] > 0 for i in usual]]
+    negatives = set(rng.choice(in_clean_ids, min(len(in_clean_ids), 5000), replace=False).tolist())
+    triples, bias, margin = np.zeros(ALPHABET**3), 0.0, np.zeros(len(every))
+    for _ in range(rounds):
+        # labels are noisy: a witness counts if toxic documents clearly favour it or the machine takes it
+        count = Counter(int(w) for w in witness)
+        sure = [w for w, n in count.items() if (odds[w] > 2 and in_toxic[every[w]] > 2) or (n > 1 and margin[w] > 0.5)]
+        positives = sorted(sure) or sorted(count)
+        against = sorted(negatives.difference(positives))
         half = LANDMARKS // 2
-        marks = list(rng.choice(positives, min(half, len(positives)), replace=False)) + list(rng.choice(hard, min(half, len(hard)), replace=False))
-        dense = _dense([codes(w) for w in marks])
-        gram = dense.astype(np.float64) @ dense.T.astype(np.float64)
-        value, vector = np.linalg.eigh(gram)
+        marks = [*rng.choice(positives, min(half, len(positives)), replace=False), *rng.choice(against, min(half, len(against)), replace=False)] if against else positives[:half]
+        dense = _dense([codes(every[i]) for i in marks])
+        value, vector = np.linalg.eigh(dense.astype(np.float64) @ dense.T.astype(np.float64))
         root = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)) @ vector.T
-        train = positives + hard
-        x = kernel([codes(w) for w in train], dense) @ root
-        y = np.r_[np.ones(len(positives)), -np.ones(len(hard))]
-        weight = np.where(y > 0, len(hard) / max(len(positives), 1) / 4, 1.0).clip(1, 50)
-        w = _svm(x, y, weight)
-        model = Model(dense.T.astype(np.float64) @ (root @ w[:-1]), w[-1])
-        margin = np.concatenate([model.margins(every[a : a + 20_000]) for a in range(0, len(every), 20_000)])
-        best = [max(t, key=lambda v: margin[number[v]]) for t in toxic]
-        # a document keeps a witness that the machine takes; the others look for a better one
-        witness = [b if margin[number[b]] > margin[number[a]] or a in clean_count else a for a, b in zip(witness, best, strict=True)]
-        worst = sorted(pool, key=lambda v: -margin[number[v]])[:1500]
-        negatives |= {v for v in worst if margin[number[v]] > -1}
-    top = np.array([max((margin[number[v]] for v in t), default=model.bias) for t in toxic] + [max((margin[number[v]] for v in t), default=model.bias) for t in clean])
-    label = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    model.slope, model.shift = _calibrate(top, label)
-    return model
-
-
-def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Border: the margin of least weighted error, halfway between its neighbours; slope from the gap."""
-    order = np.argsort(margin)
-    m, y = margin[order], label[order]
-    miss = np.r_[0, np.cumsum(y)] / max(y.sum(), 1) + np.r_[(1 - y).sum() - np.r_[0, np.cumsum(1 - y)]] / max((1 - y).sum(), 1)
-    best = np.flatnonzero(miss <= miss.min() + 1e-12)
-    i = best[len(best) // 2]
-    lo, hi = m[i - 1] if i else m[0] - 1, m[i] if i < len(m) else m[-1] + 1
-    spread = max(m[y == 1].mean() - m[y == 0].mean(), 1e-3) if 0 < y.sum() < len(y) else 1.0
-    return 8 / spread, float((lo + hi) / 2)
+        x = kernel([codes(every[i]) for i in [*positives, *against]], dense) @ root
+        y = np.r_[np.ones(len(positives)), -np.ones(len(against))]
+        weight = np.r_[[float(in_toxic[every[i]]) for i in positives], np.ones(len(against))]
+        weight[: len(positives)] *= max(len(against), 1) / weight[: len(positives)].sum() / 2
+        w = _svm(x, y, weight.clip(0.5, 50))
+        triples, bias = dense.T.astype(np.float64) @ (root @ w[:-1]), w[-1]
+        machine = Model(triples, bias, np.zeros(0))
+        margin = np.concatenate([machine.margins(every[a : a + 20_000]) for a in range(0, len(every), 20_000)])
+        witness = [i[np.argmax(margin[i] + 0.1 * odds[i])] for i in ids]
+        hard = in_clean_ids[np.argsort(-margin[in_clean_ids])[:2500]]
+        # clean tokens near the border; those far beyond it share a family with insults by chance
+        negatives |= {int(i) for i in hard if -1 < margin[i] < 0.5}
+    rows = np.array([_summary(margin[[number[w] for w in t]], np.array(list(t.values()))) for t in [*toxic, *clean]])
+    return Model(triples, bias, _logistic(rows, np.r_[np.ones(len(toxic)), np.zeros(len(clean))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -233,10 +247,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def distinct(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array([sorted(tokens(t)) for t in batch["text"].to_pylist()], pa.list_(pa.string()))], ["label", "tokens"])
+            found = [sorted(tokens(t).items()) for t in batch["text"].to_pylist()]
+            words, counts = ([[kv[i] for kv in f] for f in found] for i in range(2))
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], ["label", "tokens", "counts"])
 
-    rows = text.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(distinct, "label int, tokens array<string>").toArrow()
-    return fit(sorted(zip(rows["tokens"].to_pylist(), rows["label"].to_pylist(), strict=True)))
+    rows = text.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(distinct, "label int, tokens array<string>, counts array<long>").toArrow()
+    found = sorted(zip(rows["tokens"].to_pylist(), rows["counts"].to_pylist(), rows["label"].to_pylist(), strict=True))
+    return fit([(dict(zip(t, n, strict=True)), y) for t, n, y in found])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,8 +274,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 new = list(set().union(*each).difference(known))
                 for b in range(0, len(new), 5000):
                     known.update(zip(new[b : b + 5000], model.margins(new[b : b + 5000]).tolist(), strict=True))
-                best = [max(t, key=lambda w: (known[w], w)) if t else None for t in each]
-                p = np.array([0.0 if w is None else float(model.probability(np.array(known[w]))) for w in best])
+                p, best = np.zeros(len(each)), [None] * len(each)
+                for i, t in enumerate(each):
+                    if t:
+                        margin = np.fromiter(map(known.__getitem__, t), np.float64, len(t))
+                        p[i] = model.probability(margin, np.fromiter(t.values(), np.int64, len(t)))
+                        top = margin.max()
+                        best[i] = min(w for w in t if known[w] == top)
+                p = np.round(p, 9)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(best, pa.string())], ["id", "score", "predicted", "token"])
 
     out = pick(docs, id=id_col, text=text_col).mapInArrow(scan, f"id {kind}, score double, predicted int, token string")
