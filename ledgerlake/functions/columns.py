@@ -6,7 +6,9 @@ codegen; nothing here runs Python per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's for equal results.
@@ -112,16 +114,25 @@ def parse_amount(c: str | Column) -> Column:
 
 
 def parse_mdy(c: str | Column) -> Column:
-    """m/d/y date text -> date; bad text -> NULL.
+    """Month-day-year date text -> date; bad text -> NULL.
 
-    Four-digit years first; a two-digit year pivots at 69 (00-68 -> 20xx,
-    69-99 -> 19xx) instead of Spark's fixed 20xx.
+    Any mark or blank may separate the parts (1/2/2024, 01-02-24, 1.2.24, Jan 5, 2024), month names
+    may be short or long, and six or eight digits may stand together (01022024). Years of two digits
+    pivot at 69 (00-68 -> 20xx, 69-99 -> 19xx) instead of Spark's fixed 20xx.
     """
-    s = trim_ws(col(c))
-    long_form = F.try_to_date(s, "M/d/yyyy")
-    short = F.try_to_date(s, "M/d/yy")
-    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
-    return F.coalesce(long_form, short)
+    t = F.regexp_replace(trim_ws(col(c)), r"^(\d{2})(\d{2})(\d{4}|\d{2})$", "$1/$2/$3")
+    t = F.regexp_replace(F.regexp_replace(t, r"[^0-9A-Za-z]+", "/"), r"^([A-Za-z]{3})[A-Za-z]*/", "$1/")
+    t = F.regexp_replace(F.regexp_replace(t, r"/([0-5]\d|6[0-8])$", "/20$1"), r"/(69|[7-9]\d)$", "/19$1")
+    return F.coalesce(F.try_to_date(t, "M/d/yyyy"), F.try_to_date(F.initcap(F.regexp_replace(t, "/", " ")), "MMM d yyyy"))
+
+
+def last_per_key(df: DataFrame, by: Sequence[str], order_col: str | None = None) -> DataFrame:
+    """One row per key, the last by `order_col` (ties, or no order column: the greatest row), as a
+    partial aggregate. A request table that names a key twice thus takes effect once."""
+    rest = [c for c in df.columns if c not in by and c != order_col]
+    lead = [F.col(order_col).alias("_order")] if order_col else []
+    pick = F.max(F.struct(*lead, *rest)).alias("_last")
+    return df.groupBy(*by).agg(pick).select(*by, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
 def month_start(c: str | Column) -> Column:

@@ -106,15 +106,15 @@ def budget_upsert(budgets: DataFrame, updates: DataFrame, keys: Sequence[str] |
     the updates, recompute conclusions.
 
     The match lower-cases category and cleaned subcategory unless
-    `case_sensitive`. Several updates of one key: the one with the highest
-    `order_col` wins (all are kept when no order column is given).
+    `case_sensitive`. Several updates of one key: the last by `order_col` wins (without an
+    order column the greatest limit).
     """
     keys = _k(keys)
     upd = updates.withColumn("subcategory", C.clean_subcategory("subcategory"))
     upd = upd.select(*upd.columns, *_match_key(upd, case_sensitive))
-    if order_col:
-        w = Window.partitionBy(*keys, "_mc", "_ms", "effective_date").orderBy(F.col(order_col).desc())
-        upd = upd.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", order_col)
+    order = [order_col] if order_col else []
+    upd = upd.select(*keys, "_mc", "_ms", "effective_date", "limit", "category", "subcategory", "frequency", *order)
+    upd = C.last_per_key(upd, [*keys, "_mc", "_ms", "effective_date"], order_col)
     upd_keys = upd.select(*keys, "_mc", "_ms", "effective_date").distinct()
     base = budgets.select(*budgets.columns, *_match_key(budgets, case_sensitive))
     kept = base.join(upd_keys, on=[*keys, "_mc", "_ms", "effective_date"], how="left_anti").drop("_mc", "_ms")
@@ -125,7 +125,8 @@ def budget_upsert(budgets: DataFrame, updates: DataFrame, keys: Sequence[str] |
 def budget_archive(budgets: DataFrame, requests: DataFrame, as_of: dt.date,
                    keys: Sequence[str] | None = None) -> DataFrame:
     """Stop a line: a 0-limit version effective next month start, or on the version's own
-    date when that lies in the future; replaces a version on that date."""
+    date when that lies in the future; replaces a version on that date. Repeated requests for a line
+    and date stop it once."""
     new_date = F.when(F.col("effective_date") > F.lit(as_of), F.col("effective_date")).otherwise(
         C.next_month_start(F.lit(as_of))
     )

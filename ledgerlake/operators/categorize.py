@@ -5,12 +5,12 @@ description contains it, or is contained in it, vote for their (category,
 subcategory); the most frequent pair wins, ties go to the alphabetically
 first pair, no match gives ('', '').
 
-The containment test is a theta join. It is blocked on n-grams so that only
-pairs sharing the shorter string's leading trigram are ever compared, in a
-single equi-join on (ledger key, blocking key):
-  * a probe string of length >= 3 is keyed by its first trigram, and meets
-    every string having that trigram among its distinct trigrams; `contains`
-    verifies the candidates;
+The containment test is a theta join. It is blocked on n-grams, in a single equi-join on
+(ledger key, blocking key):
+  * a probe string of length >= 3 is keyed by its *rarest* trigram - the one in the fewest strings of
+    the other side - and meets the strings that have it; `contains` verifies the candidates. A common
+    beginning ("POS ", "PAYMENT") therefore costs nothing, and a probe with a trigram that no string
+    has can't be contained anywhere and drops out;
   * a probe of length 1 or 2 is keyed by itself and meets strings having it
     among their distinct 1-/2-grams (equality is containment);
   * the empty probe has the key 'e', which every string carries once (linear:
@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.session import checkpoint_dir
+from ledgerlake.session import shared_dir
 
 
 def _k(keys):
@@ -38,12 +38,13 @@ def _grams(s: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, F.lit(n))))
 
 
-def _probe_key(s: Column) -> Column:
-    """Blocking key of a string looked up as the shorter side."""
+def _probe_keys(s: Column) -> Column:
+    """Candidate blocking keys of a string looked up as the shorter side: all its trigrams, or
+    its one key when shorter."""
     n = F.length(s)
-    return (F.when(n >= 3, F.concat(F.lit("t"), F.substr(s, F.lit(1), F.lit(3))))
-            .when(n >= 1, F.concat(F.lit("s"), s))
-            .otherwise(F.lit("e")))
+    return (F.when(n >= 3, F.transform(_grams(s, 3), lambda g: F.concat(F.lit("t"), g)))
+            .when(n >= 1, F.array(F.concat(F.lit("s"), s)))
+            .otherwise(F.array(F.lit("e"))))
 
 
 def _index_keys(t: Column) -> Column:
@@ -55,45 +56,53 @@ def _index_keys(t: Column) -> Column:
     return F.concat(tri, one, two, F.array(F.lit("e")))
 
 
+def _blocked(probe: DataFrame, index: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, _p, _i) with _i containing _p. The key of a probe is its rarest one in the index."""
+    group = list(group)
+    # the explode multiplies rows by ~3x the string length while its input is small in bytes, so
+    # the strings are spread over the configured shuffle width first
+    width = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = index.repartition(width, *group, "_i").withColumn("_k", F.explode(_index_keys(F.col("_i"))))
+    asked = probe.repartition(width, *group, "_p").withColumn("_ks", _probe_keys(F.col("_p")))
+    asked = asked.withColumn("_n", F.size("_ks")).withColumn("_k", F.explode("_ks")).drop("_ks")
+    frequency = keyed.groupBy(*group, "_k").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = (asked.join(frequency, on=[*group, "_k"]).groupBy(*group, "_p", "_n")
+              .agg(F.count(F.lit(1)).alias("_found"), F.min(F.struct("_df", "_k")).alias("_b"))
+              .filter("_found = _n").select(*group, "_p", F.col("_b._k").alias("_k")))
+    return rarest.join(keyed, on=[*group, "_k"]).filter(F.col("_i").contains(F.col("_p"))).drop("_k")
+
+
 def containment_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """All (keys, x, y) with y containing x or x containing y, in one equi-join.
+    """All (keys, x, y) with y containing x or x containing y, in one blocked join.
 
-    Every string of both sides is probed once (as the possibly shorter side, under
-    one blocking key) and indexed once (under all its keys); a probe row of one side
-    meets index rows of the other side only. Inputs hold distinct non-NULL strings.
+    Every string of both sides is probed once (as the possibly shorter side) and indexed
+    once (under all its keys); a probe row of one side meets index rows of the other
+    side only. Inputs hold distinct non-NULL strings.
     """
     keys = _k(keys)
     probe = (a.select(*keys, F.col(x).alias("_p"), F.lit(0).alias("_side"))
-             .unionByName(b.select(*keys, F.col(y).alias("_p"), F.lit(1).alias("_side")))
-             .withColumn("_k", _probe_key(F.col("_p"))))
-    # the explode multiplies rows by ~3x the string length, while its input (distinct
-    # strings) is small in bytes, so AQE would size that stage as one task: spread the
-    # strings over the cluster's cores first (round-robin, deterministic on recompute)
-    cores = a.sparkSession.sparkContext.defaultParallelism
+             .unionByName(b.select(*keys, F.col(y).alias("_p"), F.lit(1).alias("_side"))))
     index = (b.select(*keys, F.col(y).alias("_i"), F.lit(0).alias("_side"))
-             .unionByName(a.select(*keys, F.col(x).alias("_i"), F.lit(1).alias("_side")))
-             .repartition(cores)
-             .withColumn("_k", F.explode(_index_keys(F.col("_i")))))
-    m = probe.join(index, on=[*keys, "_side", "_k"]).filter(F.col("_i").contains(F.col("_p")))
+             .unionByName(a.select(*keys, F.col(x).alias("_i"), F.lit(1).alias("_side"))))
+    m = _blocked(probe, index, [*keys, "_side"])
     return m.select(*keys, F.when(F.col("_side") == 0, F.col("_p")).otherwise(F.col("_i")).alias(x),
                     F.when(F.col("_side") == 0, F.col("_i")).otherwise(F.col("_p")).alias(y))
 
 
 def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] | None = None,
-                       materialize: bool = True) -> DataFrame:
+                       materialize: bool = False) -> DataFrame:
     """(keys, description, category, subcategory) for every distinct new description.
 
-    With `materialize` the aggregated history is written once to the checkpoint folder
-    (eager, reliable checkpoint) before the blocked join."""
+    With `materialize` and a shared checkpoint folder the aggregated history, which the plan reads
+    more than once, is checkpointed there before the blocked join; by default the plan is lazy."""
     keys = _k(keys)
     hist = (history.filter(F.col("category") != "")
             .groupBy(*keys, F.lower("description").alias("hd"), "category", "subcategory")
             .agg(F.count(F.lit(1)).alias("n")))
     descs = new.select(*keys, "description").distinct().withColumn("nd", F.lower("description"))
-    if materialize:
-        # the aggregated history feeds the blocked join twice and the vote once; checkpoint
-        # it so the ledger is read once (the new descriptions come from the small batch)
-        checkpoint_dir(history.sparkSession)
+    if materialize and shared_dir(history.sparkSession):
+        if not history.sparkSession.sparkContext.getCheckpointDir():
+            history.sparkSession.sparkContext.setCheckpointDir(shared_dir(history.sparkSession))
         hist = hist.checkpoint(eager=True)
     hd = hist.select(*keys, "hd").filter(F.col("hd").isNotNull()).distinct()
     nd = descs.select(*keys, "nd").filter(F.col("nd").isNotNull()).distinct()
@@ -112,7 +121,7 @@ def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] |
 
 
 def auto_categorize(staged: DataFrame, history: DataFrame, keys: Sequence[str] | None = None,
-                    materialize: bool = True) -> DataFrame:
+                    materialize: bool = False) -> DataFrame:
     """Rows with an empty category take the predicted category and subcategory (both);
     other rows are unchanged. Predictions are computed only for those rows' descriptions."""
     keys = _k(keys)

@@ -1,17 +1,18 @@
 """Duplicate handling for imports (E2, C1, C2) and the staging projection.
 
-All three are single shuffles keyed on (keys, date, amount, ...): no pair is
-ever formed outside a bucket of equal ledger, date and amount.
+No pair is formed outside a bucket of equal ledger, date and amount, and inside a bucket texts meet
+only under a shared piece or trigram, so a hot day costs no more than its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as C
+from ledgerlake.operators.categorize import _blocked
 
 GROUP = ["date", "description", "amount", "payer"]
 MATCH = ["date", "amount", "description"]
@@ -49,63 +50,95 @@ def drop_internal_duplicates(staged: DataFrame, order_cols: Sequence[str], keys:
     return first.select(*group, *[F.col(f"_f.{c}").alias(c) for c in [*order_cols, *rest]])
 
 
-SALT_BUCKETS = 8
-
-
-def _salted_duplicate_keys(staged_keys: DataFrame, ledger: DataFrame, equal: list[str], null_safe: list[str],
-                           residual, salt_buckets: int) -> DataFrame:
-    """Staged match keys that have a matching ledger row, computed as a salted semi-join:
-    ledger rows are spread over `salt_buckets` buckets by a hash of (description,
-    payer); every staged key is replicated to all buckets (the staged batch is the
-    small side). A hot (ledger, date, amount) bucket - even one
-    holding a third of the ledger - is thereby split over that many tasks, while every
-    staged key still meets every ledger row, so the result is exact."""
-    spread = [c for c in ("description", "payer") if c in ledger.columns]
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salt_buckets)).cast("int")
-    led = ledger.select(*[F.col(c).alias(f"_l_{c}") for c in [*equal, *null_safe]],
-                        F.lower("description").alias("_l_ld"), salt.alias("_l_salt"))
-    sk = staged_keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    cond = sk["_salt"] == led["_l_salt"]
-    for c in equal:
-        cond = cond & (sk[c] == led[f"_l_{c}"])
-    for c in null_safe:
-        cond = cond & sk[c].eqNullSafe(led[f"_l_{c}"])
-    if residual is not None:
-        cond = cond & residual(sk, led)
-    return sk.join(led, cond, "left_semi").drop("_salt")  # repeats are harmless for the anti-join
-
-
-def dedup_strict(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None,
-                 salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+def dedup_strict(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Drop staged rows whose (date, amount, description) exist in the ledger; NULL matches
-    NULL; repeats inside the batch are kept (all copies of a matching row go)."""
-    keys = _k(keys)
-    cols = [*keys, *MATCH]
-    sk = staged.select(*cols)
-    dup = _salted_duplicate_keys(sk, ledger, keys, MATCH, None, salt_buckets)
-    return staged.alias("s").join(dup.alias("d"), C.null_safe_eq(F.col, None, cols, "s", "d"), "left_anti")
+    NULL; repeats inside the batch are kept (all copies of a matching row go).
+
+    The ledger is reduced to its distinct keys first (partial aggregation collapses a payment that
+    fills a third of it on the map side), so every staged row meets one key at most, and a hot key of
+    the batch is split by the skew join.
+    """
+    cols = [*_k(keys), *MATCH]
+    led = ledger.select(*cols).distinct()
+    return staged.alias("s").join(led.alias("d"), C.null_safe_eq(F.col, None, cols, "s", "d"), "left_anti")
+
+
+PIECES = FUZZY_MAX_DISTANCE + 1
+
+
+def _piece_bounds(length: Column, i: int) -> tuple[Column, Column]:
+    """(start from 0, length) of piece i when a string of `length` is cut into PIECES even pieces."""
+    a = F.floor(length * i / PIECES)
+    return a.cast("int"), (F.floor(length * (i + 1) / PIECES) - a).cast("int")
+
+
+def _ledger_pieces(text: Column) -> Column:
+    """Blocking keys of a ledger text: (its length, piece number, piece)."""
+    n = F.length(text)
+    out = []
+    for i in range(PIECES):
+        a, size = _piece_bounds(n, i)
+        out.append(F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(text, a + 1, size).alias("piece")))
+    return F.array(*out)
+
 
+def _staged_pieces(text: Column) -> Column:
+    """The keys under which a ledger text within FUZZY_MAX_DISTANCE edits must be found: for every length it may
+    have and every piece, the substrings of this text that an untouched piece can be (edits shift it
+    by FUZZY_MAX_DISTANCE at most)."""
+    d = FUZZY_MAX_DISTANCE
+    n = F.length(text)
+    lengths = F.sequence(F.greatest(n - d, F.lit(0)), n + d)
 
-def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None,
-                salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+    def pieces(m, i):
+        a, size = _piece_bounds(m, i)
+        starts = F.sequence(F.greatest(a - d, F.lit(0)), a + d)
+        return F.transform(F.filter(starts, lambda p: p + size <= n), lambda p: F.struct(
+            m.alias("n"), F.lit(i).alias("i"), F.substring(text, p + 1, size).alias("piece")))
+
+    def of_length(m):
+        return F.array_distinct(F.concat(*[pieces(m, i) for i in range(PIECES)]))
+
+    return F.flatten(F.transform(lengths, of_length))
+
+
+def similar_keys(staged_keys: DataFrame, ledger_keys: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, _sd) of the staged texts that resemble a ledger text of their group: fewer than five
+    edits, or contained in it. Inputs hold distinct (group, text) rows, texts not NULL.
+
+    No group is compared pair by pair. Edits: of the five pieces of a text at most four can be touched,
+    so one piece stands unchanged in the other text, near its place; texts meet only under such a
+    piece. Containment: blocked by the rarest trigram (see `categorize`).
+    """
+    group = list(group)
+    s = staged_keys.select(*group, "_sd", F.explode(_staged_pieces(F.col("_sd"))).alias("_q"))
+    r = ledger_keys.select(*group, F.col("_ld"), F.explode(_ledger_pieces(F.col("_ld"))).alias("_q"))
+    near = s.join(r, on=[*group, "_q"]).filter(F.levenshtein("_sd", "_ld", FUZZY_MAX_DISTANCE) >= 0)
+    inside = _blocked(staged_keys.withColumnRenamed("_sd", "_p"), ledger_keys.withColumnRenamed("_ld", "_i"), group)
+    return near.select(*group, "_sd").unionByName(inside.select(*group, F.col("_p").alias("_sd"))).distinct()
+
+
+def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Drop staged rows that some ledger row of the same ledger, date and amount resembles:
     lower-cased Levenshtein distance < 5, or the ledger description contains the staged one.
 
-    Equality on (keys, date, amount) - decimals, so |difference| < 0.01 is equality -
-    with the text test as residual, evaluated once per distinct staged key (salted
-    semi-join, see `_salted_duplicate_keys`). A NULL staged description is dropped
-    whenever a candidate exists; a NULL date or amount is never a duplicate.
+    Equality is on (keys, date, amount) - decimals, so |difference| < 0.01 is equality. Both sides
+    are reduced to distinct texts per (keys, date, amount), and only those of buckets that both sides
+    have are compared, see `similar_keys`. A NULL description on either side of a shared bucket
+    counts as resembling; a NULL date or amount is never a duplicate.
     """
     keys = _k(keys)
     eq = [*keys, "date", "amount"]
     s = staged.withColumn("_sd", F.lower("description"))
-    sk = s.select(*eq, "_sd")
-
-    def similar(a, b):
-        return F.coalesce((F.levenshtein(a["_sd"], b["_l_ld"], FUZZY_MAX_DISTANCE) >= 0)
-                          | b["_l_ld"].contains(a["_sd"]), F.lit(True))
-
-    dup = _salted_duplicate_keys(sk, ledger, eq, [], similar, salt_buckets)
+    sk = s.filter(F.col("date").isNotNull() & F.col("amount").isNotNull()).select(*eq, "_sd").distinct()
+    lk = ledger.select(*eq, F.lower("description").alias("_ld")).distinct()
+    lk = lk.join(sk.select(*eq).distinct(), on=eq, how="left_semi")
+    whole = lk.groupBy(*eq).agg(F.max(F.col("_ld").isNull()).alias("_any"))
+    # a NULL text on one side settles a shared bucket without a comparison
+    open_ = sk.join(whole, on=eq)
+    settled = open_.filter(F.col("_any") | F.col("_sd").isNull()).select(*eq, "_sd")
+    rest = open_.filter(~F.col("_any") & F.col("_sd").isNotNull()).select(*eq, "_sd")
+    dup = settled.unionByName(similar_keys(rest, lk.filter(F.col("_ld").isNotNull()), eq))
     cond = C.null_safe_eq(F.col, None, [*eq, "_sd"], "s", "d")
     return s.alias("s").join(dup.alias("d"), cond, "left_anti").drop("_sd")
 
@@ -113,11 +146,15 @@ def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None
 def ledger_date_bounds(staged: DataFrame, ledger: DataFrame) -> DataFrame:
     """Restrict the ledger to the batch's date range (one tiny aggregate is read back).
 
-    With a ledger stored partitioned by month this turns the dedup scans into
-    a partition-pruned read instead of a full history scan.
+    A ledger stored by month (a `month` column) is read through partition pruning: only the
+    batch's months and the undated partition.
     """
     lo, hi = staged.agg(F.min("date"), F.max("date")).first()
     undated = F.col("date").isNull()  # NULL matches NULL in the strict check
+    if "month" in ledger.columns:
+        month = F.col("month")
+        inside = F.lit(False) if lo is None else (month >= F.lit(lo.replace(day=1))) & (month <= F.lit(hi))
+        ledger = ledger.filter(inside | month.isNull()).drop("month")
     if lo is None:
         return ledger.filter(undated)
     return ledger.filter(((F.col("date") >= F.lit(lo)) & (F.col("date") <= F.lit(hi))) | undated)

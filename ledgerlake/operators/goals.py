@@ -122,11 +122,15 @@ def income_allocation(income: DataFrame, budgets: DataFrame, goals: DataFrame, a
     )
 
 
-def goal_upsert(goals: DataFrame, new_goals: DataFrame, as_of: dt.date, keys: Sequence[str] | None = None) -> DataFrame:
+def goal_upsert(goals: DataFrame, new_goals: DataFrame, as_of: dt.date, keys: Sequence[str] | None = None,
+                order_col: str | None = None) -> DataFrame:
     """Replace goals by exact name; target month floored to the month, created = as_of,
-    not completed."""
+    not completed. Of several new goals of one name the last by `order_col` counts."""
     keys = _k(keys)
-    new = new_goals.select(*keys, C.trim_ws("goal").alias("goal"), F.col("target_amount").cast(C.MONEY).alias("target_amount"),
+    order = [order_col] if order_col else []
+    new = new_goals.withColumn("goal", C.trim_ws("goal")).select(*keys, "goal", "target_amount", "target_month", *order)
+    new = C.last_per_key(new, [*keys, "goal"], order_col)
+    new = new.select(*keys, C.trim_ws("goal").alias("goal"), F.col("target_amount").cast(C.MONEY).alias("target_amount"),
                            F.trunc("target_month", "MM").alias("target_month"),
                            F.lit(as_of).alias("created_date"), F.lit(False).alias("completed"))
     kept = goals.join(new.select(*keys, "goal").distinct(), on=[*keys, "goal"], how="left_anti")
@@ -142,18 +146,24 @@ def goal_delete(goals: DataFrame, progress: DataFrame, requests: DataFrame,
             progress.join(req, on=[*keys, "goal"], how="left_anti"))
 
 
-def goal_progress_upsert(progress: DataFrame, updates: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Set the saved flag per (goal, month): updated rows change, new rows are added."""
+def goal_progress_upsert(progress: DataFrame, updates: DataFrame, keys: Sequence[str] | None = None,
+                         order_col: str | None = None) -> DataFrame:
+    """Set the saved flag per (goal, month): updated rows change, new rows are added. Of several
+    updates of a (goal, month) the last by `order_col` counts."""
     keys = _k(keys)
-    upd = updates.select(*keys, "goal", "month", F.col("saved").alias("_new"))
+    order = [order_col] if order_col else []
+    upd = C.last_per_key(updates.select(*keys, "goal", "month", F.col("saved").alias("_new"), *order),
+                         [*keys, "goal", "month"], order_col)
     j = progress.join(upd, on=[*keys, "goal", "month"], how="full_outer")
     return j.select(*keys, "goal", "month", F.coalesce("_new", "saved").alias("saved"))
 
 
-def goal_completion_update(goals: DataFrame, updates: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Completion flags set by goal name."""
+def goal_completion_update(goals: DataFrame, updates: DataFrame, keys: Sequence[str] | None = None,
+                           order_col: str | None = None) -> DataFrame:
+    """Completion flags set by goal name; of several updates the last by `order_col` counts."""
     keys = _k(keys)
-    upd = updates.groupBy(*keys, "goal").agg(F.max("completed").alias("_c"))
+    order = [order_col] if order_col else []
+    upd = C.last_per_key(updates.select(*keys, "goal", F.col("completed").alias("_c"), *order), [*keys, "goal"], order_col)
     j = goals.join(upd, on=[*keys, "goal"], how="left")
     return j.withColumn("completed", F.coalesce("_c", "completed")).drop("_c")
 
@@ -165,17 +175,26 @@ def goal_link_allocation(expenses: DataFrame, links: DataFrame, keys: Sequence[s
     subcategory is '' or equal, and the date is inside [start, end] (end NULL
     = open). Of several matching links the latest start wins, then the first
     goal name. Expenses are pre-aggregated to (keys, category, subcategory,
-    date) before the range join, so the join works on days, not rows.
+    date); links are exploded to the months they cover (within the ledger's own dates), so the
+    range join is an equi-join on category and month that a day enters once per link in force.
     """
     keys = _k(keys)
     day = expenses.filter(F.col("date").isNotNull()).groupBy(*keys, "category", "subcategory", "date").agg(
         F.sum("amount").alias("total"), F.count(F.lit(1)).alias("transactions"))
+    day = day.withColumn("_month", F.trunc("date", "MM"))
     lk = links.select(*keys, "goal", "category", F.col("subcategory").alias("_ls"), "start_date", "end_date")
+    span = day.groupBy(*keys).agg(F.min("_month").alias("_lo"), F.max("_month").alias("_hi"))
+    lk = C.join_keys(lk, span, keys)
+    first = F.greatest(F.trunc("start_date", "MM"), F.col("_lo"))
+    last = F.least(F.trunc(F.coalesce("end_date", "_hi"), "MM"), F.col("_hi"))
+    lk = lk.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last")
+    lk = lk.withColumn("_month", F.explode(F.sequence("_first", "_last", F.expr("interval 1 month")))).drop(
+        "_first", "_last", "_lo", "_hi")
     in_range = (F.col("date") >= F.col("start_date")) & (F.col("end_date").isNull() | (F.col("date") <= F.col("end_date")))
-    exact = day.join(lk.filter(F.col("_ls") != ""), on=[*keys, "category"]).filter(
-        (F.col("_ls") == F.col("subcategory")) & in_range)
-    wild = day.join(lk.filter(F.col("_ls") == ""), on=[*keys, "category"]).filter(in_range)
-    m = exact.unionByName(wild)
+    exact = day.join(lk.filter(F.col("_ls") != "").withColumn("subcategory", F.col("_ls")),
+                     on=[*keys, "category", "subcategory", "_month"]).filter(in_range)
+    wild = day.join(lk.filter(F.col("_ls") == ""), on=[*keys, "category", "_month"]).filter(in_range)
+    m = exact.unionByName(wild.select(*exact.columns))
     best = m.groupBy(*keys, "category", "subcategory", "date", "total", "transactions").agg(
         F.min_by("goal", F.struct(-F.unix_date("start_date"), "goal")).alias("goal"))
     return best.groupBy(*keys, "goal").agg(F.sum("total").alias("total"), F.sum("transactions").alias("transactions"))

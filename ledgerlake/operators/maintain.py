@@ -94,24 +94,29 @@ def dimension_values(expenses: DataFrame, budgets: DataFrame, goals: DataFrame,
     )
     per_ledger = F.array(item("month", F.lit(as_of.replace(day=1).isoformat())),
                          *[item("payer", F.lit(p)) for p in default_payers])
+    # a ledger may have budgets or goals before its first expense
+    ledgers = expenses.select(*keys).union(budgets.select(*keys)).union(goals.select(*keys)).distinct() if keys else (
+        expenses.sparkSession.range(1).select())
     rows = expenses.select(*keys, F.explode(e_items).alias("_d")).unionByName(
         budgets.select(*keys, F.explode(F.array(*common)).alias("_d"))).unionByName(
         goals.select(*keys, F.explode(F.array(item("goal", F.col("goal")))).alias("_d"))).unionByName(
-        expenses.select(*keys).distinct().select(*keys, F.explode(per_ledger).alias("_d")))
+        ledgers.select(*keys, F.explode(per_ledger).alias("_d")))
     out = rows.select(*keys, "_d.dimension", "_d.value", "_d.value2").filter(F.col("value").isNotNull())
     return out.distinct()
 
 
 def staged_edit(staged: DataFrame, edits: DataFrame | None = None, deletes: DataFrame | None = None,
-                drop_flagged: bool = True, keys: Sequence[str] | None = None) -> DataFrame:
+                drop_flagged: bool = True, keys: Sequence[str] | None = None,
+                order_col: str | None = None) -> DataFrame:
     """G13 + G14: bulk edit of staged rows by id - category and payer only when the edit gives a
     non-empty value, subcategory always (cleaned) - then delete rows by id and drop rows
-    flagged as duplicates."""
+    flagged as duplicates. Of several edits of an id the last by `order_col` counts."""
     keys = _k(keys)
     out = staged
     if edits is not None:
         e = edits.select(*keys, "id", F.col("category").alias("_ec"), F.col("subcategory").alias("_es"),
-                         F.col("payer").alias("_ep"), F.lit(True).alias("_hit"))
+                         F.col("payer").alias("_ep"), F.lit(True).alias("_hit"), *([order_col] if order_col else []))
+        e = C.last_per_key(e, [*keys, "id"], order_col)
         j = out.join(e, on=[*keys, "id"], how="left")
         hit = F.col("_hit") == F.lit(True)
         out = j.select(
@@ -137,8 +142,10 @@ def validate_expense_entries(entries: DataFrame, goals: DataFrame, keys: Sequenc
     keys = _k(keys)
     names = goals.select(*keys, F.col("goal").alias("category")).distinct().withColumn("_known", F.lit(True))
     e = entries.withColumn("expense_type", C.normalize_expense_type("expense_type"))
-    j = e.join(names, on=[*keys, "category"], how="left")
     goal = F.col("expense_type") == C.TYPE_GOAL
+    # only Goal entries need the goal names; the others don't move
+    j = e.filter(goal).join(names, on=[*keys, "category"], how="left")
+    j = j.unionByName(e.filter(~goal).withColumn("_known", F.lit(None).cast("boolean")))
     checks = [
         F.col("date").isNull(),
         C.trim_ws(F.coalesce("description", F.lit(""))) == "",
@@ -151,10 +158,12 @@ def validate_expense_entries(entries: DataFrame, goals: DataFrame, keys: Sequenc
     return j.select(*cols, errs.alias("errors")).withColumn("valid", F.col("errors") == "")
 
 
-def _patch_values(patches: DataFrame, keys, row_key: Sequence[str], rules: dict) -> tuple[DataFrame, DataFrame]:
-    """Typed candidate value + validity per patch; returns (accepted aggregated per row, rejected)."""
+def _patch_values(patches: DataFrame, keys, row_key: Sequence[str], rules: dict,
+                  order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Typed candidate value + validity per patch; returns (accepted aggregated per row, rejected).
+    Of several accepted patches of one cell the last by `order_col` counts."""
     col = F.col("column")
-    typed = patches.select(*keys, *row_key, "column", "value",
+    typed = patches.select(*keys, *row_key, "column", "value", *([order_col] if order_col else []),
                            *[F.when(col == name, expr).alias(f"_new_{name}") for name, (expr, _ok) in rules.items()])
     ok = None
     for name, (_expr, cond) in rules.items():
@@ -162,20 +171,34 @@ def _patch_values(patches: DataFrame, keys, row_key: Sequence[str], rules: dict)
     typed = typed.withColumn("_ok", F.coalesce(ok.otherwise(F.lit(False)), F.lit(False)))
     rejected = typed.filter(~F.col("_ok")).select(*keys, *row_key, "column", "value")
     acc = typed.filter(F.col("_ok")).groupBy(*keys, *row_key).agg(
-        *[F.max(f"_new_{name}").alias(f"_new_{name}") for name in rules],
+        *[_latest(name, order_col).alias(f"_new_{name}") for name in rules],
         *[F.max(F.when(col == name, F.lit(True))).alias(f"_set_{name}") for name in rules])
     return acc, rejected
 
 
-def _apply(df: DataFrame, acc: DataFrame, keys, row_key, rules) -> DataFrame:
+def _latest(name: str, order_col: str | None):
+    new = F.col(f"_new_{name}")
+    if order_col is None:
+        return F.max(new)
+    return F.max_by(new, F.when(F.col("column") == name, F.col(order_col)))
+
+
+def _apply(df: DataFrame, acc: DataFrame, keys, row_key, rules, first_only: bool = False) -> DataFrame:
+    """Patched rows; with `first_only` just the first row (by its other columns) of a repeated key."""
+    hit = F.lit(True)
+    cols = df.columns
+    if first_only:
+        rest = [c for c in cols if c not in row_key and c not in keys]
+        df = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, *row_key).orderBy(*rest)))
+        hit = F.col("_nth") == 1
     j = df.join(acc, on=[*keys, *row_key], how="left")
-    out = [F.when(F.col(f"_set_{c}") == F.lit(True), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-           if c in rules else F.col(c) for c in df.columns]
+    out = [F.when(hit & (F.col(f"_set_{c}") == F.lit(True)), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+           if c in rules else F.col(c) for c in cols]
     return j.select(*out)
 
 
 def patch_expenses(ledger: DataFrame, patches: DataFrame, row_key: Sequence[str] = ("row_id",),
-                   keys: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                   keys: Sequence[str] | None = None, order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Set one column of one ledger row per patch (row_key, column, value).
 
     Per-column rules: date must parse (yyyy-MM-dd); amount is stripped of
@@ -196,11 +219,12 @@ def patch_expenses(ledger: DataFrame, patches: DataFrame, row_key: Sequence[str]
         "payer": (C.trim_ws(val), F.lit(True)),
         "expense_type": (C.normalize_expense_type(val), F.lit(True)),
     }
-    acc, rejected = _patch_values(patches, keys, row_key, rules)
+    acc, rejected = _patch_values(patches, keys, row_key, rules, order_col)
     return _apply(ledger, acc, keys, row_key, rules), rejected
 
 
-def patch_budgets(budgets: DataFrame, patches: DataFrame, keys: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def patch_budgets(budgets: DataFrame, patches: DataFrame, keys: Sequence[str] | None = None,
+                  order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Budget patch addressed by (category, subcategory, effective_date): limit (>= 0 after
     stripping), category (non-empty) or subcategory ('(Unspecified)' -> ''); conclusions are
     recomputed afterwards. Returns (budgets, rejected patches)."""
@@ -214,8 +238,8 @@ def patch_budgets(budgets: DataFrame, patches: DataFrame, keys: Sequence[str] |
         "category": (C.trim_ws(val), C.trim_ws(val) != ""),
         "subcategory": (F.when(sub == C.UNSPECIFIED, F.lit("")).otherwise(C.clean_subcategory(sub)), F.lit(True)),
     }
-    acc, rejected = _patch_values(patches, keys, row_key, rules)
-    return B.budget_history(_apply(budgets, acc, keys, row_key, rules), keys), rejected
+    acc, rejected = _patch_values(patches, keys, row_key, rules, order_col)
+    return B.budget_history(_apply(budgets, acc, keys, row_key, rules, first_only=True), keys), rejected
 
 
 def _errors(df: DataFrame, checks: Sequence[tuple[str, object]]) -> DataFrame:

@@ -30,6 +30,17 @@ def stage_statements(statements: DataFrame, ledger: DataFrame, order_col: str =
     return D.dedup_fuzzy(st, ledger, keys)
 
 
+def staging_counts(statements: DataFrame, ledger: DataFrame, order_col: str = "seq",
+                   keys: Sequence[str] | None = None) -> DataFrame:
+    """I4: per ledger the statement rows read, those kept and the duplicates removed."""
+    keys = _k(keys)
+    kept = stage_statements(statements, ledger, order_col, keys)
+    one = statements.select(*keys, F.lit(1).alias("read"), F.lit(0).alias("kept")).unionByName(
+        kept.select(*keys, F.lit(0).alias("read"), F.lit(1).alias("kept")))
+    n = one.groupBy(*keys).agg(F.sum("read").alias("read"), F.sum("kept").alias("kept"))
+    return n.withColumn("removed", F.col("read") - F.col("kept"))
+
+
 def import_batch(ledger: DataFrame, staged: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Chosen staged rows -> strict duplicate check (C1) -> type 'Monthly' -> append (G1)."""
     keys = _k(keys)
@@ -54,16 +65,23 @@ def months_of_budgets(budgets: DataFrame, until: DataFrame, keys: Sequence[str])
         "_first", "_last", "_until")
 
 
-def report_bundle(scoped: DataFrame, budgets: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """The report summary (D8) of every month that has monthly-scope spending, per ledger,
-    in one pass: category totals per month, full-outer-joined with the budget snapshot of
+def report_months(scoped: DataFrame, as_of: dt.date, keys: Sequence[str]) -> DataFrame:
+    """(keys, month) of every month with spending of either scope, and the as_of month of every ledger."""
+    dated = scoped.filter(F.col("date").isNotNull())
+    each = F.array(C.month_start("date"), F.lit(as_of.replace(day=1)))
+    return dated.select(*keys, F.explode(each).alias("month")).distinct()
+
+
+def report_bundle(scoped: DataFrame, budgets: DataFrame, as_of: dt.date, keys: Sequence[str] | None = None) -> DataFrame:
+    """The report summary (D8) of every month that has spending of either scope, and of the
+    as_of month, per ledger, in one pass: category totals per month, full-outer-joined with the budget snapshot of
     that month's first day (range join rewritten as an explode of the SCD ranges + equi-join
     on month)."""
     keys = _k(keys)
     exp = R.monthly_scope(scoped).filter(F.col("date").isNotNull())
     cats = exp.groupBy(*keys, C.month_start("date").alias("month"), "category",
                        C.label_subcategory("subcategory").alias("subcategory")).agg(F.sum("amount").alias("total"))
-    months = cats.select(*keys, "month").distinct()
+    months = report_months(scoped, as_of, keys)
     until = months.groupBy(*keys).agg(F.max("month").alias("_until"))
     bm = months_of_budgets(budgets, until, keys).join(months, on=[*keys, "month"])
     bm = B.with_monthly_limit(bm).select(*keys, "month", "category",
@@ -71,6 +89,8 @@ def report_bundle(scoped: DataFrame, budgets: DataFrame, keys: Sequence[str] | N
     j = bm.join(cats, on=[*keys, "month", "category", "subcategory"], how="full_outer")
     zero = F.lit(0).cast(C.MONEY)
     j = j.select(*keys, "month", F.coalesce("limit_x12", zero).alias("limit_x12"), F.coalesce("total", zero).alias("total"))
+    # a month without budgets or monthly spending still has its (zero) row
+    j = j.unionByName(months.select(*keys, "month", zero.alias("limit_x12"), zero.alias("total")))
     s = R.report_summary(j, [*keys, "month"])
     return s.withColumnRenamed("month", "report_month")
 

@@ -24,6 +24,7 @@ from ledgerlake.plans import jobs as J
 from ledgerlake.plans import sinks
 from ledgerlake.sources.statements import read_statement_files
 from ledgerlake.sources.tables import clean_expenses
+from ledgerlake.streaming import ingest
 
 
 def import_statements_job(spark: SparkSession, statement_paths: Sequence[str] | str, ledger: DataFrame,
@@ -44,6 +45,13 @@ def import_statements_job(spark: SparkSession, statement_paths: Sequence[str] |
     return sinks.write_snapshot(clean_expenses(new, keys), out_base, "expenses", snapshot_id)
 
 
+def import_append_job(spark: SparkSession, statement_paths: Sequence[str] | str, ledger_path: str, batch_id: int,
+                      keys_value: dict | None = None, file_keys: DataFrame | None = None, categorize: bool = True) -> None:
+    """Import statement files into a ledger stored by month and batch: only the batch is written."""
+    ingest.ingest_files(spark, [statement_paths] if isinstance(statement_paths, str) else list(statement_paths),
+                        ledger_path, batch_id, keys_value, file_keys, categorize)
+
+
 def monthly_report_job(expenses: DataFrame, budgets: DataFrame, goals: DataFrame, out_base: str,
                        report_month: dt.date | str, today: dt.date,
                        keys: Sequence[str] | None = None) -> dict[str, str]:
@@ -52,7 +60,7 @@ def monthly_report_job(expenses: DataFrame, budgets: DataFrame, goals: DataFrame
     scoped = R.scope_expenses(expenses, goals, keys)
     parts = J.report_parts(scoped, expenses, budgets, report_month, today, keys)
     parts["summary"] = R.report_summary(parts["report"], keys)
-    parts["monthly_summaries"] = J.report_bundle(scoped, budgets, keys)
+    parts["monthly_summaries"] = J.report_bundle(scoped, budgets, today, keys)
     label = report_month if isinstance(report_month, str) else report_month.strftime("%Y-%m")
     return sinks.write_report_bundle(parts, out_base, label)
 

@@ -572,7 +572,8 @@ q("report_bundle", f"""
 , cats AS (SELECT household_id, CAST(date_trunc('month', date) AS DATE) AS month, category,
                   {label_sub('subcategory')} AS subcategory, sum(amount) AS total
            FROM scoped WHERE budget_scope = 'Monthly' AND date IS NOT NULL GROUP BY 1, 2, 3, 4),
-  months AS (SELECT DISTINCT household_id, month FROM cats),
+  months AS (SELECT DISTINCT household_id, unnest([CAST(date_trunc('month', date) AS DATE), DATE '2000-06-01']) AS month
+             FROM scoped WHERE date IS NOT NULL),
   snap AS (SELECT m.household_id, m.month, b.category, b.subcategory, b."limit", b.frequency
            FROM months m JOIN budgets b ON b.household_id = m.household_id AND b.effective_date <= m.month
            QUALIFY row_number() OVER (PARTITION BY m.household_id, m.month, b.category, b.subcategory
@@ -582,7 +583,8 @@ q("report_bundle", f"""
   j AS (SELECT coalesce(s.household_id, c.household_id) AS household_id, coalesce(s.month, c.month) AS month,
                coalesce(s.limit_x12, 0) AS limit_x12, coalesce(c.total, 0) AS total
         FROM s FULL OUTER JOIN cats c ON s.household_id = c.household_id AND s.month = c.month
-                                     AND s.category = c.category AND s.subcategory = c.subcategory)
+                                     AND s.category = c.category AND s.subcategory = c.subcategory
+        UNION ALL SELECT household_id, month, 0, 0 FROM months)
 SELECT household_id, month AS report_month, CAST(sum(limit_x12) AS DOUBLE) / 12.0 AS total_limit,
        CAST(sum(total) AS DOUBLE) AS total_spent,
        CAST(sum(limit_x12) - sum(total) * 12 AS DOUBLE) / 12.0 AS difference,

@@ -377,7 +377,7 @@ def patch_budgets(spark, d):
 
 
 def report_bundle(spark, d):
-    return finish(J.report_bundle(_scoped(spark, d), V.budgets(spark, d), K))
+    return finish(J.report_bundle(_scoped(spark, d), V.budgets(spark, d), V.AS_OF, K))
 
 
 def trend_by_category_selected(spark, d):

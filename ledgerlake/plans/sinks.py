@@ -31,8 +31,8 @@ def read_snapshot(spark: SparkSession, base: str, table: str, snapshot_id: str)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """A7, reference layout: header CSV, NULL written as an empty field."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """A7, file layout: header CSV, NULL written as an empty field, quotes doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def backup(tables: Mapping[str, DataFrame], base: str, backup_date: dt.date) -> list[str]:
@@ -59,6 +59,15 @@ def write_report_bundle(parts: Mapping[str, DataFrame], base: str, report_month:
     return out
 
 
+def append_batch(new: DataFrame, ledger_path: str, batch_id: int) -> None:
+    """Append one import to the ledger stored as `month=.../batch_id=...`: writes only the batch's own
+    partitions, and a replay of the batch rewrites the same ones (dynamic partition overwrite). No
+    earlier row is read or written."""
+    (with_month_partition(new.withColumn("batch_id", F.lit(batch_id)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("month", "batch_id").parquet(ledger_path))
+
+
 def with_month_partition(df: DataFrame, col: str = "date") -> DataFrame:
     """Add the month partition column used for ledger storage (prunes month/range filters)."""
     return df.withColumn("month", F.trunc(F.col(col), "MM"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -36,20 +35,11 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (spark.checkpoint.dir).
-
-    Only when neither the session nor the context names one (local tests) a
-    fresh scratch folder is created; it is given to the SparkContext (the
-    session setting itself cannot be changed at runtime).
-    """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="ledgerlake-ckpt-", dir="/tmp")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(d)
-    return d
+def shared_dir(spark: SparkSession) -> str | None:
+    """The shared folder for intermediate tables and stream state: `spark.checkpoint.dir`, or the
+    context's checkpoint folder. None when neither is set: then plans run lazily and nothing
+    intermediate is written - there is no machine-local stand-in."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 # Settings for a large cluster (hundreds of executors, ~100 TB of ledger data). Shuffle

@@ -1,15 +1,15 @@
 """Bank / card statement ingestion.
 
-Each layout adapter maps a DataFrame of string columns (named as in the
-file's header, or _c0.. for headerless files) to the common statement shape
-(keys, date, description, amount, category, payer). Files are read as strings
-and selected by name; `read_statement_files` groups files by their exact
-header line so one read never mixes layouts.
+A layout is a set of column expressions over its file's columns: what to keep, and the common
+statement columns (date, description, amount, category, payer). The adapters apply them to
+DataFrames of named string columns; `read_statement_files` applies all of them in one scan over
+files of any layout, finding each column by its place in the file's own header row. Cells are
+trimmed, and empty and 'NA' cells are NULL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,60 +57,91 @@ def payer_from_member(member: str | Column, rules: Sequence[tuple[str, str]] = D
     return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
 
 
-def _num(c: str) -> Column:
-    """readr col_double on a text cell: the number or NULL."""
-    return C.trim_ws(F.col(f"`{c}`")).try_cast(C.MONEY)
+def _cell(c: Column) -> Column:
+    """A text cell: trimmed; '' and the token 'NA' are NULL."""
+    v = C.trim_ws(c)
+    return F.when(v.isin("", "NA"), F.lit(None)).otherwise(v)
 
 
-def _out(df: DataFrame, keys, date, desc, amount, category, payer) -> DataFrame:
-    return df.select(*keys, date.alias("date"), desc.alias("description"), amount.cast(C.MONEY).alias("amount"),
-                     category.alias("category"), payer.alias("payer"))
+def _num(c: Column) -> Column:
+    """The number of a cell, or NULL."""
+    return c.try_cast(C.MONEY)
+
+
+Cells = Callable[[str], Column]
+
+
+def _card(cell: Cells, rules=DEFAULT_PAYER_RULES) -> dict[str, Column]:
+    debit = _num(cell("Debit"))
+    return {"keep": debit > 0, "date": cell("Date"), "description": cell("Description"), "amount": debit,
+            "category": F.lit(""), "payer": payer_from_member(cell("Member Name"), rules)}
+
+
+def _sale(cell: Cells) -> dict[str, Column]:
+    amt = _num(cell("Amount"))
+    return {"keep": (cell("Type") == "Sale") & (amt < 0), "date": cell("Transaction Date"),
+            "description": cell("Description"), "amount": F.abs(amt), "category": cell("Category"),
+            "payer": F.lit(DEFAULT_PAYER)}
+
+
+def _simple(cell: Cells) -> dict[str, Column]:
+    amt = _num(cell("Amount"))
+    return {"keep": amt > 0, "date": cell("Trans. Date"), "description": cell("Description"), "amount": amt,
+            "category": cell("Category"), "payer": F.lit(DEFAULT_PAYER)}
+
+
+def _bank(cell: Cells) -> dict[str, Column]:
+    amt = _num(cell("Amount"))
+    return {"keep": (cell("Details") == "DEBIT") & (amt < 0), "date": cell("Posting Date"),
+            "description": cell("Description"), "amount": F.abs(amt), "category": F.lit(""),
+            "payer": F.lit(DEFAULT_PAYER)}
+
+
+def _headerless(cell: Cells) -> dict[str, Column]:
+    amt = _num(cell("_c1"))
+    return {"keep": amt < 0, "date": cell("_c0"), "description": cell("_c4"), "amount": F.abs(amt),
+            "category": F.lit(""), "payer": F.lit(DEFAULT_PAYER)}
+
+
+LAYOUTS: dict[str, Callable[..., dict[str, Column]]] = {
+    "card": _card, "sale": _sale, "simple": _simple, "bank": _bank, HEADERLESS: _headerless}
+
+
+def _adapt(df: DataFrame, keys, exprs: dict[str, Column]) -> DataFrame:
+    return df.filter(exprs["keep"]).select(
+        *_k(keys), C.parse_mdy(exprs["date"]).alias("date"), exprs["description"].alias("description"),
+        exprs["amount"].cast(C.MONEY).alias("amount"), exprs["category"].alias("category"), exprs["payer"].alias("payer"))
+
+
+def _named(name: str) -> Column:
+    return _cell(F.col(f"`{name}`"))
 
 
 def card(df: DataFrame, keys: Sequence[str] | None = None,
          rules: Sequence[tuple[str, str]] = DEFAULT_PAYER_RULES) -> DataFrame:
     """A10: keep Debit > 0; amount = Debit; category ''; payer from the member name."""
-    keys = _k(keys)
-    debit = _num("Debit")
-    kept = df.filter(debit.isNotNull() & (debit > 0))
-    return _out(kept, keys, C.parse_mdy("Date"), F.col("Description"), debit, F.lit(""),
-                payer_from_member(F.col("`Member Name`"), rules))
+    return _adapt(df, keys, _card(_named, rules))
 
 
 def sale(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Keep Type = 'Sale' and Amount < 0; amount = |Amount|; bank category kept."""
-    keys = _k(keys)
-    amt = _num("Amount")
-    kept = df.filter((F.col("Type") == "Sale") & (amt < 0))
-    return _out(kept, keys, C.parse_mdy(F.col("`Transaction Date`")), F.col("Description"), F.abs(amt),
-                F.col("Category"), F.lit(DEFAULT_PAYER))
+    return _adapt(df, keys, _sale(_named))
 
 
 def simple(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Keep Amount > 0; bank category kept."""
-    keys = _k(keys)
-    amt = _num("Amount")
-    kept = df.filter(amt > 0)
-    return _out(kept, keys, C.parse_mdy(F.col("`Trans. Date`")), F.col("Description"), amt,
-                F.col("Category"), F.lit(DEFAULT_PAYER))
+    return _adapt(df, keys, _simple(_named))
 
 
 def bank(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Keep Details = 'DEBIT' and Amount < 0; amount = |Amount|; category ''."""
-    keys = _k(keys)
-    amt = _num("Amount")
-    kept = df.filter((F.col("Details") == "DEBIT") & (amt < 0))
-    return _out(kept, keys, C.parse_mdy(F.col("`Posting Date`")), F.col("Description"), F.abs(amt),
-                F.lit(""), F.lit(DEFAULT_PAYER))
+    return _adapt(df, keys, _bank(_named))
 
 
 def headerless(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Column 1 date, 2 amount, 5 description; keep non-NULL amount < 0. An unknown
     header row falls out because its amount does not parse."""
-    keys = _k(keys)
-    amt = _num("_c1")
-    kept = df.filter(amt.isNotNull() & (amt < 0))
-    return _out(kept, keys, C.parse_mdy("_c0"), F.col("_c4"), F.abs(amt), F.lit(""), F.lit(DEFAULT_PAYER))
+    return _adapt(df, keys, _headerless(_named))
 
 
 ADAPTERS = {"card": card, "sale": sale, "simple": simple, "bank": bank, HEADERLESS: headerless}
@@ -126,43 +157,82 @@ def union_statements(frames: Sequence[DataFrame]) -> DataFrame:
 
 # ---- files ----------------------------------------------------------------------------------
 
+#: columns read of a file; further ones belong to no layout
+MAX_COLUMNS = 16
+MIN_HEADERLESS_COLUMNS = 5
+
+
+def _scan(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """(path, _row, cells, _raw) of every record of every file, header rows included; `_row` ascends
+    within a file. Quotes inside quoted fields are doubled, as statements and spreadsheets write them."""
+    names = [f"_c{i}" for i in range(MAX_COLUMNS)]
+    schema = ", ".join(f"{c} string" for c in names) + ", _raw string"
+    rows = (spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").csv(paths))
+    first = F.regexp_replace(F.col("_c0"), "^\ufeff", "")
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_row"),
+                       F.array(first, *names[1:]).alias("cells"), "_raw")
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """(path, header, columns, format) per file: its first record, and that record's column count."""
+    first = rows.groupBy("path").agg(F.min_by(F.struct("cells", "_raw"), "_row").alias("f"))
+    # a record of other than MAX_COLUMNS fields comes with its raw text; commas inside quotes don't separate
+    count = F.size(F.split(F.regexp_replace("f._raw", r'"[^"]*"', ""), ","))
+    return first.select("path", F.transform("f.cells", lambda h: C.trim_ws(h)).alias("header"), F.coalesce(count, F.lit(MAX_COLUMNS)).alias("columns"),
+                        F.concat_ws(",", "f.cells").alias("first_line"), detect_format(F.concat_ws(",", "f.cells")).alias("format"))
+
+
 def statement_headers(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """(path, first_line, format) per file, computed on the executors.
+    """A9 on files: (path, first_line, format) per file, computed on the executors."""
+    return _heads(_scan(spark, paths)).select("path", "first_line", "format")
 
-    The first line of a file is the line with the lowest position among the
-    splits that start at byte 0.
-    """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"),
-                                          F.col("_metadata.file_block_start").alias("_start"))
-    lines = lines.withColumn("_pos", F.monotonically_increasing_id())
-    first = lines.filter(F.col("_start") == 0).groupBy("path").agg(F.min_by("value", "_pos").alias("first_line"))
-    first = first.withColumn("first_line", F.regexp_replace("first_line", "^﻿", ""))
-    return first.withColumn("format", detect_format("first_line"))
+
+def rejected_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """(path, first_line, columns): files no layout can read (no known header and too few columns).
+    `read_statement_files` leaves them out and imports the rest; empty files have no record at all."""
+    heads = _heads(_scan(spark, paths))
+    return heads.filter((F.col("format") == HEADERLESS) & (F.col("columns") < MIN_HEADERLESS_COLUMNS)).select(
+        "path", "first_line", "columns")
 
 
-def read_statement_files(spark: SparkSession, paths: Sequence[str] | str, keys_value: dict | None = None) -> DataFrame:
+def read_statement_files(spark: SparkSession, paths: Sequence[str] | str, keys_value: dict | None = None,
+                         file_keys: DataFrame | None = None) -> DataFrame:
     """Read statement files of any layout and return the A15 union with file order.
 
-    Files are grouped by their exact header line (one small row per file is
-    brought to the driver to plan the reads); each group is read as strings
-    with its header, adapted, then all groups are unioned. `keys_value` adds
-    constant key columns (e.g. {'household_id': 7}). Output adds `path` and
-    `seq` (position in file order).
+    One scan reads all files; the plan doesn't grow with them and nothing is brought to the driver.
+    Every file's layout comes from its first record, and a layout's columns are found by their place
+    in that record. `keys_value` adds constant key columns (e.g. {'household_id': 7}); `file_keys`
+    (path, key columns...) gives each file its own, as one row per full file path. Output adds `path`
+    and `seq`, a text id that is unique over all files and ascends in (path, row) order.
     """
-    heads = statement_headers(spark, paths).collect()  # one row per file
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in heads:
-        groups.setdefault((r["format"], r["first_line"]), []).append(r["path"])
-    frames = []
-    for (fmt, _line), files in sorted(groups.items()):
-        header = fmt != HEADERLESS
-        raw = spark.read.option("header", header).option("multiLine", True).csv(files)
-        if not header:
-            raw = raw.toDF(*[f"_c{i}" for i in range(len(raw.columns))])
-        raw = raw.withColumn("path", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
-        for k, v in (keys_value or {}).items():
-            raw = raw.withColumn(k, F.lit(v))
-        keys = list((keys_value or {}).keys()) + ["path", "_row"]
-        frames.append(ADAPTERS[fmt](raw, keys))
-    out = union_statements(frames)
-    return out.withColumnRenamed("_row", "seq")
+    rows = _scan(spark, paths)
+    heads = _heads(rows)
+    heads = heads.filter((F.col("format") != HEADERLESS) | (F.col("columns") >= MIN_HEADERLESS_COLUMNS))
+    rows = rows.drop("_raw").join(heads.select("path", "header", "format"), "path")
+
+    def by_header(name: str) -> Column:
+        place = F.array_position("header", name)
+        return _cell(F.when(place > 0, F.element_at("cells", place.cast("int"))))
+
+    def by_place(name: str) -> Column:
+        return _cell(F.element_at("cells", int(name[2:]) + 1))
+
+    layouts = {f: make(by_place if f == HEADERLESS else by_header) for f, make in LAYOUTS.items()}
+
+    def pick(column: str) -> Column:
+        out = None
+        for f, exprs in layouts.items():
+            out = F.when(F.col("format") == f, exprs[column]) if out is None else out.when(F.col("format") == f, exprs[column])
+        return out
+
+    keys = []
+    for k, v in (keys_value or {}).items():
+        rows, keys = rows.withColumn(k, F.lit(v)), [*keys, k]
+    if file_keys is not None:
+        keys += [c for c in file_keys.columns if c != "path"]
+        rows = rows.join(file_keys, "path")
+    seq = F.concat(F.col("path"), F.lit("#"), F.lpad(F.col("_row").cast("string"), 19, "0"))
+    kept = rows.filter(pick("keep")).select(
+        *keys, "path", seq.alias("seq"), *[pick(c).alias(c) for c in ("date", "description", "amount", "category", "payer")])
+    return kept.withColumns({"date": C.parse_mdy("date"), "amount": F.col("amount").cast(C.MONEY)})

@@ -75,7 +75,7 @@ def _k(keys):
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV, every column a string; NA tokens '' and 'NA' -> NULL, fields trimmed; names
     mapped to snake case (a BOM on the first name is dropped)."""
-    df = spark.read.option("header", True).option("multiLine", True).option("inferSchema", False).csv(path)
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     out = []
     for c in df.columns:
         name = c.lstrip("﻿").strip()

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
-import os
 import re
 import threading
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as C
-from ledgerlake.session import checkpoint_dir
+from ledgerlake.session import shared_dir
 from ledgerlake.sources import tables as T
 
 KEYS = ["household_id"]
@@ -34,29 +33,30 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-STORE_VIEWS = True
+#: Off by default: every query derives its ledger tables from the driver's tables itself. On, a view is
+#: written once per application to the shared folder (the production layout), if there is one.
+STORE_VIEWS = False
 _STORED: dict[tuple[str, str, str], str] = {}
 _LOCK = threading.RLock()  # re-entrant: a stored view may derive from another one
 
 
 def stored(fn):
-    """Derive a view once per Spark application and keep it as a written parquet table
-    under spark.checkpoint.dir (the production layout: ledger tables are stored, not
-    re-derived by every query). Queries then read the stored table; the underlying
-    derivation stays available as `fn.build`."""
+    """With `STORE_VIEWS` and a shared folder, derive a view once per application and read it back
+    from parquet; otherwise derive it lazily, as part of the query's plan."""
     name = fn.__name__.lstrip("_")
 
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, d: str) -> DataFrame:
-        if not STORE_VIEWS:
+        base = shared_dir(spark) if STORE_VIEWS else None
+        if base is None:
             return fn(spark, d)
         app = spark.sparkContext.applicationId
-        key = (app, os.path.abspath(d), name)
+        key = (app, d, name)
         with _LOCK:  # one derivation per view even when queries run from several threads
             path = _STORED.get(key)
             if path is None:
-                tag = re.sub(r"[^A-Za-z0-9_.-]", "_", os.path.abspath(d).strip("/"))
-                path = f"{checkpoint_dir(spark)}/ledgerlake-views/{app}/{tag}/{name}"
+                tag = re.sub(r"[^A-Za-z0-9_.-]", "_", d.strip("/"))
+                path = f"{base}/ledgerlake-views/{app}/{tag}/{name}"
                 fn(spark, d).write.mode("overwrite").parquet(path)
                 _STORED[key] = path
         return spark.read.parquet(path)

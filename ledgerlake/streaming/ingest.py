@@ -6,61 +6,71 @@ file, from `_metadata.file_path`); `foreachBatch` hands their paths to the same
 batch code path used for one-off imports, so stream and batch share one
 implementation.
 
-Exactly-once by construction: micro-batch N writes the ledger partition
-`batch_id=N` with overwrite, and deduplicates against the ledger *without*
-that partition, so a replay of batch N after a failure rewrites the same rows.
-Deduplication is against the stored ledger, so no watermark state is kept.
+The ledger is stored as `month=.../batch_id=...`. Exactly-once by construction: micro-batch N writes
+its own partitions with dynamic overwrite, and deduplicates against the ledger *without* batch N,
+so a replay of batch N after a failure rewrites the same rows. The duplicate check reads only the
+batch's months. Deduplication is against the stored ledger, so no watermark state is kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake.functions import columns as C
 from ledgerlake.operators import dedup as D
+from ledgerlake.operators.categorize import auto_categorize
 from ledgerlake.plans import jobs as J
-from ledgerlake.session import checkpoint_dir
+from ledgerlake.plans.sinks import append_batch
+from ledgerlake.session import shared_dir
 from ledgerlake.sources.statements import read_statement_files
 
 BATCH_COL = "batch_id"
 
 
-def ledger_without_batch(spark: SparkSession, ledger_path: str, batch_id: int) -> DataFrame:
-    led = spark.read.parquet(ledger_path)
+def ledger_without_batch(spark: SparkSession, ledger_path: str, batch_id: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The stored ledger without one batch; empty before the first batch has been written."""
+    try:
+        led = spark.read.parquet(ledger_path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        fields = ", ".join([*(f"{k} string" for k in keys), "date date", "description string", "category string",
+                            "subcategory string", "amount decimal(18,2)", "payer string", "expense_type string"])
+        return spark.createDataFrame([], fields)
     return led.filter(F.col(BATCH_COL) != batch_id).drop(BATCH_COL)
 
 
 def ingest_files(spark: SparkSession, paths: Sequence[str], ledger_path: str, batch_id: int,
-                 keys_value: dict | None = None) -> None:
-    """Batch path: stage the files, import the survivors into ledger partition batch_id."""
-    keys = list((keys_value or {}).keys())
-    stm = read_statement_files(spark, list(paths), keys_value).drop("path")
-    ledger = ledger_without_batch(spark, ledger_path, batch_id)
-    # only the batch's date range of the history can hold duplicates: with the ledger stored
-    # partitioned by month this is a pruned read, not a scan of the whole history
-    ledger = D.ledger_date_bounds(stm, ledger)
+                 keys_value: dict | None = None, file_keys: DataFrame | None = None, categorize: bool = False) -> None:
+    """Batch path: stage the files, import the survivors into the ledger's partitions of batch_id."""
+    keys = [*(keys_value or {}), *[c for c in (file_keys.columns if file_keys is not None else []) if c != "path"]]
+    stm = read_statement_files(spark, list(paths), keys_value, file_keys).drop("path")
+    whole = ledger_without_batch(spark, ledger_path, batch_id, keys)
+    ledger = D.ledger_date_bounds(stm, whole)
     staged = J.stage_statements(stm, ledger, "seq", keys)
+    if categorize:
+        staged = auto_categorize(staged, whole, keys)
     new = D.dedup_strict(staged, ledger, keys).select(
         *keys, "date", "description", "category", "subcategory", "amount", "payer",
         F.lit(C.TYPE_MONTHLY).alias("expense_type"))
-    (new.withColumn(BATCH_COL, F.lit(batch_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BATCH_COL).parquet(ledger_path))
+    append_batch(new, ledger_path, batch_id)
 
 
 def start_statement_stream(spark: SparkSession, source_dir: str, ledger_path: str,
                            checkpoint: str | None = None, keys_value: dict | None = None,
-                           available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the ingest stream; the checkpoint defaults to a folder under spark.checkpoint.dir."""
-    ckpt = checkpoint or f"{checkpoint_dir(spark)}/statement-ingest"
-    reader = spark.readStream
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    files = reader.text(source_dir, wholetext=True).select(F.col("_metadata.file_path").alias("path"))
+                           available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
+    """Start the ingest stream. Its state goes to `checkpoint`, or under the shared folder of the
+    session; without either it doesn't start, as state on one machine would be lost with it. A backlog
+    arrives `max_files_per_trigger` files at a time, which bounds the paths a batch names."""
+    if not checkpoint and not shared_dir(spark):
+        raise ValueError("name a checkpoint folder or set spark.checkpoint.dir")
+    ckpt = checkpoint or f"{shared_dir(spark)}/statement-ingest"
+    files = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(source_dir, wholetext=True).select(F.col("_metadata.file_path").alias("path"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
         paths = [r["path"] for r in batch.select("path").distinct().collect()]  # one row per new file

@@ -86,7 +86,7 @@ def test_streaming_ingest_only_new_files_and_dedup(spark, scratch):
     base = spark.createDataFrame([(1, dt.date(2024, 1, 5), "COFFEE", "Food", "", Decimal("4.50"), "Joint", "Monthly", -1)],
                                  "household_id int, date date, description string, category string, subcategory string, "
                                  "amount decimal(18,2), payer string, expense_type string, batch_id int")
-    base.write.partitionBy("batch_id").parquet(ledger)
+    sinks.with_month_partition(base).write.partitionBy("month", "batch_id").parquet(ledger)
     ckpt = f"{scratch}/ckpt-{uuid.uuid4().hex}"
     _write(f"{src}/a.csv", "Status,Date,Description,Debit,Credit,Member Name\n"
            "Posted,01/05/2024,coffee,4.50,,X\nPosted,01/06/2024,LUNCH,12.00,,X\nPosted,01/06/2024,LUNCH,12.00,,X\n")
@@ -127,6 +127,59 @@ def test_import_and_report_jobs_end_to_end(spark, scratch):
     assert set(out) == {"report", "category_summary", "active_budgets", "recent_expenses", "summary", "monthly_summaries"}
 
 
+def test_statement_cells_quotes_blanks_and_na(spark, scratch):
+    d = f"{scratch}/cells"
+    os.makedirs(d)
+    _write(f"{d}/a.csv", "Transaction Date,Post Date,Description,Category,Type,Amount,Memo\n"
+           '01/05/2024,01/06/2024,"SHOP ""BIG"" ONE, X",NA,Sale ,-3.00,\n'
+           "01-07-24,x, COFFEE , Food ,Sale,-4.00,\n1/8/2024,x,IN,Food,Return,9.00,\n")
+    _write(f"{d}/b.csv", "Details,Posting Date,Description,Amount,Type,Balance,Check or Slip #\n DEBIT,Jan 5 2024,RENT,-9.00,ACH,1,\n")
+    _write(f"{d}/c.csv", "01/09/2024,-1.00,*,,ONE\n01/09/2024,-1.00,*,,ONE\n")
+    _write(f"{d}/d.csv", '01022024,-2.00,"a, b",,"T ""W"" O"\n')
+    _write(f"{d}/short.csv", "01/09/2024,-1.00,x\n")
+    _write(f"{d}/empty.csv", "")
+    st = ST.read_statement_files(spark, d)
+    assert rows(st, "description", "amount", "category", "date") == sorted([
+        ('SHOP "BIG" ONE, X', Decimal("3.00"), None, dt.date(2024, 1, 5)), ("COFFEE", Decimal("4.00"), "Food", dt.date(2024, 1, 7)),
+        ("RENT", Decimal("9.00"), "", dt.date(2024, 1, 5)), ("ONE", Decimal("1.00"), "", dt.date(2024, 1, 9)),
+        ("ONE", Decimal("1.00"), "", dt.date(2024, 1, 9)), ('T "W" O', Decimal("2.00"), "", dt.date(2024, 1, 2))])
+    assert st.select("seq").distinct().count() == 6
+    assert [os.path.basename(r.path) for r in ST.rejected_files(spark, d).collect()] == ["short.csv"]
+    paths = {r.path for r in st.select("path").distinct().collect()}
+    keys = spark.createDataFrame([(p, i) for i, p in enumerate(sorted(paths))], "path string, household_id int")
+    assert ST.read_statement_files(spark, d, file_keys=keys).select("household_id").distinct().count() == 4
+    assert ST.read_statement_files(spark, f"{d}/empty.csv").count() == 0
+    scans = lambda p: ST.read_statement_files(spark, p)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(d) == scans([f"{d}/c.csv"]) == 2  # the plan doesn't grow with the files
+
+
+def test_quoted_fields_survive_export_and_read(spark, scratch):
+    df = spark.createDataFrame([(dt.date(2024, 1, 5), 'SHOP "BIG" ONE, X', Decimal("1.50"))], "Date date, Description string, Amount decimal(18,2)")
+    sinks.export_csv(df, f"{scratch}/q")
+    assert rows(TB.read_table(spark, f"{scratch}/q", "expenses"), "description", "amount") == [('SHOP "BIG" ONE, X', Decimal("1.50"))]
+
+
+def test_date_texts(spark):
+    from ledgerlake.functions import columns as C
+    want = {"01-02-2024": dt.date(2024, 1, 2), "Jan 5, 2024": dt.date(2024, 1, 5), "1.2.24": dt.date(2024, 1, 2), "01022024": dt.date(2024, 1, 2),
+            "september 30 1999": dt.date(1999, 9, 30), "1/2/69": dt.date(1969, 1, 2), "010268": dt.date(2068, 1, 2), "13/1/2024": None, "": None, "x": None, "1/2/024": None}
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    assert {r.t: r.d for r in df.select("t", C.parse_mdy("t").alias("d")).collect()} == want
+
+
+def test_first_ingest_and_append_only_job(spark, scratch):
+    from ledgerlake.plans import monthly
+    d = f"{scratch}/in"
+    os.makedirs(d)
+    _write(f"{d}/c.csv", "01/09/2024,-1.00,*,,ONE\n02/09/2024,-1.00,*,,TWO\n")
+    ledger = f"{scratch}/ledger"
+    monthly.import_append_job(spark, d, ledger, 0, {"household_id": "7"})
+    monthly.import_append_job(spark, d, ledger, 0, {"household_id": "7"})  # a replay writes the same rows
+    monthly.import_append_job(spark, d, ledger, 1, {"household_id": "7"})  # all duplicates
+    assert rows(spark.read.parquet(ledger), "description", "batch_id") == [("ONE", 0), ("TWO", 0)]
+    assert sorted(p for p in os.listdir(ledger) if p.startswith("month=")) == ["month=2024-01-01", "month=2024-02-01"]
+
+
 def test_statement_header_with_bom(spark, scratch):
     d = f"{scratch}/bom"
     os.makedirs(d)

@@ -315,7 +315,7 @@ def test_report_bundle_matches_monthly_reports(spark):
                                     bud("Fun", "", 30, "Quarterly", "2024-02-01")], BUD))
     e = df(spark, [exp(f"2024-{m:02d}-05", "x", c, "", 10 * m) for m in range(1, 6) for c in ("Food", "Fun", "Car")], EXP)
     sc = R.scope_expenses(e, df(spark, [], GOALS))
-    bundle = {r.report_month: r for r in J.report_bundle(sc, b).collect()}
+    bundle = {r.report_month: r for r in J.report_bundle(sc, b, AS_OF).collect()}
     for m in range(1, 6):
         month = dt.date(2024, m, 1)
         single = R.report_summary(R.budget_vs_actual(sc, b, month, AS_OF)).collect()[0]
@@ -357,15 +357,70 @@ def test_ledger_delete_hot_class_regenerated_in_chunks(spark):
     assert got == [("b", "Monthly", 1), ("sub", "Monthly", 998)]   # Goal copies go first (type order)
 
 
-def test_salted_dedup_hot_bucket_equals_unsalted(spark):
+def test_fuzzy_dedup_hot_bucket_equals_brute_force(spark):
     hot = [exp("2024-01-01", f"shop {i % 300}", "F", "", 9, payer=f"p{i % 7}") for i in range(3000)]
     led = df(spark, hot + [exp("2024-01-02", "other", "F", "", 9)], EXP)
     stg = df(spark, [(d("2024-01-01"), f"SHOP {i}", D(9), "", "J", i) for i in range(0, 400, 7)] +
              [(d("2024-01-01"), "zzzzzzzzzz", D(9), "", "J", 999), (d("2024-01-01"), None, D(9), "", "J", 998)], STAGED)
-    a = rows(DD.dedup_fuzzy(stg, led, salt_buckets=1), "seq")
-    b = rows(DD.dedup_fuzzy(stg, led, salt_buckets=8), "seq")
-    assert a == b and (999,) in a and (998,) not in a
-    assert rows(DD.dedup_strict(stg, led, salt_buckets=8), "seq") == rows(DD.dedup_strict(stg, led, salt_buckets=1), "seq")
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    near = lambda s: s is None or any(edits(s.lower(), t) < 5 or s.lower() in t for t in {f"shop {i}" for i in range(300)})
+    a = rows(DD.dedup_fuzzy(stg, led), "seq")
+    assert a == sorted((r.seq,) for r in stg.collect() if not near(r.description)) and (999,) in a and (998,) not in a
+    assert len(rows(DD.dedup_strict(stg, led), "seq")) == stg.count()
+
+
+def test_fuzzy_dedup_pieces_find_every_text_within_four_edits(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 14))) for _ in range(120)]
+    led = df(spark, [exp("2024-01-01", t, "F", "", 9) for t in texts[:60]], EXP)
+    stg = df(spark, [(d("2024-01-01"), t, D(9), "", "J", i) for i, t in enumerate(texts[60:])], STAGED)
+    want = stg.alias("s").join(led.alias("l"), (F.levenshtein("s.description", "l.description") < 5) | F.col("l.description").contains(F.col("s.description")), "left_anti")
+    assert rows(DD.dedup_fuzzy(stg, led), "seq") == rows(want, "seq")
+
+
+def test_requests_that_repeat_a_key_count_once_the_last_wins(spark):
+    g = df(spark, [("Trip", D(1), d("2024-01-01"), d("2024-01-01"), False)], GOALS)
+    up = spark.createDataFrame([("Trip", True, 1), ("Trip", False, 2)], "goal string, completed boolean, seq int")
+    assert rows(G.goal_completion_update(g, up, order_col="seq"), "completed") == [(False,)]
+    new = spark.createDataFrame([("New", D(5), d("2024-02-03"), 2), ("New ", D(9), d("2024-02-03"), 1)], "goal string, target_amount decimal(18,2), target_month date, seq int")
+    assert rows(G.goal_upsert(g, new, AS_OF, order_col="seq").filter("goal = 'New'"), "target_amount") == [(D("5.00"),)]
+    pr = spark.createDataFrame([("Trip", d("2024-01-01"), True, 1), ("Trip", d("2024-01-01"), False, 2)], "goal string, month date, saved boolean, seq int")
+    assert rows(G.goal_progress_upsert(df(spark, [], PROG), pr, order_col="seq"), "saved") == [(False,)]
+    s = DD.stage_projection(df(spark, [(d("2024-01-01"), "a", D(1), "", "J", 1)], STAGED))
+    ed = spark.createDataFrame([(1, "B", "", "", 1), (1, "A", "", "", 2)], "id long, category string, subcategory string, payer string, seq2 int")
+    assert rows(M.staged_edit(s, ed, order_col="seq2"), "category") == [("A",)]
+    led = df(spark, [exp("2024-01-01", "a", "F", "S", 5)], EXP).withColumn("row_id", F.lit(1))
+    pa = spark.createDataFrame([(1, "amount", "90", 1), (1, "amount", "10", 2)], "row_id int, column string, value string, seq int")
+    assert rows(M.patch_expenses(led, pa, order_col="seq")[0], "amount") == [(D("10.00"),)]
+    b = df(spark, [bud("Food", "", 100, "Monthly", "2024-01-01"), bud("Food", "", 200, "Monthly", "2024-01-01")], BUD)
+    pb = spark.createDataFrame([("Food", "", d("2024-01-01"), "limit", "7")], "category string, subcategory string, effective_date date, column string, value string")
+    assert rows(M.patch_budgets(b, pb)[0], "limit") == [(D("7.00"),), (D("200.00"),)]
+    one = df(spark, [bud("Food", "", 100, "Monthly", "2024-01-01")], BUD)
+    stop = B.budget_archive(one, one.union(one), AS_OF)
+    assert stop.count() == 2 and rows(stop.filter("limit = 0"), "conclusion_date") == [(None,)]
+
+
+def test_ledgers_without_expenses_have_choice_lists(spark):
+    k = ["h"]
+    e = df(spark, [exp("2024-01-01", "a", "F", "S", 5)], EXP).withColumn("h", F.lit(1))
+    b = df(spark, [bud("Food", "", 1, "Monthly", "2024-01-01")], BUD).withColumn("h", F.lit(2))
+    g = df(spark, [("Trip", D(1), d("2024-01-01"), d("2024-01-01"), False)], GOALS).withColumn("h", F.lit(3))
+    out = M.dimension_values(e, b, g, AS_OF, k)
+    assert {r.h for r in out.filter("dimension = 'payer'").collect()} == {r.h for r in out.filter("dimension = 'month'").collect()} == {1, 2, 3}
+
+
+def test_report_bundle_lists_goal_only_months_and_the_current_one(spark):
+    g = df(spark, [("Trip", D(100), d("2024-12-01"), d("2024-01-01"), False)], GOALS)
+    e = df(spark, [exp("2024-01-05", "x", "Food", "", 10), exp("2024-02-05", "x", "Trip", "", 10, etype="Goal"), exp("2024-03-05", "x", "Food", "", 10)], EXP)
+    out = J.report_bundle(R.scope_expenses(e, g), df(spark, [], BUD), AS_OF)
+    assert rows(out, "report_month", "total_spent") == [(dt.date(2024, 1, 1), 10.0), (dt.date(2024, 2, 1), 0.0), (dt.date(2024, 3, 1), 10.0), (AS_OF.replace(day=1), 0.0)]
 
 
 def test_budget_history_across_years_with_gaps(spark):
