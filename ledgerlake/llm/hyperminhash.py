@@ -7,9 +7,11 @@ estimate screens them six standard errors below the threshold; full shingle sets
 number of bands is set so that a pair at the threshold is missed with probability under 1e-6.
 
 Groups are never expanded into pairs. Equal sets collapse to one representative. In each band
-group every member is compared with a hub (the member that shares most bands with most
-documents), twice; only members that are then still in different components meet in blocks,
-which keep just the pairs that pass the estimate. So the components are those of all links.
+group every member is compared with a hub, the member that shares most bands with most
+documents. Groups that are then still in several components are worked off in blocks, first within
+each and then between any two: a task holds two blocks of ``BLOCK`` members, compares only members of different components, in the first
+band they share, and puts out just the links that join two components. So the components are
+those of all links, and no more rows arise than members.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from ledgerlake.llm.components import components
 
 BUCKETS, BAND, MANTISSA = 24, 6, 10
 EMPTY = 0xFFFF
+#: chance that registers of different minima agree: equal leading zeros (a third), equal mantissas
+CHANCE = 2.0**-MANTISSA / 3
 _PIECE = 1 << 21
-_BLOCK = 256
+BLOCK = 512
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,17 +123,24 @@ def sketch(sets: list[np.ndarray], sketches: int) -> np.ndarray:
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(Jaccard estimate, registers used): agreement of registers that either set fills, less the
-    chance agreement of different minima (equal leading zeros, a third; equal mantissas)."""
+    chance agreement of different minima."""
     used = (a != EMPTY) | (b != EMPTY)
     n = np.maximum(used.sum(-1), 1)
-    chance = 2.0**-MANTISSA / 3
-    return ((((a == b) & used).sum(-1) / n) - chance) / (1 - chance), n
+    return _corrected(((a == b) & used).sum(-1), n), n
 
 
-def _likely(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    j, n = estimate(a, b)
+def _corrected(agree: np.ndarray, used: np.ndarray) -> np.ndarray:
+    return (agree / used - CHANCE) / (1 - CHANCE)
+
+
+def _near(estimate: np.ndarray, used: np.ndarray, percent: int) -> np.ndarray:
+    """Not more than six standard errors below the threshold."""
     t = percent / 100
-    return j >= t - 6 * np.sqrt(t * (1 - t) / n)
+    return estimate >= t - 6 * np.sqrt(t * (1 - t) / used)
+
+
+def _likely(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return _near(*estimate(a, b), percent)
 
 
 def _bytes(column) -> list[bytes]:
@@ -157,7 +168,7 @@ def _profiles(base: DataFrame, k: int, sketches: int) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(key, id) for every band that holds a shingle."""
+    """(key, band, id) for every band that holds a shingle."""
 
     def scan(batches):
         for batch in batches:
@@ -166,9 +177,9 @@ def _bands(reps: DataFrame) -> DataFrame:
             regs = np.frombuffer(b"".join(batch["regs"].to_pylist()), np.uint16).reshape(batch.num_rows, -1, BAND)
             h = _combine([regs[:, :, j].astype(_U) + _U(1) for j in range(BAND)] + [np.broadcast_to(np.arange(regs.shape[1], dtype=_U), regs.shape[:2])])
             row, band = np.nonzero((regs != EMPTY).any(-1))
-            yield pa.RecordBatch.from_arrays([pa.array(h[row, band].view(np.int64)), batch["id"].take(pa.array(row))], ["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[row, band].view(np.int64)), pa.array(band.astype(np.int32)), batch["id"].take(pa.array(row))], ["key", "band", "id"])
 
-    return reps.select("id", "regs").mapInArrow(scan, "key long, id long")
+    return reps.select("id", "regs").mapInArrow(scan, "key long, band int, id long")
 
 
 def _sets(base: DataFrame, k: int) -> DataFrame:
@@ -181,6 +192,15 @@ def _sets(base: DataFrame, k: int) -> DataFrame:
     return base.mapInArrow(scan, "id long, regs binary, shingles binary")
 
 
+def _linked(a: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets reach the threshold with ``a``: exact, on whole sorted sets."""
+    flat = np.concatenate(others)
+    n = np.array([len(o) for o in others])
+    at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+    both = np.add.reduceat(a[at] == flat, np.cumsum(n) - n)
+    return 100 * both >= percent * (len(a) + n - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the (a, b) pairs whose full sets reach the threshold."""
 
@@ -191,9 +211,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             col = {c: batch[c].to_pylist() for c in ("ar", "br", "as", "bs")}
             ok = _likely(np.frombuffer(b"".join(col["ar"]), np.uint16).reshape(batch.num_rows, -1), np.frombuffer(b"".join(col["br"]), np.uint16).reshape(batch.num_rows, -1), percent)
             for i in np.flatnonzero(ok):
-                a, b = np.frombuffer(col["as"][i], _U), np.frombuffer(col["bs"][i], _U)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok[i] = 100 * both >= percent * (len(a) + len(b) - both)
+                ok[i] = _linked(np.frombuffer(col["as"][i], _U), [np.frombuffer(col["bs"][i], _U)], percent)[0]
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     left = sets.select(F.col("id").alias("a"), F.col("regs").alias("ar"), F.col("shingles").alias("as"))
@@ -203,41 +221,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", "ar", "br", "as", "bs").mapInArrow(check, "a long, b long")
 
 
-def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(key, size, id, component, regs) -> likely pairs of different components of a key. A key's
-    members are dealt to blocks, and each pair of blocks is one small task-local comparison."""
-    n = F.ceil(F.col("size") / _BLOCK).cast("int")
-    own = rows.withColumn("blocks", n).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    dealt = own.select("key", "id", "component", "regs", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "regs")
-
-    def pairs(members):
-        block = np.array([m[0] for m in members])
-        ident = np.array([m[1] for m in members])
-        comp = np.array([m[2] for m in members])
-        regs = np.frombuffer(b"".join(m[3] for m in members), np.uint16).reshape(len(members), -1)
-        first = block == block.min()
-        for x in np.flatnonzero(first):
-            y = np.flatnonzero((comp != comp[x]) & (~first | (ident > ident[x])))
-            y = y[_likely(regs[y], regs[x], percent)] if len(y) else y
-            yield from ((int(min(ident[x], ident[z])), int(max(ident[x], ident[z]))) for z in y)
+def _block_links(rows: DataFrame, percent: int, within: bool) -> DataFrame:
+    """(key, band, size, id, component, regs, shingles) -> links that join components of a key.
+
+    A key's members are dealt to blocks by id; each block (``within``) or each pair of blocks is one
+    small task-local unit. A first pass within blocks leaves the second little to compare."""
+    own = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    own = own.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    dealt = own.withColumn("other", F.col("block") if within else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    if not within:
+        dealt = dealt.filter("block <> other")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "id", "component", "regs", "shingles")
+
+    def links(members):
+        band = members[0][0]
+        block = np.array([m[1] for m in members])
+        ident = np.array([m[2] for m in members])
+        comp = np.array([m[3] for m in members])
+        regs = np.frombuffer(b"".join(m[4] for m in members), np.uint16).reshape(len(members), -1)
+        sets = [np.frombuffer(m[5], _U) for m in members]
+        n = np.array([len(x) for x in sets])
+        filled = regs != EMPTY
+        alone = block.min() == block.max()
+        for x in range(len(members)):
+            # a pair of blocks meets across, a block alone within; sizes too far apart can't be linked
+            other = (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            other[: x + 1] &= not alone
+            y = np.flatnonzero(other if alone else other & (block > block[x]))
+            if not len(y):
+                continue
+            same = (regs[y] == regs[x]) & filled[x]
+            agree = same.sum(-1)
+            used = np.maximum((filled[y] | filled[x]).sum(-1), 1)
+            hold = _near(_corrected(agree, used), used, percent)
+            y, same, agree = y[hold], same[hold], agree[hold]
+            # a band is shared when its registers agree, two empty ones included; the first one counts
+            empty = ~filled[y] & ~filled[x]
+            shared = (same | empty).reshape(len(y), -1, BAND).all(-1) & same.reshape(len(y), -1, BAND).any(-1)
+            first = shared.argmax(-1) == band
+            y = y[first][np.argsort(-agree[first], kind="stable")]
+            while len(y):
+                now, y = y[:64], y[64:]
+                for z in now[_linked(sets[x], [sets[z] for z in now], percent)]:
+                    if comp[z] != comp[x]:
+                        yield int(min(ident[x], ident[z])), int(max(ident[x], ident[z]))
+                        comp[comp == comp[z]] = comp[x]
+                y = y[comp[y] != comp[x]]
+
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def scan(batches):
         now, members, out = None, [], []
         for batch in batches:
-            for key, i, j, *member in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "block", "id", "component", "regs")), strict=True):
+            for key, i, j, *member in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "band", "block", "id", "component", "regs", "shingles")), strict=True):
                 if (key, i, j) != now:
-                    out += pairs(members) if members else []
+                    out += links(members) if members else []
                     now, members = (key, i, j), []
                     if len(out) > 10_000:
-                        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], kind)
                         out = []
                 members.append(member)
-        out += pairs(members) if members else []
+        out += links(members) if members else []
         if out:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], kind)
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(scan, "a long, b long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(scan, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -260,30 +308,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = reps.join(score.select("id"), "id", "left_semi").select("id", "regs")
     sets = stored(_sets(base.join(wanted, "id"), k), "shingle-sets")
 
-    labels = None
     # rows of one id with different texts are one node: their classes are linked
     held = real.join(classes, ["h1", "h2"]).select("id", "rep")
     several = held.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).filter("a < hi").select("id", "a")
     verified = held.join(several, "id").filter("a < rep").select("a", F.col("rep").alias("b"))
-    rest = shared.withColumn("component", F.col("id"))
-    for _ in range(2):
-        hub = rest.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"), "component")).alias("hub"))
-        hub = hub.select("key", (-F.col("hub.neg")).alias("hub"), F.col("hub.component").alias("hub_component"))
-        met = rest.join(hub, "key").filter("id <> hub and component <> hub_component")
-        found = _verified(met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), sets, percent)
-        verified = stored(verified.unionByName(found), "verified")
-        labels = components(verified)
+    hub = shared.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("hub")).select("key", (-F.col("hub.neg")).alias("hub"))
+    met = shared.join(hub, "key").filter("id <> hub")
+    found = _verified(met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), sets, percent)
+    verified = stored(verified.unionByName(found), "verified")
+    labels = components(verified)
+    rest = met.select("key", "band", "size", "id")
+    for within in (True, False):
         # what is left: keys whose members, the hub apart, are still in several components
-        rest = rest.join(hub, "key").filter("id <> hub").select("key", "size", "id", "score")
         rest = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_keys = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        rest = stored(rest.join(open_keys, "key"), "open-bands").select("key", "size", "id", "score", "component")
+        rest = stored(rest.join(open_keys, "key"), "open-bands")
         if rest.isEmpty():
             break
-    else:
-        pairs = stored(_block_pairs(rest.join(sets.select("id", "regs"), "id"), percent), "block-pairs")
-        if not pairs.isEmpty():
-            labels = components(verified.unionByName(_verified(pairs, sets, percent)))
+        links = stored(_block_links(rest.join(sets, "id"), percent, within), "block-links")
+        if not links.isEmpty():
+            verified = stored(verified.unionByName(links), "verified")
+            labels = components(verified)
+        rest = rest.drop("component").filter(F.col("size") > BLOCK)
 
     member = profiles.join(classes, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")))
     named = member.select("id", "n", F.coalesce("rep", "id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")

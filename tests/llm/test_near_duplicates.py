@@ -67,7 +67,9 @@ def family(rng, base, n, edits):
     return out
 
 
-def test_families_chains_and_edges(spark):
+@pytest.mark.parametrize("block", [512, 8])
+def test_families_chains_and_edges(spark, monkeypatch, block):
+    monkeypatch.setattr(H, "BLOCK", block)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
