@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import bpe, chat_template, decontaminate, html_extract, hyperminhash, langid, line_dedup, merkle, suffix_index, toxicity
 from ledgerlake.llm.common import crc_fold, table
+from ledgerlake.llm.oracle import SQL as SQL  # the DuckDB twins, for the entry module
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -104,6 +105,3 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_decontamination, op7_language_id, op8_line_dedup, op9_merkle_fingerprint, op10_near_duplicates,
     )
 }
-
-#: DuckDB twins of the queries that SQL expresses at bearable cost.
-SQL: dict[str, str] = {}
