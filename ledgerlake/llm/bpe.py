@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import pick
 
 LONG_WORD = 128
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 _NO_RANK = 1 << 60
+_NONE = (_NO_RANK, 0)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -75,6 +76,11 @@ class Vocabulary:
         self.ids = {to_bytes(t): i for t, i in model["vocab"].items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {(to_bytes(a), to_bytes(b)): r for r, (a, b) in enumerate(pairs)}
+        # a pair is looked up by its joined bytes; the size of its left part must agree as well
+        self.joined = {a + b: (r, len(a)) for (a, b), r in self.merges.items()}
+        if len(self.joined) < len(self.merges):
+            raise ValueError("several merges make one token")
+        self.first_ranks = {j: r for j, (r, _) in self.joined.items() if len(j) == 2}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
 
@@ -93,19 +99,23 @@ class Codec:
         return self._merge_long(word) if len(word) > LONG_WORD else self._merge_short(word)
 
     def _merge_short(self, word: bytes) -> list[bytes]:
-        rank = self.v.merges.get
+        first, joined = self.v.first_ranks.get, self.v.joined.get
         bounds = list(range(len(word) + 1))
-        ranks = [rank((word[i : i + 1], word[i + 1 : i + 2]), _NO_RANK) for i in range(len(word) - 1)]
+        ranks = [first(word[i : i + 2], _NO_RANK) for i in range(len(word) - 1)]
         while ranks:
             least = min(ranks)
             if least == _NO_RANK:
                 break
             i = ranks.index(least)
             del bounds[i + 1], ranks[i]
+            a = bounds[i]
             if i:
-                ranks[i - 1] = rank((word[bounds[i - 1] : bounds[i]], word[bounds[i] : bounds[i + 1]]), _NO_RANK)
+                left = bounds[i - 1]
+                rank, size = joined(word[left : bounds[i + 1]], _NONE)
+                ranks[i - 1] = rank if size == a - left else _NO_RANK
             if i < len(ranks):
-                ranks[i] = rank((word[bounds[i] : bounds[i + 1]], word[bounds[i + 1] : bounds[i + 2]]), _NO_RANK)
+                rank, size = joined(word[a : bounds[i + 2]], _NONE)
+                ranks[i] = rank if size == bounds[i + 1] - a else _NO_RANK
         return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def _merge_long(self, word: bytes) -> list[bytes]:
@@ -163,6 +173,17 @@ class Codec:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def _codec(path: str, vocabulary) -> Codec:
+    """The worker's codec of a vocabulary: its word cache serves all tasks that the worker runs."""
+    if path not in _CODECS:
+        _CODECS.clear()
+        _CODECS[path] = Codec(vocabulary.value)
+    return _CODECS[path]
+
+
 def tokenise(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """(id_col, [ids], n_tokens, ids_sha256, decoded_sha256) per input row.
 
@@ -176,7 +197,7 @@ def tokenise(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def scan(batches):
-        codec = Codec(shared.value)
+        codec = _codec(vocabulary_path, shared)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)

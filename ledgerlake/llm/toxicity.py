@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -143,11 +144,16 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0) -> np
     return w
 
 
+#: borders of the margin bands whose occurrences are counted
+BANDS = np.array([-0.25, 0.1, 0.4, 0.7, 0.9])
+
+
 class Model:
     """Folded machine (a weight per triple, a bias) and the document weights over margins."""
 
-    def __init__(self, triples: np.ndarray, bias: float, document: np.ndarray):
-        self.triples, self.bias, self.document = triples.astype(np.float64), float(bias), document
+    def __init__(self, triples: np.ndarray, bias: float, document: np.ndarray | None = None):
+        self.triples, self.bias, self.name = triples.astype(np.float64), float(bias), uuid.uuid4().hex
+        self.document = np.zeros(len(BANDS) + 4) if document is None else document
 
     def margins(self, raw: list[str]) -> np.ndarray:
         row, triple, weight = features([codes(t) for t in raw])
@@ -160,10 +166,6 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(_summary(margins, counts) @ self.document, -30, 30))))
 
 
-#: borders of the margin bands whose occurrences are counted
-BANDS = np.array([-0.25, 0.1, 0.4, 0.7, 0.9])
-
-
 def _summary(margins: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Occurrences per band, length, and the highest margin of a document, with a constant."""
     band = np.bincount(np.searchsorted(BANDS, margins), counts, len(BANDS) + 1)
@@ -225,7 +227,7 @@ def fit(documents: list[tuple[dict[str, int], int]], rounds: int = 4, seed: int
         weight[: len(positives)] *= max(len(against), 1) / weight[: len(positives)].sum() / 2
         w = _svm(x, y, weight.clip(0.5, 50))
         triples, bias = dense.T.astype(np.float64) @ (root @ w[:-1]), w[-1]
-        machine = Model(triples, bias, np.zeros(0))
+        machine = Model(triples, bias)
         margin = np.concatenate([machine.margins(every[a : a + 20_000]) for a in range(0, len(every), 20_000)])
         witness = [i[np.argmax(margin[i] + 0.1 * odds[i])] for i in ids]
         hard = in_clean_ids[np.argsort(-margin[in_clean_ids])[:2500]]
@@ -256,6 +258,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([(dict(zip(t, n, strict=True)), y) for t, n, y in found])
 
 
+_KNOWN: dict[str, dict[str, float]] = {}
+
+
+def _margins_of(model: Model) -> dict[str, float]:
+    """The worker's margins by token under a model, kept from task to task."""
+    if model.name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[model.name] = {}
+    return _KNOWN[model.name]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, predicted, token) per input row; ``token`` is the highest-scoring one.
 
@@ -264,7 +277,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
-        known: dict[str, float] = {}
+        known = _margins_of(model)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
