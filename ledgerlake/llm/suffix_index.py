@@ -182,11 +182,13 @@ def _bytes(column) -> list[bytes]:
 
 
 def _dealt(run: Run, buckets: int):
-    """One packed row per bucket."""
+    """One packed row per bucket; none for an empty run."""
+    if not len(run):
+        return
     bucket = (run.head % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     run, bucket = run.take(order), bucket[order]
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(run) else []
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(at, [*at[1:], len(run)], strict=True):
         yield int(bucket[a]), run.take(slice(a, b)).pack()
 

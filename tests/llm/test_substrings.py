@@ -60,6 +60,8 @@ def test_suffix_index_edges(spark):
     key = lambda i, n, k: (i is None, i, n, bytes(k))
     assert sorted(key(r.doc_id, r.n_bytes, r.kept) for r in got) == sorted(key(i, len((t or "").encode()), k) for (i, t), (k, _) in zip(rows, want, strict=True))
     assert suffix_index.remove_repeats(docs_frame(spark, [])).collect() == []
+    short = suffix_index.remove_repeats(docs_frame(spark, [(1, "short"), (2, None), (3, "short")])).collect()
+    assert sorted((r.doc_id, r.n_bytes, bytes(r.kept)) for r in short) == [(1, 5, b"short"), (2, 0, b""), (3, 5, b"short")]
 
 
 def test_long_texts_are_read_in_overlapping_segments(spark, monkeypatch):
