@@ -123,8 +123,8 @@ def _dense(words: list[list[int]]) -> np.ndarray:
 def kernel(words: list[list[int]], landmarks: np.ndarray) -> np.ndarray:
     """Normalised subsequence kernel of tokens with landmarks given as dense features."""
     out = np.zeros((len(words), len(landmarks)))
-    for a in range(0, len(words), 1000):
-        out[a : a + 1000] = _dense(words[a : a + 1000]) @ landmarks.T
+    for a in range(0, len(words), 200):
+        out[a : a + 200] = _dense(words[a : a + 200]) @ landmarks.T
     return out
 
 
@@ -219,16 +219,16 @@ def fit(documents: list[tuple[dict[str, int], int]], rounds: int = 4, seed: int
         half = LANDMARKS // 2
         marks = [*rng.choice(positives, min(half, len(positives)), replace=False), *rng.choice(against, min(half, len(against)), replace=False)] if against else positives[:half]
         dense = _dense([codes(every[i]) for i in marks])
-        value, vector = np.linalg.eigh(dense.astype(np.float64) @ dense.T.astype(np.float64))
+        value, vector = np.linalg.eigh((dense @ dense.T).astype(np.float64))
         root = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)) @ vector.T
         x = kernel([codes(every[i]) for i in [*positives, *against]], dense) @ root
         y = np.r_[np.ones(len(positives)), -np.ones(len(against))]
         weight = np.r_[[float(in_toxic[every[i]]) for i in positives], np.ones(len(against))]
         weight[: len(positives)] *= max(len(against), 1) / weight[: len(positives)].sum() / 2
         w = _svm(x, y, weight.clip(0.5, 50))
-        triples, bias = dense.T.astype(np.float64) @ (root @ w[:-1]), w[-1]
+        triples, bias = dense.T @ (root @ w[:-1]).astype(np.float32), w[-1]
         machine = Model(triples, bias)
-        margin = np.concatenate([machine.margins(every[a : a + 20_000]) for a in range(0, len(every), 20_000)])
+        margin = np.concatenate([machine.margins(every[a : a + 5000]) for a in range(0, len(every), 5000)])
         witness = [i[np.argmax(margin[i] + 0.1 * odds[i])] for i in ids]
         hard = in_clean_ids[np.argsort(-margin[in_clean_ids])[:2500]]
         # clean tokens near the border; those far beyond it share a family with insults by chance
