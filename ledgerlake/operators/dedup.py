@@ -118,13 +118,20 @@ def similar_keys(staged_keys: DataFrame, ledger_keys: DataFrame, group: Sequence
     return near.select(*group, "_sd").unionByName(inside.select(*group, F.col("_p").alias("_sd"))).distinct()
 
 
-def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+#: ledger texts of a (keys, date, amount) bucket up to which its staged texts are compared with each
+#: of them; a staged text has more blocking keys than that, and both ways are exact
+DIRECT = 64
+
+
+def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None,
+                direct: int = DIRECT) -> DataFrame:
     """Drop staged rows that some ledger row of the same ledger, date and amount resembles:
     lower-cased Levenshtein distance < 5, or the ledger description contains the staged one.
 
     Equality is on (keys, date, amount) - decimals, so |difference| < 0.01 is equality. Both sides
     are reduced to distinct texts per (keys, date, amount), and only those of buckets that both sides
-    have are compared, see `similar_keys`. A NULL description on either side of a shared bucket
+    have are compared: in a bucket of up to `direct` ledger texts with each, in larger ones by blocking
+    (`similar_keys`), so the work per staged text is bounded either way. A NULL description on either side of a shared bucket
     counts as resembling; a NULL date or amount is never a duplicate.
     """
     keys = _k(keys)
@@ -133,12 +140,19 @@ def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None
     sk = s.filter(F.col("date").isNotNull() & F.col("amount").isNotNull()).select(*eq, "_sd").distinct()
     lk = ledger.select(*eq, F.lower("description").alias("_ld")).distinct()
     lk = lk.join(sk.select(*eq).distinct(), on=eq, how="left_semi")
-    whole = lk.groupBy(*eq).agg(F.max(F.col("_ld").isNull()).alias("_any"))
+    whole = lk.groupBy(*eq).agg(F.max(F.col("_ld").isNull()).alias("_any"), F.count(F.lit(1)).alias("_n"))
     # a NULL text on one side settles a shared bucket without a comparison
     open_ = sk.join(whole, on=eq)
-    settled = open_.filter(F.col("_any") | F.col("_sd").isNull()).select(*eq, "_sd")
-    rest = open_.filter(~F.col("_any") & F.col("_sd").isNotNull()).select(*eq, "_sd")
-    dup = settled.unionByName(similar_keys(rest, lk.filter(F.col("_ld").isNotNull()), eq))
+    sure = F.col("_any") | F.col("_sd").isNull()
+    settled = open_.filter(sure).select(*eq, "_sd")
+    small = open_.filter(~sure & (F.col("_n") <= direct)).select(*eq, "_sd")
+    large = open_.filter(~sure & (F.col("_n") > direct)).select(*eq, "_sd")
+    texts = lk.filter(F.col("_ld").isNotNull())
+    same = [small[c] == texts[c] for c in eq]
+    alike = (F.levenshtein(small["_sd"], texts["_ld"], FUZZY_MAX_DISTANCE) >= 0) | texts["_ld"].contains(small["_sd"])
+    near = small.join(texts, [*same, alike], "left_semi")
+    big = texts.join(whole.filter(F.col("_n") > direct).select(*eq), on=eq, how="left_semi")
+    dup = settled.unionByName(near).unionByName(similar_keys(large, big, eq))
     cond = C.null_safe_eq(F.col, None, [*eq, "_sd"], "s", "d")
     return s.alias("s").join(dup.alias("d"), cond, "left_anti").drop("_sd")
 

@@ -382,7 +382,8 @@ def test_fuzzy_dedup_pieces_find_every_text_within_four_edits(spark):
     led = df(spark, [exp("2024-01-01", t, "F", "", 9) for t in texts[:60]], EXP)
     stg = df(spark, [(d("2024-01-01"), t, D(9), "", "J", i) for i, t in enumerate(texts[60:])], STAGED)
     want = stg.alias("s").join(led.alias("l"), (F.levenshtein("s.description", "l.description") < 5) | F.col("l.description").contains(F.col("s.description")), "left_anti")
-    assert rows(DD.dedup_fuzzy(stg, led), "seq") == rows(want, "seq")
+    for direct in (0, DD.DIRECT):
+        assert rows(DD.dedup_fuzzy(stg, led, direct=direct), "seq") == rows(want, "seq")
 
 
 def test_requests_that_repeat_a_key_count_once_the_last_wins(spark):
