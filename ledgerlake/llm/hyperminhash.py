@@ -255,6 +255,8 @@ def _block_links(rows: DataFrame, percent: int, within: bool) -> DataFrame:
             used = np.maximum((filled[y] | filled[x]).sum(-1), 1)
             hold = _near(_corrected(agree, used), used, percent)
             y, same, agree = y[hold], same[hold], agree[hold]
+            if not len(y):
+                continue
             # a band is shared when its registers agree, two empty ones included; the first one counts
             empty = ~filled[y] & ~filled[x]
             shared = (same | empty).reshape(len(y), -1, BAND).all(-1) & same.reshape(len(y), -1, BAND).any(-1)
