@@ -204,10 +204,12 @@ def extract(page: str | None, weights: Weights) -> str:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Weights:
     """Fit on at most ``sample`` pages with content markup (lowest id hash), each under
-    ``SAMPLE_CHARS`` characters."""
+    ``SAMPLE_CHARS`` characters; of pages that share an id the least."""
     marked = pick(pages, id=id_col, html=html_col).filter(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.length("html") < SAMPLE_CHARS))
-    rows = marked.orderBy(F.xxhash64("id"), "id", "html").limit(sample).select("html").collect()
-    return fit([r["html"] for r in rows])
+    # ranked by id alone, so that no task sends pages it may not keep
+    ids = marked.select("id").filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    rows = marked.filter(F.col("id").isin([r["id"] for r in ids])).groupBy("id").agg(F.min("html").alias("html")).collect()
+    return fit([r["html"] for r in sorted(rows, key=lambda r: (str(r["id"]), r["html"]))])
 
 
 def main_text(pages: DataFrame, weights: Weights, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
