@@ -4,8 +4,13 @@ Units are lines and, inside them, sentences (passages that documents share need
 lines). A unit is normalised (case folded, white space collapsed) and digested; digests are grouped
 over all documents; the occurrence of the lowest rank (document id, then offset) stays, all others
 go, with their original offsets. Lines of under ``min_line_words`` and sentences of under
-``min_words`` words are too common to prove copying: they go only if they repeat *and* touch a
-longer unit that goes.
+``min_words`` words are too common to prove copying by themselves. So neighbouring short sentences
+(lists, verse, code, menus) are also read together: from each of them the shortest sequence that holds
+``min_words`` words is a unit of its own, and a copied passage of short sentences is covered by
+repeated sequences. Other short units go only if they repeat *and* touch a longer unit that goes.
+
+Words are separated by blanks; scripts without blanks count a word per ``FREE_CHARS`` code points,
+and other tokens of over ``LONG`` characters (URLs, CSV) a word per ``LONG_CHARS``.
 
 Units travel as packed sorted runs, one per batch and bucket (about 15 bytes a unit), so a line
 that stands in a third of all documents costs its bucket a few bytes per occurrence, and its group
@@ -26,21 +31,61 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import NULL_ID, pick, shuffle_partitions
 from ledgerlake.llm.suffix_index import Run, _dealt
 
-_UNIT = re.compile(r"[^\n.!?]*[^\s.!?][^\n.!?]*[.!?]*")
+_UNIT = re.compile(r"[^\n.!?。！？｡]*[^\s.!?。！？｡][^\n.!?。！？｡]*[.!?。！？｡]*")
 _LINE = re.compile(r"[^\n]*[^\s][^\n]*")
+#: code points of scripts written without blanks: Thai to Myanmar, Khmer, kana, Han
+_FREE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
+FREE_CHARS, LONG, LONG_CHARS = 2, 20, 5
 #: kind and strength of a unit, kept in the low bits of its length field
 _STRONG = 1
 
 
+def weight(words: list[str]) -> int:
+    """Number of words in blank-separated tokens, those of blank-free text by their length."""
+    n = 0
+    for w in words:
+        free = 0 if w.isascii() else len(_FREE.findall(w))
+        rest = len(w) - free
+        n += max(1, free // FREE_CHARS + (rest // LONG_CHARS if rest > LONG else 0))
+    return n
+
+
+def _digest(norm: str, kind: bytes) -> bytes:
+    return hashlib.blake2b(norm.encode(), digest_size=12, person=kind).digest()
+
+
 def units(text: str, min_words: int, min_line_words: int):
-    """(digest, start, end, strong) of every line and sentence that holds a word; an outer blank
-    belongs to no unit."""
+    """(digest, start, end, strong) of every line and sentence that holds a word, and of sequences of
+    short sentences; an outer blank belongs to no unit."""
+    short: list[tuple[str, int, int, int]] = []  # neighbouring short sentences
     for kind, pattern, least in ((b"L", _LINE, min_line_words), (b"S", _UNIT, min_words)):
         for m in pattern.finditer(text):
             words = m.group().casefold().split()
             raw = m.group()
-            start = m.start() + len(raw) - len(raw.lstrip())
-            yield hashlib.blake2b(" ".join(words).encode(), digest_size=12, person=kind).digest(), start, m.end() - (len(raw) - len(raw.rstrip())), len(words) >= least
+            start, end = m.start() + len(raw) - len(raw.lstrip()), m.end() - (len(raw) - len(raw.rstrip()))
+            norm = " ".join(words)
+            n = len(words) if len(words) >= least else weight(words)
+            yield _digest(norm, kind), start, end, n >= least
+            if kind == b"S":
+                if n < least:
+                    short.append((norm, n, start, end))
+                elif short:
+                    yield from _sequences(short, min_words)
+                    short = []
+    yield from _sequences(short, min_words)
+
+
+def _sequences(short: list[tuple[str, int, int, int]], min_words: int):
+    """From each of neighbouring short sentences the shortest sequence of ``min_words`` words."""
+    total = last = 0
+    for i, (_, n, start, _) in enumerate(short):
+        while total < min_words and last < len(short):
+            total += short[last][1]
+            last += 1
+        if total < min_words:
+            return
+        yield _digest(" ".join(s[0] for s in short[i:last]), b"R"), start, short[last - 1][3], True
+        total -= n
 
 
 def _run(docs: list[int], tags: list[int], texts: list[str], min_words: int, min_line_words: int) -> Run:

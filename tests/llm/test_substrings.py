@@ -152,6 +152,55 @@ def test_line_dedup_rules(spark):
     assert line_dedup.remove_repeated_units(docs_frame(spark, [])).collect() == []
 
 
+def brute_passages(rows, min_words=8):
+    """Texts without the short sentences that lie in a repeated passage of ``min_words`` words: every
+    sequence of sentences is compared as text (no hashes, no limits on length); for texts whose
+    sentences are all short and whose lines hold one sentence each."""
+    size = lambda s: len(s.split()) if s.isascii() and max(map(len, s.split())) <= 20 else len(s) // (5 if s.isascii() else 2)
+    lines, first = [t.split("\n") for _, t in rows], {}
+    for d, ls in enumerate(lines):
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                first.setdefault(tuple(s.casefold() for s in ls[a:b]), (d, a))
+    out = []
+    for d, ls in enumerate(lines):
+        gone, single = set(), {a for a, s in enumerate(ls) if first[(s.casefold(),)] != (d, a)}
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                if sum(map(size, ls[a:b])) >= min_words and first[tuple(s.casefold() for s in ls[a:b])] != (d, a):
+                    gone |= set(range(a, b))
+        more = True
+        while more:  # single repeats beside what goes
+            more = {a for a in single - gone if a - 1 in gone or a + 1 in gone}
+            gone |= more
+        out.append("\n".join(s for a, s in enumerate(ls) if a not in gone))
+    return out
+
+
+def test_line_dedup_cuts_copied_passages_of_short_units(spark):
+    rng = random.Random(4)
+    verse = [" ".join(rng.choice("sun moon rain wind sea".split()) for _ in range(rng.randint(1, 4))) for _ in range(200)]
+    rows = []
+    for i in range(1, 25):
+        own = [f"n{i} x{j}" for j in range(3)]
+        a = rng.randrange(150)
+        rows.append((i, "\n".join(own[:1] + verse[a : a + rng.randint(1, 40)] + own[1:])))
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_units(docs_frame(spark, rows)).collect()}
+    want = brute_passages(rows)
+    assert [got[i].strip("\n") for i, _ in rows] == want and sum(map(len, want)) < sum(len(t) for _, t in rows) / 2
+
+    free = "今天天气很好我们去公园散步吧\n昨夜雨疏风骤\n浓睡不消残酒\n试问卷帘人"
+    thai = "วันนี้อากาศดีมากเราไปเดินเล่นกันเถอะ"
+    url = "https://example.org/some/long/path/to/a/page?query=1"
+    inline = "He came in. She sat down there. It was very late. Nobody said a word. The rain had stopped."
+    rows = [(1, free), (2, "甲乙\n" + free + "\n丙丁"), (3, thai), (4, thai + "\nx"), (5, url), (6, "y\n" + url), (7, "yes\n" * 500), (8, f"Start of one line. {inline} End."), (9, f"Mine is another here; really. {inline} And more"),
+            (10, "昨天的会议讨论了预算问题大家都同意。开始前很短。"), (11, "别的话放在前面，昨天没有雨。昨天的会议讨论了预算问题大家都同意。尾巴不同"), (12, "yes"), (13, "He came in. It was very late.")]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_units(docs_frame(spark, rows)).collect()}
+    assert got[1] == free and got[2].split() == ["甲乙", "丙丁"] and got[3] == thai and got[4] == "x" and got[5] == url and got[6].strip() == "y"
+    assert got[7] == "yes\n" and got[8] == rows[7][1] and got[9].split() == "Mine is another here; really. And more".split() and got[10] == rows[9][1]
+    assert got[11] == "别的话放在前面，昨天没有雨。尾巴不同" and got[12] == "yes" and got[13] == "He came in. It was very late."
+
+
 def brute_leaks(text, items, size=10):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
     words, hit, found = find(text), set(), set()
