@@ -38,13 +38,30 @@ BOILER_NAMES = set(
 )
 CONTENT = ("article", "main")
 
+#: elements whose start ends an open one of ``closed`` unless one of ``bounds`` was opened in between
+_SECTIONS = "article aside blockquote center details dialog dir dl fieldset figcaption figure footer form header hgroup main menu nav ol section summary ul".split()
+_CELLS = "table caption td th".split()
+_P = (("p",), tuple(_CELLS))
+IMPLIED = {
+    "li": (("li",), (*_SECTIONS, *_CELLS)),
+    **{x: (("dt", "dd"), (*_SECTIONS, *_CELLS)) for x in ("dt", "dd")},
+    **{x: (("td", "th"), ("table", "tr")) for x in ("td", "th")},
+    "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)),
+    **{x: (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)) for x in ("thead", "tbody", "tfoot")},
+}
+#: elements that can't stand in a paragraph
+P_ENDS = {*_SECTIONS, *"address div h1 h2 h3 h4 h5 h6 hr p pre search table li dt dd".split()}
+HEAD_ONLY = set("head html title meta link base script style noscript template bgsound basefont".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(HIDDEN) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(HIDDEN) + r")(?=[\s/>])(?P<rawattrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|</?[a-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_SAME = {x: re.compile(rf"<(/?){x}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for x in HIDDEN}
+_OPTION = re.compile(r"[^<]*(?:</option\s*>)?", re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -61,6 +78,27 @@ def _is_boiler(name: str, attrs: str, inside_content: bool) -> bool:
     return bool(words & BOILER_NAMES) or (not inside_content and bool(words & {"header", "head", "topbar"}))
 
 
+def _hidden_end(page: str, name: str, attrs: str, at: int, missing: set[str]) -> int:
+    """Where the hidden element whose start tag ends at ``at`` ends: at once if it is self-closing or
+    has no end tag (names without one are noted in ``missing``, so that a page is searched once a
+    name). Code without an end tag runs to the end of the page, as in HTML."""
+    if attrs.endswith("/") and attrs[-2:-1] in ("", " ", "\t", "\n", "\r", "\f", '"', "'"):
+        return at
+    if name == "option":
+        return _OPTION.match(page, at).end()
+    if name in missing:
+        return at
+    for m in _SAME[name].finditer(page, at):
+        if m[1]:
+            return m.end()
+        if name in ("select", "button"):  # these don't nest: the first was never closed
+            return at
+    if name in ("script", "style"):
+        return len(page)
+    missing.add(name)
+    return at
+
+
 Token = tuple[str, int, str, bool]  # feature, count, text or "" for tags, whether a block ends here
 
 
@@ -69,10 +107,36 @@ def tokenise(page: str) -> list[Token]:
     content and hidden elements yield nothing."""
     out: list[Token] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is boilerplate
+    places: dict[str, list[int]] = {}  # their places in the stack by name
     boiler = links = content = 0
     head = False
-    for m in _TOKEN.finditer(page):
-        kind = m.lastgroup
+    missing: set[str] = set()
+
+    def close(place: int) -> None:
+        """Unclosed inner elements end with their parent."""
+        nonlocal boiler, links, content
+        while len(stack) > place:
+            x, bad = stack.pop()
+            places[x].pop()
+            boiler -= bad
+            links -= x == "a"
+            content -= x in CONTENT
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
+    def end_implied(closed, bounds) -> None:
+        if any(places.get(x) for x in closed):
+            bound = last(bounds)
+            inner = [i for x in closed for i in places.get(x, ())[-1:] if i > bound]
+            while inner:
+                close(min(inner))
+                inner = [i for x in closed for i in places.get(x, ())[-1:] if i > bound]
+
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         if m["text"] is not None:
             if not head:
                 text = htmllib.unescape(m["text"]) if "&" in m["text"] else m["text"]
@@ -83,28 +147,33 @@ def tokenise(page: str) -> list[Token]:
             if name == "head":
                 head = not closing
                 continue
-            if name == "body":
+            if not closing and name not in HEAD_ONLY:
                 head = False
             block = name not in INLINE
             out.append((("/" if closing else "<") + name, 1, "", block))
+            if not closing:
+                if name in P_ENDS:
+                    end_implied(*_P)
+                if name in IMPLIED:
+                    end_implied(*IMPLIED[name])
             if name in VOID or m["attrs"].endswith("/"):
                 continue
             if not closing:
                 bad = _is_boiler(name, m["attrs"], content > 0)
+                places.setdefault(name, []).append(len(stack))
                 stack.append((name, bad))
                 boiler += bad
                 links += name == "a"
                 content += name in CONTENT
-            elif any(name == x for x, _ in stack[-64:]):
-                while True:  # unclosed inner elements end with their parent
-                    x, bad = stack.pop()
-                    boiler -= bad
-                    links -= x == "a"
-                    content -= x in CONTENT
-                    if x == name:
-                        break
-        elif kind == "raw":
+            elif places.get(name):
+                bounds = _P[1] if name == "p" else IMPLIED[name][1] if name in IMPLIED else ()
+                if places[name][-1] > last(bounds):
+                    close(places[name][-1])
+        elif m["raw"] is not None:
+            name = m["raw"].lower()
+            head = head and name in HEAD_ONLY
             out.append(("hidden", 1, "", False))
+            at = _hidden_end(page, name, m["rawattrs"], at, missing)
     return out
 
 

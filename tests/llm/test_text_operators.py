@@ -190,6 +190,28 @@ def brute_edit(rows):
     return out
 
 
+def test_html_elements_without_end_tags():
+    w = html_extract.fit([])
+    story = " ".join(f"word{i}" for i in range(300))
+    more = " ".join(f"later{i}" for i in range(300))
+    whole = f"{story}\n{more}"
+    menu = "".join(f"<li><a href=/{i}>entry" for i in range(300))
+    for before in (
+        f"<nav><ul>{menu}</ul></nav>", f"<div class=sidebar><ul>{menu}</ul></div>", f"<aside>{'<p>advert' * 200}</aside>",
+        f"<div class=ads>{'<span>x' * 300}</div>", "<p class=notice>cookies", "<ul><li class=advert>buy<li>x</ul>", f"<nav><dl>{'<dt>a<dd>b' * 99}</dl></nav>",
+        f"<nav><table>{'<tr><td>a<td>b' * 99}</table></nav>", "<svg/>", "<svg width='1' />", "<iframe src=\"x\" />", "<datalist><option>one<option>two</datalist>",
+        "<button>press", "<title-bar></title-bar>", "<object-view>", "<video src=x>", "<head><title>t</title>", "<select><option>a<option>b</select>",
+    ):
+        page = f"{before}<p>{story}<p>{more}"
+        assert html_extract.extract(page, w).endswith(whole), before
+        assert html_extract.extract(f"<p>{story}{before}<p>{more}", w).startswith(story), before
+    words = [t[2] for t in html_extract.tokenise("<select><option>a<option>b</select><script>c</script ><button>d</BUTTON>e<script>f") if t[2]]
+    assert words == ["e"]
+    nested = html_extract.tokenise("<ul class=menu><li>a<ul><li>b</ul><li>c</ul><table class=ads><tr><td><p>d<td>e</table>f")
+    assert [(t[0], t[2]) for t in nested if t[2]] == [("boiler", x) for x in "abcde"] + [("plain", "f")]
+    assert len(html_extract.tokenise("<button>" * 50_000 + "<svg><li>" * 50_000 + "</b>" * 50_000)) == 200_000
+
+
 def test_merkle_query_equals_brute_force(spark, sf, documents):
     rows = list(zip(documents.doc_id.tolist(), documents.text.tolist(), strict=True))
     got = queries.op9_merkle_fingerprint(spark, sf).collect()
