@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import NULL_ID, pick, shuffle_partitions
-from ledgerlake.llm.suffix_index import Run, _dealt
+from ledgerlake.llm.common import shuffle_partitions
+from ledgerlake.llm.suffix_index import Run, _dealt, keyed
 
 _UNIT = re.compile(r"[^\n.!?。！？｡]*[^\s.!?。！？｡][^\n.!?。！？｡]*[.!?。！？｡]*")
 _LINE = re.compile(r"[^\n]*[^\s][^\n]*")
@@ -108,7 +108,7 @@ def _run(docs: list[int], tags: list[int], texts: list[str], min_words: int, min
 def _repeats(runs: list[Run]) -> Run:
     """All occurrences of a digest but the one of lowest rank."""
     e = Run.merge(runs)
-    e = e.take(np.lexsort((e.start, e.doc, e.context, e.head)))
+    e = e.take(np.lexsort((e.tag, e.start, e.doc, e.context, e.head)))
     again = np.r_[False, (e.head[1:] == e.head[:-1]) & (e.context[1:] == e.context[:-1])]
     first = np.maximum.accumulate(np.where(~again, np.arange(len(e)), 0)) if len(e) else np.zeros(0, int)
     is_first = (e.doc == e.doc[first]) & (e.start == e.start[first]) & (e.tag == e.tag[first])
@@ -117,7 +117,11 @@ def _repeats(runs: list[Run]) -> Run:
 
 def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int, min_line_words: int) -> DataFrame:
     """(doc, tag, start, n): every unit that repeats an earlier one; n = 2 * length + strong."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    return _units(keyed(docs, id_col, text_col), min_words, min_line_words)
+
+
+def _units(base: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
+    buckets = shuffle_partitions(base.sparkSession)
 
     def emit(batches):
         for batch in batches:
@@ -130,7 +134,7 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int,
             e = _repeats(runs)
             for a in range(0, len(e), 200_000):
                 x = e.take(slice(a, a + 200_000))
-                yield pa.RecordBatch.from_arrays([pa.array(x.doc), pa.array(x.tag.astype(np.int32)), pa.array(x.start), pa.array(x.n)], ["doc", "tag", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.doc), pa.array(x.tag), pa.array(x.start), pa.array(x.n)], ["doc", "tag", "start", "n"])
 
         now, runs = None, []
         for batch in batches:
@@ -143,18 +147,8 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int,
         if runs:
             yield from found(runs)
 
-    base = _base(docs, id_col, text_col)
     packed = base.select("doc", "tag", "text").mapInArrow(emit, "bucket int, run binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "doc long, tag int, start long, n long")
-
-
-def _base(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None = None) -> DataFrame:
-    d = pick(docs, id=id_col, text=text_col, rank=rank_col or id_col)
-    return d.select(
-        F.coalesce(F.col("rank").cast("long"), F.lit(NULL_ID)).alias("doc"),
-        (F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFF)).cast("int").alias("tag"),
-        "id", "text",
-    )
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "doc long, tag long, start long, n long")
 
 
 def ranges_to_cut(text: str, found: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
@@ -197,9 +191,9 @@ def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str
     document and all keep the first occurrence. Null text stays null with no spans; an empty table
     gives an empty one. ``id_col`` may be a struct that carries columns if ``rank_col`` is given.
     """
-    ranked = docs.select(docs[rank_col or id_col].alias("rank"), docs[text_col].alias("text"))
-    cut = repeated_units(ranked, "rank", "text", min_words, min_line_words).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("found"))
-    joined = _base(docs, id_col, text_col, rank_col).join(cut, ["doc", "tag"], "left").select("id", "text", "found")
+    base = keyed(docs, id_col, text_col, rank_col)
+    cut = _units(base, min_words, min_line_words).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    joined = base.join(cut, ["doc", "tag"], "left").select("id", "text", "found")
     kind = docs.schema[id_col].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

@@ -32,9 +32,13 @@ from ledgerlake.llm.common import NULL_ID, pick, shuffle_partitions, stored
 
 Q = 20
 _SEGMENT = 1 << 20
+#: bytes of text, about, that one suffix array is built of
+_BATCH = 8 << 20
+#: repeated ids up to this number (8 MB) are broadcast
+_BROADCAST_IDS = 1_000_000
 _BITS48 = np.uint64((1 << 48) - 1)
 #: (name, dtype, bytes kept of each value in a packed run)
-_FIELDS = (("head", "<u8", 6), ("context", "<u8", 6), ("doc", "<i8", 8), ("tag", "<u2", 2), ("start", "<i8", 5), ("n", "<i8", 4))
+_FIELDS = (("head", "<u8", 6), ("context", "<u8", 6), ("doc", "<i8", 8), ("tag", "<i8", 8), ("start", "<i8", 5), ("n", "<i8", 4))
 
 
 class Run:
@@ -42,6 +46,8 @@ class Run:
 
     def __init__(self, **cols: np.ndarray):
         self.__dict__.update({k: np.asarray(cols[k], d) for k, d, _ in _FIELDS})
+        if self.tag.size and not self.tag.any():  # the usual case takes no memory
+            self.tag = np.broadcast_to(np.int64(0), self.tag.shape)
 
     def __len__(self) -> int:
         return len(self.head)
@@ -195,7 +201,7 @@ def _dealt(run: Run, buckets: int):
 
 def _index(rows: DataFrame, buckets: int) -> DataFrame:
     """Rows (bucket, run) -> (doc, tag, start, n, partial) by one LogIndex per bucket."""
-    schema = "doc long, tag int, start long, n long, partial boolean"
+    schema = "doc long, tag long, start long, n long, partial boolean"
 
     def scan(batches):
         def found(index):
@@ -204,7 +210,7 @@ def _index(rows: DataFrame, buckets: int) -> DataFrame:
                 s = slice(a, a + 200_000)
                 keep = np.flatnonzero(removed[s] | partial[s])
                 x = e.take(s).take(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(x.doc), pa.array(x.tag.astype(np.int32)), pa.array(x.start), pa.array(x.n), pa.array(partial[s][keep])], ["doc", "tag", "start", "n", "partial"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.doc), pa.array(x.tag), pa.array(x.start), pa.array(x.n), pa.array(partial[s][keep])], ["doc", "tag", "start", "n", "partial"])
 
         now, index = None, LogIndex()
         for batch in batches:
@@ -221,21 +227,25 @@ def _index(rows: DataFrame, buckets: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(doc, tag, start, n): ranges of ``n`` window starts that a smaller document holds too.
 
-    ``tag`` is a 16-bit hash of the text, so that rows that share an id but not a text keep
-    their own spans; a null id ranks after all others.
+    ``tag`` tells rows apart that share an id but not a text (see ``keyed``); a null id ranks after
+    all others.
     """
+    return _spans(keyed(docs, id_col, text_col), length)
+
+
+def _spans(base: DataFrame, length: int) -> DataFrame:
     if length < Q + 1:
         raise ValueError(f"length must be over {Q}")
-    spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
-    base = _base(docs, id_col, text_col)
+    buckets = shuffle_partitions(base.sparkSession)
 
     def arrays(batches):
-        for batch in batches:
-            texts = _bytes(batch["text"])
-            run = suffixes(texts, np.asarray(batch["doc"]), np.asarray(batch["tag"]), length)
-            for bucket, blob in _dealt(run, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "run"])
+        for whole in batches:
+            step = max(1, whole.num_rows * _BATCH // max(1, whole["text"].nbytes))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                run = suffixes(_bytes(batch["text"]), np.asarray(batch["doc"]), np.asarray(batch["tag"]), length)
+                for bucket, blob in _dealt(run, buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "run"])
 
     first = stored(_index(base.mapInArrow(arrays, "bucket int, run binary"), buckets), "suffix-matches")
     partial = first.filter("partial").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
@@ -263,13 +273,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return first.filter("not partial").select("doc", "tag", "start", "n").unionByName(second.filter("not partial").select("doc", "tag", "start", "n"))
 
 
-def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    d = pick(docs, id=id_col, text=text_col)
-    return d.select(
-        F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID)).alias("doc"),
-        (F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFF)).cast("int").alias("tag"),
-        "id", "text",
-    )
+def keyed(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None = None) -> DataFrame:
+    """(doc, tag, id, text): ``doc`` ranks a row, (doc, tag) tells its text from all others.
+
+    ``tag`` is 0 where no other row has the id, which costs nothing in a packed run, else (null and
+    repeated ids) a 64-bit hash of the text."""
+    d = pick(docs, id=id_col, text=text_col, rank=rank_col or id_col)
+    d = d.select(F.coalesce(F.col("rank").cast("long"), F.lit(NULL_ID)).alias("doc"), "id", "text")
+    many = stored(d.filter(F.col("doc") != NULL_ID).groupBy("doc").count().filter("count > 1").select(F.col("doc").alias("many")), "repeated-ids")
+    n = many.count()
+    shared = F.col("doc") == NULL_ID
+    if n:
+        d = d.join(F.broadcast(many) if n <= _BROADCAST_IDS else many, F.col("doc") == F.col("many"), "left")
+        shared = shared | F.col("many").isNotNull()
+    return d.select("doc", F.when(shared, F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long")).alias("tag"), "id", "text")
 
 
 def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -290,8 +307,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text counts as empty; texts under ``length`` bytes lose nothing; an empty table gives
     an empty table; rows of equal id don't match one another, repeated rows stay repeated.
     """
-    cut = repeated_spans(docs, id_col, text_col, length).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = _base(docs, id_col, text_col).join(cut, ["doc", "tag"], "left").select("id", "text", "spans")
+    base = keyed(docs, id_col, text_col)
+    cut = _spans(base, length).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    joined = base.join(cut, ["doc", "tag"], "left").select("id", "text", "spans")
 
     def apply(batches):
         for batch in batches:

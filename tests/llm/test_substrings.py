@@ -201,6 +201,22 @@ def test_line_dedup_cuts_copied_passages_of_short_units(spark):
     assert got[11] == "别的话放在前面，昨天没有雨。尾巴不同" and got[12] == "yes" and got[13] == "He came in. It was very late."
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_many_texts_under_null_or_one_id_keep_their_own_spans(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_index, "_BROADCAST_IDS", limit)
+    rng = random.Random(6)
+    own = lambda n: " ".join(f"{rng.getrandbits(40):x}" for _ in range(n))
+    p = own(20)
+    rows = [(1, p)] + [(i, f"{own(rng.randint(9, 30))}\n{p[: rng.randint(60, len(p))]}\n{own(9)}") for i in [None, 7] * 800] + [(9, own(12))]
+    got = suffix_index.remove_repeats(docs_frame(spark, rows), length=50).collect()
+    want = brute_cut(rows, 50)
+    assert sorted((str(r.doc_id), bytes(r.kept)) for r in got) == sorted((str(i), k) for (i, _), (k, _) in zip(rows, want, strict=True))
+    rows = [(i, t if i in (1, 9) else f"{own(rng.randint(9, 30))}\n{p}\n{own(9)}") for i, t in rows]
+    got = line_dedup.remove_repeated_units(docs_frame(spark, rows)).collect()
+    want = brute_units(rows)
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), want[k]) for k, (i, _) in enumerate(rows))
+
+
 def brute_leaks(text, items, size=10):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
     words, hit, found = find(text), set(), set()
