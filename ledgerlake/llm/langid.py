@@ -1,10 +1,10 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax.
 
 A word's subwords are its character 1- to 4-grams with boundary marks and the word itself, hashed
-into ``ROWS`` embedding rows. A text is the average of the embeddings of all subwords of all its
-words; a linear softmax follows. Both layers are trained by stochastic gradient descent in numpy on a
-bounded sample of labelled documents. As the map to logits is linear, a word's contribution is a
-fixed vector, so each distinct word is computed once per task.
+into ``ROWS`` embedding rows (`subwords`). A text is the average of the embeddings of all subwords of
+all its words; a linear softmax follows. Both layers are trained by stochastic gradient descent in numpy
+on a bounded sample of labelled documents. As the map to logits is linear, a word's contribution is a
+fixed vector, computed once and kept in a bounded table of the worker.
 
 The softmax temperature is fitted on a quarter of the sample that training doesn't see, so that the
 score of the best language is a calibrated probability; below ``reject`` the answer is ``und``.
@@ -13,7 +13,7 @@ score of the best language is a calibrated probability; below ``reject`` the ans
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -21,135 +21,111 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import pick
+from ledgerlake.llm.subwords import Bag, WordTable, bounded_sample, descend, grams, pieces, softmax, worker_table
 
 ROWS, DIM = 1 << 15, 16
+SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
-#: bound of the labelled sample the classifier is fitted on, per language; and of the languages
-SAMPLE, MAX_LANGUAGES = 600, 400
-#: distinct words of a training document that are used in one gradient step
-WORDS_PER_STEP = 200
-CACHE_WORDS = 300_000
+#: bound of the labelled sample the classifier is fitted on, per language
+SAMPLE = 600
+#: words of a training document of which its short steps are drawn
+SHORT_WORDS = 48
+TEMPERATURES = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 5.0)
 _WORD = re.compile(r"[^\W\d_]+")
-_LONG = 40
 
 
-def words_of(text: str) -> list[str]:
-    """Letter runs of a whole text, case folded; runs over ``_LONG`` letters in pieces."""
-    out = _WORD.findall(text.lower())
-    if not text.isascii():  # the class also holds numerals that are no letters
-        out = [w for w in out if w.isascii() or any(map(str.isalpha, w))]
-    if any(len(w) > _LONG for w in out):
-        out = [w[a : a + _LONG] for w in out for a in range(0, len(w), _LONG)]
-    return out
+def has_letter(word: str) -> bool:
+    """The word class also holds numerals that are no letters."""
+    return word.isascii() or any(map(str.isalpha, word))
 
 
-def spread(words: list[str], most: int = 2000) -> list[str]:
-    """Evenly spaced words of a training text."""
-    return words[:: max(1, -(-len(words) // most))]
+def words_of(text: str) -> list[str]:
+    """Letter runs of a whole text, case folded; endless ones in pieces."""
+    return pieces(_WORD.findall(text.lower()))
 
 
-def subwords(word: str) -> list[int]:
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % ROWS for g in (*grams, f"={word}")]
+def bag_of(words: list[str]) -> Bag:
+    """Distinct embedding rows of a text and their shares, which sum to 1."""
+    at, count = np.unique(grams(words, SIZES, ROWS)[0], return_counts=True)
+    return at, (count / max(count.sum(), 1)).astype(np.float32)
 
 
 class Model:
     def __init__(self, languages: list[str], embed: np.ndarray, out: np.ndarray, temperature: float = 1.0):
-        self.languages, self.temperature = languages, temperature
-        self.table = (embed @ out).astype(np.float64)  # logits of every subword row
+        self.languages, self.temperature, self.name = languages, temperature, uuid.uuid4().hex
+        self.logits = (embed @ out).astype(np.float64)  # of every subword row
 
-    def contribution(self, word: str) -> np.ndarray:
-        """Sum of the subwords' logits, and their number."""
-        rows = subwords(word)
-        return np.r_[self.table[rows].sum(0), len(rows)]
+    def table(self) -> WordTable:
+        return worker_table(self.name, lambda: WordTable(self.logits, SIZES, valid=has_letter))
 
     def probabilities(self, total: np.ndarray) -> np.ndarray:
         """Rows of summed contributions -> calibrated probabilities."""
-        z = total[:, :-1] / np.maximum(total[:, -1:], 1) / self.temperature
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+        return softmax(total[:, :-1] / np.maximum(total[:, -1:], 1) / self.temperature)
 
 
 def _loss(logits: np.ndarray, y: np.ndarray) -> float:
-    z = logits - logits.max(1, keepdims=True)
-    return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).mean())
+    return -float(np.log(np.maximum(softmax(logits)[np.arange(len(y)), y], 1e-300)).mean())
 
 
-def fit(rows: list[tuple[list[str], str]], epochs: int = 6, rate: float = 1.0, seed: int = 11) -> Model | None:
-    """Train on (words, language) of labelled documents; None without any."""
-    rows = [(w, y) for w, y in rows if w]
-    languages = sorted({y for _, y in rows})
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray, list[str]]], epochs: int = 8, rate: float = 1.0, seed: int = 11) -> Model | None:
+    """Train on (language, rows, shares, some words) of labelled documents; None without any."""
+    rows = [r for r in rows if len(r[1])]
+    languages = sorted({r[0] for r in rows})
     if not languages:
         return None
     rng = np.random.default_rng(seed)
     number = {x: i for i, x in enumerate(languages)}
-    cache: dict[str, list[int]] = {}
-
-    def sample(words: list[str]) -> np.ndarray:
-        some = words if len(words) <= WORDS_PER_STEP else [words[i] for i in rng.choice(len(words), WORDS_PER_STEP, replace=False)]
-        out: list[int] = []
-        for w in some:
-            if w not in cache:
-                cache[w] = subwords(w)
-            out += cache[w]
-        return np.array(out)
-
+    y = np.array([number[r[0]] for r in rows])
     order = rng.permutation(len(rows))
-    held = set(order[: len(rows) // 4].tolist()) if len(rows) >= 8 else set()
-    train = [i for i in range(len(rows)) if i not in held]
-    embed = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM)).astype(np.float32)
-    out = np.zeros((DIM, len(languages)), np.float32)
-    steps, done = epochs * len(train), 0
-    for _ in range(epochs):
-        for i in rng.permutation(train):
-            words, y = rows[i]
-            # short texts must work as well: half of the steps see a few words only
-            some = [words[j] for j in rng.choice(len(words), min(len(words), int(rng.integers(1, 9))), replace=False)] if rng.random() < 0.5 else words
-            idx = sample(some)
-            mean = embed[idx].mean(0)
-            z = mean @ out
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[number[y]] -= 1
-            lr = rate * (1 - done / steps)
-            grad = (out @ p) * (lr / len(idx))
-            out -= lr * np.outer(mean, p)
-            np.subtract.at(embed, idx, grad * np.sqrt(len(idx)))
-            done += 1
+    held, train = (order[: len(rows) // 4], order[len(rows) // 4 :]) if len(rows) >= 8 else (order, order)
+    cache: dict[tuple[int, int], Bag] = {}
+
+    def short(i: int, rng: np.random.Generator) -> Bag | None:
+        words = rows[train[i]][3]
+        if not words:
+            return None
+        n = min(len(words), int(rng.integers(1, 9)))
+        a = int(rng.integers(0, len(words) - n + 1))
+        if (i, a * 16 + n) not in cache:
+            cache[i, a * 16 + n] = bag_of(words[a : a + n])
+        return cache[i, a * 16 + n]
+
+    embed, out = descend([rows[i][1:3] for i in train], y[train], len(languages), ROWS, DIM, short, epochs, rate, seed)
     model = Model(languages, embed, out)
-    check = sorted(held) or train
-    total = np.array([np.sum([model.contribution(w) for w in rows[i][0][:400]], axis=0) for i in check])
-    y = np.array([number[rows[i][1]] for i in check])
-    logits = total[:, :-1] / np.maximum(total[:, -1:], 1)
-    model.temperature = min((0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 5.0), key=lambda t: _loss(logits / t, y))
+    logits = np.array([rows[i][2] @ model.logits[rows[i][1]] for i in held])
+    model.temperature = min(TEMPERATURES, key=lambda t: _loss(logits / t, y[held]))
     return model
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` documents of each language (lowest id hash first); rows of null
-    text or language are left out, as are languages beyond the ``MAX_LANGUAGES`` most frequent."""
-    d = pick(docs, id=id_col, text=text_col, lang=lang_col).filter("lang is not null")
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return None
-    # a hash border per language lets about twice the sample through, so no group is ranked as a whole
-    spark, span = docs.sparkSession, 1 << 32
-    border = spark.createDataFrame([(r["lang"], min(span, 2 * sample * span // r["count"] + 64 * span // r["count"])) for r in counts], "lang string, border long")
-    h = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(5)).bitwiseAND(span - 1)
-    near = d.select("id", "lang", h.alias("h")).join(F.broadcast(border), "lang").filter("h < border").select("lang", "h", "id").distinct().collect()
-    chosen: dict[str, list] = {}
-    for r in sorted(near, key=lambda r: (r["lang"], r["h"], str(r["id"]))):
-        if len(chosen.setdefault(r["lang"], [])) < sample:
-            chosen[r["lang"]].append(r["id"])
-    ids = spark.createDataFrame([(i, x) for x, many in sorted(chosen.items()) for i in many], d.select("id", "lang").schema)
-
-    def words(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array([spread(words_of(t)) for t in batch["text"].to_pylist()], pa.list_(pa.string()))], ["lang", "words"])
+    """Fit on at most ``sample`` distinct (id, text) rows of each language, lowest hash first.
 
-    rows = d.filter("text is not null").join(F.broadcast(ids), ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(words, "lang string, words array<string>").toArrow()
-    return fit(sorted(zip(rows["words"].to_pylist(), rows["lang"].to_pylist(), strict=True)))
+    Rows of null text or language are left out; a null id is an id like others. Repeated rows count
+    once in training. Only shares of ``ROWS`` rows at most and ``SHORT_WORDS`` words of each
+    sampled text reach the driver, however long it is."""
+    d = pick(docs, id=id_col, text=text_col, lang=lang_col).filter("lang is not null and text is not null")
+    chosen = bounded_sample(d, "lang", sample, F.col("id").cast("string"), F.col("text"))
+
+    def bags(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                at, share, some = [], [], []
+                for text in part["text"].to_pylist():
+                    words = [w for w in words_of(text) if has_letter(w)]
+                    bag = bag_of(words)
+                    at.append(bag[0].astype(np.int32))
+                    share.append(bag[1])
+                    start = max(0, (len(words) - SHORT_WORDS) // 2)
+                    some.append(words[start : start + SHORT_WORDS])
+                yield pa.RecordBatch.from_arrays(
+                    [part["lang"], part["h"], pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32())), pa.array(some, pa.list_(pa.string()))],
+                    ["lang", "h", "at", "share", "some"])
+
+    got = chosen.select("lang", "h", "text").mapInArrow(bags, "lang string, h long, at array<int>, share array<float>, some array<string>").toArrow()
+    got = got.sort_by([("lang", "ascending"), ("h", "ascending")]).combine_chunks()
+    return fit([(lang, np.asarray(at.values, np.int64), np.asarray(share.values), some.as_py())
+                for lang, at, share, some in zip(got["lang"].to_pylist(), got["at"], got["share"], got["some"], strict=True)])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.0) -> DataFrame:
@@ -161,31 +137,22 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
-        known: dict[str, int] = {}
-        size = len(model.languages) + 1 if model else 1
-        table = np.zeros((1024, size))
+        known = model.table() if model else None
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                total = np.zeros((part.num_rows, size))
-                for i, text in enumerate(part["text"].to_pylist()):
-                    words = words_of(text) if text and model else []
-                    for w in set(words).difference(known):
-                        n = known[w] = len(known)
-                        if n >= len(table):
-                            table = np.concatenate([table, np.zeros_like(table)])
-                        table[n] = model.contribution(w)
-                    if words:
-                        count = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-                        at = np.flatnonzero(count)
-                        total[i] = count[at] @ table[at]
-                some = total[:, -1] > 0
                 best, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                if some.any():
+                if known:
+                    known.make_room()
+                    total = np.zeros((part.num_rows, len(model.languages) + 1))
+                    for i, text in enumerate(part["text"].to_pylist()):
+                        words = words_of(text) if text else []
+                        if words:
+                            count = np.bincount(known.slots(words))
+                            at = np.flatnonzero(count)
+                            total[i] = count[at] @ known.sums[at]
                     p = model.probabilities(total)
-                    for i in np.flatnonzero(some):
+                    for i in np.flatnonzero(total[:, -1] > 0):
                         score[i] = round(float(p[i].max()), 9)  # free of the order of summing
                         if score[i] >= reject:
                             best[i] = model.languages[int(p[i].argmax())]
