@@ -48,6 +48,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[c].alias(n) for n, c in columns.items()])
 
 
-def crc_fold(id_col: str = "doc_id") -> F.Column:
-    """crc32 of the id as text, modulo 5; 0 marks the held-out fold."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
+def crc_fold(id_col: str = "doc_id", folds: int = 5) -> F.Column:
+    """crc32 of the id as text, modulo ``folds``; null for a null id, which so belongs to no fold."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, chat_template, decontaminate, html_extract, hyperminhash, langid, line_dedup, merkle, suffix_index, toxicity
+from ledgerlake.llm import bpe, chat_template, decontaminate, html_extract, hyperminhash, langid, line_dedup, merkle, quality, repair, resample, suffix_index, toxicity
 from ledgerlake.llm.common import crc_fold, table
 from ledgerlake.llm.oracle import SQL as SQL  # the DuckDB twins, for the entry module
 
@@ -98,10 +98,31 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule, with their faults and cheapest repairs."""
+    damaged = repair.damage(table(spark, sf_dir, "conversations"))
+    return repair.repair(damaged, live_col="live").withColumnRenamed("conv", "conv_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn to resemble the benchmark's texts."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_fold(folds=4)
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(fold != 2))
+    found = quality.score(docs, model)
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_suffix_array_dedup, op3_chat_format, op4_bpe, op5_html_extraction,
         op6_decontamination, op7_language_id, op8_line_dedup, op9_merkle_fingerprint, op10_near_duplicates,
+        op11_conversation_repair, op12_importance_resampling, op13_quality,
     )
 }
