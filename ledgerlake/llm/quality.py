@@ -121,11 +121,13 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray, list[str]]], odds: float,
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents of each label (distinct id and text, lowest hash
-    first). Only row weights (of ``ROWS + PAIRS + 1`` at most) and ``SHORT_WORDS`` words of each reach the
-    driver, however long the texts. Rows of null text, id or label are left out; an id with
+    first, among twice as many labelled ids). Only these ids are broadcast, and only row weights (of
+    ``ROWS + PAIRS + 1`` at most) and ``SHORT_WORDS`` words of each text reach the driver, however long
+    the texts and however often an id repeats. Rows of null text, id or label are left out; an id with
     both labels counts as 1."""
     y = pick(labels, id=id_col, label=label_col).withColumn("label", F.col("label").cast("int")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
-    known = pick(docs, id=id_col, text=text_col).filter("text is not null").join(y, "id")
+    ids = bounded_sample(y, "label", 2 * sample, F.col("id")).select("id", "label", F.col("of_label").alias("labelled"))
+    known = pick(docs, id=id_col, text=text_col).filter("text is not null").join(F.broadcast(ids), "id")
     chosen = bounded_sample(known, "label", sample, F.col("id"), F.col("text"))
 
     def bags(batches):
@@ -141,12 +143,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     start = max(0, (len(words) - SHORT_WORDS) // 2)
                     some.append(words[start : start + SHORT_WORDS])
                 yield pa.RecordBatch.from_arrays(
-                    [part["label"], part["of_label"], part["h"], pa.array(at, pa.list_(pa.int32())), pa.array(weight, pa.list_(pa.float32())), pa.array(some, pa.list_(pa.string()))],
-                    ["label", "of_label", "h", "at", "weight", "some"])
+                    [part["label"], part["labelled"], part["h"], pa.array(at, pa.list_(pa.int32())), pa.array(weight, pa.list_(pa.float32())), pa.array(some, pa.list_(pa.string()))],
+                    ["label", "labelled", "h", "at", "weight", "some"])
 
-    got = chosen.select("label", "of_label", "h", "text").mapInArrow(bags, "label int, of_label long, h long, at array<int>, weight array<float>, some array<string>").toArrow()
+    got = chosen.select("label", "labelled", "h", "text").mapInArrow(bags, "label int, labelled long, h long, at array<int>, weight array<float>, some array<string>").toArrow()
     got = got.sort_by([("label", "ascending"), ("h", "ascending")]).combine_chunks()
-    of = dict(zip(got["label"].to_pylist(), got["of_label"].to_pylist(), strict=True))
+    of = dict(zip(got["label"].to_pylist(), got["labelled"].to_pylist(), strict=True))
     rows = [(label, np.asarray(at.values, np.int64), np.asarray(weight.values), some.as_py()) for label, at, weight, some in zip(got["label"].to_pylist(), got["at"], got["weight"], got["some"], strict=True)]
     return fit(rows, float(np.log((of.get(1, 0) + 0.5) / (of.get(0, 0) + 0.5))))
 
