@@ -26,16 +26,26 @@ SAMPLE, SAMPLE_CHARS = 300, 200_000
 MARGIN, SHIFT = 0.7, 0.3
 
 # fixed values: element classes of HTML
-HIDDEN = "script style noscript template textarea iframe object svg math title select option button canvas audio video".split()
+HIDDEN = "script style noscript template textarea iframe object svg title select option button canvas audio video".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
-BOILER = set("nav footer aside form menu dialog address".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr "
+             "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mstyle mover munder".split())
+BOILER = set("nav footer aside form menu dialog".split())
+#: elements, and words of names, that stay boilerplate however much of a page they hold
+STRONG = set("nav footer menu dialog".split())
 #: words of class, id and role attributes that name boilerplate
 BOILER_NAMES = set(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert warning "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments commentlist discussion reply replies respond disqus share sharing social related "
     "recommended newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager widget footer masthead search complementary contentinfo".split()
 )
+STRONG_NAMES = set("ad ads adbox adslot advert adverts advertisement advertising cookie cookies consent gdpr comment comments commentlist discussion reply replies respond disqus".split())
+#: words that may stand beside them in a name: parts of a page, places, numbers of things
+NEUTRAL_NAMES = set(
+    "area aside bar block body bottom box btn button buttons card cards center column container content contents div element elements footer fixed form global group header "
+    "holder icon icons inline inner item items label large left link links list main medium message module outer page panel post posts articles stories news primary reader readers right row section "
+    "secondary section sections site slot small sticky story tab tabs tag tags the title top unit user users wrap wrapper".split()
+)
 CONTENT = ("article", "main")
 
 #: elements whose start ends an open one of ``closed`` unless one of ``bounds`` was opened in between
@@ -66,16 +76,25 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", r
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _is_boiler(name: str, attrs: str, inside_content: bool) -> bool:
+def _boiler_kind(name: str, attrs: str, inside_content: bool) -> int:
+    """0: ordinary; 1: boilerplate unless the page's text lies in it; 2: boilerplate unless its article does.
+
+    A name counts if it consists of boilerplate words and neutral ones only: ``related-posts`` does,
+    ``related-work``, ``has-sidebar`` and ``menu-open`` don't."""
     if name in BOILER or (name == "header" and not inside_content):
-        return True
+        return 2 if name in STRONG else 1
     if name in CONTENT or name in ("body", "html") or "=" not in attrs:
-        return False
+        return 0
     named = [v.strip("\"'") for _, v in _ATTR.findall(attrs)]
     if not any(named):
-        return "hidden" in attrs.lower().split()
-    words = {w.lower() for v in named for w in _CAMEL.findall(v)}
-    return bool(words & BOILER_NAMES) or (not inside_content and bool(words & {"header", "head", "topbar"}))
+        return int("hidden" in attrs.lower().split())
+    kind = 0
+    for token in " ".join(named).split():
+        words = {w.lower() for w in _CAMEL.findall(token)}
+        telling = words & BOILER_NAMES if inside_content else words & (BOILER_NAMES | {"header", "head", "topbar"})
+        if telling and words <= telling | NEUTRAL_NAMES:
+            kind = max(kind, 2 if words & STRONG_NAMES else 1)
+    return kind
 
 
 def _hidden_end(page: str, name: str, attrs: str, at: int, missing: set[str]) -> int:
@@ -104,21 +123,26 @@ Token = tuple[str, int, str, bool]  # feature, count, text or "" for tags, wheth
 
 def tokenise(page: str) -> list[Token]:
     """Tokens of a whole page. Text features: plain, link (inside ``a``) or boiler words; the head's
-    content and hidden elements yield nothing."""
+    content and hidden elements yield nothing.
+
+    Elements that look like boilerplate are noted with the words they hold; which of them are is
+    decided when the whole page is read (`_boilerplate`)."""
     out: list[Token] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is boilerplate
+    stack: list[tuple[str, int]] = []  # open elements, and the number of their note or -1
     places: dict[str, list[int]] = {}  # their places in the stack by name
-    boiler = links = content = 0
+    notes: list[list[int]] = []  # kind (0: content), first token, end, words, words that are no links
+    links = content = said = plain = 0
     head = False
     missing: set[str] = set()
 
     def close(place: int) -> None:
         """Unclosed inner elements end with their parent."""
-        nonlocal boiler, links, content
+        nonlocal links, content
         while len(stack) > place:
-            x, bad = stack.pop()
+            x, note = stack.pop()
             places[x].pop()
-            boiler -= bad
+            if note >= 0:
+                notes[note][2:] = [len(out), said - notes[note][3], plain - notes[note][4]]
             links -= x == "a"
             content -= x in CONTENT
 
@@ -141,7 +165,8 @@ def tokenise(page: str) -> list[Token]:
             if not head:
                 text = htmllib.unescape(m["text"]) if "&" in m["text"] else m["text"]
                 n = len(text.split())
-                out.append(("boiler" if boiler else "link" if links else "plain", n, text, False))
+                said, plain = said + n, plain + (0 if links else n)
+                out.append(("link" if links else "plain", n, text, False))
         elif m["name"] is not None:
             name, closing = m["name"].lower(), bool(m["close"])
             if name == "head":
@@ -159,10 +184,11 @@ def tokenise(page: str) -> list[Token]:
             if name in VOID or m["attrs"].endswith("/"):
                 continue
             if not closing:
-                bad = _is_boiler(name, m["attrs"], content > 0)
+                kind = _boiler_kind(name, m["attrs"], content > 0)
                 places.setdefault(name, []).append(len(stack))
-                stack.append((name, bad))
-                boiler += bad
+                stack.append((name, len(notes) if kind or name in CONTENT else -1))
+                if kind or name in CONTENT:
+                    notes.append([kind, len(out), 0, said, plain])
                 links += name == "a"
                 content += name in CONTENT
             elif places.get(name):
@@ -174,6 +200,27 @@ def tokenise(page: str) -> list[Token]:
             head = head and name in HEAD_ONLY
             out.append(("hidden", 1, "", False))
             at = _hidden_end(page, name, m["rawattrs"], at, missing)
+    close(0)
+    for a, b in _boilerplate(notes, plain):
+        for i in range(a, b):
+            if out[i][2]:
+                out[i] = ("boiler", *out[i][1:])
+    return out
+
+
+def _boilerplate(notes: list[list[int]], plain: int) -> list[tuple[int, int]]:
+    """Token ranges of the elements that are boilerplate, outermost ones only. An element around the
+    page's longest article isn't, nor, on a page without one, an element of kind 1 around most of its
+    words (links apart)."""
+    articles = [n for n in notes if not n[0]]
+    longest = max(articles, key=lambda n: (n[3], -n[1]), default=None)
+    out: list[tuple[int, int]] = []
+    for kind, a, b, _, words in notes:
+        if not kind or (out and b <= out[-1][1]):
+            continue
+        around = longest is not None and longest[3] > 0 and a <= longest[1] and longest[2] <= b
+        if not around and not (longest is None and kind == 1 and 2 * words > plain):
+            out.append((a, b))
     return out
 
 

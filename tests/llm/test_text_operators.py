@@ -127,6 +127,31 @@ def test_html_extraction(spark, sf):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+LONG = "".join(f"<p>{'some words of the article go on here, ' * 6}end {i}.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="container has-sidebar"><div class="sidebar">side words</div><article>{}</article></div>',
+    '<div id="page" class="menu-open"><nav><a href="/">Menu</a></nav><main>{}</main></div>',
+    '<form id="aspnetForm"><div id="menu"><a href="/">Menu</a></div><div>{}</div></form>',
+    '<nav><a href="/a">Menu entry</a></nav><div class="post social">{}</div><div class="social share"><a href="/">Share this</a></div>',
+    '<div class="sidebar"><main>{}</main></div><aside><article>A short teaser.</article></aside>',
+    '<header><a href="/">Site</a></header><div id="content"><div>{}</div></div><div class="comments"><p>I agree.</p></div><footer>site words</footer>',
+    '<div class="notice">{}</div>',
+])
+def test_html_extraction_keeps_the_article_whatever_surrounds_it(spark, sf, page):
+    want = "\n".join(x.strip() for x in LONG.replace("<p>", "").split("</p>") if x)
+    for weights in (html_extract.fit([]), html_extract.train(spark.read.parquet(f"{sf}/pages.parquet"))):
+        assert html_extract.extract(f"<html><body>{page.format(LONG)}</body></html>", weights) == want
+
+
+def test_html_extraction_inside_an_article():
+    page = f"""<article>{LONG}<section id="related-work"><h2>Related work</h2><p>Others did this too.</p></section><address>Main street 1</address>
+    <p>A formula <math><mi>x</mi></math> here.</p><div class="related-posts"><a href="/">More posts</a></div><div class="ad">Buy!</div></article>"""
+    got = html_extract.extract(page, html_extract.fit([])).split("\n")
+    assert got[6:] == ["Related work", "Others did this too.", "Main street 1", "A formula x here."]
+
+
 def test_language_held_out_accuracy(spark, sf):
     big = sf.replace("0.001", "0.01")
     got = queries.op7_language_id(spark, big).join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
