@@ -108,24 +108,22 @@ def budgets_raw(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_size", "p_retailprice")
-    bp = li.join(s, li.l_suppkey == s.s_suppkey).select(
-        F.col("s_nationkey").alias("household_id"), F.col("l_partkey").alias("pk")).distinct()
     freq = F.element_at(F.array(*[F.lit(f) for f in FREQUENCIES]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    rows = bp.join(p, bp.pk == p.p_partkey).select(
-        "household_id",
+    lines = p.select(
+        "p_partkey",
         F.col("p_type").alias("category"),
         F.when(F.col("p_partkey") % 10 == 0, F.lit("")).otherwise(F.col("p_brand")).alias("subcategory"),
-        F.col("p_partkey"),
-        (F.col("p_retailprice").cast(C.MONEY) * F.col("p_size")).cast(C.MONEY).alias("limit"),
-        freq.alias("frequency"),
         F.trunc(F.date_add(F.lit(dt.date(1995, 1, 1)), (F.col("p_partkey") * 37 % 2400).cast("int")), "MM")
         .alias("effective_date"),
     )
-    best = rows.groupBy("household_id", "category", "subcategory", "effective_date").agg(
-        F.min(F.struct("p_partkey", "limit", "frequency")).alias("_b"))
-    return best.select("household_id", "category", "subcategory", F.col("_b.limit").alias("limit"),
-                       F.col("_b.frequency").alias("frequency"), "effective_date",
-                       F.lit(None).cast("date").alias("conclusion_date"))
+    # the lowest part key says the rest: the aggregate carries one number a group, in a hash table
+    best = (li.join(s, li.l_suppkey == s.s_suppkey).join(lines, li.l_partkey == lines.p_partkey)
+            .groupBy(F.col("s_nationkey").alias("household_id"), "category", "subcategory", "effective_date")
+            .agg(F.min("p_partkey").alias("_p")))
+    return best.join(p, best["_p"] == p.p_partkey).select(
+        "household_id", "category", "subcategory",
+        (F.col("p_retailprice").cast(C.MONEY) * F.col("p_size")).cast(C.MONEY).alias("limit"), freq.alias("frequency"),
+        "effective_date", F.lit(None).cast("date").alias("conclusion_date"))
 
 
 @stored
