@@ -7,6 +7,7 @@ differences of manifests.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,13 +70,21 @@ class Ledger:
         repeats none."""
         if self.rows.manifest().has(source, batch):
             return self.rows.manifest()
-        new = new.select(*self.columns)
+        # derived once: counting, numbering and writing read the batch's own copy
+        draft = f"{self.base}/_drafts/{uuid.uuid4().hex}"
+        new.select(*self.columns).withColumn("month", C.month_start("date")).write.parquet(draft)
+        try:
+            return self._append(self.spark.read.parquet(draft), source, batch)
+        finally:
+            self.rows.files.delete(draft)
+
+    def _append(self, new: DataFrame, source: str, batch: object) -> Manifest:
+        counts = RI.content_counts(new, self.columns, "month")
+        months = [r["month"] for r in new.select("month").distinct().collect()]
         for attempt in range(ATTEMPTS):
             given = self.given.manifest()
-            counts = RI.content_counts(new.withColumn("month", C.month_start("date")), self.columns, "month")
-            months = [r["month"] for r in counts.select("month").distinct().collect()]
             used = self.given.rows_of(given, months).select("content", "n") if given.schema else counts.filter(F.lit(False)).select("content", "n")
-            rows = RI.with_row_ids(new, used, self.columns).withColumn("month", C.month_start("date"))
+            rows = RI.with_row_ids(new.select(*self.columns), used, self.columns).withColumn("month", C.month_start("date"))
             try:
                 # the ids of this attempt, under a name of its own: a replay after a crash draws new ones
                 self.given.append(counts.select("content", "n", "month"), f"{source} ids", f"{batch}.{given.version}", base=given)

@@ -42,14 +42,16 @@ def import_statements_job(spark: SparkSession, statement_paths: Sequence[str] |
     if categorize:
         staged = CT.auto_categorize(staged, ledger, keys)
     new = J.import_batch(ledger, staged, keys)
-    return sinks.write_snapshot(clean_expenses(new, keys), out_base, "expenses", snapshot_id)
+    return sinks.write_snapshot(clean_expenses(new, keys), out_base, "expenses", snapshot_id)  # published when whole
 
 
 def import_append_job(spark: SparkSession, statement_paths: Sequence[str] | str, ledger_path: str, batch_id: int,
-                      keys_value: dict | None = None, file_keys: DataFrame | None = None, categorize: bool = True) -> None:
-    """Import statement files into a ledger stored by month and batch: only the batch is written."""
+                      keys_value: dict | None = None, file_keys: DataFrame | None = None, categorize: bool = True,
+                      source: str = ingest.MANUAL) -> None:
+    """Import statement files into a stored ledger (`plans.ledger`), once per (source, batch_id): only the
+    batch is written."""
     ingest.ingest_files(spark, [statement_paths] if isinstance(statement_paths, str) else list(statement_paths),
-                        ledger_path, batch_id, keys_value, file_keys, categorize)
+                        ledger_path, batch_id, keys_value, file_keys, categorize, source)
 
 
 def monthly_report_job(expenses: DataFrame, budgets: DataFrame, goals: DataFrame, out_base: str,

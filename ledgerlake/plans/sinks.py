@@ -1,9 +1,8 @@
 """Sinks (A7, A8, A16).
 
-Tables are written as new snapshots under `<base>/<table>/snapshot=<id>`, so a
-job never overwrites the files it is reading; re-running a job with the same
-snapshot id overwrites only that partition, which makes a retry after a lost
-executor or driver harmless.
+Tables are versioned (`store`): a snapshot is written under a new commit, checked and then published by one
+manifest, so a job never overwrites files that are being read, and one killed half-way leaves the
+version before as it was. Publishing a snapshot id again changes nothing.
 """
 
 from __future__ import annotations
@@ -14,20 +13,22 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.plans.store import Table, commit_key
 
-def write_snapshot(df: DataFrame, base: str, table: str, snapshot_id: str,
-                   partition_by: list[str] | None = None) -> str:
-    """Write one table version as parquet; returns its path."""
-    path = f"{base}/{table}/snapshot={snapshot_id}"
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path
+SNAPSHOT = "snapshot"
 
 
-def read_snapshot(spark: SparkSession, base: str, table: str, snapshot_id: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{table}/snapshot={snapshot_id}")
+def write_snapshot(df: DataFrame, base: str, table: str, snapshot_id: str) -> str:
+    """Publish one whole table version under an id; returns the folder of its rows."""
+    t = Table(df.sparkSession, f"{base}/{table}")
+    m = t.overwrite(df, SNAPSHOT, snapshot_id)
+    return f"{t.path}/{t.manifest(m.commits[commit_key(SNAPSHOT, snapshot_id)]).folders[0]}"
+
+
+def read_snapshot(spark: SparkSession, base: str, table: str, snapshot_id: str | None = None) -> DataFrame:
+    """The newest snapshot, or the one that was published under an id."""
+    t = Table(spark, f"{base}/{table}")
+    return t.read(version=None if snapshot_id is None else t.manifest().commits[commit_key(SNAPSHOT, snapshot_id)])
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -35,17 +36,20 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def backup(tables: Mapping[str, DataFrame], base: str, backup_date: dt.date) -> list[str]:
-    """Copy every non-empty table to `<base>/<name>/backup_date=YYYY-MM-DD`, replacing the
-    same day's copy; empty tables are skipped. Returns the written paths."""
-    written = []
-    for name, df in tables.items():
-        if df.isEmpty():
-            continue
-        path = f"{base}/{name}/backup_date={backup_date.isoformat()}"
-        df.write.mode("overwrite").parquet(path)
-        written.append(path)
-    return written
+def backup(tables: Mapping[str, DataFrame | Table], base: str, backup_date: dt.date) -> list[str]:
+    """Keep every non-empty table under a date, replacing the same day's backup; empty tables are
+    skipped. A versioned table is kept by reference (its folders never change, nothing is copied); a
+    frame from elsewhere is copied to `<base>/<name>/backup_date=YYYY-MM-DD`. Returns what was kept."""
+    kept = []
+    for name, t in tables.items():
+        if isinstance(t, Table):
+            if t.backup(backup_date):
+                kept.append(f"{t.path}/_backups/{backup_date.isoformat()}.json")
+        elif not t.isEmpty():
+            path = f"{base}/{name}/backup_date={backup_date.isoformat()}"
+            t.write.mode("overwrite").parquet(path)
+            kept.append(path)
+    return kept
 
 
 def write_report_bundle(parts: Mapping[str, DataFrame], base: str, report_month: str) -> dict[str, str]:
@@ -59,15 +63,6 @@ def write_report_bundle(parts: Mapping[str, DataFrame], base: str, report_month:
     return out
 
 
-def append_batch(new: DataFrame, ledger_path: str, batch_id: int) -> None:
-    """Append one import to the ledger stored as `month=.../batch_id=...`: writes only the batch's own
-    partitions, and a replay of the batch rewrites the same ones (dynamic partition overwrite). No
-    earlier row is read or written."""
-    (with_month_partition(new.withColumn("batch_id", F.lit(batch_id)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month", "batch_id").parquet(ledger_path))
-
-
 def with_month_partition(df: DataFrame, col: str = "date") -> DataFrame:
     """Add the month partition column used for ledger storage (prunes month/range filters)."""
     return df.withColumn("month", F.trunc(F.col(col), "MM"))

@@ -6,9 +6,10 @@ file, from `_metadata.file_path`); `foreachBatch` hands their paths to the same
 batch code path used for one-off imports, so stream and batch share one
 implementation.
 
-The ledger is stored as `month=.../batch_id=...`. Exactly-once by construction: micro-batch N writes
-its own partitions with dynamic overwrite, and deduplicates against the ledger *without* batch N,
-so a replay of batch N after a failure rewrites the same rows. The duplicate check reads only the
+The ledger is a versioned table (`plans.ledger`). A micro-batch is committed once under (source, batch id):
+the source is the streaming query's own id, which lives in its checkpoint, so a replay after a failure is
+recognised, while a stream with a new checkpoint, another stream or a manual import can use the same
+batch numbers without touching each other's rows. The duplicate check reads only the
 batch's months. Deduplication is against the stored ledger, so no watermark state is kept.
 """
 
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,40 +25,34 @@ from ledgerlake.functions import columns as C
 from ledgerlake.operators import dedup as D
 from ledgerlake.operators.categorize import auto_categorize
 from ledgerlake.plans import jobs as J
-from ledgerlake.plans.sinks import append_batch
+from ledgerlake.plans.ledger import Ledger
 from ledgerlake.session import shared_dir
 from ledgerlake.sources.statements import read_statement_files
 
-BATCH_COL = "batch_id"
-
-
-def ledger_without_batch(spark: SparkSession, ledger_path: str, batch_id: int, keys: Sequence[str] = ()) -> DataFrame:
-    """The stored ledger without one batch; empty before the first batch has been written."""
-    try:
-        led = spark.read.parquet(ledger_path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        fields = ", ".join([*(f"{k} string" for k in keys), "date date", "description string", "category string",
-                            "subcategory string", "amount decimal(18,2)", "payer string", "expense_type string"])
-        return spark.createDataFrame([], fields)
-    return led.filter(F.col(BATCH_COL) != batch_id).drop(BATCH_COL)
+MANUAL = "manual"
+#: where Spark names the running streaming query to its batches
+QUERY_ID = "sql.streaming.queryId"
 
 
 def ingest_files(spark: SparkSession, paths: Sequence[str], ledger_path: str, batch_id: int,
-                 keys_value: dict | None = None, file_keys: DataFrame | None = None, categorize: bool = False) -> None:
-    """Batch path: stage the files, import the survivors into the ledger's partitions of batch_id."""
+                 keys_value: dict | None = None, file_keys: DataFrame | None = None, categorize: bool = False,
+                 source: str = MANUAL) -> None:
+    """Batch path: stage the files and import the survivors under (source, batch_id); a pair that is
+    committed already is left as it is."""
     keys = [*(keys_value or {}), *[c for c in (file_keys.columns if file_keys is not None else []) if c != "path"]]
+    stored = Ledger(spark, ledger_path, keys)
+    if stored.rows.manifest().has(source, batch_id):
+        return
     stm = read_statement_files(spark, list(paths), keys_value, file_keys).drop("path")
-    whole = ledger_without_batch(spark, ledger_path, batch_id, keys)
+    whole = stored.expenses()
     ledger = D.ledger_date_bounds(stm, whole)
     staged = J.stage_statements(stm, ledger, "seq", keys)
     if categorize:
-        staged = auto_categorize(staged, whole, keys)
+        staged = auto_categorize(staged, whole.drop("month"), keys)
     new = D.dedup_strict(staged, ledger, keys).select(
         *keys, "date", "description", "category", "subcategory", "amount", "payer",
         F.lit(C.TYPE_MONTHLY).alias("expense_type"))
-    append_batch(new, ledger_path, batch_id)
+    stored.append(new, source, batch_id)
 
 
 def start_statement_stream(spark: SparkSession, source_dir: str, ledger_path: str,
@@ -75,7 +69,9 @@ def start_statement_stream(spark: SparkSession, source_dir: str, ledger_path: st
     def process(batch: DataFrame, batch_id: int) -> None:
         paths = [r["path"] for r in batch.select("path").distinct().collect()]  # one row per new file
         if paths:
-            ingest_files(batch.sparkSession, paths, ledger_path, batch_id, keys_value)
+            session = batch.sparkSession
+            stream = session.sparkContext.getLocalProperty(QUERY_ID)
+            ingest_files(session, paths, ledger_path, batch_id, keys_value, source=f"stream {stream}")
 
     w = files.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -1,6 +1,7 @@
 """File sources, sinks and the streaming ingest, in fresh scratch folders."""
 
 import datetime as dt
+import json
 import os
 import uuid
 from decimal import Decimal
@@ -9,6 +10,8 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from ledgerlake.plans import sinks
+from ledgerlake.plans.ledger import Ledger
+from ledgerlake.plans.store import Table
 from ledgerlake.sources import statements as ST
 from ledgerlake.sources import tables as TB
 from ledgerlake.streaming import ingest
@@ -64,8 +67,13 @@ def test_statement_files_mixed_layouts(spark, scratch):
 def test_snapshot_backup_and_csv_export(spark, scratch):
     df = spark.createDataFrame([(1, "a", None)], "household_id int, description string, payer string")
     path = sinks.write_snapshot(df, scratch, "expenses", "20240101T000000")
-    assert rows(sinks.read_snapshot(spark, scratch, "expenses", "20240101T000000")) == [(1, "a", None)]
-    assert path.endswith("snapshot=20240101T000000")
+    assert rows(sinks.read_snapshot(spark, scratch, "expenses", "20240101T000000")) == [(1, "a", None)] == rows(spark.read.parquet(path))
+    sinks.write_snapshot(df.withColumn("household_id", F.lit(2)), scratch, "expenses", "20240102T000000")
+    assert sinks.write_snapshot(df, scratch, "expenses", "20240101T000000") == path  # the job run again
+    assert rows(sinks.read_snapshot(spark, scratch, "expenses"), "household_id") == [(2,)]
+    table = Table(spark, f"{scratch}/expenses")
+    assert sinks.backup({"expenses": table}, scratch, dt.date(2024, 1, 3)) == [f"{scratch}/expenses/_backups/2024-01-03.json"]
+    assert rows(table.read(backup=dt.date(2024, 1, 3)), "household_id") == [(2,)]
     written = sinks.backup({"expenses": df, "empty": df.limit(0)}, f"{scratch}/bk", dt.date(2024, 1, 2))
     assert written == [f"{scratch}/bk/expenses/backup_date=2024-01-02"]
     sinks.export_csv(df, f"{scratch}/csv")
@@ -83,23 +91,40 @@ def test_streaming_ingest_only_new_files_and_dedup(spark, scratch):
     src = f"{scratch}/drop"
     os.makedirs(src)
     ledger = f"{scratch}/ledger"
-    base = spark.createDataFrame([(1, dt.date(2024, 1, 5), "COFFEE", "Food", "", Decimal("4.50"), "Joint", "Monthly", -1)],
+    stored = Ledger(spark, ledger, ["household_id"])
+    base = spark.createDataFrame([(1, dt.date(2024, 1, 5), "COFFEE", "Food", "", Decimal("4.50"), "Joint", "Monthly")],
                                  "household_id int, date date, description string, category string, subcategory string, "
-                                 "amount decimal(18,2), payer string, expense_type string, batch_id int")
-    sinks.with_month_partition(base).write.partitionBy("month", "batch_id").parquet(ledger)
+                                 "amount decimal(18,2), payer string, expense_type string")
+    stored.append(base, ingest.MANUAL, 0)  # the stream's first batch has the same number
     ckpt = f"{scratch}/ckpt-{uuid.uuid4().hex}"
     _write(f"{src}/a.csv", "Status,Date,Description,Debit,Credit,Member Name\n"
            "Posted,01/05/2024,coffee,4.50,,X\nPosted,01/06/2024,LUNCH,12.00,,X\nPosted,01/06/2024,LUNCH,12.00,,X\n")
-    q = ingest.start_statement_stream(spark, src, ledger, ckpt, {"household_id": 1})
-    q.awaitTermination(120)
-    led = spark.read.parquet(ledger)
-    assert rows(led.filter(F.col("batch_id") >= 0), "description", "amount") == [("LUNCH", Decimal("12.00"))]
+
+    def stream(checkpoint):
+        q = ingest.start_statement_stream(spark, src, ledger, checkpoint, {"household_id": 1})
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    stream(ckpt)
+    assert rows(stored.expenses(), "description", "amount") == [("COFFEE", Decimal("4.50")), ("LUNCH", Decimal("12.00"))]
     _write(f"{src}/b.csv", "Status,Date,Description,Debit,Credit,Member Name\n"
            "Posted,01/06/2024,Lunch!,12.00,,X\nPosted,01/07/2024,BOOK,7.00,,X\n")
-    q = ingest.start_statement_stream(spark, src, ledger, ckpt, {"household_id": 1})
-    q.awaitTermination(120)
-    led = spark.read.parquet(ledger)
-    assert rows(led.filter(F.col("batch_id") >= 0), "description") == [("BOOK",), ("LUNCH",)]
+    stream(ckpt)
+    assert rows(stored.expenses(), "description") == [("BOOK",), ("COFFEE",), ("LUNCH",)]
+    _write(f"{src}/c.csv", "01/09/2024,-1.00,*,,LATE\n")
+    stream(f"{scratch}/ckpt-{uuid.uuid4().hex}")  # a reset checkpoint counts its batches from 0 again and reads all files
+    assert rows(stored.expenses(), "description") == [("BOOK",), ("COFFEE",), ("LATE",), ("LUNCH",)]
+    sources = {tuple(json.loads(k)) for k in stored.rows.manifest().commits}
+    assert len(sources) == 4 and sorted(b for _, b in sources) == ["0", "0", "0", "1"] and len({s for s, _ in sources}) == 3
+
+
+def test_replayed_micro_batch_changes_nothing(spark, scratch):
+    """A batch that was committed before its checkpoint was written is given to the stream again."""
+    p = _write(f"{scratch}/a.csv", "01/09/2024,-1.00,*,,ONE\n01/09/2024,-1.00,*,,TWO\n")
+    for source, batch in (("stream x", 0), ("stream x", 0), ("stream y", 0)):
+        ingest.ingest_files(spark, [p], f"{scratch}/l", batch, {"household_id": "1"}, source=source)
+    stored = Ledger(spark, f"{scratch}/l", ["household_id"])
+    assert rows(stored.expenses(), "description") == [("ONE",), ("TWO",)] and stored.rows.manifest().version == 2
 
 
 def test_import_and_report_jobs_end_to_end(spark, scratch):
@@ -174,10 +199,11 @@ def test_first_ingest_and_append_only_job(spark, scratch):
     _write(f"{d}/c.csv", "01/09/2024,-1.00,*,,ONE\n02/09/2024,-1.00,*,,TWO\n")
     ledger = f"{scratch}/ledger"
     monthly.import_append_job(spark, d, ledger, 0, {"household_id": "7"})
-    monthly.import_append_job(spark, d, ledger, 0, {"household_id": "7"})  # a replay writes the same rows
+    monthly.import_append_job(spark, d, ledger, 0, {"household_id": "7"})  # a replay changes nothing
     monthly.import_append_job(spark, d, ledger, 1, {"household_id": "7"})  # all duplicates
-    assert rows(spark.read.parquet(ledger), "description", "batch_id") == [("ONE", 0), ("TWO", 0)]
-    assert sorted(p for p in os.listdir(ledger) if p.startswith("month=")) == ["month=2024-01-01", "month=2024-02-01"]
+    stored = Ledger(spark, ledger, ["household_id"])
+    assert rows(stored.expenses(), "description", "household_id") == [("ONE", "7"), ("TWO", "7")]
+    assert sorted(stored.rows.manifest().parts) == ["2024-01-01", "2024-02-01"] and stored.rows.manifest().version == 2
 
 
 def test_statement_header_with_bom(spark, scratch):
