@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as C
+from ledgerlake.sources.records import cells, records
 
 # Header signatures, tested in this order (card, sale, simple, bank).
 LAYOUT_HEADERS = {
@@ -157,41 +158,23 @@ def union_statements(frames: Sequence[DataFrame]) -> DataFrame:
 
 # ---- files ----------------------------------------------------------------------------------
 
-#: columns read of a file; further ones belong to no layout
-MAX_COLUMNS = 16
 MIN_HEADERLESS_COLUMNS = 5
 
 
-def _scan(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """(path, _row, cells, _raw) of every record of every file, header rows included; `_row` ascends
-    within a file. Quotes inside quoted fields are doubled, as statements and spreadsheets write them."""
-    names = [f"_c{i}" for i in range(MAX_COLUMNS)]
-    schema = ", ".join(f"{c} string" for c in names) + ", _raw string"
-    rows = (spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"')
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").csv(paths))
-    first = F.regexp_replace(F.col("_c0"), "^\ufeff", "")
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_row"),
-                       F.array(first, *names[1:]).alias("cells"), "_raw")
-
-
-def _heads(rows: DataFrame) -> DataFrame:
-    """(path, header, columns, format) per file: its first record, and that record's column count."""
-    first = rows.groupBy("path").agg(F.min_by(F.struct("cells", "_raw"), "_row").alias("f"))
-    # a record of other than MAX_COLUMNS fields comes with its raw text; commas inside quotes don't separate
-    count = F.size(F.split(F.regexp_replace("f._raw", r'"[^"]*"', ""), ","))
-    return first.select("path", F.transform("f.cells", lambda h: C.trim_ws(h)).alias("header"), F.coalesce(count, F.lit(MAX_COLUMNS)).alias("columns"),
-                        F.concat_ws(",", "f.cells").alias("first_line"), detect_format(F.concat_ws(",", "f.cells")).alias("format"))
+def _heads(first_lines: DataFrame) -> DataFrame:
+    """(path, columns, first_line, format) per file, from its first line."""
+    return first_lines.select("path", "columns", F.col("first").alias("first_line"), detect_format(F.col("first")).alias("format"))
 
 
 def statement_headers(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """A9 on files: (path, first_line, format) per file, computed on the executors."""
-    return _heads(_scan(spark, paths)).select("path", "first_line", "format")
+    return _heads(records(spark, paths)[1]).select("path", "first_line", "format")
 
 
 def rejected_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """(path, first_line, columns): files no layout can read (no known header and too few columns).
     `read_statement_files` leaves them out and imports the rest; empty files have no record at all."""
-    heads = _heads(_scan(spark, paths))
+    heads = _heads(records(spark, paths)[1])
     return heads.filter((F.col("format") == HEADERLESS) & (F.col("columns") < MIN_HEADERLESS_COLUMNS)).select(
         "path", "first_line", "columns")
 
@@ -200,16 +183,19 @@ def read_statement_files(spark: SparkSession, paths: Sequence[str] | str, keys_v
                          file_keys: DataFrame | None = None) -> DataFrame:
     """Read statement files of any layout and return the A15 union with file order.
 
-    One scan reads all files; the plan doesn't grow with them and nothing is brought to the driver.
-    Every file's layout comes from its first record, and a layout's columns are found by their place
-    in that record. `keys_value` adds constant key columns (e.g. {'household_id': 7}); `file_keys`
+    All files are read together, each by as many tasks as it has splits (`records`); the plan doesn't grow
+    with them, and only the width of the widest header is brought to the driver.
+    Every file's layout comes from its first line, and a layout's columns are found by their place
+    in it, however many columns there are. `keys_value` adds constant key columns (e.g. {'household_id': 7}); `file_keys`
     (path, key columns...) gives each file its own, as one row per full file path. Output adds `path`
     and `seq`, a text id that is unique over all files and ascends in (path, row) order.
     """
-    rows = _scan(spark, paths)
-    heads = _heads(rows)
+    texts, first_lines, width = records(spark, paths)
+    heads = _heads(first_lines)
     heads = heads.filter((F.col("format") != HEADERLESS) | (F.col("columns") >= MIN_HEADERLESS_COLUMNS))
-    rows = rows.drop("_raw").join(heads.select("path", "header", "format"), "path")
+    width = max(width, MIN_HEADERLESS_COLUMNS)
+    header = F.transform(cells(F.col("first_line"), width), lambda h: C.trim_ws(h))
+    rows = texts.join(heads.select("path", "format", header.alias("header")), "path").withColumn("cells", cells(F.col("record"), width))
 
     def by_header(name: str) -> Column:
         place = F.array_position("header", name)
@@ -232,7 +218,7 @@ def read_statement_files(spark: SparkSession, paths: Sequence[str] | str, keys_v
     if file_keys is not None:
         keys += [c for c in file_keys.columns if c != "path"]
         rows = rows.join(file_keys, "path")
-    seq = F.concat(F.col("path"), F.lit("#"), F.lpad(F.col("_row").cast("string"), 19, "0"))
+    seq = F.concat(F.col("path"), F.lit("#"), F.lpad(F.col("block").cast("string"), 19, "0"), F.lit("."), F.lpad(F.col("n").cast("string"), 12, "0"))
     kept = rows.filter(pick("keep")).select(
         *keys, "path", seq.alias("seq"), *[pick(c).alias(c) for c in ("date", "description", "amount", "category", "payer")])
     return kept.withColumns({"date": C.parse_mdy("date"), "amount": F.col("amount").cast(C.MONEY)})
