@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as C
 from ledgerlake.operators import budgets as B
-from ledgerlake.sources.statements import DEFAULT_PAYERS
+from ledgerlake.sources.statements import DEFAULT_PAYER
 
 LEDGER = ["date", "description", "category", "subcategory", "amount", "payer", "expense_type"]
 ROW_MATCH = ["date", "description", "category", "subcategory", "amount", "payer"]
@@ -68,7 +68,7 @@ def ledger_delete(ledger: DataFrame, requests: DataFrame, keys: Sequence[str] |
 
 
 def dimension_values(expenses: DataFrame, budgets: DataFrame, goals: DataFrame, as_of: dt.date,
-                     keys: Sequence[str] | None = None, default_payers: Sequence[str] = DEFAULT_PAYERS) -> DataFrame:
+                     keys: Sequence[str] | None = None, default_payers: Sequence[str] = (DEFAULT_PAYER,)) -> DataFrame:
     """Choice lists as rows (keys, dimension, value, value2):
     category (non-empty, expenses and budgets), subcategory (category, subcategory), payer
     (ledger payers and the configured defaults), goal, month (months with expenses and the

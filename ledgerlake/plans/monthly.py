@@ -22,21 +22,21 @@ from ledgerlake.operators import dedup as D
 from ledgerlake.operators import reports as R
 from ledgerlake.plans import jobs as J
 from ledgerlake.plans import sinks
-from ledgerlake.sources.statements import read_statement_files
+from ledgerlake.sources.statements import PayerRules, read_statement_files
 from ledgerlake.sources.tables import clean_expenses
 from ledgerlake.streaming import ingest
 
 
 def import_statements_job(spark: SparkSession, statement_paths: Sequence[str] | str, ledger: DataFrame,
                           out_base: str, snapshot_id: str, keys_value: dict | None = None,
-                          categorize: bool = True, prune_history: bool = True) -> str:
+                          categorize: bool = True, prune_history: bool = True, payer_rules: PayerRules = ()) -> str:
     """Import statement files into the ledger; returns the new ledger snapshot path.
 
     `ledger` is the current (cleaned) ledger; with `prune_history` only its rows in
     the batch's date range take part in the duplicate checks.
     """
     keys = list((keys_value or {}).keys())
-    stm = read_statement_files(spark, statement_paths, keys_value).drop("path")
+    stm = read_statement_files(spark, statement_paths, keys_value, payer_rules=payer_rules).drop("path")
     history = D.ledger_date_bounds(stm, ledger) if prune_history else ledger
     staged = J.stage_statements(stm, history, "seq", keys)
     if categorize:
@@ -47,11 +47,11 @@ def import_statements_job(spark: SparkSession, statement_paths: Sequence[str] |
 
 def import_append_job(spark: SparkSession, statement_paths: Sequence[str] | str, ledger_path: str, batch_id: int,
                       keys_value: dict | None = None, file_keys: DataFrame | None = None, categorize: bool = True,
-                      source: str = ingest.MANUAL) -> None:
+                      source: str = ingest.MANUAL, payer_rules: PayerRules = ()) -> None:
     """Import statement files into a stored ledger (`plans.ledger`), once per (source, batch_id): only the
     batch is written."""
     ingest.ingest_files(spark, [statement_paths] if isinstance(statement_paths, str) else list(statement_paths),
-                        ledger_path, batch_id, keys_value, file_keys, categorize, source)
+                        ledger_path, batch_id, keys_value, file_keys, categorize, source, payer_rules)
 
 
 def monthly_report_job(expenses: DataFrame, budgets: DataFrame, goals: DataFrame, out_base: str,

@@ -472,7 +472,7 @@ SELECT DISTINCT * FROM (
   FROM eb WHERE category <> ''
   UNION ALL SELECT household_id, 'subcategory', category, subcategory FROM eb WHERE category <> '' AND subcategory <> ''
   UNION ALL SELECT household_id, 'payer', payer, NULL FROM expenses WHERE payer <> ''
-  UNION ALL SELECT household_id, 'payer', unnest(['Joint', 'Caleb', 'Rae']), NULL FROM ledgers
+  UNION ALL SELECT household_id, 'payer', unnest(['Joint', 'Olive', 'Ned']), NULL FROM ledgers
   UNION ALL SELECT household_id, 'goal', goal, NULL FROM goals
   UNION ALL SELECT household_id, 'month', strftime(CAST(date_trunc('month', date) AS DATE), '%Y-%m-%d'), NULL
             FROM expenses WHERE date IS NOT NULL

@@ -197,7 +197,7 @@ SK = [*K, "okey"]
 
 
 def statement_card(spark, d):
-    return finish(ST.card(V.statement_card_rows(spark, d), SK))
+    return finish(ST.card(V.statement_card_rows(spark, d), SK, V.PAYER_RULES))
 
 
 def statement_sale(spark, d):
@@ -218,7 +218,7 @@ def statement_headerless(spark, d):
 
 def _statement_union(spark, d):
     return ST.union_statements([
-        ST.card(V.statement_card_rows(spark, d), SK), ST.sale(V.statement_sale_rows(spark, d), SK),
+        ST.card(V.statement_card_rows(spark, d), SK, V.PAYER_RULES), ST.sale(V.statement_sale_rows(spark, d), SK),
         ST.simple(V.statement_simple_rows(spark, d), SK), ST.bank(V.statement_bank_rows(spark, d), SK),
         ST.headerless(V.statement_headerless_rows(spark, d), SK)])
 
@@ -307,7 +307,7 @@ def goal_progress_upsert(spark, d):
 
 
 def dimension_values(spark, d):
-    return M.dimension_values(V.expenses(spark, d), V.budgets(spark, d), V.goals(spark, d), V.AS_OF, K)
+    return M.dimension_values(V.expenses(spark, d), V.budgets(spark, d), V.goals(spark, d), V.AS_OF, K, V.PAYERS)
 
 
 def staged_edit(spark, d):

@@ -26,9 +26,8 @@ LAYOUT_HEADERS = {
 }
 HEADERLESS = "headerless"
 DEFAULT_PAYER = "Joint"
-# Member-name rules of the card layout, first match wins (case-insensitive).
-DEFAULT_PAYER_RULES = [("CALEB", "Caleb"), ("RAE", "Rae")]
-DEFAULT_PAYERS = ["Joint", "Caleb", "Rae"]
+#: (pattern, payer) on the member name of the card layout, first match wins (case-insensitive): the caller's data
+PayerRules = Sequence[tuple[str, str]]
 
 OUT = ["date", "description", "amount", "category", "payer"]
 
@@ -47,7 +46,7 @@ def detect_format(first_line: str | Column) -> Column:
     return expr.otherwise(F.lit(HEADERLESS))
 
 
-def payer_from_member(member: str | Column, rules: Sequence[tuple[str, str]] = DEFAULT_PAYER_RULES,
+def payer_from_member(member: str | Column, rules: PayerRules = (),
                       default: str = DEFAULT_PAYER) -> Column:
     """B2: ordered case-insensitive substring rules on the member name."""
     m = F.lower(C.col(member))
@@ -72,7 +71,7 @@ def _num(c: Column) -> Column:
 Cells = Callable[[str], Column]
 
 
-def _card(cell: Cells, rules=DEFAULT_PAYER_RULES) -> dict[str, Column]:
+def _card(cell: Cells, rules: PayerRules = ()) -> dict[str, Column]:
     debit = _num(cell("Debit"))
     return {"keep": debit > 0, "date": cell("Date"), "description": cell("Description"), "amount": debit,
             "category": F.lit(""), "payer": payer_from_member(cell("Member Name"), rules)}
@@ -119,7 +118,7 @@ def _named(name: str) -> Column:
 
 
 def card(df: DataFrame, keys: Sequence[str] | None = None,
-         rules: Sequence[tuple[str, str]] = DEFAULT_PAYER_RULES) -> DataFrame:
+         rules: PayerRules = ()) -> DataFrame:
     """A10: keep Debit > 0; amount = Debit; category ''; payer from the member name."""
     return _adapt(df, keys, _card(_named, rules))
 
@@ -180,7 +179,7 @@ def rejected_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame
 
 
 def read_statement_files(spark: SparkSession, paths: Sequence[str] | str, keys_value: dict | None = None,
-                         file_keys: DataFrame | None = None) -> DataFrame:
+                         file_keys: DataFrame | None = None, payer_rules: PayerRules = ()) -> DataFrame:
     """Read statement files of any layout and return the A15 union with file order.
 
     All files are read together, each by as many tasks as it has splits (`records`); the plan doesn't grow
@@ -205,6 +204,7 @@ def read_statement_files(spark: SparkSession, paths: Sequence[str] | str, keys_v
         return _cell(F.element_at("cells", int(name[2:]) + 1))
 
     layouts = {f: make(by_place if f == HEADERLESS else by_header) for f, make in LAYOUTS.items()}
+    layouts["card"] = _card(by_header, payer_rules)
 
     def pick(column: str) -> Column:
         out = None

@@ -26,6 +26,8 @@ from ledgerlake.sources import tables as T
 KEYS = ["household_id"]
 AS_OF = dt.date(2000, 6, 15)
 REPORT_MONTH = dt.date(2000, 6, 1)
+PAYER_RULES = [("OLIVE", "Olive"), ("NED", "Ned")]
+PAYERS = ["Joint", "Olive", "Ned"]
 FREQUENCIES = ["Monthly", "Quarterly", "Bi-annually", "Annually", "Weekly"]  # last one unknown on purpose
 
 
@@ -233,7 +235,7 @@ def statement_orders(spark: SparkSession, d: str) -> DataFrame:
     amt = F.col("o_totalprice").cast(C.MONEY)
     amt_txt = F.when(F.col("o_orderkey") % 13 == 0, F.lit("n/a")).otherwise(amt.cast("string"))
     neg_txt = F.when(F.col("o_orderkey") % 13 == 0, F.lit("n/a")).otherwise((-amt).cast("string"))
-    member = F.element_at(F.array(F.lit("CALEB SMITH"), F.lit("rae jones"), F.lit("Caleb and Rae"),
+    member = F.element_at(F.array(F.lit("OLIVE SMITH"), F.lit("ned jones"), F.lit("Olive and Ned"),
                                   F.lit("HOUSEHOLD")), (F.col("o_custkey") % 4 + 1).cast("int"))
     return j.select(
         F.col("c_nationkey").alias("household_id"),

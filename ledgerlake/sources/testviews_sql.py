@@ -197,14 +197,14 @@ view("statement_orders", [], """
               ELSE CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS amt_txt,
          CASE WHEN o.o_orderkey % 13 = 0 THEN 'n/a'
               ELSE CAST(-CAST(o.o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS neg_txt,
-         ['CALEB SMITH', 'rae jones', 'Caleb and Rae', 'HOUSEHOLD'][CAST(o.o_custkey % 4 + 1 AS INTEGER)] AS member,
+         ['OLIVE SMITH', 'ned jones', 'Olive and Ned', 'HOUSEHOLD'][CAST(o.o_custkey % 4 + 1 AS INTEGER)] AS member,
          o.o_orderpriority AS bank_category
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")
 
 view("statement_card", ["statement_orders"], f"""
   SELECT household_id, okey, {parse_mdy('date_txt')} AS date, description,
          {num('amt_txt')} AS amount, '' AS category,
-         CASE WHEN contains(lower(member), 'caleb') THEN 'Caleb' WHEN contains(lower(member), 'rae') THEN 'Rae'
+         CASE WHEN contains(lower(member), 'olive') THEN 'Olive' WHEN contains(lower(member), 'ned') THEN 'Ned'
               ELSE 'Joint' END AS payer
   FROM statement_orders
   WHERE layout = 0 AND okey % 2 = 0 AND {num('amt_txt')} IS NOT NULL AND {num('amt_txt')} > 0""")

@@ -27,7 +27,7 @@ from ledgerlake.operators.categorize import auto_categorize
 from ledgerlake.plans import jobs as J
 from ledgerlake.plans.ledger import Ledger
 from ledgerlake.session import shared_dir
-from ledgerlake.sources.statements import read_statement_files
+from ledgerlake.sources.statements import PayerRules, read_statement_files
 
 MANUAL = "manual"
 #: where Spark names the running streaming query to its batches
@@ -36,14 +36,14 @@ QUERY_ID = "sql.streaming.queryId"
 
 def ingest_files(spark: SparkSession, paths: Sequence[str], ledger_path: str, batch_id: int,
                  keys_value: dict | None = None, file_keys: DataFrame | None = None, categorize: bool = False,
-                 source: str = MANUAL) -> None:
+                 source: str = MANUAL, payer_rules: PayerRules = ()) -> None:
     """Batch path: stage the files and import the survivors under (source, batch_id); a pair that is
     committed already is left as it is."""
     keys = [*(keys_value or {}), *[c for c in (file_keys.columns if file_keys is not None else []) if c != "path"]]
     stored = Ledger(spark, ledger_path, keys)
     if stored.rows.manifest().has(source, batch_id):
         return
-    stm = read_statement_files(spark, list(paths), keys_value, file_keys).drop("path")
+    stm = read_statement_files(spark, list(paths), keys_value, file_keys, payer_rules).drop("path")
     whole = stored.expenses()
     ledger = D.ledger_date_bounds(stm, whole)
     staged = J.stage_statements(stm, ledger, "seq", keys)
@@ -57,7 +57,7 @@ def ingest_files(spark: SparkSession, paths: Sequence[str], ledger_path: str, ba
 
 def start_statement_stream(spark: SparkSession, source_dir: str, ledger_path: str,
                            checkpoint: str | None = None, keys_value: dict | None = None,
-                           available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
+                           available_now: bool = True, max_files_per_trigger: int = 1000, payer_rules: PayerRules = ()) -> StreamingQuery:
     """Start the ingest stream. Its state goes to `checkpoint`, or under the shared folder of the
     session; without either it doesn't start, as state on one machine would be lost with it. A backlog
     arrives `max_files_per_trigger` files at a time, which bounds the paths a batch names."""
@@ -71,7 +71,7 @@ def start_statement_stream(spark: SparkSession, source_dir: str, ledger_path: st
         if paths:
             session = batch.sparkSession
             stream = session.sparkContext.getLocalProperty(QUERY_ID)
-            ingest_files(session, paths, ledger_path, batch_id, keys_value, source=f"stream {stream}")
+            ingest_files(session, paths, ledger_path, batch_id, keys_value, source=f"stream {stream}", payer_rules=payer_rules)
 
     w = files.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -14,6 +14,7 @@ from ledgerlake.plans.ledger import Ledger
 from ledgerlake.plans.store import Table
 from ledgerlake.sources import statements as ST
 from ledgerlake.sources import tables as TB
+from ledgerlake.sources import testviews as V
 from ledgerlake.streaming import ingest
 
 
@@ -25,10 +26,10 @@ def _write(path, text):
 
 def test_read_expenses_csv_older_form_and_missing_file(spark, scratch):
     p = _write(f"{scratch}/expenses.csv", "﻿Date,Description,Category,Amount,Payer\n"
-               "2024-01-05,Coffee,Food,4.5,Rae\n2024-01-06,,Food,NA,\n")
+               "2024-01-05,Coffee,Food,4.5,Ned\n2024-01-06,,Food,NA,\n")
     e = TB.read_table(spark, p, "expenses")
     assert rows(e, "date", "description", "subcategory", "amount", "payer", "expense_type") == [
-        (dt.date(2024, 1, 5), "Coffee", "", Decimal("4.50"), "Rae", "Monthly"),
+        (dt.date(2024, 1, 5), "Coffee", "", Decimal("4.50"), "Ned", "Monthly"),
         (dt.date(2024, 1, 6), "", "", Decimal("0.00"), "", "Monthly")]
     assert TB.read_table(spark, f"{scratch}/nope.csv", "expenses").count() == 0
 
@@ -53,15 +54,15 @@ def test_statement_files_mixed_layouts(spark, scratch):
     d = f"{scratch}/in"
     os.makedirs(d)
     _write(f"{d}/card.csv", "Status,Date,Description,Debit,Credit,Member Name\n"
-           "Posted,01/05/2024,COFFEE,4.50,,CALEB X\nPosted,01/06/2024,REFUND,,3.00,RAE Y\n")
+           "Posted,01/05/2024,COFFEE,4.50,,OLIVE X\nPosted,01/06/2024,REFUND,,3.00,NED Y\n")
     _write(f"{d}/bank.csv", "Details,Posting Date,Description,Amount,Type,Balance,Check or Slip #\n"
            "DEBIT,01/07/2024,\"RENT, JAN\",-900.00,ACH,,\nCREDIT,01/08/2024,PAY,2000,ACH,,\n")
     _write(f"{d}/raw.csv", "01/09/2024,-12.34,*,,GROCER\n01/10/2024,5.00,*,,IN\n")
     heads = {os.path.basename(r.path): r.format for r in ST.statement_headers(spark, d).collect()}
     assert heads == {"card.csv": "card", "bank.csv": "bank", "raw.csv": "headerless"}
-    st = ST.read_statement_files(spark, d, {"household_id": 1})
+    st = ST.read_statement_files(spark, d, {"household_id": 1}, payer_rules=V.PAYER_RULES)
     assert rows(st, "description", "amount", "payer") == [
-        ("COFFEE", Decimal("4.50"), "Caleb"), ("GROCER", Decimal("12.34"), "Joint"), ("RENT, JAN", Decimal("900.00"), "Joint")]
+        ("COFFEE", Decimal("4.50"), "Olive"), ("GROCER", Decimal("12.34"), "Joint"), ("RENT, JAN", Decimal("900.00"), "Joint")]
 
 
 def test_snapshot_backup_and_csv_export(spark, scratch):
@@ -130,20 +131,20 @@ def test_replayed_micro_batch_changes_nothing(spark, scratch):
 def test_import_and_report_jobs_end_to_end(spark, scratch):
     from ledgerlake.plans import monthly
     led_csv = _write(f"{scratch}/expenses.csv", "Date,Description,Category,Subcategory,Amount,Payer,ExpenseType\n"
-                     "2024-01-05,COFFEE HOUSE,Food,Cafe,4.50,Rae,Monthly\n2024-01-03,BOOKSTORE,Books,,20.00,Rae,Monthly\n")
+                     "2024-01-05,COFFEE HOUSE,Food,Cafe,4.50,Ned,Monthly\n2024-01-03,BOOKSTORE,Books,,20.00,Ned,Monthly\n")
     bud_csv = _write(f"{scratch}/category_budget.csv", "Category,Subcategory,Limit,Frequency,EffectiveDate\n"
                      "Food,,100,Monthly,2023-01-01\nBooks,,60,Quarterly,2023-01-01\n")
     d = f"{scratch}/stm"
     os.makedirs(d)
     _write(f"{d}/card.csv", "Status,Date,Description,Debit,Credit,Member Name\n"
-           "Posted,01/05/2024,coffee house,4.50,,RAE\nPosted,01/07/2024,COFFEE HOUSE #2,3.00,,RAE\n"
-           "Posted,01/08/2024,NEW SHOP,9.00,,CALEB\n")
+           "Posted,01/05/2024,coffee house,4.50,,NED\nPosted,01/07/2024,COFFEE HOUSE #2,3.00,,NED\n"
+           "Posted,01/08/2024,NEW SHOP,9.00,,OLIVE\n")
     ledger = TB.read_table(spark, led_csv, "expenses")
-    path = monthly.import_statements_job(spark, d, ledger, f"{scratch}/out", "s1")
+    path = monthly.import_statements_job(spark, d, ledger, f"{scratch}/out", "s1", payer_rules=V.PAYER_RULES)
     new = spark.read.parquet(path)
     assert rows(new, "description", "category", "subcategory", "payer") == [
-        ("BOOKSTORE", "Books", "", "Rae"), ("COFFEE HOUSE", "Food", "Cafe", "Rae"),
-        ("COFFEE HOUSE #2", "Food", "Cafe", "Rae"), ("NEW SHOP", "", "", "Caleb")]
+        ("BOOKSTORE", "Books", "", "Ned"), ("COFFEE HOUSE", "Food", "Cafe", "Ned"),
+        ("COFFEE HOUSE #2", "Food", "Cafe", "Ned"), ("NEW SHOP", "", "", "Olive")]
     budgets = TB.read_table(spark, bud_csv, "budgets")
     goals = TB.read_table(spark, f"{scratch}/none.csv", "goals")
     out = monthly.monthly_report_job(new, budgets, goals, f"{scratch}/rep", dt.date(2024, 1, 1), dt.date(2024, 1, 20))
