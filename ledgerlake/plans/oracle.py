@@ -311,17 +311,27 @@ FROM ids LEFT JOIN inc ON ids.household_id = inc.household_id
 LEFT JOIN lim ON ids.household_id = lim.household_id
 LEFT JOIN sav ON ids.household_id = sav.household_id""", "income", "budgets", "goals")
 
-q("goal_link_allocation", """
+LINK_ALLOCATION = """
 , day AS (SELECT household_id, category, subcategory, date, sum(amount) AS total, count(*) AS transactions
           FROM expenses WHERE date IS NOT NULL GROUP BY 1, 2, 3, 4),
-  m AS (SELECT d.*, l.goal, l.start_date FROM day d JOIN goal_links l
+  m AS (SELECT d.*, l.goal, l.start_date FROM day d JOIN {links} l
           ON d.household_id = l.household_id AND d.category = l.category
          AND (l.subcategory = '' OR l.subcategory = d.subcategory)
          AND d.date >= l.start_date AND (l.end_date IS NULL OR d.date <= l.end_date)),
   best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY household_id, category, subcategory, date
                                                       ORDER BY start_date DESC, goal) = 1)
 SELECT household_id, goal, CAST(sum(total) AS DOUBLE) AS total, CAST(sum(transactions) AS BIGINT) AS transactions
-FROM best GROUP BY 1, 2""", "expenses", "goal_links")
+FROM best GROUP BY 1, 2"""
+q("goal_link_allocation", LINK_ALLOCATION.format(links="goal_links"), "expenses", "goal_links")
+
+q("goal_link_allocation_lines", """
+, sub AS (SELECT household_id, category, min(subcategory) AS a, max(subcategory) AS z FROM expenses WHERE subcategory <> '' GROUP BY 1, 2),
+  links AS (SELECT household_id, goal, category, subcategory, start_date, end_date FROM goal_links WHERE household_id % 2 = 1
+            UNION ALL SELECT l.household_id, 'First ' || goal, l.category, a, CAST(start_date + INTERVAL 100 DAY AS DATE), end_date
+              FROM goal_links l JOIN sub ON sub.household_id = l.household_id AND sub.category = l.category
+            UNION ALL SELECT l.household_id, 'Last ' || goal, l.category, z, start_date, end_date
+              FROM goal_links l JOIN sub ON sub.household_id = l.household_id AND sub.category = l.category)
+""" + LINK_ALLOCATION.format(links="links"), "expenses", "goal_links")
 
 
 # ---- statements ---------------------------------------------------------------------------
@@ -456,6 +466,10 @@ SELECT household_id, goal, month, saved FROM goal_progress p
 WHERE NOT EXISTS (SELECT 1 FROM goals g WHERE g.completed AND g.household_id = p.household_id AND g.goal = p.goal)""",
   "goals", "goal_progress")
 
+q("goal_delete_goals", """
+SELECT household_id, goal, CAST(target_amount AS DOUBLE) AS target_amount, target_month, created_date, completed
+FROM goals WHERE NOT completed""", "goals")
+
 q("goal_progress_upsert", f"""
 , upd AS (SELECT household_id, goal, {REPORT_START} AS month, NOT completed AS saved FROM goals)
 SELECT coalesce(p.household_id, u.household_id) AS household_id, coalesce(p.goal, u.goal) AS goal,
@@ -568,6 +582,19 @@ q("patch_budgets", f"""
              AND b.subcategory = a.subcategory AND b.effective_date = a.effective_date)
 """ + E1_OUT, "budgets")
 
+q("patch_budgets_rejected", f"""
+, pt AS (SELECT household_id, category, subcategory, effective_date,
+                ['limit', 'limit', 'subcategory'][CAST(month(effective_date) % 3 + 1 AS INTEGER)] AS col,
+                ['1,500', '-3', ' Patched ' || subcategory][CAST(month(effective_date) % 3 + 1 AS INTEGER)] AS val
+         FROM budgets),
+  typed AS (SELECT *, CASE WHEN col = 'limit' THEN {AMOUNT_TXT} END AS nl,
+                   CASE WHEN col = 'subcategory' THEN CASE WHEN {trim('val')} = '(Unspecified)' THEN ''
+                                                           ELSE {trim('val')} END END AS ns
+            FROM pt)
+SELECT household_id, category, subcategory, effective_date, col AS "column", val AS value
+FROM typed WHERE NOT coalesce(CASE col WHEN 'limit' THEN nl IS NOT NULL AND nl >= 0
+                                                     WHEN 'subcategory' THEN true ELSE false END, false)""", "budgets")
+
 q("report_bundle", f"""
 , cats AS (SELECT household_id, CAST(date_trunc('month', date) AS DATE) AS month, category,
                   {label_sub('subcategory')} AS subcategory, sum(amount) AS total

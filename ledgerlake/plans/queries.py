@@ -362,18 +362,27 @@ def patch_expenses_rejected(spark, d):
     return rejected
 
 
-def patch_budgets(spark, d):
+def _budget_patches(spark, d):
     b = V.budgets(spark, d)
     p = b  # one patch for every budget version
     m = F.month("effective_date") % 3
-    patches = p.select(*K, "category", "subcategory", "effective_date",
+    return b, p.select(*K, "category", "subcategory", "effective_date",
                        F.element_at(F.array(F.lit("limit"), F.lit("limit"), F.lit("subcategory")), (m + 1).cast("int"))
                        .alias("column"),
                        F.element_at(F.array(F.lit("1,500"), F.lit("-3"), F.concat(F.lit(" Patched "), F.col("subcategory"))),
                                     (m + 1).cast("int"))
                        .alias("value"))
-    out, _rejected = M.patch_budgets(b, patches, K)
-    return finish(out)
+
+
+def patch_budgets(spark, d):
+    b, patches = _budget_patches(spark, d)
+    return finish(M.patch_budgets(b, patches, K)[0])
+
+
+def patch_budgets_rejected(spark, d):
+    """B12, the patches that break a rule."""
+    b, patches = _budget_patches(spark, d)
+    return M.patch_budgets(b, patches, K)[1]
 
 
 def report_bundle(spark, d):
@@ -429,6 +438,25 @@ def goal_completion_update(spark, d):
     return finish(G.goal_completion_update(g, upd, K))
 
 
+def goal_delete_goals(spark, d):
+    """G8, the goals that stay."""
+    g = V.goals(spark, d)
+    return finish(G.goal_delete(g, V.goal_progress(spark, d), g.filter("completed"), K)[0])
+
+
+def goal_link_allocation_lines(spark, d):
+    """C10 with links to single subcategories beside wildcard ones, overlapping in time."""
+    links, e = V.goal_links(spark, d), V.expenses(spark, d)
+    sub = e.filter(F.col("subcategory") != "").groupBy(*K, "category").agg(
+        F.min("subcategory").alias("_a"), F.max("subcategory").alias("_z"))
+    lines = links.join(sub, [*K, "category"])
+    some = [links.filter(F.col("household_id") % 2 == 1)]
+    for name, col, days in (("First ", "_a", 100), ("Last ", "_z", 0)):
+        some.append(lines.select(*K, F.concat(F.lit(name), "goal").alias("goal"), "category", F.col(col).alias("subcategory"),
+                                 F.date_add("start_date", days).alias("start_date"), "end_date"))
+    return finish(G.goal_link_allocation(e, some[0].unionByName(some[1]).unionByName(some[2]), K))
+
+
 def _registry() -> dict:
     skip = {"finish"}
     return {n: f for n, f in globals().items()
