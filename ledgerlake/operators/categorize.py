@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.session import shared_dir
+from ledgerlake.session import stored_once
 
 
 def _k(keys):
@@ -89,26 +89,23 @@ def containment_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y
                     F.when(F.col("_side") == 0, F.col("_i")).otherwise(F.col("_p")).alias(y))
 
 
-def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] | None = None,
-                       materialize: bool = False) -> DataFrame:
+def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """(keys, description, category, subcategory) for every distinct new description.
 
-    With `materialize` and a shared checkpoint folder the aggregated history, which the plan reads
-    more than once, is checkpointed there before the blocked join; by default the plan is lazy."""
+    The distinct descriptions and the aggregated history, which the plan reads more than once, are stored
+    in the shared folder first, if there is one."""
     keys = _k(keys)
     hist = (history.filter(F.col("category") != "")
             .groupBy(*keys, F.lower("description").alias("hd"), "category", "subcategory")
             .agg(F.count(F.lit(1)).alias("n")))
     descs = new.select(*keys, "description").distinct().withColumn("nd", F.lower("description"))
-    if materialize and shared_dir(history.sparkSession):
-        if not history.sparkSession.sparkContext.getCheckpointDir():
-            history.sparkSession.sparkContext.setCheckpointDir(shared_dir(history.sparkSession))
-        hist = hist.checkpoint(eager=True)
+    hist, descs = stored_once(hist, "vote-history"), stored_once(descs, "vote-descriptions")
     hd = hist.select(*keys, "hd").filter(F.col("hd").isNotNull()).distinct()
     nd = descs.select(*keys, "nd").filter(F.col("nd").isNotNull()).distinct()
     pairs = containment_pairs(nd, hd, keys, "nd", "hd").distinct()
     votes = pairs.join(hist, on=[*keys, "hd"]).groupBy(*keys, "nd", "category", "subcategory").agg(
         F.sum("n").alias("n"))
+    votes = stored_once(votes, "votes")
     # top pair per description: the highest count by a hash aggregate, then the
     # alphabetically first pair among the (few) rows that reach it
     top = votes.groupBy(*keys, "nd").agg(F.max("n").alias("n"))
@@ -120,13 +117,12 @@ def predict_categories(new: DataFrame, history: DataFrame, keys: Sequence[str] |
                       F.coalesce(F.col("_b.subcategory"), F.lit("")).alias("subcategory"))
 
 
-def auto_categorize(staged: DataFrame, history: DataFrame, keys: Sequence[str] | None = None,
-                    materialize: bool = False) -> DataFrame:
+def auto_categorize(staged: DataFrame, history: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Rows with an empty category take the predicted category and subcategory (both);
     other rows are unchanged. Predictions are computed only for those rows' descriptions."""
     keys = _k(keys)
     todo = staged.filter(F.col("category") == "").select(*keys, "description")
-    pred = predict_categories(todo, history, keys, materialize).withColumnRenamed("category", "_pc").withColumnRenamed(
+    pred = predict_categories(todo, history, keys).withColumnRenamed("category", "_pc").withColumnRenamed(
         "subcategory", "_ps")
     j = staged.join(pred, on=[*keys, "description"], how="left")
     empty = F.col("category") == ""

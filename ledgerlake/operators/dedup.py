@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as C
 from ledgerlake.operators.categorize import _blocked
+from ledgerlake.session import stored_once
 
 GROUP = ["date", "description", "amount", "payer"]
 MATCH = ["date", "amount", "description"]
@@ -138,8 +139,9 @@ def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None
     eq = [*keys, "date", "amount"]
     s = staged.withColumn("_sd", F.lower("description"))
     sk = s.filter(F.col("date").isNotNull() & F.col("amount").isNotNull()).select(*eq, "_sd").distinct()
+    sk = stored_once(sk, "staged-keys")
     lk = ledger.select(*eq, F.lower("description").alias("_ld")).distinct()
-    lk = lk.join(sk.select(*eq).distinct(), on=eq, how="left_semi")
+    lk = stored_once(lk.join(sk.select(*eq).distinct(), on=eq, how="left_semi"), "ledger-keys")
     whole = lk.groupBy(*eq).agg(F.max(F.col("_ld").isNull()).alias("_any"), F.count(F.lit(1)).alias("_n"))
     # a NULL text on one side settles a shared bucket without a comparison
     open_ = sk.join(whole, on=eq)

@@ -17,6 +17,7 @@ from ledgerlake.operators import goals as G
 from ledgerlake.operators import maintain as M
 from ledgerlake.operators import suggest as S
 from ledgerlake.plans import jobs as J
+from ledgerlake.session import stored_once
 from ledgerlake.sources import statements as ST
 from ledgerlake.operators import reports as R
 
@@ -255,8 +256,8 @@ def ledger_delete(spark, d):
     return finish(M.ledger_delete(led.unionByName(led), req, K))
 
 
-def _upsert_updates(spark, d):
-    snap = B.budget_snapshot(V.budgets(spark, d), V.AS_OF, K)
+def _upsert_updates(spark, d, budgets=None):
+    snap = B.budget_snapshot(V.budgets(spark, d) if budgets is None else budgets, V.AS_OF, K)
     return snap.select(
         *K,
         F.when(F.col("household_id") % 2 == 0, F.lower("category")).otherwise(F.col("category")).alias("category"),
@@ -266,22 +267,23 @@ def _upsert_updates(spark, d):
 
 
 def budget_upsert(spark, d):
-    return finish(B.budget_upsert(V.budgets(spark, d), _upsert_updates(spark, d), K))
+    b = stored_once(V.budgets(spark, d), "budgets")
+    return finish(B.budget_upsert(b, _upsert_updates(spark, d, b), K))
 
 
 def budget_archive(spark, d):
-    b = V.budgets(spark, d)
+    b = stored_once(V.budgets(spark, d), "budgets")
     return finish(B.budget_archive(b, b.filter(F.col("conclusion_date").isNull()), V.AS_OF, K))
 
 
 def budget_delete(spark, d):
-    b = V.budgets(spark, d)
+    b = stored_once(V.budgets(spark, d), "budgets")
     req = b.filter(F.col("conclusion_date").isNull()).withColumn("category", F.lower("category"))
     return finish(B.budget_delete(b, req, K))
 
 
 def apply_suggestions(spark, d):
-    b = V.budgets(spark, d)
+    b = stored_once(V.budgets(spark, d), "budgets")
     sugg = S.budget_suggestions(_scoped(spark, d), b, V.AS_OF, K)
     return finish(B.apply_suggestions(b, sugg, "hasty_limit", V.AS_OF, K))
 
@@ -363,7 +365,7 @@ def patch_expenses_rejected(spark, d):
 
 
 def _budget_patches(spark, d):
-    b = V.budgets(spark, d)
+    b = stored_once(V.budgets(spark, d), "budgets")
     p = b  # one patch for every budget version
     m = F.month("effective_date") % 3
     return b, p.select(*K, "category", "subcategory", "effective_date",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int | None = None, app: str = "ledgerlake",
@@ -42,6 +43,29 @@ def shared_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def stored_once(df: DataFrame, label: str) -> DataFrame:
+    """A frame that a plan reads several times, written once to the shared folder and read back; the frame itself
+    where there is none. A lost executor costs a read, not the derivation; `drop_stored` cleans up."""
+    spark, base = df.sparkSession, shared_dir(df.sparkSession)
+    if not base:
+        return df
+    path = f"{_own_folder(spark, base)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete what this application has stored by `stored_once`; call it when its results are written."""
+    base = shared_dir(spark)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark, base))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _own_folder(spark: SparkSession, base: str) -> str:
+    return f"{base.rstrip('/')}/once-{spark.sparkContext.applicationId}"
+
+
 # Settings for a large cluster (hundreds of executors, ~100 TB of ledger data). Shuffle
 # parallelism is left to AQE: a high initial partition count is coalesced at runtime to
 # ~256 MB partitions; skewed join partitions (a hot ledger or day) are split. Broadcasts

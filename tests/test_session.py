@@ -1,5 +1,9 @@
 """Session helpers: the checkpoint folder named by the session wins; cluster settings apply."""
 
+import os
+
+import pytest
+
 from ledgerlake.session import CLUSTER_CONF, apply_cluster_conf, shared_dir
 
 
@@ -21,3 +25,20 @@ def test_apply_cluster_conf(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["dedup_fuzzy", "predict_category", "budget_upsert"])
+def test_frames_read_several_times_are_stored_once(spark, scratch, monkeypatch, name):
+    """With a shared folder the plan reads stored frames; the rows are the same, and cleaning removes them."""
+    from ledgerlake import session
+    from ledgerlake.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    lazy = Q.REGISTRY[name](spark, sf)
+    want = sorted(map(repr, lazy.collect()))
+    monkeypatch.setattr(session, "shared_dir", lambda s: scratch)
+    stored = Q.REGISTRY[name](spark, sf)
+    assert any(f.startswith(f"file:{scratch}") or scratch in f for f in stored.inputFiles()) and not any(scratch in f for f in lazy.inputFiles())
+    assert sorted(map(repr, stored.collect())) == want
+    session.drop_stored(spark)
+    assert os.listdir(scratch) == []
