@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -237,6 +238,65 @@ def test_html_elements_without_end_tags():
     assert len(html_extract.tokenise("<button>" * 50_000 + "<svg><li>" * 50_000 + "</b>" * 50_000)) == 200_000
 
 
+def brute_leaves(text):
+    """Distinct leaves of a text by a plain walk over its words."""
+    out = set()
+    for line in text.split("\n"):
+        now = []
+        for m in re.finditer(r"[^ \t\x0b\f\r]+", line):
+            now.append(m)
+            if m.group()[-1] in ".!?" or len(now) == merkle.LEAF_WORDS:
+                out.add(line[now[0].start() : now[-1].end()])
+                now = []
+        if now:
+            out.add(line[now[0].start() : now[-1].end()])
+    return out
+
+
+def brute_near(a, b):
+    x, y = brute_leaves(a), brute_leaves(b)
+    whole = sum(map(len, x | y))
+    return 1.0 if a == b else sum(map(len, x & y)) / whole if whole else 0.0
+
+
+def brute_neighbours(rows):
+    """(text, edited text, next text) per row in the order of ids."""
+    rows = sorted(((i is not None, i or 0, t or "") for i, t in rows))
+    texts = [r[2] for r in rows]
+    out = []
+    for k, t in enumerate(texts):
+        n = texts[(k + 1) % len(texts)]
+        half = len(t) // 2
+        out.append((rows[k][1], t, t[: len(t) - half] + n[:half], n))
+    return out
+
+
+def test_merkle_likeness_and_edits_equal_brute_force(spark, sf, documents):
+    rows = list(zip(documents.doc_id.tolist(), documents.text.tolist(), strict=True))
+    got = {r.doc_id: r for r in queries.op9_merkle_fingerprint(spark, sf).collect()}
+    for i, t, edited, following in brute_neighbours(rows):
+        assert abs(got[i].near_edited - brute_near(t, edited)) < 1e-12 and abs(got[i].near_next - brute_near(t, following)) < 1e-12
+        assert len(set(merkle_leaves(got[i].fingerprint))) == len(brute_leaves(t))  # all leaves are kept
+    # the same from the fingerprints alone, and by how much a few words change a long text
+    base = "\n\n".join("\n".join(f"Section {s} paragraph {p} says this and that about it. It says more of {s} and {p}." for p in range(6)) for s in range(40))
+    small = base.replace("Section 7 paragraph 3 says this", "Section 7 paragraph 3 says other things")
+    inserted = "A new section.\n\n" + base
+    df = spark.createDataFrame([(base, small, inserted)], "a string, b string, c string")
+    prints = df.select(*[merkle.as_string(merkle.tree(F.col(x))).alias(x) for x in "abc"])
+    r = prints.select(
+        merkle.likeness(F.col("a"), F.col("b")).alias("near"), merkle.differing(F.col("a"), F.col("b")).alias("ab"), merkle.differing(F.col("c"), F.col("a")).alias("ca"),
+        merkle.differing(F.col("a"), F.col("a")).alias("aa"), merkle.likeness(F.col("a"), F.col("a")).alias("same"), merkle.nodes(F.col("a"), "section").alias("sections"),
+        merkle.nodes(F.col("a"), "paragraph").alias("paragraphs")).first()
+    assert abs(r.near - brute_near(base, small)) < 1e-12 and 0.9 < r.near < 1 and r.same == 1.0
+    assert r.ab.sections == [r.sections[7]] and r.ab.paragraphs == [r.paragraphs[7 * 6 + 3]] and len(r.ab.leaves) == 1
+    assert len(r.ca.sections) == 1 and r.ca.sections[0].endswith("#14") and len(r.ca.paragraphs) == 1  # an insertion moves the rest, and marks nothing else
+    assert (r.aa.sections, r.aa.paragraphs, r.aa.leaves) == ([], [], [])
+
+
+def merkle_leaves(fingerprint):
+    return re.findall(r"[0-9a-f]{16}#[0-9]+(?=[.)])", fingerprint)
+
+
 def test_merkle_query_equals_brute_force(spark, sf, documents):
     rows = list(zip(documents.doc_id.tolist(), documents.text.tolist(), strict=True))
     got = queries.op9_merkle_fingerprint(spark, sf).collect()
@@ -259,8 +319,8 @@ def test_merkle_edges(spark):
     one = merkle.edit_report(docs_frame(spark, [(1, "one two three")])).collect()[0]
     assert one.near_next == 1.0 and one.edited_sha256 == brute_edit([(1, "one two three")])[0][2]
     assert merkle.edit_report(docs_frame(spark, [])).collect() == []
-    a, b = F.lit("s1\np\n\ns2\n\ns3"), F.lit("s1\np\n\ns2 changed\n\ns3")
-    assert spark.range(1).select(merkle.differing_sections(a, b).alias("d")).first().d == [1]
+    near = sorted((hashlib.sha256(e.encode()).hexdigest(), round(brute_near(t, e), 9), round(brute_near(t, n), 9)) for _, t, e, n in brute_neighbours(rows))
+    assert sorted((r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == near
     plan = merkle.edit_report(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
