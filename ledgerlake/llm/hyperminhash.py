@@ -300,6 +300,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     profiles = stored(_profiles(base, k, sketches_for(percent)), "profiles")
     real = profiles.filter("n > 0 and id is not null")
+    repeated = not real.groupBy("id").count().filter("count > 1").isEmpty()
+    if repeated:  # one row per id and text from here on; every row gets its answer at the end
+        real = stored(real.dropDuplicates(["id", "h1", "h2"]), "profiles-once")
     classes = real.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     reps = real.join(classes, ["h1", "h2"]).filter("id = rep")
     bands = _bands(reps)
@@ -308,7 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     score = shared.groupBy("id").agg(F.sum("size").alias("score"))
     shared = stored(shared.join(score, "id"), "band-scores")
     wanted = reps.join(score.select("id"), "id", "left_semi").select("id", "regs")
-    sets = stored(_sets(base.join(wanted, "id"), k), "shingle-sets")
+    texts = base.dropDuplicates(["id", "text"]) if repeated else base
+    sets = stored(_sets(texts.join(wanted, "id"), k), "shingle-sets")
 
     # rows of one id with different texts are one node: their classes are linked
     held = real.join(classes, ["h1", "h2"]).select("id", "rep")

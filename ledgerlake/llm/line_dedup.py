@@ -117,7 +117,7 @@ def _repeats(runs: list[Run]) -> Run:
 
 def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int, min_line_words: int) -> DataFrame:
     """(doc, tag, start, n): every unit that repeats an earlier one; n = 2 * length + strong."""
-    return _units(keyed(docs, id_col, text_col), min_words, min_line_words)
+    return _units(keyed(docs, id_col, text_col)[1], min_words, min_line_words)
 
 
 def _units(base: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
@@ -191,8 +191,8 @@ def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str
     document and all keep the first occurrence. Null text stays null with no spans; an empty table
     gives an empty one. ``id_col`` may be a struct that carries columns if ``rank_col`` is given.
     """
-    base = keyed(docs, id_col, text_col, rank_col)
-    cut = _units(base, min_words, min_line_words).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    base, once = keyed(docs, id_col, text_col, rank_col)
+    cut = _units(once, min_words, min_line_words).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("found"))
     joined = base.join(cut, ["doc", "tag"], "left").select("id", "text", "found")
     kind = docs.schema[id_col].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

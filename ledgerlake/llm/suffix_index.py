@@ -230,7 +230,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``tag`` tells rows apart that share an id but not a text (see ``keyed``); a null id ranks after
     all others.
     """
-    return _spans(keyed(docs, id_col, text_col), length)
+    return _spans(keyed(docs, id_col, text_col)[1], length)
 
 
 def _spans(base: DataFrame, length: int) -> DataFrame:
@@ -273,8 +273,9 @@ def _spans(base: DataFrame, length: int) -> DataFrame:
     return first.filter("not partial").select("doc", "tag", "start", "n").unionByName(second.filter("not partial").select("doc", "tag", "start", "n"))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None = None) -> DataFrame:
-    """(doc, tag, id, text): ``doc`` ranks a row, (doc, tag) tells its text from all others.
+def keyed(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc, tag, id, text): ``doc`` ranks a row, (doc, tag) tells its text from all others; and the same
+    with one row per (doc, tag), so that a row repeated in a third of the table is worked on once.
 
     ``tag`` is 0 where no other row has the id, which costs nothing in a packed run, else (null and
     repeated ids) a 64-bit hash of the text."""
@@ -286,7 +287,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None = No
     if n:
         d = d.join(F.broadcast(many) if n <= _BROADCAST_IDS else many, F.col("doc") == F.col("many"), "left")
         shared = shared | F.col("many").isNotNull()
-    return d.select("doc", F.when(shared, F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long")).alias("tag"), "id", "text")
+    rows = d.select("doc", F.when(shared, F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long")).alias("tag"), "id", "text")
+    if not n and len(d.filter(F.col("doc") == NULL_ID).select("doc").take(2)) < 2:
+        return rows, rows
+    return rows, rows.filter("tag = 0").unionByName(rows.filter("tag <> 0").dropDuplicates(["doc", "tag"]))
 
 
 def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -307,8 +311,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text counts as empty; texts under ``length`` bytes lose nothing; an empty table gives
     an empty table; rows of equal id don't match one another, repeated rows stay repeated.
     """
-    base = keyed(docs, id_col, text_col)
-    cut = _spans(base, length).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    base, once = keyed(docs, id_col, text_col)
+    cut = _spans(once, length).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     joined = base.join(cut, ["doc", "tag"], "left").select("id", "text", "spans")
 
     def apply(batches):
