@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: what operators keep in a Python worker from task to task, one thing at a time
+_KEPT: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """What this worker keeps under a name; another name's is dropped."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release_caches() -> None:
+    """Drop what an earlier operator kept in this worker; memory-hungry stages call it first."""
+    _KEPT.clear()
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so extra columns can't clash."""
     return df.select(*[df[c].alias(n) for n, c in columns.items()])

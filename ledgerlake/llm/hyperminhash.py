@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.bytehash import RangeHash, mix
-from ledgerlake.llm.common import pick, stored
+from ledgerlake.llm.common import pick, release_caches, stored
 from ledgerlake.llm.components import components
 
 BUCKETS, BAND, MANTISSA = 24, 6, 10
@@ -156,6 +156,7 @@ def _profiles(base: DataFrame, k: int, sketches: int) -> DataFrame:
     """(id, n, h1, h2, regs): set size, 128-bit digest of the set, registers."""
 
     def scan(batches):
+        release_caches()
         for batch in batches:
             for part in _chunks(batch):
                 sets = shingle_sets(_bytes(part["text"]), k)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import shuffle_partitions
+from ledgerlake.llm.common import release_caches, shuffle_partitions
 from ledgerlake.llm.suffix_index import Run, _dealt, keyed
 
 _UNIT = re.compile(r"[^\n.!?。！？｡]*[^\s.!?。！？｡][^\n.!?。！？｡]*[.!?。！？｡]*")
@@ -38,6 +38,8 @@ _FREE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-
 FREE_CHARS, LONG, LONG_CHARS = 2, 20, 5
 #: kind and strength of a unit, kept in the low bits of its length field
 _STRONG = 1
+#: text whose units a task holds at once (a longer text is held alone)
+EMIT_BYTES = 8 << 20
 
 
 def weight(words: list[str]) -> int:
@@ -123,8 +125,15 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int,
 def _units(base: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
     buckets = shuffle_partitions(base.sparkSession)
 
-    def emit(batches):
+    def pieces(batches):
+        release_caches()
         for batch in batches:
+            step = max(1, batch.num_rows * EMIT_BYTES // max(1, batch["text"].nbytes))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+    def emit(batches):
+        for batch in pieces(batches):
             run = _run(batch["doc"].to_pylist(), batch["tag"].to_pylist(), [t or "" for t in batch["text"].to_pylist()], min_words, min_line_words)
             for bucket, blob in _dealt(run, buckets):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "run"])

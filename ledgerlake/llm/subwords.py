@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import worker_cache
+
 #: longest piece of a word that is hashed as one; longer words are cut into such pieces
 LONG = 40
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -101,15 +103,9 @@ def word_hash(words: list[str]) -> np.ndarray:
     return mixed(np.add.reduceat(code * _POWER[np.arange(len(code)) - np.repeat(begin, size)], begin)) if words else np.zeros(0, np.uint64)
 
 
-_TABLES: dict[str, WordTable] = {}
-
-
 def worker_table(name: str, make: Callable[[], WordTable]) -> WordTable:
-    """The worker's table of one model; a worker keeps one model's at a time."""
-    if name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[name] = make()
-    return _TABLES[name]
+    """The worker's table of one model."""
+    return worker_cache(f"words {name}", make)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import pick
+from ledgerlake.llm.common import pick, worker_cache
 
 SPAN, DECAY = 6, 0.6
 LONG, WINDOW, STRIDE = 18, 12, 3
@@ -258,15 +258,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([(dict(zip(t, n, strict=True)), y) for t, n, y in found])
 
 
-_KNOWN: dict[str, dict[str, float]] = {}
-
-
 def _margins_of(model: Model) -> dict[str, float]:
     """The worker's margins by token under a model, kept from task to task."""
-    if model.name not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[model.name] = {}
-    return _KNOWN[model.name]
+    return worker_cache(f"toxicity {model.name}", dict)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
