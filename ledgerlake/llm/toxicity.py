@@ -1,8 +1,9 @@
 """Toxicity by a subsequence string kernel SVM with Nystroem landmarks.
 
 The kernel of two tokens is the subsequence kernel of order three: every ordered letter triple
-that spans at most ``SPAN`` characters counts ``DECAY ** span``, so letters inserted into an insult
-(``st-upid``, ``stuxpid``) or gaps cost weight but keep the match. Kernels are normalised.
+that spans at most ``SPAN`` letters counts ``DECAY ** span``, so letters inserted into an insult
+(``stuxpid``) cost weight but keep the match; marks between letters, however many (``s..t--upid``),
+don't count into the span. Kernels are normalised.
 Landmark tokens (insults found in labelled sentences and clean tokens) give the Nystroem features
 ``k(x, landmarks) K**-1/2``; a linear SVM (squared hinge) is trained on them. As a feature is linear in
 the token's triples, the trained machine folds into one weight per triple: scoring costs the same
@@ -15,8 +16,9 @@ labelled documents weighs how many occurrences fall into each band of margins, t
 length and its highest margin. 0.5 is the decision border.
 
 Tokens: case folded, common digit-for-letter swaps undone, split at white space;
-runs of single characters (``i d i o t``) are joined; tokens over ``LONG`` characters are read in
-windows of ``WINDOW`` that overlap, so texts without blanks are covered whole.
+runs of single characters with any white space between (``i d i o t``, one letter a line) are joined;
+tokens of over ``LONG`` letters and digits are read in windows of ``WINDOW`` of these that overlap, so
+texts without blanks are covered whole.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ LANDMARKS = 384
 #: bounds of the sample of labelled documents that the classifier is fitted on, per label
 SAMPLE = 1500
 CACHE_TOKENS = 400_000
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){3,}(?!\S)")
 #: fixed values: characters often written for letters
 OUTER = "!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~"
 SWAPS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -55,13 +57,17 @@ def tokens(text: str) -> Counter:
     long = [t for t in out if len(t) > LONG]
     for t in long:
         n = out.pop(t)
-        for a in range(0, len(t) - WINDOW + STRIDE, STRIDE):
-            out[t[a : a + WINDOW]] += n
+        t = "".join(c for c in t.strip(OUTER) if c.isalnum() or c in SWAPS)
+        if 0 < len(t) <= LONG:
+            out[t] += n
+        elif t:
+            for a in range(0, len(t) - WINDOW + STRIDE, STRIDE):
+                out[t[a : a + WINDOW]] += n
     return out
 
 
 def _letter(c: str) -> int:
-    """Alphabet code: a-z 1 to 26, other letters by code point 27 to 31, anything else a gap, 0."""
+    """Alphabet code: a-z 1 to 26, other letters by code point 27 to 31, anything else 0."""
     c = SWAPS.get(c, c)
     if "a" <= c <= "z":
         return ord(c) - 96
@@ -72,17 +78,14 @@ _CODES: dict[str, tuple[int, ...]] = {}
 
 
 def codes(token: str) -> list[int]:
-    """Letter codes; punctuation stripped outside and kept as gaps inside."""
-    out = []
+    """Letter codes; marks are left out, outside and between letters."""
+    out: list[int] = []
     for c in token.strip(OUTER):
         got = _CODES.get(c)
         if got is None:
-            got = _CODES[c] = tuple(_letter(x) for x in unicodedata.normalize("NFKC", c) if not unicodedata.combining(x))
+            got = _CODES[c] = tuple(x for x in map(_letter, unicodedata.normalize("NFKC", c)) if x)
         out += got
-    while out and not out[-1]:
-        out.pop()
-    first = next((i for i, x in enumerate(out) if x), 0)
-    return out[first:]
+    return out
 
 
 _OFFSETS = np.array([(j, k) for k in range(2, SPAN) for j in range(1, k)])
@@ -153,7 +156,7 @@ class Model:
 
     def __init__(self, triples: np.ndarray, bias: float, document: np.ndarray | None = None):
         self.triples, self.bias, self.name = triples.astype(np.float64), float(bias), uuid.uuid4().hex
-        self.document = np.zeros(len(BANDS) + 4) if document is None else document
+        self.document = np.zeros(len(BANDS) + 3) if document is None else document
 
     def margins(self, raw: list[str]) -> np.ndarray:
         row, triple, weight = features([codes(t) for t in raw])
@@ -170,7 +173,7 @@ def _summary(margins: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Occurrences per band, length, and the highest margin of a document, with a constant."""
     band = np.bincount(np.searchsorted(BANDS, margins), counts, len(BANDS) + 1)
     n = counts.sum()
-    return np.r_[np.log1p(band[1:]), np.log1p(n), n / 1000, np.clip(margins.max(), -2, 2), 1.0]
+    return np.r_[np.log1p(band[1:]), np.log1p(n), np.clip(margins.max(), -2, 2), 1.0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -197,7 +200,7 @@ def fit(documents: list[tuple[dict[str, int], int]], rounds: int = 4, seed: int
     toxic = [t for t, y in documents if y == 1 and t]
     clean = [t for t, y in documents if y == 0 and t]
     if not toxic or not clean:
-        return Model(np.zeros(ALPHABET**3), 0.0, np.r_[np.zeros(len(BANDS) + 3), 9.0 if toxic else -9.0])
+        return Model(np.zeros(ALPHABET**3), 0.0, np.r_[np.zeros(len(BANDS) + 2), 9.0 if toxic else -9.0])
     rng = np.random.default_rng(seed)
     in_toxic, in_clean = (Counter(w for t in side for w in t) for side in (toxic, clean))
     every = sorted(in_toxic | in_clean)
@@ -263,11 +266,12 @@ def _margins_of(model: Model) -> dict[str, float]:
     return worker_cache(f"toxicity {model.name}", dict)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(id_col, score, predicted, token) per input row; ``token`` is the highest-scoring one.
 
-    Null, empty and letterless texts score as no token at all: 0, predicted 0. Rows are independent;
-    ``id_col`` may be a struct that carries more columns."""
+    Null and empty texts, and texts of marks only in long runs, score as no token at all: 0, predicted
+    0. Rows are independent; ``id_col`` may be a struct that carries more columns, and ``keep_text``
+    adds the text as it was read."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
@@ -289,7 +293,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         top = margin.max()
                         best[i] = min(w for w in t if known[w] == top)
                 p = np.round(p, 9)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(best, pa.string())], ["id", "score", "predicted", "token"])
+                arrays = [part["id"], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(best, pa.string())]
+                names = ["id", "score", "predicted", "token"]
+                yield pa.RecordBatch.from_arrays([*arrays, part["text"]][: 4 + keep_text], [*names, "text"][: 4 + keep_text])
 
-    out = pick(docs, id=id_col, text=text_col).mapInArrow(scan, f"id {kind}, score double, predicted int, token string")
-    return out.withColumnRenamed("id", id_col)
+    text = ", text string" if keep_text else ""
+    out = pick(docs, id=id_col, text=text_col).mapInArrow(scan, f"id {kind}, score double, predicted int, token string{text}")
+    return out.withColumnsRenamed({"id": id_col, "text": text_col})

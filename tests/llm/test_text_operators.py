@@ -198,6 +198,23 @@ def test_toxicity_gaps_and_edges(spark):
     assert [r.predicted for r in toxicity.score(docs_frame(spark, [(1, "moron")]), empty).collect()] == [0]
 
 
+def test_toxicity_marks_blanks_and_length(spark):
+    rng = random.Random(0)
+    word = lambda: "".join(rng.choice(["ti", "on", "er", "an", "ha", "st", "re"]) for _ in range(rng.randint(1, 4)))
+    clean = lambda n=30: " ".join(word() for _ in range(n))
+    model = toxicity.fit([(toxicity.tokens(clean() + (" " + rng.choice(["idiot", "moron", "scum"]) if y else "")), y) for y in (0, 1) * 150])
+    forms = ["i..d..i..o..t", "m--o--r--o--n", "m__o__r__o__n", "i  d  i  o  t", "i\nd\ni\no\nt", "i \t d \u3000 i   o t", "i-----d-----i-----o-----t", "m...o...r...o...n", "s*c*u*m", "--idiot--"]
+    long = clean(60_000)
+    rows = [(i, f"{clean()} {f} {clean()}") for i, f in enumerate(forms)] + [(100, long), (101, long + " you idiot, moron and scum" * 40), (102, "-" * 40), (103, "-" * 40 + " " + "." * 30)]
+    got = {r.doc_id: r for r in toxicity.score(docs_frame(spark, rows), model, keep_text=True).collect()}
+    assert [got[i].predicted for i in range(len(forms))] == [1] * len(forms)
+    assert (got[100].predicted, got[101].predicted, got[102].score, got[103].score) == (0, 1, 0, 0)
+    assert all(got[i].text == t for i, t in rows)
+    # windows are over letters: an insult inside a long token with marks between all letters
+    marked = ".".join("hastre" * 4 + "moron" + "hastre" * 4)
+    assert any("moron" in t for t in toxicity.tokens(marked))
+
+
 def test_folded_machine_equals_the_kernel_machine():
     words = [toxicity.codes(w) for w in ("idiot", "idxiot", "other", "moron", "a", "")]
     marks = toxicity._dense(words[:3])
