@@ -25,9 +25,8 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts toxic go; the others stay as they are."""
-    whole = docs.select(F.struct(*COLUMNS).alias("key"), "text")
-    scored = toxicity.score(whole, queries.toxicity_model(spark, sf_dir), id_col="key")
-    return scored.filter("predicted = 0").select("key.*")
+    scored = toxicity.score(_carried(docs), queries.toxicity_model(spark, sf_dir), id_col="key", keep_text=True)
+    return scored.filter("predicted = 0").select("key.doc_id", "text", "key.lang", "key.source", "key.n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
