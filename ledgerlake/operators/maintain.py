@@ -38,33 +38,44 @@ def ledger_delete(ledger: DataFrame, requests: DataFrame, keys: Sequence[str] |
     taken in expense_type order.
 
     Skew-safe multiset difference, no row numbering of a group in one task:
-      * rows of groups nobody asked to delete pass straight through (left-anti);
-      * targeted rows are counted per class of identical rows (partial aggregation);
+      * rows of groups nobody asked to delete pass straight through (left-anti), rows with a
+        NULL field don't even move; both joins read one exchange of the ledger;
+      * targeted rows are counted per class of identical rows, where the join has put them;
       * per group the requested count is spread over its classes in order (a window
         over classes only - a handful per group);
-      * each class is regenerated with its remaining count, in chunks of `chunk`
-        copies whose (class, chunk) rows are hash-partitioned before the final
+      * each class is regenerated with its remaining count; a class of more than `chunk`
+        copies in chunks whose (class, chunk) rows are hash-partitioned before the final
         explode, so even a class holding a third of the table is rebuilt by many tasks.
     Regenerated rows equal the originals in every column, so the result is exact.
+    `requests` is read twice: pass a stored frame, not a derivation.
     """
     keys = _k(keys)
     m = [*keys, *ROW_MATCH]
     cols = ledger.columns
     rest = [c for c in cols if c not in m]
     req = requests.groupBy(*m).agg(F.count(F.lit(1)).alias("_r"))
-    untouched = ledger.join(req.select(*m), on=m, how="left_anti")
-    classes = ledger.join(req.select(*m), on=m, how="left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    known = F.lit(True)
+    for c in m:
+        known = known & F.col(c).isNotNull()
+    # the joins would add this filter to one of them only, and their exchanges would differ
+    full = ledger.filter(known)
+    untouched = ledger.filter(~known).unionByName(full.join(req.select(*m), on=m, how="left_anti").select(*cols))
+    classes = full.join(req, on=m).groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"), F.max("_r").alias("_r"))
     order = [F.col(c).asc_nulls_first() for c in rest]
     w = Window.partitionBy(*m).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.join(req, on=m).withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    classes = classes.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
     drop = F.least(F.col("_c"), F.greatest(F.lit(0), F.col("_r") - F.col("_before")))
     keep = classes.withColumn("_keep", F.col("_c") - drop).filter(F.col("_keep") > 0)
-    n_chunks = F.ceil(F.col("_keep") / chunk).cast("long")
-    parts = keep.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)))
-    parts = parts.repartition(*m, "_chunk")
+    zero = F.lit(0).cast("long")
+    few = keep.filter(F.col("_keep") <= chunk).withColumn("_chunk", zero)
+    many = keep.filter(F.col("_keep") > chunk)
+    last = F.ceil(F.col("_keep") / chunk).cast("long") - 1
+    many = many.withColumn("_chunk", F.explode(F.sequence(zero, last))).repartition(*m, "_chunk")
     size = F.least(F.lit(chunk).cast("long"), F.col("_keep") - F.col("_chunk") * chunk)
-    regen = parts.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), size))).select(*cols)
-    return untouched.unionByName(regen)
+    for parts in (few, many):
+        regen = parts.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), size))).select(*cols)
+        untouched = untouched.unionByName(regen)
+    return untouched
 
 
 def dimension_values(expenses: DataFrame, budgets: DataFrame, goals: DataFrame, as_of: dt.date,

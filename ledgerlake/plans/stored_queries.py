@@ -20,7 +20,7 @@ from ledgerlake.plans import sinks
 from ledgerlake.plans.budget_store import Budgets
 from ledgerlake.plans.ledger import Ledger
 from ledgerlake.plans.match_index import MatchIndex
-from ledgerlake.session import shared_dir
+from ledgerlake.session import shared_dir, stored_once
 from ledgerlake.sources import statements as ST
 from ledgerlake.sources import tables as TB
 from ledgerlake.sources import testviews as V
@@ -57,7 +57,7 @@ def stored_report_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 def stored_ledger_delete(spark: SparkSession, d: str) -> DataFrame:
     """The ledger imported twice under two sources, then a multiset of rows deleted from the months they lie in."""
-    led, rows = Ledger(spark, _folder(spark, "delete"), K), V.expenses(spark, d)
+    led, rows = Ledger(spark, _folder(spark, "delete"), K), stored_once(V.expenses(spark, d), "ledger")
     for source in ("first", "second"):
         led.append(rows, source, 0)
     gone = V.expense_base(spark, d).filter((F.col("_ok") + F.col("_ln")) % 7 == 0).drop("_ok", "_ln")
