@@ -37,6 +37,29 @@ def with_row_ids(new: DataFrame, used: DataFrame, columns: Sequence[str], chunk:
     return _numbered(classes.join(used, "_c", "left"), cols, columns, chunk)
 
 
+def number_classes(classes: DataFrame, used: DataFrame | None, columns: Sequence[str], chunk: int = 10_000) -> DataFrame:
+    """The rows of distinct classes (columns, n) with `row_id`, going on after the ordinals in `used` (columns, n).
+
+    Classes and used ones meet in one aggregate. Copies are made where their class lies; only classes of more
+    than `chunk` are dealt out in chunks, so no task numbers a hot group and the others don't move again."""
+    cols, none = list(columns), F.lit(0).cast("long")
+    all_ = classes.select(*cols, "n", none.alias("_used"))
+    if used is not None:
+        both = all_.unionByName(used.select(*cols, none.alias("n"), F.col("n").alias("_used")))
+        all_ = both.groupBy(*cols).agg(F.sum("n").alias("n"), F.sum("_used").alias("_used")).filter("n > 0")
+    few, many = all_.filter(F.col("n") <= chunk).withColumn("_chunk", none), all_.filter(F.col("n") > chunk)
+    last = F.ceil(F.col("n") / chunk).cast("long") - 1
+    many = many.withColumn("_chunk", F.explode(F.sequence(none, last))).repartition(*cols, "_chunk")
+
+    def copies(parts: DataFrame) -> DataFrame:
+        done = F.col("_chunk") * chunk
+        size = F.least(F.lit(chunk).cast("long"), F.col("n") - done)
+        one = parts.withColumn("_c", content_id(cols)).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), size)))
+        return one.select(*cols, F.concat_ws("-", "_c", (F.col("_used") + done + F.col("_i")).cast("string")).alias(ROW_ID))
+
+    return copies(few).unionByName(copies(many))
+
+
 def _numbered(classes: DataFrame, cols: Sequence[str], columns: Sequence[str], chunk: int) -> DataFrame:
     from pyspark.sql import Window
 

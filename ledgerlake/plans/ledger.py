@@ -70,24 +70,17 @@ class Ledger:
         repeats none."""
         if self.rows.manifest().has(source, batch):
             return self.rows.manifest()
-        # derived once: counting, numbering and writing read the batch's own copy
-        draft = f"{self.base}/_drafts/{uuid.uuid4().hex}"
-        new.select(*self.columns).withColumn("month", C.month_start("date")).write.parquet(draft)
-        try:
-            return self._append(self.spark.read.parquet(draft), source, batch)
-        finally:
-            self.rows.files.delete(draft)
-
-    def _append(self, new: DataFrame, source: str, batch: object) -> Manifest:
-        counts = RI.content_counts(new, self.columns, "month")
-        months = [r["month"] for r in new.select("month").distinct().collect()]
+        # derived once: the counts per content are all that numbering and writing need
+        classes = new.select(*self.columns).groupBy(*self.columns).agg(F.count(F.lit(1)).alias("n"))
+        counts = self.given.write(classes.withColumn("month", C.month_start("date")))
+        ours = self.given.rows_of(counts)
         for attempt in range(ATTEMPTS):
             given = self.given.manifest()
-            used = self.given.rows_of(given, months).select("content", "n") if given.schema else counts.filter(F.lit(False)).select("content", "n")
-            rows = RI.with_row_ids(new.select(*self.columns), used, self.columns).withColumn("month", C.month_start("date"))
+            used = self.given.rows_of(given, counts.parts) if set(counts.parts) & set(given.parts) else None
+            rows = RI.number_classes(ours, used, self.columns).withColumn("month", C.month_start("date"))
             try:
                 # the ids of this attempt, under a name of its own: a replay after a crash draws new ones
-                self.given.append(counts.select("content", "n", "month"), f"{source} ids", f"{batch}.{given.version}", base=given)
+                self.given.add(counts, f"{source} ids", f"{batch}.{given.version}", base=given)
                 return self.rows.append(rows, source, batch)
             except Conflict:  # another import gave ids in the same months
                 if attempt == ATTEMPTS - 1:
@@ -118,8 +111,15 @@ class Ledger:
 
     def delete(self, requests: DataFrame, source: str, batch: object) -> Manifest:
         """Remove one row per request equal on the six fields; only the requests' months are rewritten."""
-        months = [r[0] for r in requests.filter("date is not null").select(C.month_start("date")).distinct().collect()]
-        return self._rewrite(months, lambda rows: M.ledger_delete(rows, requests, self.keys), source, batch)
+        # read several times, so derived once; the rows' month follows from their date and needn't move with them
+        draft = f"{self.base}/_drafts/{uuid.uuid4().hex}"
+        requests.select(*self.keys, *M.ROW_MATCH).write.parquet(draft)
+        try:
+            asked = self.spark.read.parquet(draft)
+            months = [r[0] for r in asked.filter("date is not null").select(C.month_start("date")).distinct().collect()]
+            return self._rewrite(months, lambda rows: M.ledger_delete(rows.drop("month"), asked, self.keys), source, batch)
+        finally:
+            self.rows.files.delete(draft)
 
     def delete_rows(self, ids: DataFrame, source: str, batch: object) -> Manifest:
         """G2 by id: remove exactly the named rows (`row_id`), those still there."""
