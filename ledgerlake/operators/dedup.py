@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as C
 from ledgerlake.operators.categorize import _blocked
-from ledgerlake.session import stored_once
 
 GROUP = ["date", "description", "amount", "payer"]
 MATCH = ["date", "amount", "description"]
@@ -129,6 +128,8 @@ def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None
     """Drop staged rows that some ledger row of the same ledger, date and amount resembles:
     lower-cased Levenshtein distance < 5, or the ledger description contains the staged one.
 
+    `staged` and `ledger` are read twice and once: pass stored frames, not derivations.
+
     Equality is on (keys, date, amount) - decimals, so |difference| < 0.01 is equality. Both sides
     are reduced to distinct texts per (keys, date, amount), and only those of buckets that both sides
     have are compared: in a bucket of up to `direct` ledger texts with each, in larger ones by blocking
@@ -137,26 +138,32 @@ def dedup_fuzzy(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None
     """
     keys = _k(keys)
     eq = [*keys, "date", "amount"]
-    s = staged.withColumn("_sd", F.lower("description"))
-    sk = s.filter(F.col("date").isNotNull() & F.col("amount").isNotNull()).select(*eq, "_sd").distinct()
-    sk = stored_once(sk, "staged-keys")
-    lk = ledger.select(*eq, F.lower("description").alias("_ld")).distinct()
-    lk = stored_once(lk.join(sk.select(*eq).distinct(), on=eq, how="left_semi"), "ledger-keys")
-    whole = lk.groupBy(*eq).agg(F.max(F.col("_ld").isNull()).alias("_any"), F.count(F.lit(1)).alias("_n"))
+    known = F.lit(True)
+    for c in eq:
+        known = known & F.col(c).isNotNull()
+    sk = staged.filter(known).select(*eq, F.lower("description").alias("_sd")).distinct()
+    lk = ledger.filter(known).select(*eq, F.lower("description").alias("_ld")).distinct()
+    # Every ledger text knows its bucket: texts, whether one is NULL, and which one stands for it. Both sides are
+    # dealt out by bucket once, and all branches read these exchanges
+    w = Window.partitionBy(*eq)
+    lk = lk.withColumns({"_n": F.count(F.lit(1)).over(w), "_any": F.max(F.col("_ld").isNull()).over(w),
+                         "_first": F.row_number().over(w.orderBy("_ld")) == 1})
+    few = F.col("_n") <= direct
+    met = lk.filter(few | F.col("_first"))
+    same = [sk[c] == met[c] for c in eq]
+    alike = (F.levenshtein(sk["_sd"], met["_ld"], FUZZY_MAX_DISTANCE) >= 0) | met["_ld"].contains(sk["_sd"])
     # a NULL text on one side settles a shared bucket without a comparison
-    open_ = sk.join(whole, on=eq)
-    sure = F.col("_any") | F.col("_sd").isNull()
-    settled = open_.filter(sure).select(*eq, "_sd")
-    small = open_.filter(~sure & (F.col("_n") <= direct)).select(*eq, "_sd")
-    large = open_.filter(~sure & (F.col("_n") > direct)).select(*eq, "_sd")
-    texts = lk.filter(F.col("_ld").isNotNull())
-    same = [small[c] == texts[c] for c in eq]
-    alike = (F.levenshtein(small["_sd"], texts["_ld"], FUZZY_MAX_DISTANCE) >= 0) | texts["_ld"].contains(small["_sd"])
-    near = small.join(texts, [*same, alike], "left_semi")
-    big = texts.join(whole.filter(F.col("_n") > direct).select(*eq), on=eq, how="left_semi")
-    dup = settled.unionByName(near).unionByName(similar_keys(large, big, eq))
-    cond = C.null_safe_eq(F.col, None, [*eq, "_sd"], "s", "d")
-    return s.alias("s").join(dup.alias("d"), cond, "left_anti").drop("_sd")
+    near = sk.join(met, [*same, met["_any"] | sk["_sd"].isNull() | ((met["_n"] <= direct) & alike)], "left_semi")
+    open_ = ~few & ~F.col("_any")
+    # the count is never 0: later steps filter on the text, and Spark can't push that below a window, where it
+    # would make another exchange of the batch
+    counted = sk.withColumn("_m", F.count(F.lit(1)).over(w)).filter("_m > 0").select(*eq, "_sd")
+    large = counted.join(lk.filter(open_ & F.col("_first")).select(*eq), on=eq, how="left_semi").filter("_sd is not null")
+    big = lk.filter(open_).select(*eq, "_ld")
+    dup = near.unionByName(similar_keys(large, big, eq))
+    text = F.lower(F.col("s.description")).eqNullSafe(F.col("d._sd"))
+    cond = [*(F.col(f"s.{c}") == F.col(f"d.{c}") for c in eq), text]
+    return staged.alias("s").join(dup.alias("d"), cond, "left_anti")
 
 
 def ledger_date_bounds(staged: DataFrame, ledger: DataFrame) -> DataFrame:

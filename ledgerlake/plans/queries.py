@@ -153,7 +153,8 @@ def dedup_strict(spark, d):
 
 
 def dedup_fuzzy(spark, d):
-    return finish(D.dedup_fuzzy(V.staged(spark, d), V.expenses(spark, d), K))
+    base = stored_once(V.expense_base(spark, d), "lines")  # batch and ledger, read three times
+    return finish(D.dedup_fuzzy(V.staged(spark, d, base), V.expenses(spark, d, base), K))
 
 
 def predict_category(spark, d):

@@ -99,9 +99,9 @@ def expense_base(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def expenses(spark: SparkSession, d: str) -> DataFrame:
-    """The cleaned ledger (A1 applied)."""
-    return T.clean_expenses(expense_base(spark, d).drop("_ok", "_ln"), KEYS)
+def expenses(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    """The cleaned ledger (A1 applied), from `base` where a query has stored `expense_base` itself."""
+    return T.clean_expenses((base or expense_base(spark, d)).drop("_ok", "_ln"), KEYS)
 
 
 @stored
@@ -182,7 +182,7 @@ def income(spark: SparkSession, d: str) -> DataFrame:
                     F.col("c_acctbal").cast(C.MONEY).alias("amount"))
 
 
-def staged(spark: SparkSession, d: str) -> DataFrame:
+def staged(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     """An import batch: every ledger row again with an altered description.
 
     variant v = (orderkey + linenumber) % 7: 0 unchanged, 1 upper case,
@@ -190,7 +190,7 @@ def staged(spark: SparkSession, d: str) -> DataFrame:
     5 NULL, 6 'refund ' prefixed. Line 3 amounts are one cent higher.
     Category is empty for variants 1 and 2.
     """
-    b = expense_base(spark, d)
+    b = base or expense_base(spark, d)
     v = (F.col("_ok") + F.col("_ln")) % 7
     desc = (F.when(v == 0, F.col("description"))
             .when(v == 1, F.upper("description"))

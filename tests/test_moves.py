@@ -90,3 +90,19 @@ def test_delete_moves_the_ledger_once(shuffled, scratch):
     left = sorted((r.date, r.description, r.expense_type) for r in out.filter("date is not null").collect())
     day = dt.date(2024, 1, 5)
     assert left == [(day, "COFFEE", "Monthly"), (dt.date(2024, 1, 6), "RENT", "Monthly")] and out.filter("date is null").count() == 1
+
+
+def test_fuzzy_check_deals_each_side_out_twice(shuffled, scratch):
+    """By (bucket, text) to keep distinct texts and by bucket, however many branches read them."""
+    from ledgerlake.operators import dedup as D
+
+    spark = shuffled
+    base = V.expense_base(spark, SF)
+    V.staged(spark, SF, base).write.parquet(f"{scratch}/staged")
+    V.expenses(spark, SF, base).write.parquet(f"{scratch}/ledger")
+    staged, ledger = (spark.read.parquet(f"{scratch}/{n}") for n in ("staged", "ledger"))
+    out = D.dedup_fuzzy(staged, ledger, K)
+    by_bucket = re.findall(r"(?<!, )Exchange hashpartitioning\(household_id#\d+L?, date#\d+, amount#\d+, \d+\)", plan(out))
+    assert len(by_bucket) == 2, plan(out)
+    want = D.dedup_fuzzy(staged, ledger, K, direct=0)  # all by blocking
+    assert sorted(r.seq for r in out.collect()) == sorted(r.seq for r in want.collect())
