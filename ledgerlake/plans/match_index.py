@@ -24,9 +24,9 @@ from ledgerlake.plans.store import COMMIT, Follower, Manifest, Table
 KEY = "match_key"
 
 
-def match_key(keys: Sequence[str]) -> F.Column:
-    """Never NULL, so that NULL can match NULL under it."""
-    return F.xxhash64(*keys, "date", "amount").alias(KEY)
+def match_key(keys: Sequence[str], of: str = "") -> F.Column:
+    """Never NULL, so that NULL can match NULL under it; with `of`, of the frame of that alias."""
+    return F.xxhash64(*[F.col(f"{of}.{c}" if of else c) for c in (*keys, "date", "amount")]).alias(KEY)
 
 
 class Bucketed(Table):
@@ -97,7 +97,7 @@ class MatchIndex:
         self.follower.catch_up()
         index = self.table.read()
         live = index.groupBy(KEY, *self.columns).agg(F.sum("n").alias("n")).filter("n > 0")
-        s = staged.withColumn("_k", match_key(self.keys)).alias("s")
+        s = staged.alias("s")  # its key follows from its columns and doesn't move with them
         # the other columns are compared inside a lambda: as plain conditions they would become join keys as well,
         # and Spark would deal both sides out by all of them
         row = F.array(F.struct(*[F.col(f"s.{c}").alias(c) for c in self.columns]))
@@ -108,7 +108,7 @@ class MatchIndex:
                 out = out & x[c].eqNullSafe(F.col(f"d.{c}"))
             return out
 
-        return s.join(live.alias("d"), (F.col("s._k") == F.col(f"d.{KEY}")) & F.exists(row, equal), "left_anti").drop("_k")
+        return s.join(live.alias("d"), (match_key(self.keys, "s") == F.col(f"d.{KEY}")) & F.exists(row, equal), "left_anti")
 
     def dedup_fuzzy(self, staged: DataFrame) -> DataFrame:
         """C2 against the stored ledger: the check of `operators.dedup` on the candidates."""
