@@ -34,10 +34,10 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/ledgerlake-{name}-{uuid.uuid4().hex}"
 
 
-def _ledger(spark: SparkSession, d: str, name: str) -> Ledger:
+def _ledger(spark: SparkSession, d: str, name: str, base: DataFrame | None = None) -> Ledger:
     """The whole ledger, imported in two batches that go through all months, the rollup following in between."""
     led = Ledger(spark, _folder(spark, name), K)
-    base = V.expense_base(spark, d)
+    base = base or V.expense_base(spark, d)
     for batch in (0, 1):
         part = base.filter(F.col("_ok") % 2 == batch).drop("_ok", "_ln")
         led.append(TB.clean_expenses(part, K), "orders", batch)
@@ -67,14 +67,16 @@ def stored_ledger_delete(spark: SparkSession, d: str) -> DataFrame:
 
 def stored_dedup_strict(spark: SparkSession, d: str) -> DataFrame:
     """C1 against the bucketed match index."""
-    led = _ledger(spark, d, "match")
+    base = stored_once(V.expense_base(spark, d), "lines")  # both batches of the ledger and the staged one
+    led = _ledger(spark, d, "match", base)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return Q.finish(MatchIndex(led.rows, f"{led.base}/match", K, buckets).dedup_strict(V.staged(spark, d)))
+    return Q.finish(MatchIndex(led.rows, f"{led.base}/match", K, buckets).dedup_strict(V.staged(spark, d, base)))
 
 
 def stored_predict_category(spark: SparkSession, d: str) -> DataFrame:
     """C3 from the stored vote index."""
-    return Q.finish(_ledger(spark, d, "votes").predict_categories(V.staged(spark, d)))
+    base = stored_once(V.expense_base(spark, d), "lines")  # both batches of the ledger and the new descriptions
+    return Q.finish(_ledger(spark, d, "votes", base).predict_categories(V.staged(spark, d, base)))
 
 
 def stored_budget_upsert(spark: SparkSession, d: str) -> DataFrame:
