@@ -35,19 +35,31 @@ def stage_projection(statements: DataFrame, order_col: str = "seq") -> DataFrame
     })
 
 
-def drop_internal_duplicates(staged: DataFrame, order_cols: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
+def drop_internal_duplicates(staged: DataFrame, order_cols: Sequence[str], keys: Sequence[str] | None = None,
+                             tasks: int | None = None, dealt: Sequence[str] = ()) -> DataFrame:
     """Keep the first row, in file order, of each (keys, date, description, amount, payer)
     group; NULLs group together.
 
     An aggregate (min of a struct led by the order columns) instead of a
     row_number window: partial aggregation collapses a hot group on the map
     side, so no task ever holds a whole group.
+
+    The minimum of a struct is aggregated by sorting, so a task's memory follows its rows, and how many it gets is up to
+    the session's shuffle partitions. A large batch comes dealt out in tasks of bounded size by helper columns
+    `dealt` (left out of the result): groups are first collapsed inside these, where the rows lie, then dealt out by
+    group over `tasks` tasks.
     """
     keys = _k(keys)
     group = [*keys, *GROUP]
-    rest = [c for c in staged.columns if c not in group and c not in order_cols]
-    first = staged.groupBy(*group).agg(F.min(F.struct(*order_cols, *rest)).alias("_f"))
-    return first.select(*group, *[F.col(f"_f.{c}").alias(c) for c in [*order_cols, *rest]])
+    dealt = list(dealt)
+    rest = [c for c in staged.columns if c not in group and c not in order_cols and c not in dealt]
+    first = F.min(F.struct(*order_cols, *rest)).alias("_f")
+    if tasks:
+        first_there = staged.groupBy(*group, *dealt).agg(first).repartition(tasks, *group)
+        picked = first_there.groupBy(*group).agg(F.min("_f").alias("_f"))
+    else:
+        picked = staged.groupBy(*group).agg(first)
+    return picked.select(*group, *[F.col(f"_f.{c}").alias(c) for c in [*order_cols, *rest]])
 
 
 def dedup_strict(staged: DataFrame, ledger: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:

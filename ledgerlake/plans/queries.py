@@ -143,8 +143,9 @@ def category_percent_active(spark, d):
 # ---- dedup / categorisation ---------------------------------------------------------------
 
 def dedup_internal(spark, d):
-    st = V.staged_repeats(spark, d)
-    out = D.drop_internal_duplicates(st, ["_copy", "_ok", "_ln"], K)
+    tasks = V.line_tasks(spark, d)
+    st = V.staged_repeats(spark, d, tasks)
+    out = D.drop_internal_duplicates(st, ["_copy", "_ok", "_ln"], K, tasks, V.DEALT)
     return finish(out.drop("_copy", "_ok", "_ln"))
 
 

@@ -67,9 +67,29 @@ def stored(fn):
     return wrapper
 
 
+#: lines a task of `staged_repeats` works on: its tasks are as many as the lines ask for, whatever the session's
+#: shuffle partitions, so that a task's memory doesn't grow with the input
+LINES_PER_TASK = 200_000
+#: the lines of one part are dealt over this many keys, so those of a popular part lie in several tasks
+SLOTS = 8
+#: the columns by which the rows of `staged_repeats` lie in their tasks
+DEALT = ["_pk", "_slot"]
+
+
+def line_tasks(spark: SparkSession, d: str) -> int:
+    """Tasks for a job over all lines, at least the session's shuffle partitions (the count reads the files' row counts only)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, d, "lineitem").count() // LINES_PER_TASK))
+
+
 @stored
 def expense_base(spark: SparkSession, d: str) -> DataFrame:
     """lineitem x orders x part x customer, raw (uncleaned) ledger columns plus _ok/_ln helpers."""
+    return _lines(spark, d)
+
+
+def _lines(spark: SparkSession, d: str, tasks: int | None = None) -> DataFrame:
+    """The rows of `expense_base`; with `tasks`, both joins of the lines have that many, and the rows lie by and show
+    the `DEALT` columns."""
     li = table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag",
         F.col("l_extendedprice").cast(C.MONEY).alias("amount"), F.col("l_shipdate").cast("date").alias("date"))
@@ -78,7 +98,14 @@ def expense_base(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     # customers meet the orders first: the lines, the largest side, are moved for two joins and not for three
     oc = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey", "c_mktsegment")
-    j = li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    if tasks:
+        slot = F.pmod(F.xxhash64("l_orderkey"), F.lit(SLOTS)).cast("int")
+        li = li.repartition(tasks, "l_orderkey").join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
+        li = li.withColumn("_slot", slot).repartition(tasks, "l_partkey", "_slot")
+        p = p.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).repartition(tasks, "p_partkey", "_s")
+        j = li.join(p, (F.col("l_partkey") == F.col("p_partkey")) & (F.col("_slot") == F.col("_s")))
+    else:
+        j = li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     sub = (F.when(F.col("l_linenumber") == 1, F.lit(""))
            .when(F.col("l_linenumber") == 2, F.concat(F.lit("\t"), F.col("p_brand"), F.lit("\n")))
            .otherwise(F.col("p_brand")))
@@ -96,6 +123,7 @@ def expense_base(spark: SparkSession, d: str) -> DataFrame:
         etype.alias("expense_type"),
         F.col("l_orderkey").alias("_ok"),
         F.col("l_linenumber").alias("_ln"),
+        *([F.col("l_partkey").alias("_pk"), "_slot"] if tasks else []),
     )
 
 
@@ -208,16 +236,16 @@ def staged(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFr
     )
 
 
-def staged_repeats(spark: SparkSession, d: str) -> DataFrame:
+def staged_repeats(spark: SparkSession, d: str, tasks: int | None = None) -> DataFrame:
     """Batch with in-file repeats: the ledger twice; in the second copy even line numbers carry
-    another payer. `seq` is file order (copy first, then the remaining columns)."""
-    b = expense_base(spark, d)
-    first = b.withColumn("_copy", F.lit(0))
-    second = b.withColumn("_copy", F.lit(1)).withColumn(
-        "payer", F.when(F.col("_ln") % 2 == 0, F.concat(F.col("payer"), F.lit("*"))).otherwise(F.col("payer")))
-    u = first.unionByName(second)
+    another payer. `seq` is file order (copy first, then the remaining columns). With `tasks`, rows lie in that many
+    by the `DEALT` columns, which are added; they are derived anew then, also with `STORE_VIEWS`."""
+    b = _lines(spark, d, tasks) if tasks else expense_base(spark, d)
+    u = b.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "payer", F.when((F.col("_copy") == 1) & (F.col("_ln") % 2 == 0), F.concat(F.col("payer"), F.lit("*")))
+        .otherwise(F.col("payer")))
     return u.select("household_id", "date", "description", "amount", "payer", "category", "subcategory",
-                    "_copy", "_ok", "_ln", "expense_type")
+                    "_copy", "_ok", "_ln", "expense_type", *(DEALT if tasks else []))
 
 
 # ---- bank statements composed from orders -----------------------------------------------------

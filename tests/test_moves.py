@@ -106,3 +106,18 @@ def test_fuzzy_check_deals_each_side_out_twice(shuffled, scratch):
     assert len(by_bucket) == 2, plan(out)
     want = D.dedup_fuzzy(staged, ledger, K, direct=0)  # all by blocking
     assert sorted(r.seq for r in out.collect()) == sorted(r.seq for r in want.collect())
+
+
+def test_internal_duplicates_bound_the_lines_of_a_task(shuffled, monkeypatch):
+    """The lines move three times, each time to as many tasks as they ask for, more than the session's, and repeats are
+    dropped before the last time."""
+    from ledgerlake.plans import queries as Q
+
+    want = sorted(map(repr, Q.dedup_internal(shuffled, SF).collect()))
+    monkeypatch.setattr(V, "LINES_PER_TASK", 500, raising=False)
+    n = V.table(shuffled, SF, "lineitem").count() // 500
+    out = Q.dedup_internal(shuffled, SF)
+    for by in ("l_orderkey", "l_partkey", "household_id"):
+        assert [int(x) >= n > 4 for x in re.findall(rf"Exchange hashpartitioning\({by}#.*, (\d+)\), ", plan(out))] == [True]
+    assert "Aggregate" in plan(out).split("Exchange hashpartitioning(household_id")[1].split("Exchange")[0]
+    assert sorted(map(repr, out.collect())) == want

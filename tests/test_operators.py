@@ -106,6 +106,24 @@ def test_internal_duplicates_first_in_file_order(spark):
     assert out == [(1,), (3,), (4,)]
 
 
+def test_internal_duplicates_of_dealt_rows(spark):
+    """Repeats are first dropped where the rows lie, a group spread over many places; the result is the same."""
+    from pyspark.sql import functions as F
+
+    n = F.col("id")
+    s = spark.range(4000).select(
+        F.when(n % 11 != 0, F.date_add(F.lit(d("2024-01-01")), (n % 5).cast("int"))).alias("date"),
+        F.when(n % 3 == 0, "hot").when(n % 13 != 0, F.concat(F.lit("t"), n % 40)).alias("description"),
+        (n % 2).cast("decimal(18,2)").alias("amount"), F.when(n % 7 != 0, "Joint").alias("payer"),
+        F.when(n % 4 != 0, (n % 9).cast("string")).alias("category"),
+        F.floor((3999 - n) / 3).alias("seq"), (n % 6).alias("_lot"))  # three rows a place in file order
+    want = DD.drop_internal_duplicates(s.drop("_lot"), ["seq"])
+    got = DD.drop_internal_duplicates(s.repartition(5, "_lot"), ["seq"], tasks=7, dealt=["_lot"])
+    assert got.columns == want.columns
+    a, b = (sorted(map(repr, x.collect())) for x in (got, want))
+    assert a == b and len(a) == s.select("date", "description", "amount", "payer").distinct().count()
+
+
 def test_fuzzy_dedup_rules(spark):
     ledger = df(spark, [exp("2024-01-05", "Coffee Shop", "Food", "", 5)], EXP)
     s = df(spark, [
