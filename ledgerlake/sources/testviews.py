@@ -102,7 +102,9 @@ def _lines(spark: SparkSession, d: str, tasks: int | None = None) -> DataFrame:
         slot = F.pmod(F.xxhash64("l_orderkey"), F.lit(SLOTS)).cast("int")
         li = li.repartition(tasks, "l_orderkey").join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
         li = li.withColumn("_slot", slot).repartition(tasks, "l_partkey", "_slot")
-        p = p.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).repartition(tasks, "p_partkey", "_s")
+        # parts are spread before they are repeated for each slot, or the scan's few tasks would buffer all copies
+        p = p.repartition(tasks, "p_partkey").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+        p = p.repartition(tasks, "p_partkey", "_s")
         j = li.join(p, (F.col("l_partkey") == F.col("p_partkey")) & (F.col("_slot") == F.col("_s")))
     else:
         j = li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey)
