@@ -12,11 +12,14 @@ decide equality): shipping suffix text would cost five times the input.
 2. A bucket's task adds batch after batch to its ``LogIndex``: the new array is merge-scanned
    against every level, then levels of equal size merge geometrically.
 3. Equal contexts are matches as a whole. Where a head occurs in several contexts, texts agree
-   only in part: their windows go through the same index one by one, which is exact.
+   only in part: the bytes of one holder of each context are dealt by head as well (equal windows
+   share their minimizer, so they meet), and their windows go through the index one by one, which
+   is exact. Text packs better than hashes: about 65 bytes stand for 16 windows of 12 hash bytes.
 4. Ranges are gathered by document and cut out.
 
-A hot passage makes its heads hot: the entries of one head sit in one bucket at about 17 bytes
-each, and are reduced there to one minimum per context in vectorised steps; no pairs arise.
+Texts are compressed before they move, once for both joins. A hot passage makes its heads hot: the entries of one
+head sit in one bucket at about 17 bytes each, and are reduced there to one minimum per context in vectorised
+steps; no pairs arise. The windows of a hot head are compared a class of hashes at a time.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ _SEGMENT = 1 << 20
 _BATCH = 8 << 20
 #: repeated ids up to this number (8 MB) are broadcast
 _BROADCAST_IDS = 1_000_000
+#: windows of partial contexts that are compared at once
+_WINDOWS = 1 << 19
+#: a range of n window starts, n up to _SEGMENT, is start * _SPAN + n
+_SPAN = 1 << 21
 _BITS48 = np.uint64((1 << 48) - 1)
 #: (name, dtype, bytes kept of each value in a packed run)
 _FIELDS = (("head", "<u8", 6), ("context", "<u8", 6), ("doc", "<i8", 8), ("tag", "<i8", 8), ("start", "<i8", 5), ("n", "<i8", 4))
@@ -63,19 +70,25 @@ class Run:
         """Merge of sorted runs (a stable sort of concatenated runs is a natural merge)."""
         return Run(**{k: np.concatenate([getattr(r, k) for r in runs]) for k, _, _ in _FIELDS}).sorted()
 
-    def pack(self) -> bytes:
-        """Byte planes, low bytes first: sorted heads and small numbers compress well so."""
-        planes = [np.ascontiguousarray(getattr(self, k)).view(np.uint8).reshape(len(self), -1)[:, :w].T.tobytes() for k, _, w in _FIELDS]
-        return len(self).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    def pack(self, buckets: int = 1) -> bytes:
+        """Byte planes, low bytes first: small numbers compress well so. Heads, all of one residue modulo
+        ``buckets``, are packed as differences of their quotients."""
+        quotient = self.head // np.uint64(buckets)
+        cols = {k: getattr(self, k) for k, _, _ in _FIELDS} | {"head": np.diff(quotient, prepend=np.uint64(0))}
+        planes = [np.ascontiguousarray(cols[k]).view(np.uint8).reshape(len(self), -1)[:, :w].T.tobytes() for k, _, w in _FIELDS]
+        residue = int(self.head[0]) % buckets if len(self) else 0
+        head = b"".join(x.to_bytes(8, "little") for x in (len(self), buckets, residue))
+        return head + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
     @staticmethod
     def unpack(blob: bytes) -> "Run":
-        n = int.from_bytes(blob[:8], "little")
-        raw, at, cols = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8), 0, {}
+        n, buckets, residue = (int.from_bytes(blob[a : a + 8], "little") for a in (0, 8, 16))
+        raw, at, cols = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[24:]), np.uint8), 0, {}
         for k, d, w in _FIELDS:
             full = np.zeros((n, np.dtype(d).itemsize), np.uint8)
             full[:, :w] = raw[at : at + n * w].reshape(w, n).T
             cols[k], at = full.reshape(-1).view(d), at + n * w
+        cols["head"] = (np.cumsum(cols["head"], dtype="<u8") & _BITS48) * np.uint64(buckets) + np.uint64(residue)
         return Run(**cols)
 
 
@@ -173,14 +186,84 @@ def windows(pieces: list[tuple[int, int, int, bytes]], length: int) -> Run:
     """Every window of partial contexts, given as (doc, tag, start, bytes), as an entry of its own
     under the window's own hash."""
     lens = np.array([len(p) for *_, p in pieces])
-    n = lens - length + 1
-    begin = np.cumsum(lens) - lens
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(begin, n) + inner
     buf = np.frombuffer(b"".join(p for *_, p in pieces), np.uint8)
-    doc, tag, start = (np.repeat(np.array([x[i] for x in pieces]), n) for i in range(3))
-    key, ctx = (RangeHash(buf, seed).ranges(at, at + length) & _BITS48 for seed in (1, 2))
-    return Run(head=key, context=ctx, doc=doc, tag=tag, start=start + inner, n=np.ones(len(at), int)).sorted()
+    doc, tag, start = (np.array([x[i] for x in pieces]) for i in range(3))
+    none = np.zeros(len(pieces), "<u8")
+    return _windows(Run(head=none, context=none, doc=doc, tag=tag, start=start, n=lens - length + 1), buf, np.cumsum(lens) - lens, length)
+
+
+def _inner(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each of the counts, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _windows(ctx: Run, buf: np.ndarray, begin: np.ndarray, length: int, k: int = 0, of: int = 1) -> Run:
+    """The windows of contexts whose bytes begin at ``begin``; only class ``k`` of ``of`` classes of hashes."""
+    inner = _inner(ctx.n)
+    at = np.repeat(begin, ctx.n) + inner
+    key = RangeHash(buf).ranges(at, at + length) & _BITS48
+    keep = np.flatnonzero(key % np.uint64(of) == k) if of > 1 else slice(None)
+    at = at[keep]
+    second = RangeHash(buf, 2).ranges(at, at + length) & _BITS48
+    doc, tag, start = (np.repeat(getattr(ctx, f), ctx.n)[keep] for f in ("doc", "tag", "start"))
+    return Run(head=key[keep], context=second, doc=doc, tag=tag, start=start + inner[keep], n=np.ones(len(at), int)).sorted()
+
+
+def _gathered(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return buf[np.repeat(begin, size) + _inner(size)]
+
+
+def _groups(size: np.ndarray, limit: int, new: np.ndarray | None = None):
+    """Slices of about ``limit`` in size; where ``new`` is given they begin only where it is set."""
+    total, a = np.cumsum(size), 0
+    while a < len(size):
+        b = int(np.searchsorted(total, (total[a - 1] if a else 0) + limit, "right"))
+        b = max(a + 1, b)
+        if new is not None and b < len(size) and not new[b]:
+            back = np.flatnonzero(new[a + 1 : b + 1])
+            ahead = np.flatnonzero(new[b:])
+            b = a + 1 + int(back[-1]) if len(back) else b + int(ahead[0]) if len(ahead) else len(size)
+        yield slice(a, b)
+        a = b
+
+
+def _pieces(texts: list[bytes], doc: np.ndarray, tag: np.ndarray, row: np.ndarray, spans: np.ndarray, length: int):
+    """(contexts, bytes, begin) of partial contexts: ``spans`` lie in the texts of number ``row``. Contexts get their head
+    anew, the smallest hash of all heads in them."""
+    size = spans % _SPAN + length - 1
+    lens = np.array([len(t) for t in texts])
+    at = np.cumsum(lens) - lens
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    for s in _groups(size, 2 * _SEGMENT):
+        start, n, r = spans[s] // _SPAN, spans[s] % _SPAN, row[s]
+        buf, begin = _gathered(whole, at[r] + start, size[s]), np.cumsum(size[s]) - size[s]
+        grams = np.r_[RangeHash(buf).grams(Q), ~np.uint64(0)]
+        head = np.minimum.reduceat(grams, np.column_stack([begin, begin + size[s] - Q + 1]).reshape(-1))[::2] & _BITS48
+        yield Run(head=head, context=np.zeros(len(n), "<u8"), doc=doc[r], tag=tag[r], start=start, n=n), buf, begin
+
+
+def _repeated(ctx: Run, buf: np.ndarray, length: int) -> Run:
+    """Ranges of windows of contexts, ``buf`` holding their bytes in order, that start in a document of a smaller id too."""
+    size = ctx.n + length - 1
+    begin = np.cumsum(size) - size
+    order = np.argsort(ctx.head, kind="stable")
+    ctx, begin, found = ctx.take(order), begin[order], []
+    for s in _groups(ctx.n, _WINDOWS, np.r_[True, ctx.head[1:] != ctx.head[:-1]]):
+        classes = -(-int(ctx.n[s].sum()) // _WINDOWS)
+        for k in range(classes):
+            index = LogIndex()
+            for part in _groups(ctx.n[s], _WINDOWS):
+                c, b = ctx.take(s).take(part), begin[s][part]
+                own = c.n + length - 1
+                index.add(_windows(c, _gathered(buf, b, own), np.cumsum(own) - own, length, k, classes))
+            e, removed, _ = index.matches()
+            found.append(e.take(np.flatnonzero(removed)))
+    e = Run(**{k: np.concatenate([getattr(r, k) for r in found] or [[]]) for k, _, _ in _FIELDS})
+    e = e.take(np.lexsort((e.start, e.tag, e.doc)))
+    first = np.flatnonzero(np.r_[True, (e.doc[1:] != e.doc[:-1]) | (e.tag[1:] != e.tag[:-1]) | (e.start[1:] != e.start[:-1] + 1)][: len(e)])
+    out = e.take(first)
+    out.n = np.diff(np.r_[first, len(e)])
+    return out
 
 
 def _bytes(column) -> list[bytes]:
@@ -196,7 +279,7 @@ def _dealt(run: Run, buckets: int):
     run, bucket = run.take(order), bucket[order]
     at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(at, [*at[1:], len(run)], strict=True):
-        yield int(bucket[a]), run.take(slice(a, b)).pack()
+        yield int(bucket[a]), run.take(slice(a, b)).pack(buckets)
 
 
 def _index(rows: DataFrame, buckets: int) -> DataFrame:
@@ -224,16 +307,66 @@ def _index(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(scan, schema)
 
 
+def _window_ranges(rows: DataFrame, buckets: int, length: int) -> DataFrame:
+    """Rows (bucket, run, text), contexts and their bytes, -> (doc, tag, start, n): ranges that a smaller document holds."""
+
+    def scan(batches):
+        def found(held):
+            if not held:
+                return
+            runs = [Run.unpack(r) for r, _ in held]
+            buf = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(t) for _, t in held), np.uint8)
+            x = _repeated(Run(**{k: np.concatenate([getattr(r, k) for r in runs]) for k, _, _ in _FIELDS}), buf, length)
+            for a in range(0, len(x), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000]) for c in (x.doc, x.tag, x.start, x.n)], ["doc", "tag", "start", "n"])
+
+        now, held = None, []
+        for batch in batches:
+            for bucket, run, text in zip(batch["bucket"].to_pylist(), batch["run"], batch["text"], strict=True):
+                if bucket != now:
+                    yield from found(held)
+                    now, held = bucket, []
+                held.append((run.as_py(), text.as_py()))
+        yield from found(held)
+
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(scan, "doc long, tag long, start long, n long")
+
+
+def _gather(ranges: DataFrame) -> DataFrame:
+    """(doc, tag, spans): the ranges of a row, one number each."""
+    return ranges.select("doc", "tag", (F.col("start") * _SPAN + F.col("n")).alias("span")).groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """The rows with their text compressed (``z``), so that they move in two thirds of the bytes."""
+
+    def pack(batches):
+        zstd = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            z = pa.array([zstd.compress(t) for t in _bytes(batch["text"])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc"], batch["tag"], batch["id"], z], ["doc", "tag", "id", "z"])
+
+    # a key that may be null would be filtered for the inner join alone, and the text moved for each join
+    return rows.mapInArrow(pack, f"doc long NOT NULL, tag long NOT NULL, id {rows.schema['id'].dataType.simpleString()}, z binary")
+
+
+def _texts(column) -> list[bytes]:
+    zstd = zstandard.ZstdDecompressor()
+    return [zstd.decompress(z) for z in column.to_pylist()]
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(doc, tag, start, n): ranges of ``n`` window starts that a smaller document holds too.
 
     ``tag`` tells rows apart that share an id but not a text (see ``keyed``); a null id ranks after
     all others.
     """
-    return _spans(keyed(docs, id_col, text_col)[1], length)
+    once = keyed(docs, id_col, text_col)[1]
+    return _spans(once, packed(once), length)
 
 
-def _spans(base: DataFrame, length: int) -> DataFrame:
+def _spans(base: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Of the rows ``base``, whose texts are in ``texts`` compressed."""
     if length < Q + 1:
         raise ValueError(f"length must be over {Q}")
     buckets = shuffle_partitions(base.sparkSession)
@@ -248,29 +381,28 @@ def _spans(base: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "run"])
 
     first = stored(_index(base.mapInArrow(arrays, "bucket int, run binary"), buckets), "suffix-matches")
-    partial = first.filter("partial").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
-    def packed(pieces):
-        for bucket, blob in _dealt(windows(pieces, length), buckets):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "run"])
-
-    def single(batches):
-        for batch in batches:
-            size, pieces = 0, []
-            for doc, tag, text, spans in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), _bytes(batch["text"]), batch["spans"].to_pylist(), strict=True):
-                for s in spans:
-                    for at in range(s["start"], s["start"] + s["n"], _SEGMENT):
-                        last = min(at + _SEGMENT, s["start"] + s["n"])
-                        pieces.append((doc, tag, at, text[at : last + length - 1]))
-                        size += len(pieces[-1][-1])
-                        if size > _SEGMENT:
-                            yield from packed(pieces)
-                            size, pieces = 0, []
-            if pieces:
-                yield from packed(pieces)
-
-    second = _index(base.join(partial, ["doc", "tag"]).mapInArrow(single, "bucket int, run binary"), buckets)
-    return first.filter("not partial").select("doc", "tag", "start", "n").unionByName(second.filter("not partial").select("doc", "tag", "start", "n"))
+    def contexts(batches):
+        zstd = zstandard.ZstdCompressor(level=1)
+        for whole in batches:
+            step = max(1, whole.num_rows * _BATCH // max(1, whole["z"].nbytes * 2))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                spans = batch["spans"]
+                row = np.repeat(np.arange(batch.num_rows), np.asarray(spans.value_lengths()))
+                for ctx, buf, begin in _pieces(_texts(batch["z"]), np.asarray(batch["doc"]), np.asarray(batch["tag"]), row, np.asarray(spans.flatten()), length):
+                    bucket = ctx.head % np.uint64(buckets)
+                    order = np.lexsort((ctx.head, bucket))
+                    ctx, bucket, begin = ctx.take(order), bucket[order].astype(np.int64), begin[order]
+                    new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                    for a, b in zip(new, [*new[1:], len(ctx)], strict=True):
+                        part = ctx.take(slice(a, b))
+                        text = zstd.compress(_gathered(buf, begin[a:b], part.n + length - 1).tobytes())
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([part.pack(buckets)], pa.binary()), pa.array([text], pa.binary())], ["bucket", "run", "text"])
+
+    partial = _gather(first.filter("partial"))
+    second = _window_ranges(texts.join(partial, ["doc", "tag"]).mapInArrow(contexts, "bucket int, run binary, text binary"), buckets, length)
+    return first.filter("not partial").select("doc", "tag", "start", "n").unionByName(second)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -293,10 +425,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None = No
     return rows, rows.filter("tag = 0").unionByName(rows.filter("tag <> 0").dropDuplicates(["doc", "tag"]))
 
 
-def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
+def merged(spans: list[int] | None, length: int) -> list[tuple[int, int]]:
     """Byte ranges covered by windows that start in [start, start + n), joined where they meet."""
     out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["start"] + s["n"] + length - 1) for s in spans or ()):
+    for a, n in (divmod(s, _SPAN) for s in sorted(spans or ())):
+        b = a + n + length - 1
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -312,13 +445,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty table; rows of equal id don't match one another, repeated rows stay repeated.
     """
     base, once = keyed(docs, id_col, text_col)
-    cut = _spans(once, length).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = base.join(cut, ["doc", "tag"], "left").select("id", "text", "spans")
+    texts = packed(base)
+    cut = _gather(_spans(once, texts if once is base else packed(once), length))
+    joined = texts.join(cut, ["doc", "tag"], "left").select("id", "z", "spans")
 
     def apply(batches):
         for batch in batches:
             n, spans, kept = [], [], []
-            for text, found in zip(_bytes(batch["text"]), batch["spans"].to_pylist(), strict=True):
+            for text, found in zip(_texts(batch["z"]), batch["spans"].to_pylist(), strict=True):
                 ranges, at, rest = merged(found, length), 0, []
                 for a, b in ranges:
                     rest.append(text[at:a])

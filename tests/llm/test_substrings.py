@@ -100,6 +100,64 @@ def test_log_index_levels_grow_geometrically():
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and sum(sizes) == 10 * (batch + 1)
 
 
+def test_texts_move_once_and_compressed(spark, sf):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        plan = suffix_index.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    moved = [x for x in plan.splitlines() if re.match(r"[\s:+\-*()0-9]*Exchange hashpartitioning\(doc#", x)]
+    assert "ReusedExchange" in plan and "z#" in plan and moved, plan
+    below = plan[plan.index(moved[-1]) :].splitlines()
+    assert not any(re.search(r"\btext#", x) for x in below[1:2]), below[:3]
+
+
+@pytest.mark.parametrize("windows", [1 << 19, 7])
+def test_windows_of_partial_contexts_meet_by_head(monkeypatch, windows):
+    """Contexts move as bytes; a head with more windows than fit is compared class by class."""
+    monkeypatch.setattr(suffix_index, "_WINDOWS", windows)
+    rng = random.Random(3)
+    own = lambda n: "".join(rng.choice("ab cd") for _ in range(n))
+    p = own(70)
+    texts = [(own(40) + p[: rng.randint(30, 70)] + own(40) + "z" * 130).encode() for _ in range(30)]
+    docs = np.arange(len(texts))
+    index, got = LogIndex(), [bytearray(len(t)) for t in texts]
+    index.add(suffix_index.suffixes(texts, docs, docs * 0, 50))
+    e, removed, partial = index.matches()
+    order = np.argsort(e.doc[partial], kind="stable")
+    row, spans = e.doc[partial][order], (e.start * suffix_index._SPAN + e.n)[partial][order]
+    found = [e.take(np.flatnonzero(removed))]
+    for ctx, buf, begin in suffix_index._pieces(texts, docs, docs * 0, row, spans, 50):
+        assert [buf[b : b + n + 49].tobytes() for b, n in zip(begin, ctx.n, strict=True)] == [texts[d][s : s + n + 49] for d, s, n in zip(ctx.doc, ctx.start, ctx.n, strict=True)]
+        assert sorted(ctx.head) == sorted(e.head[partial])
+        found.append(suffix_index._repeated(ctx, buf, 50))
+    assert len(found[1])
+    for r in found:
+        for d, s, n in zip(r.doc, r.start, r.n, strict=True):
+            for at in range(s, s + n):
+                got[d][at : at + 50] = b"\1" * 50
+    kept = [bytes(c for c, g in zip(t, gone, strict=True) if not g) for t, gone in zip(texts, got, strict=True)]
+    assert kept == [k for k, _ in brute_cut([(int(i), t.decode()) for i, t in enumerate(texts)], 50)]
+
+
+def test_packed_heads_come_back():
+    rng = np.random.default_rng(1)
+    for buckets in (1, 51):
+        head = rng.integers(0, (1 << 48) // buckets - 1, 1000).astype("u8") * np.uint64(buckets) + np.uint64(buckets - 1)
+        for h in (head, np.sort(head), head[:1]):
+            k = len(h)
+            run = Run(head=h, context=h, doc=np.arange(k) - 5, tag=np.arange(k), start=np.arange(k), n=np.ones(k))
+            back = Run.unpack(run.pack(buckets))
+            assert all(np.array_equal(getattr(back, f), getattr(run, f)) for f in ("head", "context", "doc", "tag", "start", "n"))
+    full = Run(head=np.sort(head), context=head, doc=head * 0, tag=head * 0, start=head * 0, n=head * 0)
+    assert len(full.pack(51)) < 1000 * 11.5  # 12 bytes of two hashes before
+
+
 def brute_units(rows, min_words=8, min_line_words=5):
     """Repeated units by the definition, cut by the operator's own range rule."""
     first, all_units = {}, []
