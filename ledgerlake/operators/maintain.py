@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as C
 from ledgerlake.operators import budgets as B
+from ledgerlake.operators.rowids import collapsed
 from ledgerlake.sources.statements import DEFAULT_PAYER
 
 LEDGER = ["date", "description", "category", "subcategory", "amount", "payer", "expense_type"]
@@ -32,7 +33,7 @@ def ledger_append(ledger: DataFrame, new_rows: DataFrame) -> DataFrame:
 
 
 def ledger_delete(ledger: DataFrame, requests: DataFrame, keys: Sequence[str] | None = None,
-                  chunk: int = 10_000) -> DataFrame:
+                  chunk: int = 10_000, tasks: int = 0) -> DataFrame:
     """Each request removes one ledger row equal on the six identifying fields (plain
     equality: a NULL field never matches); n requests for the same row remove n copies,
     taken in expense_type order.
@@ -47,13 +48,17 @@ def ledger_delete(ledger: DataFrame, requests: DataFrame, keys: Sequence[str] |
         copies in chunks whose (class, chunk) rows are hash-partitioned before the final
         explode, so even a class holding a third of the table is rebuilt by many tasks.
     Regenerated rows equal the originals in every column, so the result is exact.
-    `requests` is read twice: pass a stored frame, not a derivation.
+    `requests` is read twice: pass a stored frame, not a derivation. With `tasks`, they are dealt to so many by the
+    fields of a request: to a ledger that lies in so many buckets by them, which then stays where it is.
     """
     keys = _k(keys)
     m = [*keys, *ROW_MATCH]
     cols = ledger.columns
     rest = [c for c in cols if c not in m]
-    req = requests.groupBy(*m).agg(F.count(F.lit(1)).alias("_r"))
+    if tasks:
+        req = collapsed(requests, m).repartition(tasks, *m).groupBy(*m).agg(F.sum("n").alias("_r"))
+    else:
+        req = requests.groupBy(*m).agg(F.count(F.lit(1)).alias("_r"))
     known = F.lit(True)
     for c in m:
         known = known & F.col(c).isNotNull()

@@ -18,10 +18,11 @@ Manifests hold one entry per partition folder and one per commit; rows never pas
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
@@ -32,6 +33,8 @@ from pyspark.sql import types as T
 #: Spark's folder name for a NULL partition value
 NULL_PART = "__HIVE_DEFAULT_PARTITION__"
 COMMIT = "commit"
+#: ids are text of hashed digits, which only an entropy coder shortens
+CODEC = "zstd"
 
 
 class Conflict(RuntimeError):
@@ -244,11 +247,9 @@ class Table:
 
     def _write(self, df: DataFrame) -> Manifest:
         """Rows under a new commit id, counted while written and again when read back."""
-        commit, seen = uuid.uuid4().hex, Observation()
-        root = f"data/{COMMIT}={commit}"
-        observed = df.observe(seen, F.count(F.lit(1)).alias("n"))
-        w = observed.write.partitionBy(self.partition) if self.partition else observed.write
-        w.parquet(f"{self.path}/{root}")
+        seen = Observation()
+        root = f"data/{COMMIT}={self._commit_id()}"
+        self._save(df.observe(seen, F.count(F.lit(1)).alias("n")), root)
         if self.partition:
             found = {n.split("=", 1)[1]: [f"{root}/{n}"] for n in self.files.names(f"{self.path}/{root}") if n.startswith(f"{self.partition}=")}
         else:
@@ -260,6 +261,13 @@ class Table:
             raise Damaged(f"{self.path}/{root}: wrote {seen.get['n']} rows, read {sum(rows.values())}")
         return Manifest(0, df.schema.json(), {n: f for n, f in found.items() if rows.get(f[0])}, rows)
 
+    def _commit_id(self) -> str:
+        return uuid.uuid4().hex
+
+    def _save(self, df: DataFrame, root: str) -> None:
+        w = df.write.partitionBy(self.partition) if self.partition else df.write
+        w.option("compression", CODEC).parquet(f"{self.path}/{root}")
+
     def _publish(self, source: str, batch: object, written: Manifest, parts: Callable[[Manifest], dict]) -> Manifest:
         while True:
             now = self.manifest()
@@ -317,6 +325,51 @@ class Table:
         return gone
 
 
+class Clustered(Table):
+    """A partitioned table whose rows Spark also deals into `buckets` by `columns` within each folder: read `in_place`, they
+    meet others by these columns, or are grouped by them, without an exchange. To all other readers
+    it is a table like any other. A commit's id ends with its number of buckets; commits of another
+    number, or of none, are read as plain folders."""
+
+    def __init__(self, spark: SparkSession, path: str, partition: str, columns: Sequence[str], buckets: int):
+        super().__init__(spark, path, partition)
+        self.columns, self.buckets = list(columns), buckets
+
+    def _commit_id(self) -> str:
+        return f"{uuid.uuid4().hex}-{self.buckets}"
+
+    def _save(self, df: DataFrame, root: str) -> None:
+        name = f"clustered_{uuid.uuid4().hex}"
+        w = df.write.partitionBy(self.partition).bucketBy(self.buckets, *self.columns).format("parquet")
+        w.option("compression", CODEC).option("path", f"{self.path}/{root}").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # external: the files stay
+
+    @contextlib.contextmanager
+    def in_place(self, folders: list[str], schema: T.StructType) -> Iterator[DataFrame]:
+        """The rows of `folders` with their commit, as `COMMIT`, in place of the partition column. The frame holds as long
+        as the context: Spark knows buckets of catalog tables only, and the entry goes with it."""
+        fields = [f for f in schema.fields if f.name != self.partition]
+        commits = {f: f.split("/")[1].split("=", 1)[1] for f in folders}
+        if not folders or any(not c.endswith(f"-{self.buckets}") for c in commits.values()):
+            parts = [self._scan([f for f in folders if commits[f] == c], schema).withColumn(COMMIT, F.lit(c)) for c in sorted({*commits.values()})]
+            parts = parts or [self._scan([], schema).withColumn(COMMIT, F.lit(""))]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            yield out.select(*[f.name for f in fields], COMMIT)
+            return
+        name = f"clustered_{uuid.uuid4().hex}"
+        cols, by = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), ", ".join(f"`{c}`" for c in self.columns)
+        self.spark.sql(f"CREATE TABLE {name} ({cols}, `{COMMIT}` STRING, `_folder` STRING) USING parquet OPTIONS (path '{self.path}/data') "
+                       f"PARTITIONED BY (`{COMMIT}`, `_folder`) CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS")
+        try:
+            parts = " ".join(f"PARTITION (`{COMMIT}`='{commits[f]}', `_folder`='{i}') LOCATION '{self.path}/{f}'" for i, f in enumerate(folders))
+            self.spark.sql(f"ALTER TABLE {name} ADD {parts}")
+            yield self.spark.table(name).select(*[f.name for f in fields], COMMIT)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
+
+
 def _merged(old: dict[str, list[str]], new: dict[str, list[str]]) -> dict[str, list[str]]:
     return {n: [*old.get(n, []), *new.get(n, [])] for n in {**old, **new}}
 

@@ -26,6 +26,8 @@ from ledgerlake.sources import tables as TB
 from ledgerlake.sources import testviews as V
 
 K = V.KEYS
+#: rows of an import in a bucket of `stored_ledger_delete`
+ROWS_PER_BUCKET = 1_000_000
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -34,6 +36,12 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/ledgerlake-{name}-{uuid.uuid4().hex}"
 
 
+def _buckets(spark: SparkSession, d: str) -> int:
+    """Buckets of a ledger of all lines: as many as there are cores, more for a large one (the count reads the files' row counts only)."""
+    rows = V.table(spark, d, "lineitem").count()
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_BUCKET)))
+
+
 def _ledger(spark: SparkSession, d: str, name: str, base: DataFrame | None = None) -> Ledger:
     """The whole ledger, imported in two batches that go through all months, the rollup following in between."""
     led = Ledger(spark, _folder(spark, name), K)
@@ -57,10 +65,11 @@ def stored_report_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 def stored_ledger_delete(spark: SparkSession, d: str) -> DataFrame:
     """The ledger imported twice under two sources, then a multiset of rows deleted from the months they lie in."""
-    led, rows = Ledger(spark, _folder(spark, "delete"), K), stored_once(V.expenses(spark, d), "ledger")
+    base = stored_once(V.expense_base(spark, d), "lines")  # both imports and the rows to delete
+    led, rows = Ledger(spark, _folder(spark, "delete"), K, _buckets(spark, d)), V.expenses(spark, d, base)
     for source in ("first", "second"):
         led.append(rows, source, 0)
-    gone = V.expense_base(spark, d).filter((F.col("_ok") + F.col("_ln")) % 7 == 0).drop("_ok", "_ln")
+    gone = base.filter((F.col("_ok") + F.col("_ln")) % 7 == 0).drop("_ok", "_ln")
     led.delete(TB.clean_expenses(gone, K), "edit", 0)
     return Q.finish(led.expenses().drop("month"))
 
