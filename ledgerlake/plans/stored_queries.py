@@ -37,9 +37,10 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _buckets(spark: SparkSession, d: str) -> int:
-    """Buckets of a ledger of all lines: as many as there are cores, more for a large one (the count reads the files' row counts only)."""
+    """Buckets of a ledger of all lines: as many as there are cores, more for a large one, whatever the session's shuffle
+    partitions, so that a task's memory doesn't grow with the input (the count reads the files' row counts only)."""
     rows = V.table(spark, d, "lineitem").count()
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_BUCKET)))
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), -(-rows // ROWS_PER_BUCKET))
 
 
 def _ledger(spark: SparkSession, d: str, name: str, base: DataFrame | None = None) -> Ledger:

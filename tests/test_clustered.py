@@ -6,11 +6,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 from test_ledger import K, frame, random_rows, row
-from test_moves import plan, shuffled  # noqa: F401
+from test_moves import SF, plan, shuffled  # noqa: F401
 
 from ledgerlake.operators import rowids as RI
+from ledgerlake.plans import stored_queries as Q
 from ledgerlake.plans.ledger import Ledger
 from ledgerlake.plans.store import Clustered
+from ledgerlake.sources import testviews as V
 
 
 def content(led, ids=True):
@@ -76,3 +78,10 @@ def test_repeated_rows_move_as_few(spark):
     got = RI.collapsed(new, new.columns)
     assert got.count() < 100
     assert sorted((r.description or "", r.n) for r in got.groupBy(*new.columns).agg(F.sum("n").alias("n")).collect()) == [("", 30_000), ("COFFEE", 30_000)]
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    """Of a few rows there are no more than shuffle partitions; of many as many as they ask for."""
+    few = Q._buckets(spark, SF)
+    monkeypatch.setattr(Q, "ROWS_PER_BUCKET", 100)
+    assert 1 <= few <= int(spark.conf.get("spark.sql.shuffle.partitions")) < Q._buckets(spark, SF) == -(-V.table(spark, SF, "lineitem").count() // 100)
